@@ -6,12 +6,16 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import mixing, url_filter
+from rankforge.llm import chat, language, mixing, packing, quality, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_quality_mil": quality.query,
         "op3_mixing": mixing.query,
+        "op5_language": language.query,
+        "op7_packing": packing.query,
+        "op8_chat_format": chat.query,
         "op9_url_filter": url_filter.query,
     }
 
@@ -19,5 +23,6 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 def oracle_sql() -> dict[str, str]:
     return {
         "op3_mixing": mixing.ORACLE_SQL,
+        "op8_chat_format": chat.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
     }
