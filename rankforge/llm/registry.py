@@ -6,14 +6,17 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import chat, language, mixing, packing, quality, url_filter
+from rankforge.llm import chat, dedup, language, mixing, multi_index, packing, quality, topk, url_filter
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_quality_mil": quality.query,
+        "op2_topk": topk.query,
         "op3_mixing": mixing.query,
+        "op4_near_dedup": dedup.query,
         "op5_language": language.query,
+        "op6_multi_index": multi_index.query,
         "op7_packing": packing.query,
         "op8_chat_format": chat.query,
         "op9_url_filter": url_filter.query,
@@ -22,6 +25,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op2_topk": topk.ORACLE_SQL,
         "op3_mixing": mixing.ORACLE_SQL,
         "op8_chat_format": chat.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
