@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import chat, dedup, language, mixing, multi_index, packing, quality, topk, url_filter
+from rankforge.llm import chat, dedup, language, mixing, multi_index, packing, quality, topk, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_packing": packing.query,
         "op8_chat_format": chat.query,
         "op9_url_filter": url_filter.query,
+        "op10_warc_revisit": warc.query,
     }
 
 
@@ -29,4 +30,5 @@ def oracle_sql() -> dict[str, str]:
         "op3_mixing": mixing.ORACLE_SQL,
         "op8_chat_format": chat.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
+        "op10_warc_revisit": warc.ORACLE_SQL,
     }
