@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankforge.plans import base, metrics  # noqa: F401
+from rankforge.plans import base, metrics, tables  # noqa: F401
 
 FLAGSHIP = "flagship_context_auprc"
 
