@@ -9,14 +9,18 @@ and a class is a connected component of links.
    weight and 24 band keys of 6 coordinates each, so that a pair at similarity
    0.8 shares a band with probability 0.9993, at 0.85 with 0.99999.
 2. Rows with equal content collapse to one node, with partial aggregation.
-3. In every bucket of a band all nodes are compared with one pivot node, chosen
-   by a hash of bucket and node; similarities are exact, from the multisets.
-4. Buckets whose nodes are then in one component have no link left to lose.  In
-   the others, further pivots (up to 64 a bucket and round) are compared with
-   all nodes of other components that sizes and the triangle inequality of the
-   Jaccard distance leave possible, until nothing is left.  No bucket is capped
-   and a bucket never has all its pairs made: a row meets 64 pivots at most a
-   round, and buckets with one component stop.
+3. A few rounds of pivots: in every bucket of a band whose nodes are not yet in
+   one component, one node is the pivot (the best linked so far); every node is
+   compared with the pivot of its largest such bucket, exactly, on the multisets.
+   A large group of near copies becomes one component here, with as many
+   comparisons as nodes.
+4. Buckets in one component have no link left to lose.  The nodes of the others
+   go through an exact prefix-filter join: at similarity 0.8 two multisets must
+   share one of their rarest fifth of elements, in one fixed order that a bounded
+   histogram of all these elements gives; pairs in one component are left out,
+   and what remains is compared exactly.
+
+No bucket is capped and no bucket has all its pairs made.
 
 Defined cases: a null text and one without words is in no group: its class is
 its own doc_id; repeated rows are copies of each other; class_id is the least
@@ -41,8 +45,10 @@ from rankforge.llm.words import mix, occurrences, shingles, words_of
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
-#: Pivots of a bucket in one round.
-PIVOTS = 64
+#: Rounds of pivots before the prefix filter.
+ROUNDS = 4
+#: Places of the histogram that orders elements by how common they are.
+SLOTS = 1 << 20
 
 _SALTS = np.array([0x8CB92BA72F3D8DD7, 0x3C6EF372FE94F82B], dtype=np.uint64)
 
@@ -100,85 +106,143 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
 
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """node, elements for the nodes in `wanted`, from one of each node's texts."""
+    """id, elements for the (id, node) rows of `wanted`, from one of each node's texts."""
 
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [elements(shingles(words_of(t.as_py()), words)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["node", "elements"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "elements"])
 
-    pick = rows.where("node IS NOT NULL").join(wanted, "node", "left_semi").groupBy("node").agg(F.min(F.struct("doc_id", "tag")).alias("pick"))
-    pick = small(settle(pick.select("node", F.col("pick.doc_id").alias("pick_id"), F.col("pick.tag").alias("pick_tag"))))
+    pick = rows.join(wanted, "node").groupBy("id").agg(F.min(F.struct("doc_id", "tag")).alias("pick"))
+    pick = settle(pick.select("id", F.col("pick.doc_id").alias("pick_id"), F.col("pick.tag").alias("pick_tag")))
     text = F.col("text").cast("string")
-    found = docs.select("doc_id", text.alias("text")).join(pick, F.col("doc_id").eqNullSafe(F.col("pick_id")) & (text_tag(F.col("text")) == F.col("pick_tag")))
-    return settle(found.select("node", "text").mapInArrow(expand, "node binary, elements array<long>").dropDuplicates(["node"]))
+    same = F.col("doc_id").eqNullSafe(F.col("pick_id")) & (text_tag(F.col("text")) == F.col("pick_tag"))
+    found = docs.select("doc_id", text.alias("text")).join(small(pick), same)
+    found = settle(found.select("id", "text").mapInArrow(expand, "id long, elements array<long>"))
+    # only rows that are there several times give a set several times
+    return found if found.count() == pick.count() else settle(found.dropDuplicates(["id"]))
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
     """(u, v) with their exact similarity."""
-    left = sets.select(F.col("node").alias("u"), F.col("elements").alias("a"))
-    right = sets.select(F.col("node").alias("v"), F.col("elements").alias("b"))
+    left = sets.select(F.col("id").alias("u"), F.col("elements").alias("a"))
+    right = sets.select(F.col("id").alias("v"), F.col("elements").alias("b"))
     both = F.size(F.array_intersect("a", "b"))
     similarity = both / (F.size("a") + F.size("b") - both)
-    return pairs.join(right, "v").join(left, "u").select("u", "v", similarity.alias("similarity"))
-
-
-def _linked(compared: DataFrame, least: float) -> DataFrame:
-    return compared.where(F.col("similarity") >= least - 1e-12).select("u", "v")
-
-
-def _links(docs: DataFrame, rows: DataFrame, least: float, words: int) -> DataFrame:
-    """(node, root) of the nodes that have a link."""
-    nodes = settle(rows.where("node IS NOT NULL").groupBy("node").agg(F.max("weight").alias("weight"), F.any_value("bands").alias("bands")))
-    keyed = nodes.select("node", "weight", F.explode("bands").alias("key")).withColumn("draw", F.xxhash64("node", "key"))
-    shared = keyed.groupBy("key").agg(F.min("draw").alias("least_draw"), F.count(F.lit(1)).alias("n")).where("n > 1")
-    members = settle(keyed.join(shared, "key"))
-    sets = _sets(docs, rows, members.select("node").distinct(), words)
-
-    pivots = members.where("draw = least_draw").select("key", F.col("node").alias("u"), F.col("weight").alias("u_weight"))
-    near_size = F.least("weight", "u_weight") >= F.lit(least) * F.greatest("weight", "u_weight")
-    met = members.join(pivots, "key").where(F.col("node") != F.col("u"))
-    compared = settle(_compare(met.where(near_size).select("u", F.col("node").alias("v")).distinct(), sets))
-    edges = _linked(compared, least)
-    found = components(edges)
-
-    # what is left: nodes other than the pivots, with their distance from the bucket's pivot where it was measured
-    left = met.where("n > 2").join(compared.withColumnRenamed("v", "node"), ["u", "node"], "left")
-    left = settle(left.select("key", "node", "weight", (1 - F.col("similarity")).alias("distance")))
-    done = compared.select("u", "v")
-    turn = 0
-    while True:
-        turn += 1
-        placed = left.join(found, "node", "left").withColumn("part", F.coalesce("root", "node"))
-        split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select("key", "n")
-        draw = F.pmod(F.xxhash64("node", "key", F.lit(turn)), F.lit(1 << 30)) * F.col("n") < F.lit(PIVOTS << 30)
-        left = settle(placed.drop("root").join(split, "key").withColumn("pivot", (F.col("n") <= PIVOTS) | draw))
-        if left.isEmpty():
-            return found
-        a = left.where("pivot").select("key", F.col("node").alias("u"), F.col("weight").alias("u_weight"), F.col("distance").alias("u_distance"), F.col("part").alias("u_part"))
-        possible = (F.col("part") != F.col("u_part")) & near_size & (~F.col("pivot") | (F.col("u") < F.col("node")))
-        possible &= F.coalesce(F.abs(F.col("distance") - F.col("u_distance")) <= 1 - least + 1e-9, F.lit(True))
-        fresh = left.join(a, (left["key"] == a["key"]) & possible).select(F.least("u", "node").alias("u"), F.greatest("u", "node").alias("v")).distinct()
-        known = done.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-        compared = settle(_compare(fresh.join(known, ["u", "v"], "left_anti"), sets))
-        done = known.union(compared.select("u", "v"))
-        edges = edges.union(_linked(compared, least))
-        found = components(edges)
-        left = left.where(~F.col("pivot")).select("key", "node", "weight", "distance")
+    return settle(pairs.join(right, "v").join(left, "u").select("u", "v", similarity.alias("similarity")))
+
+
+def _merged(found: DataFrame, edges: DataFrame) -> DataFrame:
+    """(node, root) after more edges; only the edges between components are worked on."""
+    at = lambda end: found.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    ends = edges.join(at("u"), "u", "left").join(at("v"), "v", "left")
+    ends = ends.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
+    moved = components(ends)
+    after = found.join(moved.select(F.col("node").alias("root"), F.col("root").alias("moved")), "root", "left")
+    return settle(after.select("node", F.coalesce("moved", "root").alias("root")).unionByName(moved))
+
+
+def _split(members: DataFrame, found: DataFrame) -> DataFrame:
+    """The members of buckets whose nodes are in several components, with their component as `part`."""
+    placed = members.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
+    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
+    return settle(placed.join(split, "key"))
+
+
+def _pivot_pairs(live: DataFrame, edges: DataFrame, least: float) -> DataFrame:
+    """(u, v): every node v with the pivot u of its largest bucket that has one of another component and possible size."""
+    links = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("id", "key").alias("draw"), "id", "part", "weight")).alias("pivot")
+    pivots = live.join(links, "id", "left").groupBy("key").agg(best).select("key", "pivot.*")
+    pivots = pivots.select("key", F.col("id").alias("u"), F.col("part").alias("u_part"), F.col("weight").alias("u_weight"))
+    near = F.least("weight", "u_weight") >= F.lit(least) * F.greatest("weight", "u_weight")
+    met = live.join(pivots, "key").where((F.col("part") != F.col("u_part")) & near)
+    chosen = met.groupBy("id").agg(F.max(F.struct("n", "key", "u")).alias("c"))
+    return chosen.select(F.col("c.u").alias("u"), F.col("id").alias("v"))
+
+
+def _prefix_pairs(residual: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """(u, v): all pairs of different components that can reach the similarity, by the prefix filter.
+
+    `residual` has id and part.
+    """
+    rows = settle(sets.join(residual, "id"))
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(SLOTS, dtype=np.int64)
+        for batch in batches:
+            total += np.bincount(batch.column(0).flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
+        slot = np.flatnonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], names=["slot", "n"])
+
+    counted = rows.select("elements").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
+    often = np.zeros(SLOTS, dtype=np.int64)  # SLOTS numbers, however many elements there are
+    often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
+    order = rows.sparkSession.sparkContext.broadcast(often)
+
+    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = batch.schema.get_field_index("elements")
+            for i, own in enumerate(batch.column(at)):
+                values = own.values.to_numpy()
+                size = len(values) - int(np.ceil(least * len(values) - 1e-9)) + 1
+                values = values[np.lexsort((values, order.value[values & (SLOTS - 1)]))[:size]]
+                n = len(values)
+                same = lambda name, i=i, n=n: pa.array([batch.column(batch.schema.get_field_index(name))[i].as_py()] * n, pa.int64())
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(values), same("id"), same("part"), pa.array([len(own)] * n, pa.int64()), pa.array(np.arange(n))], names=["element", "id", "part", "size", "place"]
+                )
+
+    listed = settle(rows.mapInArrow(prefix, "element long, id long, part long, size long, place long"))
+    shared = listed.groupBy("element").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("element")
+    listed = listed.join(shared, "element")
+    other = listed.select("element", F.col("id").alias("u"), F.col("part").alias("u_part"), F.col("size").alias("u_size"), F.col("place").alias("u_place"))
+    needed = F.lit(least / (1 + least)) * (F.col("size") + F.col("u_size")) - 1e-9
+    rest = F.least(F.col("size") - F.col("place"), F.col("u_size") - F.col("u_place"))
+    near = F.least("size", "u_size") >= F.lit(least) * F.greatest("size", "u_size") - 1e-9
+    return listed.join(other, "element").where((F.col("u") < F.col("id")) & (F.col("part") != F.col("u_part")) & near & (rest >= needed)).select("u", F.col("id").alias("v")).distinct()
+
+
+def _links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, least: float, words: int) -> DataFrame:
+    """(node, root) of the ids that have a link, but for the roots."""
+    keyed = nodes.select("id", F.explode("bands").alias("key"))
+    # a bucket of two is known from its ends; only larger ones are looked up
+    shared = settle(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    larger = keyed.join(small(shared.where("n > 2").select("key", "n")), "key").select("key", "id", "n")
+    members = shared.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("id"), "n").unionByName(larger)
+    members = settle(members.join(nodes.select("id", "weight"), "id"))
+    sets = _sets(docs, rows, members.select("id").distinct().join(nodes.select("id", "node"), "id"), words)
+
+    compared = settle(rows.sparkSession.createDataFrame([], "u long, v long, similarity double"))
+    found = settle(rows.sparkSession.createDataFrame([], "node long, root long"))
+    edge = F.col("similarity") >= least - 1e-12
+    for _ in range(ROUNDS):
+        live = _split(members, found)
+        pairs = _pivot_pairs(live, compared.where(edge).select("u", "v"), least)
+        fresh = _compare(pairs.join(compared.select("u", "v"), ["u", "v"], "left_anti"), sets)
+        if fresh.isEmpty():
+            break
+        compared = compared.unionByName(fresh)
+        found = _merged(found, fresh.where(edge).select("u", "v"))
+    residual = _split(members, found).select("id", "part").distinct()
+    pairs = _prefix_pairs(settle(residual), sets, least)
+    known = compared.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
+    fresh = _compare(pairs.join(known, ["u", "v"], "left_anti"), sets)
+    return _merged(found, fresh.where(edge).select("u", "v"))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS) -> DataFrame:
-    """doc_id, tag, node, root and class_id for every row; node and root are null without words."""
+    """doc_id, tag, root and class_id for every row; root is null without words."""
     rows = settle(describe(docs, words))
-    found = _links(docs, rows, least, words)
-    known = rows.where("node IS NOT NULL")
-    nodes = known.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    nodes = nodes.join(found, "node", "left").select("node", F.coalesce("root", "node").alias("root"), "least_id")
-    roots = nodes.groupBy("root").agg(F.min("least_id").alias("class_id"))
-    named = nodes.select("node", "root").join(roots, "root")
-    placed = known.join(named, "node").select("doc_id", "tag", "node", "root", "class_id")
-    alone = rows.where("node IS NULL").select("doc_id", "tag", "node", F.lit(None).cast("binary").alias("root"), F.col("doc_id").alias("class_id"))
-    return placed.unionByName(alone)
+    known = rows.where("node IS NOT NULL").select("doc_id", "tag", "node")
+    nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.max("weight").alias("weight"), F.any_value("bands").alias("bands"), F.min("doc_id").alias("least_id"))
+    nodes = settle(nodes.withColumn("id", F.monotonically_increasing_id()))
+    found = _links(docs, known, nodes, least, words)
+    placed = nodes.select("node", "id", "least_id").join(found.select(F.col("node").alias("id"), "root"), "id", "left")
+    placed = placed.select("node", F.coalesce("root", "id").alias("root"), "least_id")
+    named = placed.select("node", "root").join(placed.groupBy("root").agg(F.min("least_id").alias("class_id")), "root")
+    alone = rows.where("node IS NULL").select("doc_id", "tag", F.lit(None).cast("long").alias("root"), F.col("doc_id").alias("class_id"))
+    return known.join(named, "node").select("doc_id", "tag", "root", "class_id").unionByName(alone)
 
 
 def keep_one(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS) -> DataFrame:
