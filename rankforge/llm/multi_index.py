@@ -8,8 +8,8 @@ product with the centroid): a heap walks the pairs in that order until the
 visited cells hold `SHARE` of all entries and at least `LEAST`.  The entries of
 the visited cells are reranked with exact inner products in double precision.
 
-The index is sorted by cell and cut into blocks of bounded size (a large cell
-spans several), and a query only goes to blocks with a cell that it visits.
+Neighbouring cells are put together into blocks of bounded size (a large cell is
+spread over several), and a query only goes to blocks with a cell that it visits.
 What a query must remember of its walk is one number, the largest visited sum:
 the visited cells are those with no larger one.
 
@@ -82,6 +82,20 @@ def walk(first: np.ndarray, second: np.ndarray, counts: np.ndarray, enough: int)
     return last
 
 
+def blocks_of(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
+    """First block and number of blocks of each cell: neighbours share a block of about `size` entries, a larger cell has several to itself."""
+    start, number = np.zeros(len(counts), np.int64), np.ones(len(counts), np.int64)
+    block, held = 0, 0
+    for cell, n in enumerate(counts.tolist()):
+        if held and held + n > size:
+            block, held = block + 1, 0
+        start[cell], number[cell] = block, max(1, -(-n // size))
+        held += n
+        if number[cell] > 1:
+            block, held = block + number[cell], 0
+    return start, number
+
+
 def rerank(ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, visits: np.ndarray, k: int):
     """(query position, vec_id, score) of each query's k best among the entries of its cells.
 
@@ -124,15 +138,24 @@ def neighbours(rows: DataFrame, asks: Column, k: int = K, codes: int = CODES, sh
             cell = nearest(own[:, :half], first) * codes + nearest(own[:, half:], second)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=["vec_id", "vector", "cell"])
 
-    index = rows.mapInArrow(assign, "vec_id long, vector array<double>, cell int")
-    index = index.repartitionByRange(max(1, -(-n // BLOCK)), "cell", F.xxhash64("vec_id")).withColumn("block", F.spark_partition_id())
-    index = settle(index.select("block", "cell", "vec_id", "vector"))
-    counts, spans = np.zeros(len(first) * codes, np.int64), {}
-    # at most a row for each cell, and one more for each border between blocks
-    for block, cell, entries in index.groupBy("block", "cell").agg(F.count(F.lit(1))).collect():
-        counts[cell] += entries
-        spans.setdefault(block, []).append(cell)
-    spans = {block: np.array(sorted(cells)) for block, cells in sorted(spans.items())}
+    index = settle(rows.mapInArrow(assign, "vec_id long, vector array<double>, cell int"))
+    counts = np.zeros(len(first) * codes, np.int64)
+    for cell, entries in index.groupBy("cell").agg(F.count(F.lit(1))).collect():  # a row for each cell at most
+        counts[cell] = entries
+    start, number = blocks_of(counts, BLOCK)
+    spans: dict[int, list[int]] = {}
+    for cell in np.flatnonzero(counts):
+        for block in range(start[cell], start[cell] + number[cell]):
+            spans.setdefault(block, []).append(cell)
+    spans = {block: np.array(cells) for block, cells in spans.items()}
+
+    def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            cell, spread = batch.column(2).to_numpy(), batch.column(3).to_numpy()
+            yield pa.RecordBatch.from_arrays([pa.array(start[cell] + spread % number[cell], pa.int32()), *batch.columns[:3]], names=["block", "vec_id", "vector", "cell"])
+
+    spread = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30)).alias("spread")
+    index = index.select("vec_id", "vector", "cell", spread).mapInArrow(deal, "block int, vec_id long, vector array<double>, cell int")
     enough = max(least, int(np.ceil(share * n)))
     queries = settle(rows.where(asks).distinct().select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").alias("query_id"), "vector"))
 
@@ -164,8 +187,10 @@ def neighbours(rows: DataFrame, asks: Column, k: int = K, codes: int = CODES, sh
         q, who, score = (np.concatenate(x) for x in zip(*got, strict=True))
         return as_found(uid[q], query_id[q], who, score)
 
+    asked = queries.count()
+    queries = queries.repartition(max(1, -(-asked // 128)), "uid")
     ready = queries.mapInArrow(visit, "uid long, query_id long, vector array<double>, most double, blocks array<int>")
-    return best(search_blocks(index, ready, find, "double", queries.count()), k)
+    return best(search_blocks(index, ready, find, "double", asked), k)
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
