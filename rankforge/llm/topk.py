@@ -142,8 +142,10 @@ def top_k(rows: DataFrame, asks: Column, k: int = K) -> DataFrame:
         )
         return as_found(uid[owner], query_id[owner], who, score)
 
+    asked = queries.count()
+    queries = queries.repartition(max(1, -(-asked // 512)), "uid")
     ready = queries.mapInArrow(begin, "uid long, query_id long, ints array<bigint>, bound double, blocks array<int>")
-    return best(search_blocks(blocks.select("block", "vec_id", "ints"), ready, find, "long", queries.count()), k)
+    return best(search_blocks(blocks.select("block", "vec_id", "ints"), ready, find, "long", asked), k)
 
 
 def _norm(column: str) -> Column:
