@@ -33,12 +33,17 @@ def settle(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def count_rows(df: DataFrame) -> int:
+    """Rows of a settled frame, counted by its tasks alone: without the exchange of count()."""
+    return df._jdf.queryExecution().toRdd().count()
+
+
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """`df` with a broadcast hint if a count shows that it has at most `rows` rows.
 
     Call it on settled frames, whose count is a cheap read.
     """
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+    return F.broadcast(df) if count_rows(df) <= rows else df
 
 
 def id_crc(column: str | Column) -> Column:

@@ -37,7 +37,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import settle, small, table
+from rankforge.llm.common import count_rows, settle, small, table
 from rankforge.llm.components import components
 from rankforge.llm.minhash import band_keys, signatures
 from rankforge.llm.words import mix, occurrences, shingles, words_of
@@ -120,7 +120,7 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> Da
     found = docs.select("doc_id", text.alias("text")).join(small(pick), same)
     found = settle(found.select("id", "text").mapInArrow(expand, "id long, elements array<long>"))
     # only rows that are there several times give a set several times
-    return found if found.count() == pick.count() else settle(found.dropDuplicates(["id"]))
+    return found if count_rows(found) == count_rows(pick) else settle(found.dropDuplicates(["id"]))
 
 
 def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
@@ -134,27 +134,27 @@ def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
 
 def _merged(found: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root) after more edges; only the edges between components are worked on."""
-    at = lambda end: found.select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
+    at = lambda end: small(found).select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
     ends = edges.join(at("u"), "u", "left").join(at("v"), "v", "left")
     ends = ends.select(F.coalesce("u_root", "u").alias("u"), F.coalesce("v_root", "v").alias("v"))
     moved = components(ends)
-    after = found.join(moved.select(F.col("node").alias("root"), F.col("root").alias("moved")), "root", "left")
+    after = found.join(small(moved).select(F.col("node").alias("root"), F.col("root").alias("moved")), "root", "left")
     return settle(after.select("node", F.coalesce("moved", "root").alias("root")).unionByName(moved))
 
 
 def _split(members: DataFrame, found: DataFrame) -> DataFrame:
     """The members of buckets whose nodes are in several components, with their component as `part`."""
-    placed = members.join(found.select(F.col("node").alias("id"), "root"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
-    split = placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key")
-    return settle(placed.join(split, "key"))
+    placed = members.join(small(found).select(F.col("node").alias("id"), "root"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
+    split = settle(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key"))
+    return settle(placed.join(small(split), "key"))
 
 
 def _pivot_pairs(live: DataFrame, edges: DataFrame, least: float) -> DataFrame:
     """(u, v): every node v with the pivot u of its largest bucket that has one of another component and possible size."""
     links = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
     best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("id", "key").alias("draw"), "id", "part", "weight")).alias("pivot")
-    pivots = live.join(links, "id", "left").groupBy("key").agg(best).select("key", "pivot.*")
-    pivots = pivots.select("key", F.col("id").alias("u"), F.col("part").alias("u_part"), F.col("weight").alias("u_weight"))
+    pivots = live.join(small(settle(links)), "id", "left").groupBy("key").agg(best).select("key", "pivot.*")
+    pivots = small(settle(pivots.select("key", F.col("id").alias("u"), F.col("part").alias("u_part"), F.col("weight").alias("u_weight"))))
     near = F.least("weight", "u_weight") >= F.lit(least) * F.greatest("weight", "u_weight")
     met = live.join(pivots, "key").where((F.col("part") != F.col("u_part")) & near)
     chosen = met.groupBy("id").agg(F.max(F.struct("n", "key", "u")).alias("c"))
@@ -219,7 +219,7 @@ def _links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, least: float, wor
     for _ in range(ROUNDS):
         live = _split(members, found)
         pairs = _pivot_pairs(live, compared.where(edge).select("u", "v"), least)
-        fresh = _compare(pairs.join(compared.select("u", "v"), ["u", "v"], "left_anti"), sets)
+        fresh = _compare(pairs.join(small(compared.select("u", "v")), ["u", "v"], "left_anti"), sets)
         if fresh.isEmpty():
             break
         compared = compared.unionByName(fresh)
@@ -227,7 +227,7 @@ def _links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, least: float, wor
     residual = _split(members, found).select("id", "part").distinct()
     pairs = _prefix_pairs(settle(residual), sets, least)
     known = compared.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    fresh = _compare(pairs.join(known, ["u", "v"], "left_anti"), sets)
+    fresh = _compare(pairs.join(small(known), ["u", "v"], "left_anti"), sets)
     return _merged(found, fresh.where(edge).select("u", "v"))
 
 
