@@ -38,11 +38,12 @@ def precision_recall_at(df: DataFrame, by: Sequence[str], k: int, score: str = "
 
 
 def reciprocal_rank(df: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
-    """by, rr: one over the rank of the first positive, found by counting the rows before it."""
+    """by, rr: one over the rank of the first positive, found by counting the rows before it; no positive gives no row."""
     place = F.struct((-F.col(score)).alias("s"), F.col("ord").alias("o"))
-    first = df.where("y = 1").groupBy(*by).agg(F.min(place).alias("first"))
+    first = df.where("y = 1").groupBy(*by).agg(F.min(place).alias("first")).where("first IS NOT NULL")
     joined = df.join(first, list(by)) if by else df.join(first)
-    return joined.groupBy(*by).agg((1.0 / (1 + F.count_if(place < F.col("first")))).alias("rr"))
+    before = joined.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.count_if(place < F.col("first")).alias("before")).where("n > 0")
+    return before.select(*by, (1.0 / (1 + F.col("before"))).alias("rr"))
 
 
 def average_precision(df: DataFrame, by: Sequence[str], score: str = "score", weight: Column | None = None) -> DataFrame:
@@ -118,8 +119,9 @@ def spearman(df: DataFrame, by: Sequence[str], left: str, right: str) -> DataFra
     """by, n, spearman over rows where both are finite; NULL below three rows or where one is constant."""
     valid = df.where(_finite(left) & _finite(right))
     ranked = tied_rank(tied_rank(valid, by, left, "__left"), by, right, "__right")
-    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.corr("__left", "__right").alias("c"), F.var_pop("__left").alias("vl"), F.var_pop("__right").alias("vr"))
-    return out.select(*by, "n", F.when((F.col("n") >= 3) & (F.col("vl") > 0) & (F.col("vr") > 0), F.col("c")).alias("spearman"))
+    # not corr(): under ANSI it fails where one side is constant
+    out = ranked.groupBy(*by).agg(F.count(F.lit(1)).alias("n"), F.covar_pop("__left", "__right").alias("c"), (F.stddev_pop("__left") * F.stddev_pop("__right")).alias("s"))
+    return out.select(*by, "n", F.when(F.col("n") >= 3, F.try_divide("c", "s")).alias("spearman"))
 
 
 def _finite(name: str) -> Column:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankforge.plans import base, metrics, tables, vectors  # noqa: F401
+from rankforge.plans import base, io, metrics, tables, vectors  # noqa: F401
 
 FLAGSHIP = "flagship_context_auprc"
 
