@@ -11,9 +11,9 @@ and a class is a connected component of links.
 2. Rows with equal content collapse to one node, with partial aggregation.
 3. A few rounds of pivots: in every bucket of a band whose nodes are not yet in
    one component, one node is the pivot (the best linked so far); every node is
-   compared with the pivot of its largest such bucket, exactly, on the multisets.
-   A large group of near copies becomes one component here, with as many
-   comparisons as nodes.
+   compared with the pivots of its largest such buckets, exactly, on the
+   multisets.  A large group of near copies becomes one component here, with a few
+   comparisons per node.
 4. Buckets in one component have no link left to lose.  The nodes of the others
    go through an exact prefix-filter join: at similarity 0.8 two multisets must
    share one of their rarest fifth of elements, in one fixed order that a bounded
@@ -45,8 +45,8 @@ from rankforge.llm.words import mix, occurrences, shingles, words_of
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
-#: Rounds of pivots before the prefix filter.
-ROUNDS = 4
+#: Rounds of pivots before the prefix filter, and pivots that a node meets in each after the first.
+ROUNDS, PIVOTS = 3, 4
 #: Places of the histogram that orders elements by how common they are.
 SLOTS = 1 << 20
 
@@ -149,16 +149,23 @@ def _split(members: DataFrame, found: DataFrame) -> DataFrame:
     return settle(placed.join(small(split), "key"))
 
 
-def _pivot_pairs(live: DataFrame, edges: DataFrame, least: float) -> DataFrame:
-    """(u, v): every node v with the pivot u of its largest bucket that has one of another component and possible size."""
-    links = edges.select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    best = F.max(F.struct(F.coalesce("links", F.lit(0)).alias("links"), F.xxhash64("id", "key").alias("draw"), "id", "part", "weight")).alias("pivot")
+def _pivot_pairs(live: DataFrame, compared: DataFrame, least: float, turn: int) -> DataFrame:
+    """(u, v), u < v: each node with the pivots of its largest buckets, where they are in another component, of possible size and new.
+
+    A bucket's pivot is its best linked node, and every other turn any linked one.
+    """
+    links = compared.where(F.col("similarity") >= least - 1e-12).select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
+    rank = F.coalesce("links", F.lit(0)) if turn % 2 else F.col("links").isNotNull().cast("long")
+    best = F.max(F.struct(rank.alias("rank"), F.xxhash64("id", "key", F.lit(turn)).alias("draw"), "id", "part", "weight")).alias("pivot")
     pivots = live.join(small(settle(links)), "id", "left").groupBy("key").agg(best).select("key", "pivot.*")
-    pivots = small(settle(pivots.select("key", F.col("id").alias("u"), F.col("part").alias("u_part"), F.col("weight").alias("u_weight"))))
-    near = F.least("weight", "u_weight") >= F.lit(least) * F.greatest("weight", "u_weight")
-    met = live.join(pivots, "key").where((F.col("part") != F.col("u_part")) & near)
-    chosen = met.groupBy("id").agg(F.max(F.struct("n", "key", "u")).alias("c"))
-    return chosen.select(F.col("c.u").alias("u"), F.col("id").alias("v"))
+    pivots = small(settle(pivots.select("key", F.col("id").alias("p"), F.col("part").alias("p_part"), F.col("weight").alias("p_weight"))))
+    near = F.least("weight", "p_weight") >= F.lit(least) * F.greatest("weight", "p_weight")
+    met = live.join(pivots, "key").where((F.col("part") != F.col("p_part")) & near)
+    met = met.groupBy("id", "p").agg(F.max("n").alias("n")).withColumns({"u": F.least("id", "p"), "v": F.greatest("id", "p")})
+    met = met.join(small(compared.select("u", "v")), ["u", "v"], "left_anti")
+    # a node has BANDS buckets at most
+    mine = F.slice(F.sort_array(F.collect_list(F.struct("n", "u", "v")), asc=False), 1, PIVOTS if turn else 1)
+    return met.groupBy("id").agg(mine.alias("mine")).select(F.explode("mine").alias("c")).select("c.u", "c.v").distinct()
 
 
 def _prefix_pairs(residual: DataFrame, sets: DataFrame, least: float) -> DataFrame:
@@ -216,18 +223,15 @@ def _links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, least: float, wor
     compared = settle(rows.sparkSession.createDataFrame([], "u long, v long, similarity double"))
     found = settle(rows.sparkSession.createDataFrame([], "node long, root long"))
     edge = F.col("similarity") >= least - 1e-12
-    for _ in range(ROUNDS):
-        live = _split(members, found)
-        pairs = _pivot_pairs(live, compared.where(edge).select("u", "v"), least)
-        fresh = _compare(pairs.join(small(compared.select("u", "v")), ["u", "v"], "left_anti"), sets)
+    for turn in range(ROUNDS):
+        fresh = _compare(_pivot_pairs(_split(members, found), compared, least, turn), sets)
         if fresh.isEmpty():
             break
         compared = compared.unionByName(fresh)
         found = _merged(found, fresh.where(edge).select("u", "v"))
     residual = _split(members, found).select("id", "part").distinct()
     pairs = _prefix_pairs(settle(residual), sets, least)
-    known = compared.select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v"))
-    fresh = _compare(pairs.join(small(known), ["u", "v"], "left_anti"), sets)
+    fresh = _compare(pairs.join(small(compared.select("u", "v")), ["u", "v"], "left_anti"), sets)
     return _merged(found, fresh.where(edge).select("u", "v"))
 
 
