@@ -199,3 +199,15 @@ def views() -> dict[str, Column]:
         if unless:
             out[name] = out[name] & ~contains_any(F.col(column), unless)
     return out
+
+
+#: The audit's feature columns, with the context filled in.
+FEATURES = ("mean_expression_{context}", "differential_expression_{context}", "cell_type_specificity_{context}", "network_centrality", "druggable_class")
+POPULARITY = "publication_count_pre_cutoff"
+
+
+def feature_columns(context: str, popularity: bool = True) -> list[str]:
+    """The supervised features of the context `id` or `ood`."""
+    if context not in ("id", "ood"):
+        raise ValueError(f"unknown context {context!r}")
+    return [f.format(context=context) for f in FEATURES] + [POPULARITY] * popularity

@@ -53,7 +53,8 @@ def geometry_correlation(df: DataFrame, key: str, first: str, second: str, most:
     a = df.select(F.col(key).alias("i"), F.col(first).alias("fi"), F.col(second).alias("si"))
     b = df.select(F.col(key).alias("j"), F.col(first).alias("fj"), F.col(second).alias("sj"))
     pairs = a.join(b, F.col("i") < F.col("j")).select(cosine(F.col("fi"), F.col("fj")).alias("x"), cosine(F.col("si"), F.col("sj")).alias("y"))
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.corr("x", "y").alias("correlation"))
+    # not corr(): under ANSI it fails where one side is constant
+    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("correlation"))
 
 
 def rank_tokens(counts: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:
