@@ -84,7 +84,7 @@ def contains_any(x: Column, terms: tuple[str, ...]) -> Column:
     return reduce(lambda a, b: a | b, (F.contains(text, F.lit(t)) for t in terms))
 
 
-#: Spellings of treatment and response, as the reference data have them.
+#: Spellings of treatment and response in the source data.
 SPELLINGS = {
     "": "unknown",
     "nan": "unknown",

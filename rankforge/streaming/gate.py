@@ -1,6 +1,6 @@
 """Streaming extension: the label-only gate over an event stream.
 
-The reference has no streams; this is an addition.  Events are counted in
+An addition to the audit, which itself has no streams.  Events are counted in
 tumbling windows with a watermark, so late data beyond it are dropped and state
 stays bounded; the closed windows are appended to a table, over which the gate's
 cumulative counts are a batch query.
