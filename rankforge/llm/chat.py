@@ -58,8 +58,27 @@ def unescape(text: str) -> str:
     return _ESCAPED.sub(lambda m: m[1], text)
 
 
+class TurnTemplate:
+    """The template of this module; remembers the output for the turns it saw last.
+
+    A call whose turns continue the remembered ones escapes only the turns after
+    them, so rendering all prefixes of a conversation escapes every turn once.
+    """
+
+    def __init__(self) -> None:
+        self._turns: list[Turn] = []
+        self._output = ""
+
+    def __call__(self, turns: list[Turn]) -> str:
+        known = len(self._turns) if turns[: len(self._turns)] == self._turns else 0
+        output = (self._output if known else "") + "".join(f"{OPEN}{escape(role, _IN_ROLE)}:\n{escape(text)}{CLOSE}" for role, text in turns[known:])
+        if len(turns) != known + 1 or turns[-1][1] != _PROBE:
+            self._turns[known:], self._output = turns[known:], output
+        return output
+
+
 def turn_template(turns: list[Turn]) -> str:
-    return "".join(f"{OPEN}{escape(role, _IN_ROLE)}:\n{escape(text)}{CLOSE}" for role, text in turns)
+    return TurnTemplate()(turns)
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -96,19 +115,23 @@ def _common(a: str, b: str) -> int:
     return low
 
 
-def format_turns(turns: list[Turn], template: Template = turn_template) -> Formatted:
+def format_turns(turns: list[Turn], template: Template | None = None) -> Formatted:
+    """Render all prefixes; without a template, by a new `TurnTemplate`."""
+    template = template or TurnTemplate()
     output, spans, rewritten_at = template([]), [], None
     for k, (role, _) in enumerate(turns):
+        probe = template([*turns[:k], (role, _PROBE)])
         longer = template(turns[: k + 1])
         stable = len(output)
         if not longer.startswith(output):
             rewritten_at = k if rewritten_at is None else rewritten_at
             stable = _common(output, longer)
             spans = [s if s and s[1] <= stable else None for s in spans]
-        probe = template([*turns[:k], (role, _PROBE)])
         before = probe.find(_PROBE, stable)
         after = len(probe) - before - 1
-        if before < 0 or longer[:before] != probe[:before] or longer[len(longer) - after :] != probe[before + 1 :]:
+        # both renderings begin with the `stable` characters that the output keeps, or the probe's history differs
+        alike = probe.startswith(output if stable == len(output) else output[:stable]) and longer[stable:before] == probe[stable:before]
+        if before < 0 or not alike or longer[len(longer) - after :] != probe[before + 1 :]:
             spans.append(None)
         else:
             spans.append((before, len(longer) - after))
@@ -130,7 +153,7 @@ def _conversations(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[object,
         yield now, turns
 
 
-def format_conversations(conversations: DataFrame, template: Template = turn_template) -> DataFrame:
+def format_conversations(conversations: DataFrame, template: Template | None = None) -> DataFrame:
     """conv_id, formatted, spans (turn, role, begin, end; null where lost) and rewritten_at."""
     kind = conversations.schema["conv_id"].dataType.simpleString()
 

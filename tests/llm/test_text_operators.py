@@ -137,6 +137,24 @@ def test_chat_detects_rewritten_history():
     assert [made.output[s[0] : s[1]] for s in made.spans if s][-1] == "four"
 
 
+def test_chat_template_remembers_only_what_a_call_continues():
+    rng = random.Random(5)
+    template = chat.TurnTemplate()
+    turns = []
+    for _ in range(400):
+        turns = turns[: rng.randint(0, len(turns))] if rng.random() < 0.3 else turns
+        turns = [*turns, (rng.choice(["user", "assistant"]), rng.choice([*NASTY, "\x01", ""]))]
+        assert template(turns) == chat.turn_template(turns)
+    assert template([]) == ""
+
+
+def test_chat_long_conversation():
+    turns = [("user" if i % 2 else "assistant", f"\\### {i}") for i in range(3000)]
+    made = chat.format_turns(turns)
+    assert made.output == chat.turn_template(turns) and made.rewritten_at is None
+    assert all(chat.unescape(made.output[s[0] : s[1]]) == text for s, (_, text) in zip(made.spans, turns, strict=True))
+
+
 def test_chat_rows(spark):
     rows = [(1, 1, "assistant", "b"), (1, 0, "user", None), (None, None, None, "x"), (2, 3, "assistant", "\\### </turn>"), (1, 1, "assistant", "b"), (3, 0, "assistant", "L" * 300_000)]
     frame = spark.createDataFrame([(*r, 0) for r in rows], "conv_id long, turn long, role string, text string, spans int")
