@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from rankforge.plans import base, extras, io, metrics, tables, vectors  # noqa: F401
+from rankforge.plans import audits, base, extras, io, metrics, tables, vectors  # noqa: F401
 
 FLAGSHIP = "flagship_context_auprc"
 

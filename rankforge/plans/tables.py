@@ -534,9 +534,15 @@ def j11(spark: SparkSession, sf: str) -> DataFrame:
     return values.join(reference, "replicate").groupBy("method").agg(rounded(F.avg(F.col("value") - F.col("base"))).alias("excess"))
 
 
-@query("j12_leave_one_group_out", "SELECT g.p_brand, round((SELECT avg(p_retailprice) FROM part r WHERE r.p_brand <> g.p_brand), 6) AS mean_without FROM (SELECT DISTINCT p_brand FROM part) g")
+@query(
+    "j12_leave_one_group_out",
+    """WITH cents AS (SELECT p_brand, CAST(round(p_retailprice * 100) AS BIGINT) AS c FROM part)
+SELECT g.p_brand, (SELECT CAST(sum(c) AS DOUBLE) / count(c) FROM cents r WHERE r.p_brand <> g.p_brand) / 100 AS mean_without FROM (SELECT DISTINCT p_brand FROM part) g""",
+)
 def j12(spark: SparkSession, sf: str) -> DataFrame:
-    return matching.leave_one_out(table(spark, sf, "part"), "p_brand", "p_retailprice").select("p_brand", rounded("mean_without", 6).alias("mean_without"))
+    """Prices are summed as whole cents: sums of doubles in another order differ where a mean lies between two printed digits."""
+    cents = table(spark, sf, "part").select("p_brand", F.round(F.col("p_retailprice") * 100).cast("long").alias("c"))
+    return matching.leave_one_out(cents, "p_brand", "c").select("p_brand", (F.col("mean_without") / 100).alias("mean_without"))
 
 
 @query("a17_conflicts", "SELECT l_orderkey, count(DISTINCT l_returnflag) AS n_values FROM lineitem GROUP BY 1 HAVING count(DISTINCT l_returnflag) > 1")

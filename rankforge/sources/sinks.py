@@ -36,18 +36,23 @@ def missing_partitions(spark: SparkSession, wanted: DataFrame, path: str, by: Se
     return wanted.join(spark.read.parquet(path).select(*by).distinct(), list(by), "left_anti")
 
 
-def small_csv(df: DataFrame, path: str, order: Sequence[str]) -> str:
-    """One local CSV, gzipped without a time if named .gz: equal bytes for equal rows. Returns its SHA-256."""
+def csv_bytes(df: DataFrame, order: Sequence[str], zipped: bool = False) -> bytes:
+    """One CSV, gzipped without a time if asked for: equal bytes for equal rows."""
     rows = df.orderBy(*order).limit(DRIVER_ROWS + 1).toPandas()
     if len(rows) > DRIVER_ROWS:
         raise ValueError(f"more than {DRIVER_ROWS} rows; write a table and seal its content instead")
     data = rows.to_csv(index=False, lineterminator="\n").encode()
-    if path.endswith(".gz"):
-        held = io.BytesIO()
-        with gzip.GzipFile(fileobj=held, mode="wb", mtime=0, filename="") as out:
-            out.write(data)
-        data = held.getvalue()
-    return write_bytes(data, path)
+    if not zipped:
+        return data
+    held = io.BytesIO()
+    with gzip.GzipFile(fileobj=held, mode="wb", mtime=0, filename="") as out:
+        out.write(data)
+    return held.getvalue()
+
+
+def small_csv(df: DataFrame, path: str, order: Sequence[str]) -> str:
+    """One local CSV, gzipped if named .gz. Returns its SHA-256."""
+    return write_bytes(csv_bytes(df, order, path.endswith(".gz")), path)
 
 
 def write_bytes(data: bytes, path: str) -> str:
@@ -59,6 +64,20 @@ def write_bytes(data: bytes, path: str) -> str:
     return hashlib.sha256(data).hexdigest()
 
 
+def put_bytes(spark: SparkSession, data: bytes, path: str) -> str:
+    """The same for any store that the cluster reaches: through Hadoop's file system, renamed when whole."""
+    place = spark._jvm.org.apache.hadoop.fs.Path
+    target, partial = place(path), place(f"{path}.tmp")
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    stream = files.create(partial, True)
+    stream.write(bytearray(data))
+    stream.close()
+    files.delete(target, False)
+    if not files.rename(partial, target):
+        raise OSError(f"could not rename to {path}")
+    return hashlib.sha256(data).hexdigest()
+
+
 def canonical_json(document: object) -> bytes:
     return json.dumps(document, sort_keys=True, separators=(",", ":"), ensure_ascii=False).encode()
 
