@@ -40,7 +40,7 @@ def moments(df: DataFrame, columns: Sequence[Column], weight: Column | None = No
     w = F.lit(1.0) if weight is None else weight
     named = df.select(*[c.alias(f"x{i}") for i, c in enumerate(columns)], w.alias("w"))
     d = len(columns)
-    sums = [F.sum(F.col(f"x{i}") * F.col(f"x{j}") * F.col("w")) for i in range(d) for j in range(i, d)]
+    sums = [F.expr(f"sum(x{i} * x{j} * w)") for i in range(d) for j in range(i, d)]
     row = np.array([0.0 if v is None else v for v in named.agg(*sums).first()], dtype=float)
     out = np.zeros((d, d))
     out[np.triu_indices(d)] = row
@@ -73,22 +73,86 @@ def fit_ridge(df: DataFrame, features: Sequence[str], target: str, alpha: float)
     return Ridge(scaler, solved[:d], float(solved[d]))
 
 
+def _number(v: float) -> str:
+    return f"{float(v)!r}D" if np.isfinite(v) else f"double('{float(v)!r}')"
+
+
+def numbers(values: Sequence[float]) -> str:
+    """An array literal in SQL: generated code refers to it, so new numbers need no new code."""
+    return "array(" + ", ".join(map(_number, values)) + ")"
+
+
+def dot(columns: Sequence[str], beta: str) -> str:
+    """SQL of the weighted sum of the columns plus the last element of `beta`.
+
+    As text, because a plan of hundreds of column objects takes longer to build
+    than to run.
+    """
+    return " + ".join([f"get({beta}, {len(columns)})"] + [f"cast({c} as double) * get({beta}, {i})" for i, c in enumerate(columns)])
+
+
+def quoted(features: Sequence[str]) -> list[str]:
+    return ["`" + f.replace("`", "``") + "`" for f in features]
+
+
+def grouped_moments(df: DataFrame, columns: Sequence[str], key: str) -> dict:
+    """Value of `key` -> symmetric matrix of sums of products of the columns, in one aggregation."""
+    d = len(columns)
+    sums = [F.expr(f"sum({columns[i]} * {columns[j]})") for i in range(d) for j in range(i, d)]
+    out = {}
+    for row in df.groupBy(key).agg(*sums).collect():
+        full = np.zeros((d, d))
+        full[np.triu_indices(d)] = [0.0 if v is None else v for v in row[1:]]
+        out[row[0]] = full + np.triu(full, 1).T
+    return out
+
+
+def ridge_from_sums(full: np.ndarray, center: np.ndarray, alpha: float) -> np.ndarray:
+    """Coefficients and intercept on raw features of the ridge that `fit_ridge` makes.
+
+    `full` holds the sums of products of the features, 1 and the target, the
+    features less `center`.
+    """
+    d = len(center)
+    n = full[d, d]
+    if n == 0:
+        return np.zeros(d + 1)
+    mean, target = full[:d, d] / n, full[d, d + 1] / n
+    covariance = full[:d, :d] / n - np.outer(mean, mean)
+    spread = np.diag(covariance)
+    scale = np.where(spread > 1e-12 * np.diag(full)[:d] / n, np.sqrt(np.maximum(spread, 0.0)), 1.0)
+    scale = np.where(scale > 0, scale, 1.0)
+    beta = np.linalg.solve(covariance / np.outer(scale, scale) * n + alpha * np.eye(d), (full[:d, d + 1] / n - mean * target) / scale * n) / scale
+    return np.append(beta, target - beta @ (center + mean))
+
+
 def ridge_by_folds(df: DataFrame, features: Sequence[str], target: str, key: str, alphas: Sequence[float], folds: int) -> tuple[float, DataFrame]:
-    """(best alpha, ord, prediction, target): out-of-fold Spearman picks alpha, ties the smaller one."""
+    """(best alpha, ord, prediction, target): out-of-fold Spearman picks alpha, ties the smaller one.
+
+    The sums of every fold come from one aggregation; a fit is the total less its
+    own fold.  All alphas are judged in one job.  Rows with a null feature or
+    target are not fitted.
+    """
+    alphas, d = sorted(alphas), len(features)
     assigned = df.withColumn("fold", prefix_fold(F.col(key), folds)).cache()
     try:
-        best = None
-        for alpha in sorted(alphas):
-            predicted = F.lit(None).cast("double")
-            for fold in range(folds):
-                model = fit_ridge(assigned.where(F.col("fold") != fold), features, target, alpha)
-                predicted = F.when(F.col("fold") == fold, model.predict(features)).otherwise(predicted)
-            out = assigned.select("ord", predicted.alias("prediction"), F.col(target).cast("double").alias("target"))
-            row = spearman(out, [], "prediction", "target").first()
-            score = -np.inf if row is None or row["spearman"] is None else row["spearman"]
-            if best is None or score > best[0]:
-                best = (score, alpha, out)
-        return best[1], best[2]
+        means = assigned.agg(*[F.avg(F.col(f).cast("double")) for f in features]).first()
+        center = np.array([0.0 if v is None else v for v in means], dtype=float)
+        names = quoted(features)
+        shifted = [F.expr(f"cast({c} as double) - {_number(m)} AS x{i}") for i, (c, m) in enumerate(zip(names, center, strict=True))]
+        rows = assigned.select("fold", *shifted, F.lit(1.0).alias(f"x{d}"), F.col(target).cast("double").alias(f"x{d + 1}")).na.drop()
+        sums = grouped_moments(rows, [f"x{i}" for i in range(d + 2)], "fold")
+        every = sum(sums.values(), np.zeros((d + 2, d + 2)))
+        made = {alpha: [ridge_from_sums(every - sums.get(fold, 0.0), center, alpha) for fold in range(folds)] for alpha in alphas}
+
+        def predicted(alpha: float) -> Column:
+            return F.expr(dot(names, "get(array(" + ", ".join(map(numbers, made[alpha])) + "), cast(fold as int))"))
+
+        each = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), predicted(a).alias("prediction")) for a in alphas])).alias("m")
+        judged = spearman(assigned.select(F.col(target).cast("double").alias("target"), each).select("target", "m.*"), ["alpha"], "prediction", "target")
+        score = {r["alpha"]: r["spearman"] for r in judged.collect() if r["spearman"] is not None}
+        best = max(alphas, key=lambda a: (score.get(float(a), -np.inf), -a))
+        return best, assigned.select("ord", predicted(best).alias("prediction"), F.col(target).cast("double").alias("target"))
     finally:
         assigned.unpersist()
 
@@ -99,43 +163,71 @@ class Logistic(NamedTuple):
     intercept: float
 
     def predict(self, features: Sequence[str]) -> Column:
-        return 1.0 / (1.0 + F.exp(-linear(self.scaler.columns(features), self.coefficients, self.intercept)))
+        raw = self.coefficients / self.scaler.scale
+        return F.expr(f"1.0D / (1.0D + exp(-({dot(quoted(features), numbers([*raw, self.intercept - raw @ self.scaler.mean]))})))")
 
 
-def fit_logistic(df: DataFrame, features: Sequence[str], label: str, c: float, rounds: int = 25) -> Logistic:
-    """Class-balanced L2 logistic regression by Newton steps on aggregated sums; the intercept is penalised like the rest."""
-    scaler = fit_scaler(df, features)
-    n, positives = df.agg(F.count(F.lit(1)), F.sum(label)).first()
+def fit_logistics(df: DataFrame, features: Sequence[str], label: str, grid: Sequence[float], rounds: int = 25) -> list[Logistic]:
+    """Class-balanced L2 logistic regressions, one for each C of the grid.
+
+    Newton steps on aggregated sums, those of all C in one job; the intercept is
+    penalised like the rest.
+    """
+    d = len(features)
+    row = df.agg(*[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features], F.count(F.lit(1)), F.sum(label)).first()
+    values = np.array([0.0 if v is None else v for v in row[: 2 * d]], dtype=float)
+    scaler = Scaler(values[:d], np.where(values[d:] > 0, values[d:], 1.0))
+    n, positives = row[2 * d], row[2 * d + 1]
     if not positives or positives == n:
         raise ValueError("both classes are needed")
-    weight = F.when(F.col(label) == 1, n / (2.0 * positives)).otherwise(n / (2.0 * (n - positives)))
-    columns = [*scaler.columns(features), F.lit(1.0)]
-    beta = np.zeros(len(columns))
+    mean, scale = numbers(scaler.mean), numbers(scaler.scale)
+    inputs = [f"(cast({c} as double) - get({mean}, {i})) / get({scale}, {i}) AS x{i}" for i, c in enumerate(quoted(features))]
+    (name,) = quoted([label])
+    weight = f"get({numbers([n / (2.0 * (n - positives)), n / (2.0 * positives)])}, if({name} = 1, 1, 0)) AS w"
+    rows = df.selectExpr(*inputs, f"1.0D AS x{d}", f"cast({name} as double) AS y", weight)
+    # the Hessian's entries, then the gradient's
+    hessian = [f"sum(x{i} * x{j} * safe)" for i in range(d + 1) for j in range(i, d + 1)]
+    sums_of = [F.expr(e) for e in [*hessian, *(f"sum(x{i} * (y - p) * w)" for i in range(d + 1))]]
+    betas, todo = [np.zeros(d + 1) for _ in grid], list(range(len(grid)))
     for _ in range(rounds):
-        p = 1.0 / (1.0 + F.exp(-linear(columns[:-1], beta[:-1], beta[-1])))
-        # the last moment row holds sum w p (1 - p) x (y - p) / (p (1 - p)) = the gradient
-        safe = F.greatest(p * (1 - p), F.lit(1e-12))
-        full = moments(df, [*columns, (F.col(label) - p) / safe], weight * safe)
-        d = len(columns)
-        step = np.linalg.solve(c * full[:d, :d] + np.eye(d), c * full[:d, d] - beta)
-        beta = beta + step
-        if np.abs(step).max() < 1e-9:
+        models = ", ".join(f"struct({m} AS m, {numbers(betas[m])} AS beta)" for m in todo)
+        at = rows.selectExpr("*", f"explode(array({models})) AS model")
+        at = at.selectExpr("*", f"1.0D / (1.0D + exp(-({dot([f'x{i}' for i in range(d)], 'model.beta')}))) AS p").selectExpr("*", "greatest(p * (1 - p), 1e-12D) * w AS safe")
+        left = []
+        for row in at.groupBy("model.m").agg(*sums_of).collect():  # one row for each C
+            m, sums = row[0], np.array([0.0 if v is None else v for v in row[1:]], dtype=float)
+            full = np.zeros((d + 1, d + 1))
+            full[np.triu_indices(d + 1)] = sums[: len(hessian)]
+            full = full + np.triu(full, 1).T
+            step = np.linalg.solve(grid[m] * full + np.eye(d + 1), grid[m] * sums[len(hessian) :] - betas[m])
+            betas[m] = betas[m] + step
+            if np.abs(step).max() >= 1e-9:
+                left.append(m)
+        todo = sorted(left)
+        if not todo:
             break
-    return Logistic(scaler, beta[:-1], float(beta[-1]))
+    return [Logistic(scaler, b[:-1], float(b[-1])) for b in betas]
+
+
+def fit_logistic(df: DataFrame, features: Sequence[str], label: str, c: float, rounds: int = 25) -> Logistic:
+    return fit_logistics(df, features, label, [c], rounds)[0]
+
+
+def scored_by(models: Sequence[Logistic], df: DataFrame, features: Sequence[str]) -> DataFrame:
+    """`df` once for each model, with its number m and its score."""
+    each = F.explode(F.array(*[F.struct(F.lit(m).alias("m"), model.predict(features).alias("score")) for m, model in enumerate(models)])).alias("model")
+    return df.select("*", each).select("*", "model.*").drop("model")
 
 
 def supervised(df: DataFrame, features: Sequence[str], label: str, train: Column, grid: Sequence[float] = (0.1, 1.0, 10.0)) -> tuple[float, Logistic]:
     """C by average precision on the rows outside `train` (the first wins on ties), refitted on all rows."""
     rows = df.cache()
     try:
-        best = (-1.0, grid[0])
-        for c in grid:
-            model = fit_logistic(rows.where(train), features, label, c)
-            scored = rows.where(~train).select(F.col(label).alias("y"), model.predict(features).alias("score"))
-            got = average_precision(scored, []).first()
-            if got is not None and got["auprc"] > best[0]:
-                best = (got["auprc"], c)
-        return best[1], fit_logistic(rows, features, label, best[1])
+        models = fit_logistics(rows.where(train), features, label, grid)
+        held = scored_by(models, rows.where(~train).withColumn("y", F.col(label)), features)
+        got = {r["m"]: r["auprc"] for r in average_precision(held, ["m"]).collect()}
+        best = grid[max(range(len(grid)), key=lambda m: (got.get(m, -1.0), -m))]
+        return best, fit_logistic(rows, features, label, best)
     finally:
         rows.unpersist()
 
