@@ -176,6 +176,25 @@ def test_ridge_and_logistic_closed_forms(spark):
         heads.fit_logistic(df.where("b = 1"), names, "b", 1.0)
 
 
+def test_ridge_by_folds_equals_single_fits(spark):
+    from pyspark.sql import functions as F
+
+    from rankforge.functions.scalar import prefix_fold
+
+    rng = np.random.default_rng(1)
+    x = rng.normal(size=(90, 2)) * [1, 40] + [5, -300]
+    rows = [(i, *map(float, r), 7.0, float(r[0] + 0.02 * r[1] + rng.normal())) for i, r in enumerate(x)]
+    df = spark.createDataFrame(rows, "ord long, `f 0` double, f1 double, constant double, t double")
+    names = ["f 0", "f1", "constant"]
+    alpha, out = heads.ridge_by_folds(df.withColumn("key", F.col("ord").cast("string")), names, "t", "key", (1.0, 10.0), 3)
+    got = {r["ord"]: r["prediction"] for r in out.collect()}
+    fold = prefix_fold(F.col("ord").cast("string"), 3)
+    for k in range(3):
+        model = heads.fit_ridge(df.where(fold != k), names, "t", alpha)
+        for r in df.where(fold == k).select("ord", model.predict(names).alias("p")).collect():
+            assert got[r["ord"]] == pytest.approx(r["p"], abs=1e-6)
+
+
 def test_random_mlp_shapes(spark):
     net = heads.random_mlp(3, "large", 1)
     assert net.parameters == 4 * 64 + 65 * 32
