@@ -23,6 +23,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -38,8 +39,14 @@ LANDMARKS = 128
 SAMPLE = 2048
 RIDGE = 1e-2
 HELD_OUT = (4, 2)
-#: Least share of a text's n-grams that some landmark must have for the filter to keep it.
+#: The filter judges a text by windows of equal length, at most so many characters, that cover all of it.
+WINDOW = 1000
+#: Least means over a text's windows for the filter to keep it: the share of n-grams that some landmark has,
+#: and the score's distance from 1 / languages, which is what a text like none of them has.
 COVERED = 0.7
+SURE = 0.17
+#: Shorter texts have too few n-grams for the score to speak against a language.
+FEW = 20
 _SLICE = 1 << 20
 #: Presence rows of one matrix product.
 _ROWS = 128
@@ -72,6 +79,13 @@ def mark(text: str, row: np.ndarray) -> None:
             row[places] = 1
 
 
+def windows(text: str) -> Iterator[str]:
+    """The text in as few parts of equal length, give or take one, as WINDOW allows."""
+    n = -(-len(text) // WINDOW)
+    for k in range(n):
+        yield text[len(text) * k // n : len(text) * (k + 1) // n]
+
+
 class Model(NamedTuple):
     languages: list[str]
     #: Presence of the landmarks' n-grams, over the root of their number.
@@ -79,28 +93,48 @@ class Model(NamedTuple):
     coefficients: np.ndarray
 
     def kernel(self, rows: np.ndarray) -> np.ndarray:
-        present = rows.astype(np.float32)
+        present = rows.astype(np.float32, copy=False)
         norm = np.sqrt(np.maximum(present.sum(1, dtype=np.float64), 1.0))
         return (present @ self.landmarks) / norm[:, None]
 
-    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
-        """Language, score and share of n-grams that the landmarks cover, for each text."""
-        found, scores, covered = [UNKNOWN] * len(texts), np.zeros(len(texts)), np.zeros(len(texts))
+    def judge(self, texts: list[str | None]) -> tuple[list[str], np.ndarray]:
+        """Language and score for each text."""
+        found, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages:
-            return found, scores, covered
-        seen = (self.landmarks > 0).any(1)
+            return found, scores
         known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
         for at in range(0, len(known), _ROWS):
             part = known[at : at + _ROWS]
             rows = np.zeros((len(part), SPACE), dtype=np.uint8)
             for row, i in zip(rows, part, strict=True):
                 mark(texts[i], row)
-            covered[part] = rows[:, seen].sum(1) / np.maximum(rows.sum(1), 1)
             margin = self.kernel(rows) @ self.coefficients
             best = margin.argmax(1)
             for i, k, value in zip(part, best, margin.max(1), strict=True):
                 found[i], scores[i] = self.languages[k], min(1.0, max(0.0, (1.0 + float(value)) / 2))
-        return found, scores, covered
+        return found, scores
+
+    def familiar(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """For each text, the means over its windows with a letter of the score and of the share of n-grams that the landmarks cover; NaN without one.
+
+        A share of distinct n-grams falls with a text's length, one over windows of bounded length doesn't.
+        """
+        scores, covered, count = np.zeros(len(texts)), np.zeros(len(texts)), np.full(len(texts), np.nan)
+        if not self.languages:
+            return count, count
+        seen = (self.landmarks > 0).any(1).astype(np.float32)
+        parts = ((i, part) for i, text in enumerate(texts) if text for part in windows(text) if _LETTER.search(part))
+        while held := list(islice(parts, _ROWS)):
+            at = np.array([i for i, _ in held])
+            rows = np.zeros((len(held), SPACE), dtype=np.float32)
+            for row, (_, part) in zip(rows, held, strict=True):
+                mark(part, row)
+            best = (self.kernel(rows) @ self.coefficients).max(1)
+            np.add.at(scores, at, np.clip((1.0 + best) / 2, 0.0, 1.0))
+            np.add.at(covered, at, (rows @ seen) / np.maximum(rows.sum(1), 1.0))
+            count[at] = np.nan_to_num(count[at])
+            np.add.at(count, at, 1)
+        return scores / count, covered / count
 
 
 def solve(rows: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ridge: float = RIDGE) -> Model:
@@ -169,24 +203,27 @@ def identify(docs: DataFrame, train: Column, model: Model | None = None) -> Data
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*shared.value)
         for batch in batches:
-            found, scores, _ = known.judge(batch.column(1).to_pylist())
+            found, scores = known.judge(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
     return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(judge, f"doc_id {kind}, lang_pred string, score double")
 
 
-def keep_known(docs: DataFrame, train: Column, least: float = COVERED) -> DataFrame:
-    """The documents, all columns, that are in a learned language: not `und`, and made of n-grams that the landmarks have.
+def keep_known(docs: DataFrame, train: Column, least: float = COVERED, sure: float = SURE) -> DataFrame:
+    """The documents, all columns, that are in learned languages: with a letter, made of n-grams that the landmarks have, and scored above a text like no language.
 
-    Short texts have low scores in any language, so the score does not decide.
+    With one language there is nothing to compare, and the n-grams alone decide.
     """
     shared = docs.sparkSession.sparkContext.broadcast(tuple(fit(docs, train)))
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(*shared.value)
+        line = sure + 1 / len(known.languages) if len(known.languages) > 1 else 0.0
         for batch in batches:
-            found, _, covered = known.judge(batch.column("text").to_pylist())
-            yield batch.filter(pa.array([name != UNKNOWN and share >= least for name, share in zip(found, covered, strict=True)], pa.bool_()))
+            texts = batch.column("text").to_pylist()
+            scores, covered = known.familiar(texts)
+            few = np.array([len(t or "") < FEW for t in texts], dtype=bool)
+            yield batch.filter(pa.array((covered >= least) & (few | (scores >= line)), pa.bool_()))
 
     return docs.mapInArrow(keep, docs.schema)
 

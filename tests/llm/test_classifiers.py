@@ -62,6 +62,36 @@ def test_language_odd_rows(spark):
     assert {r["lang_pred"] for r in language.identify(docs, F.lit(False)).collect()} == {"und"}
 
 
+def _kept_beside(spark, train, texts):
+    """Which of the texts the filter keeps beside its training rows."""
+    docs = train.select("doc_id", "text", "lang").unionByName(spark.createDataFrame([(-1 - i, x, None) for i, x in enumerate(texts)], "doc_id long, text string, lang string"))
+    return sorted(-1 - r["doc_id"] for r in language.keep_known(docs, F.col("lang").isNotNull()).where("doc_id < 0").select("doc_id").collect())
+
+
+def test_filter_does_not_depend_on_length(spark):
+    """Prose with a rare word in eight, short and long: its distinct n-grams grow, its language doesn't change."""
+    train = spark.read.parquet(f"{SF}/documents.parquet")
+    words = " ".join(r["text"] for r in train.where("lang = 'en'").orderBy("doc_id").limit(100).collect()).split()
+    rng = random.Random(5)
+    word = lambda: "".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=7)) if rng.random() < 0.12 else rng.choice(words)
+    texts = [" ".join(word() for _ in range(n)) for n in (100, 1000, 10_000, 100_000)]
+    assert len(texts[-1]) > 500_000
+    assert _kept_beside(spark, train, texts) == [0, 1, 2, 3]
+
+
+def test_filter_drops_an_unlearned_language_of_the_same_script(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    other = [r["text"] for r in docs.where("lang = 'en' AND length(text) > 200").orderBy("doc_id").collect()]
+    assert len(_kept_beside(spark, docs.where("lang <> 'en'"), other)) <= 0.1 * len(other)
+    latin = "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae, nostra Galli appellantur. Hi omnes lingua, institutis, legibus inter se differunt. "
+    assert _kept_beside(spark, docs, [latin, latin * 100]) == []
+
+
+def test_filter_keeps_the_learned_documents(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    assert language.keep_known(docs, ~language.is_held_out()).count() == docs.count()
+
+
 def test_quality_held_out(spark):
     marks = {r["doc_id"]: r["quality"] for r in spark.read.parquet(f"{SF}/labels.parquet").collect()}
     out = {r["doc_id"]: r for r in quality.query(spark, SF).collect()}
