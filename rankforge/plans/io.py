@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,6 +70,61 @@ def s06(spark: SparkSession, sf: str) -> DataFrame:
     return readers.ragged_matrix(spark, _text(head.unionByName(body), f"{_folder(spark)}/ragged.txt", "o") + "/*.txt")
 
 
+# the matrix of all genes and all samples; the three queries above are of its corner
+
+_WHOLE = "whole AS (SELECT gene, sample, sum(value) AS value FROM cells GROUP BY 1, 2)"
+#: Columns of one wide file, genes of one ragged file.
+_COLUMNS, _GENES = 200, 1000
+
+
+def _whole(spark: SparkSession, sf: str) -> tuple[DataFrame, list[int]]:
+    """gene, sample, value, and the samples, which are a matrix's columns."""
+    matrix = settle(cells(spark, sf).groupBy("gene", "sample").agg(F.sum("value").alias("value")))
+    return matrix, sorted(r["sample"] for r in matrix.select("sample").distinct().collect())
+
+
+def _wide(spark: SparkSession, sf: str) -> dict[str, list[str]]:
+    """Wide tables that make up the matrix, by their paths, each with its columns."""
+    folder = _folder(spark)
+    matrix, names = _whole(spark, sf)
+    parts = {f"{folder}/wide-{at}.csv": names[at : at + _COLUMNS] for at in range(0, len(names), _COLUMNS)}
+    for path, part in parts.items():
+        held = matrix.where(F.col("sample").between(part[0], part[-1]))
+        held.groupBy("gene").pivot("sample", part).agg(F.sum("value")).na.fill(0.0).write.option("header", "true").csv(path)
+    return {path: list(map(str, part)) for path, part in parts.items()}
+
+
+def _union(spark: SparkSession, frames: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, frames, spark.createDataFrame([], "gene string, cell string, value double"))
+
+
+@query("s05_wide_matrix_whole", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM whole WHERE value <> 0")
+def s05_whole(spark: SparkSession, sf: str) -> DataFrame:
+    return _union(spark, [readers.wide_matrix(spark, path) for path in _wide(spark, sf)])
+
+
+@query("s06_ragged_matrix_whole", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, 'c' || sample AS cell, value FROM whole WHERE value <> 0")
+def s06_whole(spark: SparkSession, sf: str) -> DataFrame:
+    """Ragged files of so many genes each, as one file is one task's work."""
+    matrix, names = _whole(spark, sf)
+    held = F.map_from_entries(F.collect_list(F.struct("sample", "value")))
+    file = F.floor(F.col("gene") / _GENES).alias("file")
+    values = F.transform(F.array(*map(F.lit, names)), lambda s: F.coalesce(F.try_element_at("held", s), F.lit(0.0)).cast("string"))
+    body = matrix.groupBy("gene").agg(held.alias("held")).select(file, (F.col("gene") + 2).alias("o"), F.concat(F.concat_ws("\t", F.col("gene").cast("string"), values), F.lit("\t")).alias("value"))
+    head = spark.createDataFrame([(-2, "\t" + "\t".join(f"c{i}" for i in names)), (-1, "\tannotation")], "o long, value string")
+    files = matrix.select(file).distinct()
+    lines = body.unionByName(files.crossJoin(head))
+    path = f"{_folder(spark)}/ragged"
+    lines.repartition(max(1, files.count()), "file").sortWithinPartitions("file", "o").drop("o").write.partitionBy("file").text(path)
+    return readers.ragged_matrix(spark, f"{path}/*/*.txt")
+
+
+@query("s09_selected_columns_whole", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM whole WHERE value <> 0 AND sample IN (2, 5)")
+def s09_whole(spark: SparkSession, sf: str) -> DataFrame:
+    chosen = {path: [c for c in ("2", "5") if c in names] for path, names in _wide(spark, sf).items()}
+    return _union(spark, [readers.wide_matrix(spark, path, cells=names) for path, names in chosen.items() if names])
+
+
 @query("s07_template_metadata", "SELECT 'Sample ' || s_suppkey AS sample_name, s_name AS title, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier")
 def s07(spark: SparkSession, sf: str) -> DataFrame:
     key, last = F.col("s_suppkey"), F.when(F.col("s_suppkey") % 3 > 0, F.col("s_nationkey").cast("string"))

@@ -11,7 +11,8 @@ from pyspark.sql import functions as F
 
 from rankforge import cli
 from rankforge.operators import documents
-from rankforge.plans import benchmark
+from rankforge.plans import benchmark, registry
+from rankforge.plans import io as scans
 from rankforge.sources import readers, sinks
 from rankforge.streaming import gate
 
@@ -23,6 +24,18 @@ def test_ragged_text(spark, tmp_path):
     assert got == [("GENE1", "c1", 4.0), ("GENE2", "c1", 1.5), ("GENE2", "c2", 7.0)]
 
 
+@pytest.mark.parametrize("name", ["s05_wide_matrix_whole", "s06_ragged_matrix_whole", "s09_selected_columns_whole"])
+def test_whole_matrix_over_several_files(spark, monkeypatch, name):
+    """Every gene and sample comes back, however the matrix is cut into files."""
+    sf = "/root/testdata/sf0.001"
+    monkeypatch.setattr(scans, "_COLUMNS", 4)
+    monkeypatch.setattr(scans, "_GENES", 30)
+    lines = spark.read.parquet(f"{sf}/lineitem.parquet").groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity")).collect()
+    want = [(str(g), ("c" if "ragged" in name else "") + str(s), float(v)) for g, s, v in lines if v and ("selected" not in name or s in (2, 5))]
+    assert sorted(map(tuple, registry.queries()[name](spark, sf).select("gene", "cell", "value").collect())) == sorted(want)
+    assert len({g for g, _, _ in want}) > 60
+
+
 def test_template_rows(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("junk\n\nSample name\ttitle\ttitle\tresponse x\nSample 1\ta\tb\tR\nother\tz\nSample 2\tc\n")
     out = readers.template_metadata(spark, str(tmp_path / "t.tsv"))
