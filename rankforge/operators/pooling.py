@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterator, Sequence
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -42,19 +44,51 @@ def cosine(a: Column, b: Column) -> Column:
     return dot(a, b) / F.sqrt(dot(a, a) * dot(b, b))
 
 
-def geometry_correlation(df: DataFrame, key: str, first: str, second: str, most: int = 5000) -> DataFrame:
+def _unit_products(first: int, second: int) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """For mapInArrow over columns first and second: sums of products of (unit first, unit second, 1), by block and place."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total, d = None, 0
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            u, v = (np.array(batch.column(i).to_pylist(), dtype=np.float64) for i in (first, second))
+            norms = [np.sqrt((x * x).sum(1)) for x in (u, v)]
+            ok = (norms[0] > 0) & (norms[1] > 0) & np.isfinite(norms[0]) & np.isfinite(norms[1])
+            rows = np.hstack([u[ok] / norms[0][ok, None], v[ok] / norms[1][ok, None], np.ones((ok.sum(), 1))])
+            d, total = u.shape[1], rows.T @ rows if total is None else total + rows.T @ rows
+        if total is not None:
+            parts = {"xx": total[:d, :d], "yy": total[d:-1, d:-1], "xy": total[:d, d:-1], "x": total[:d, -1], "y": total[d:-1, -1], "n": total[-1:, -1]}
+            for block, values in parts.items():
+                flat = values.ravel()
+                yield pa.RecordBatch.from_arrays([pa.array([block] * len(flat)), pa.array(np.arange(len(flat))), pa.array(flat)], names=["block", "at", "g"])
+
+    return run
+
+
+def geometry_correlation(df: DataFrame, key: str, first: str, second: str) -> DataFrame:
     """pairs, correlation: Pearson of the cosines of all pairs of entities in two embeddings.
 
-    All pairs are the statistic's definition, so the entities are bounded.
+    One row per key.  Pairs aren't formed: with unit vectors u and v of the
+    entities, the sum of x * y over all ordered pairs is the squared Frobenius
+    norm of the sum of u v^T, likewise x^2, y^2 and, from the sums of u and v,
+    x and y; an entity with itself adds 1 to each.  Pairs with a vector that is
+    null, zero or not finite have no cosine and count in `pairs` only; one width
+    per column.  The correlation is NULL where one side is constant.
     """
-    n = df.count()
-    if n > most:
-        raise ValueError(f"{n} entities; the statistic takes all pairs and is meant for at most {most}")
-    a = df.select(F.col(key).alias("i"), F.col(first).alias("fi"), F.col(second).alias("si"))
-    b = df.select(F.col(key).alias("j"), F.col(first).alias("fj"), F.col(second).alias("sj"))
-    pairs = a.join(b, F.col("i") < F.col("j")).select(cosine(F.col("fi"), F.col("fj")).alias("x"), cosine(F.col("si"), F.col("sj")).alias("y"))
-    # not corr(): under ANSI it fails where one side is constant
-    return pairs.agg(F.count(F.lit(1)).alias("pairs"), F.try_divide(F.covar_pop("x", "y"), F.stddev_pop("x") * F.stddev_pop("y")).alias("correlation"))
+    rows = df.where(F.col(key).isNotNull()).select(first, second)
+    usable = rows.where(F.col(first).isNotNull() & F.col(second).isNotNull() & ~F.exists(first, lambda x: x.isNull()) & ~F.exists(second, lambda x: x.isNull()))
+    sums = usable.mapInArrow(_unit_products(0, 1), "block string, at long, g double").groupBy("block", "at").agg(F.sum("g").alias("g"))
+    norm = lambda block: F.sum(F.when(F.col("block") == block, F.col("g") * F.col("g")))
+    n = F.max(F.when(F.col("block") == "n", F.col("g")))
+    got = sums.agg(n.alias("n"), *[((norm(b) - n) / 2).alias(b) for b in ("xx", "yy", "xy", "x", "y")])
+    m = F.col("n") * (F.col("n") - 1) / 2
+    means = got.select(*[F.try_divide(b, m).alias(b) for b in ("xx", "yy", "xy", "x", "y")])
+    spread = {b: F.col(2 * b) - F.col(b) * F.col(b) for b in ("x", "y")}
+    varies = (spread["x"] > F.col("xx") * 1e-12) & (spread["y"] > F.col("yy") * 1e-12)
+    correlation = F.when(varies, (F.col("xy") - F.col("x") * F.col("y")) / F.sqrt(spread["x"] * spread["y"]))
+    every = F.count(F.lit(1))
+    return rows.agg(F.shiftright(every * (every - 1), 1).alias("pairs")).join(means.select(correlation.alias("correlation")))
 
 
 def rank_tokens(counts: DataFrame, dictionary: DataFrame, length: int) -> DataFrame:

@@ -137,6 +137,19 @@ def r16(spark: SparkSession, sf: str) -> DataFrame:
     return pooling.geometry_correlation(rows, "vec_id", "f", "s").withColumn("correlation", rounded("correlation", 6))
 
 
+@query(
+    "r16_geometry_correlation_all",
+    """WITH v AS (SELECT vec_id, embedding[1:len(embedding) // 2]::DOUBLE[] AS f, embedding[len(embedding) // 2 + 1:len(embedding)]::DOUBLE[] AS s FROM embeddings),
+p AS (SELECT list_cosine_similarity(a.f, b.f) AS x, list_cosine_similarity(a.s, b.s) AS y FROM v a JOIN v b ON a.vec_id < b.vec_id)
+SELECT count(*) AS pairs, round(corr(x, y), 6) AS correlation FROM p""",
+)
+def r16_all(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings at their full width, first half against second; r16 takes those of one label."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    rows = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", F.lit(1), half).alias("f"), F.slice("embedding", half + 1, F.size("embedding") - half).alias("s"))
+    return pooling.geometry_correlation(rows, "vec_id", "f", "s").withColumn("correlation", rounded("correlation", 6))
+
+
 _CLUSTERS, _SEED = 30, 12
 _CLUSTER_VALUES = "v AS (SELECT user_id % 20 AS cluster, event_type AS entity, user_id % 3 = 0 AS responder, value FROM events)"
 _CLUSTER_SQL = f"""WITH {_CLUSTER_VALUES}, n AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS position FROM (SELECT DISTINCT cluster FROM v)),

@@ -221,3 +221,22 @@ def test_encoder_interface(spark):
     df = spark.createDataFrame([(1, [1, 2]), (2, [3])], "cell long, tokens array<long>")
     out = encoding.encode(df, encoding.stand_in(3), batch=1).collect()
     assert sorted(r["cell"] for r in out) == [1, 2] and all(len(r["embedding"]) == 3 for r in out)
+
+
+def test_geometry_correlation_of_all_pairs(spark):
+    """Many entities, wide vectors and odd rows against the cosines of all pairs."""
+    rng = np.random.default_rng(3)
+    n, d = 5200, 12
+    u = rng.normal(size=(n, d)) + 0.5
+    v = u[:, :5] + rng.normal(size=(n, 5))
+    v[7] = 0
+    df = spark.createDataFrame([(i, a.tolist(), b.tolist()) for i, (a, b) in enumerate(zip(u, v, strict=True))], "k long, f array<double>, s array<double>").repartition(4)
+    ok = np.arange(n) != 7
+    x, y = ((w[ok] / np.linalg.norm(w[ok], axis=1, keepdims=True)) for w in (u, v))
+    above = np.triu_indices(n - 1, 1)
+    want = np.corrcoef((x @ x.T)[above], (y @ y.T)[above])[0, 1]
+    got = pooling.geometry_correlation(df, "k", "f", "s").first()
+    assert got["pairs"] == n * (n - 1) // 2 and got["correlation"] == pytest.approx(want, abs=1e-9)
+    same = df.withColumn("s", F.array(F.lit(1.0), F.lit(2.0)))
+    assert pooling.geometry_correlation(same, "k", "f", "s").first()["correlation"] is None
+    assert tuple(pooling.geometry_correlation(df.limit(0), "k", "f", "s").first()) == (0, None)
