@@ -180,9 +180,13 @@ def m10(spark: SparkSession, sf: str) -> DataFrame:
     return heads.random_ranking(scored(spark, sf), "ord", "y", (1, 2, 3)).select("seed", rounded("auprc").alias("auprc"))
 
 
+def _width(rows: DataFrame) -> int:
+    return rows.agg(F.max(F.size("embedding"))).first()[0] or 0
+
+
 def _features(spark: SparkSession, sf: str) -> tuple[DataFrame, list[str]]:
     rows = table(spark, sf, "embeddings").select("vec_id", "label", F.col("vec_id").alias("ord"), "embedding")
-    return heads.unpack(rows, "embedding", WIDTH)
+    return heads.unpack(rows, "embedding", _width(rows))
 
 
 def _train() -> Column:
@@ -232,10 +236,12 @@ def m09(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m11_frozen_transfer")
 def m11(spark: SparkSession, sf: str) -> DataFrame:
-    """A head fitted on one set of columns, applied to the other under the same names."""
+    """A head fitted on the first half of the columns, applied to the second under the same names."""
     rows, names = _binary(spark, sf)
+    half = len(names) // 2
+    names = names[:half]
     _, model = heads.supervised(rows, names, "y", _train())
-    shifted, _ = heads.unpack(rows.select("vec_id", F.slice("embedding", WIDTH + 1, WIDTH).alias("other")), "other", WIDTH)
+    shifted, _ = heads.unpack(rows.select("vec_id", F.slice("embedding", half + 1, half).alias("other")), "other", half)
     return shifted.select("vec_id", rounded(model.predict(names), 6).alias("probability"))
 
 

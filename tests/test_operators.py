@@ -240,3 +240,11 @@ def test_geometry_correlation_of_all_pairs(spark):
     same = df.withColumn("s", F.array(F.lit(1.0), F.lit(2.0)))
     assert pooling.geometry_correlation(same, "k", "f", "s").first()["correlation"] is None
     assert tuple(pooling.geometry_correlation(df.limit(0), "k", "f", "s").first()) == (0, None)
+
+
+def test_heads_read_whole_vectors(spark):
+    from rankforge.plans import vectors
+
+    rows, names = vectors._features(spark, "/root/testdata/sf0.001")
+    assert names == [f"f{i}" for i in range(64)]
+    assert rows.where(F.col("f63") != F.col("embedding")[63].cast("double")).isEmpty()
