@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import table
+from rankforge.llm.common import arrow_map, table
 
 Turn = tuple[str, str]
 Template = Callable[[list[Turn]], str]
@@ -184,7 +184,7 @@ def format_conversations(conversations: DataFrame, template: Template | None = N
     )
     ordered = turns.repartition("conv_id").sortWithinPartitions("conv_id", "turn", "role", "text").select("conv_id", "role", "text")
     kind = "string" if kind == "string" else "bigint"
-    return ordered.mapInArrow(render, f"conv_id {kind}, formatted string, spans array<struct<turn:bigint,role:string,begin:bigint,end:bigint>>, rewritten_at bigint")
+    return arrow_map(ordered, render, f"conv_id {kind}, formatted string, spans array<struct<turn:bigint,role:string,begin:bigint,end:bigint>>, rewritten_at bigint")
 
 
 def digest(formatted: DataFrame) -> DataFrame:
@@ -210,7 +210,8 @@ def digest(formatted: DataFrame) -> DataFrame:
             arrays = [pa.array(list(c), t) for c, t in zip(columns, types, strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), *arrays], names=["conv_id", "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"])
 
-    return formatted.select("conv_id", "formatted", "spans").mapInArrow(
+    return arrow_map(
+        formatted.select("conv_id", "formatted", "spans"),
         read, f"conv_id {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint"
     )
 

@@ -3,19 +3,28 @@
 from __future__ import annotations
 
 import tempfile
-import zlib
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Rows up to which a side table is broadcast; beyond it the plain join stays.
-BROADCAST_ROWS = 100_000
+BROADCAST_ROWS = 50_000
+#: Bytes of rows that reach a Python worker at once, one row at least.
+BATCH_BYTES = 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
+    """mapInArrow on batches of BATCH_BYTES at most: the session's bound is lowered where it is larger."""
+    conf, key = df.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(conf.get(key)) > BATCH_BYTES:
+        conf.set(key, f"{BATCH_BYTES}b")
+    return df.mapInArrow(function, schema)
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
@@ -49,15 +58,3 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
 def id_crc(column: str | Column) -> Column:
     """crc32 of an integer id written as text; a null id counts as the empty text."""
     return F.crc32(F.coalesce(F.col(column) if isinstance(column, str) else column, F.lit("")).cast("string").cast("binary"))
-
-
-def id_crc_value(doc_id: object) -> int:
-    """The driver-side twin of id_crc."""
-    return zlib.crc32(b"" if doc_id is None else str(doc_id).encode())
-
-
-def float_matrix(column, width: int | None = None):
-    """(rows, matrix) of a pandas/Arrow list column without nulls."""
-    import numpy as np
-
-    return np.asarray(column.tolist(), dtype=np.float64).reshape(len(column), -1 if width is None else width)

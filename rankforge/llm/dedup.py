@@ -9,18 +9,18 @@ and a class is a connected component of links.
    weight and 24 band keys of 6 coordinates each, so that a pair at similarity
    0.8 shares a band with probability 0.9993, at 0.85 with 0.99999.
 2. Rows with equal content collapse to one node, with partial aggregation.
-3. A few rounds of pivots: in every bucket of a band whose nodes are not yet in
-   one component, one node is the pivot (the best linked so far); every node is
-   compared with the pivots of its largest such buckets, exactly, on the
-   multisets.  A large group of near copies becomes one component here, with a few
-   comparisons per node.
-4. Buckets in one component have no link left to lose.  The nodes of the others
-   go through an exact prefix-filter join: at similarity 0.8 two multisets must
-   share one of their rarest fifth of elements, in one fixed order that a bounded
-   histogram of all these elements gives; pairs in one component are left out,
-   and what remains is compared exactly.
-
-No bucket is capped and no bucket has all its pairs made.
+3. In every bucket of a band the node with the most company is the pivot, and all
+   others are compared with it, exactly.  A comparison gives the difference set of
+   node and pivot: elements that one of them has.
+4. A bucket in one component has no link left to lose.  In the others, nodes u and
+   v with difference sets A and B to their pivot are linked if A and B share
+   t = (|A| + |B| - (|u| + |v|) / 9) / 2 elements or more, and t is above 0 unless
+   both are linked to the pivot.  So the pairs that can still be linked come from
+   a join on the rarest elements of the difference sets: what near copies have in
+   common with their pivot is in no difference set, and what is particular to one
+   copy meets no partner.  Those pairs are compared exactly.
+
+All pairs of nodes that share a bucket are decided so, whatever a bucket's size.
 
 Defined cases: a null text and one without words is in no group: its class is
 its own doc_id; repeated rows are copies of each other; class_id is the least
@@ -34,10 +34,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import count_rows, settle, small, table
+from rankforge.llm.common import arrow_map, count_rows, settle, small, table
 from rankforge.llm.components import components
 from rankforge.llm.minhash import band_keys, signatures
 from rankforge.llm.words import mix, occurrences, shingles, words_of
@@ -45,10 +45,8 @@ from rankforge.llm.words import mix, occurrences, shingles, words_of
 WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
-#: Rounds of pivots before the prefix filter, and pivots that a node meets in each after the first.
-ROUNDS, PIVOTS = 3, 4
-#: Places of the histogram that orders elements by how common they are.
-SLOTS = 1 << 20
+#: Shingles whose darts are thrown together: bounds the working memory.
+THROWN = 1 << 13
 
 _SALTS = np.array([0x8CB92BA72F3D8DD7, 0x3C6EF372FE94F82B], dtype=np.uint64)
 
@@ -83,7 +81,7 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
             node, weight, keys = [None] * len(texts), [0] * len(texts), [[]] * len(texts)
             rows, held, size = [], [], 0
             for i in range(len(texts) + 1):
-                if held and (i == len(texts) or size > 1 << 16 or len(held) == 128):
+                if held and (i == len(texts) or size > THROWN or len(held) == 128):
                     counted = [occurrences(x) for x in held]
                     owner = np.repeat(np.arange(len(held)), [len(v) for v, _ in counted])
                     made = signatures(owner, np.concatenate([v for v, _ in counted]), np.concatenate([c for _, c in counted]).astype(np.float64), len(held), BANDS * ROWS)
@@ -102,7 +100,7 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
             )
 
     text = F.col("text").cast("string")
-    return docs.select("doc_id", text_tag(text).alias("tag"), text.alias("text")).mapInArrow(sign, f"doc_id {kind}, tag long, node binary, weight long, bands array<long>")
+    return arrow_map(docs.select("doc_id", text_tag(text).alias("tag"), text.alias("text")), sign, f"doc_id {kind}, tag long, node binary, weight long, bands array<long>")
 
 
 def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
@@ -111,27 +109,20 @@ def _sets(docs: DataFrame, rows: DataFrame, wanted: DataFrame, words: int) -> Da
     def expand(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             made = [elements(shingles(words_of(t.as_py()), words)).view(np.int64) for t in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.int64()))], names=["id", "elements"])
+            ends = np.cumsum([0, *map(len, made)])
+            listed = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.concatenate([np.empty(0, np.int64), *made])))
+            yield pa.RecordBatch.from_arrays([batch.column(0), listed], names=["id", "elements"])
 
     pick = rows.join(wanted, "node").groupBy("id").agg(F.min(F.struct("doc_id", "tag")).alias("pick"))
     pick = settle(pick.select("id", F.col("pick.doc_id").alias("pick_id"), F.col("pick.tag").alias("pick_tag")))
     text = F.col("text").cast("string")
     same = F.col("doc_id").eqNullSafe(F.col("pick_id")) & (text_tag(F.col("text")) == F.col("pick_tag"))
     found = docs.select("doc_id", text.alias("text")).join(small(pick), same)
-    found = settle(found.select("id", "text").mapInArrow(expand, "id long, elements array<long>"))
+    found = settle(arrow_map(found.select("id", "text"), expand, "id long, elements array<long>"))
     # only rows that are there several times give a set several times
     return found if count_rows(found) == count_rows(pick) else settle(found.dropDuplicates(["id"]))
 
 
-def _compare(pairs: DataFrame, sets: DataFrame) -> DataFrame:
-    """(u, v) with their exact similarity."""
-    left = sets.select(F.col("id").alias("u"), F.col("elements").alias("a"))
-    right = sets.select(F.col("id").alias("v"), F.col("elements").alias("b"))
-    both = F.size(F.array_intersect("a", "b"))
-    similarity = both / (F.size("a") + F.size("b") - both)
-    return settle(pairs.join(right, "v").join(left, "u").select("u", "v", similarity.alias("similarity")))
-
-
 def _merged(found: DataFrame, edges: DataFrame) -> DataFrame:
     """(node, root) after more edges; only the edges between components are worked on."""
     at = lambda end: small(found).select(F.col("node").alias(end), F.col("root").alias(f"{end}_root"))
@@ -142,97 +133,86 @@ def _merged(found: DataFrame, edges: DataFrame) -> DataFrame:
     return settle(after.select("node", F.coalesce("moved", "root").alias("root")).unionByName(moved))
 
 
-def _split(members: DataFrame, found: DataFrame) -> DataFrame:
-    """The members of buckets whose nodes are in several components, with their component as `part`."""
-    placed = members.join(small(found).select(F.col("node").alias("id"), "root"), "id", "left").withColumn("part", F.coalesce("root", "id")).drop("root")
-    split = settle(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key"))
-    return settle(placed.join(small(split), "key"))
+def _reach(least: float) -> float:
+    """Two multisets are linked if their difference is at most this share of their sizes' sum."""
+    return (1 - least) / (1 + least)
 
 
-def _pivot_pairs(live: DataFrame, compared: DataFrame, least: float, turn: int) -> DataFrame:
-    """(u, v), u < v: each node with the pivots of its largest buckets, where they are in another component, of possible size and new.
+def _members(nodes: DataFrame) -> DataFrame:
+    """key, id, n (the bucket's nodes), weight and rank for the nodes of buckets with two or more; the pivot has the largest rank."""
+    keyed = nodes.select("id", F.explode("bands").alias("key"))
+    # a bucket of two is known from its ends; only larger ones are looked up
+    shared = settle(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1"))
+    larger = keyed.join(small(shared.where("n > 2").select("key", "n")), "key").select("key", "id", "n")
+    members = shared.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("id"), "n").unionByName(larger)
+    company = F.sum("n").over(Window.partitionBy("id"))  # a node has BANDS buckets at most
+    return settle(members.join(nodes.select("id", "weight", "draw"), "id").withColumn("rank", F.struct(company.alias("company"), "draw", "id")).drop("draw"))
 
-    A bucket's pivot is its best linked node, and every other turn any linked one.
-    """
-    links = compared.where(F.col("similarity") >= least - 1e-12).select(F.explode(F.array("u", "v")).alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("links"))
-    rank = F.coalesce("links", F.lit(0)) if turn % 2 else F.col("links").isNotNull().cast("long")
-    best = F.max(F.struct(rank.alias("rank"), F.xxhash64("id", "key", F.lit(turn)).alias("draw"), "id", "part", "weight")).alias("pivot")
-    pivots = live.join(small(settle(links)), "id", "left").groupBy("key").agg(best).select("key", "pivot.*")
-    pivots = small(settle(pivots.select("key", F.col("id").alias("p"), F.col("part").alias("p_part"), F.col("weight").alias("p_weight"))))
-    near = F.least("weight", "p_weight") >= F.lit(least) * F.greatest("weight", "p_weight")
-    met = live.join(pivots, "key").where((F.col("part") != F.col("p_part")) & near)
-    met = met.groupBy("id", "p").agg(F.max("n").alias("n")).withColumns({"u": F.least("id", "p"), "v": F.greatest("id", "p")})
-    met = met.join(small(compared.select("u", "v")), ["u", "v"], "left_anti")
-    # a node has BANDS buckets at most
-    mine = F.slice(F.sort_array(F.collect_list(F.struct("n", "u", "v")), asc=False), 1, PIVOTS if turn else 1)
-    return met.groupBy("id").agg(mine.alias("mine")).select(F.explode("mine").alias("c")).select("c.u", "c.v").distinct()
-
-
-def _prefix_pairs(residual: DataFrame, sets: DataFrame, least: float) -> DataFrame:
-    """(u, v): all pairs of different components that can reach the similarity, by the prefix filter.
-
-    `residual` has id and part.
-    """
-    rows = settle(sets.join(residual, "id"))
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(SLOTS, dtype=np.int64)
-        for batch in batches:
-            total += np.bincount(batch.column(0).flatten().to_numpy() & (SLOTS - 1), minlength=SLOTS)
-        slot = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(slot, pa.int32()), pa.array(total[slot])], names=["slot", "n"])
+def _differences(members: DataFrame, pivots: DataFrame, sets: DataFrame, least: float) -> DataFrame:
+    """p, u, sizes, d (elements that one of the two has), linked, and the difference set where the bucket has more than two nodes.
 
-    counted = rows.select("elements").mapInArrow(count, "slot int, n long").groupBy("slot").agg(F.sum("n").alias("n")).toArrow()
-    often = np.zeros(SLOTS, dtype=np.int64)  # SLOTS numbers, however many elements there are
-    often[counted["slot"].to_numpy()] = counted["n"].to_numpy()
-    order = rows.sparkSession.sparkContext.broadcast(often)
-
-    def prefix(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = batch.schema.get_field_index("elements")
-            for i, own in enumerate(batch.column(at)):
-                values = own.values.to_numpy()
-                size = len(values) - int(np.ceil(least * len(values) - 1e-9)) + 1
-                values = values[np.lexsort((values, order.value[values & (SLOTS - 1)]))[:size]]
-                n = len(values)
-                same = lambda name, i=i, n=n: pa.array([batch.column(batch.schema.get_field_index(name))[i].as_py()] * n, pa.int64())
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(values), same("id"), same("part"), pa.array([len(own)] * n, pa.int64()), pa.array(np.arange(n))], names=["element", "id", "part", "size", "place"]
-                )
-
-    listed = settle(rows.mapInArrow(prefix, "element long, id long, part long, size long, place long"))
-    shared = listed.groupBy("element").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("element")
-    listed = listed.join(shared, "element")
-    other = listed.select("element", F.col("id").alias("u"), F.col("part").alias("u_part"), F.col("size").alias("u_size"), F.col("place").alias("u_place"))
-    needed = F.lit(least / (1 + least)) * (F.col("size") + F.col("u_size")) - 1e-9
-    rest = F.least(F.col("size") - F.col("place"), F.col("u_size") - F.col("u_place"))
-    near = F.least("size", "u_size") >= F.lit(least) * F.greatest("size", "u_size") - 1e-9
-    return listed.join(other, "element").where((F.col("u") < F.col("id")) & (F.col("part") != F.col("u_part")) & near & (rest >= needed)).select("u", F.col("id").alias("v")).distinct()
+    An element of the pivot alone is stored with its bits inverted.
+    """
+    pairs = members.join(small(pivots), "key").where("id != p").groupBy("p", F.col("id").alias("u")).agg(F.max("n").alias("n"))
+    own = sets.select(F.col("id").alias("u"), F.col("elements").alias("a"))
+    pivot = sets.select(F.col("id").alias("p"), F.col("elements").alias("b"))
+    both = pairs.join(own, "u").join(pivot, "p")
+    apart = F.concat(F.array_except("a", "b"), F.transform(F.array_except("b", "a"), lambda e: F.bitwise_not(e)))
+    made = both.select("p", "u", "n", F.size("a").alias("size"), F.size("b").alias("p_size"), apart.alias("apart"))
+    made = made.withColumn("d", F.size("apart"))
+    linked = F.col("d") <= F.lit(_reach(least)) * (F.col("size") + F.col("p_size")) + 1e-9
+    return settle(made.select("p", "u", "size", "p_size", "d", linked.alias("linked"), F.when(F.col("n") > 2, F.col("apart")).alias("apart")))
+
+
+def _open_pairs(rows: DataFrame, least: float) -> DataFrame:
+    """(u, v, p): the pairs of different components that their difference sets to a common pivot don't rule out.
+
+    `rows` has p, u, part, size, p_size, d, linked and apart.  Elements are ordered
+    by how many of the pivot's nodes have them.  Where a pair needs t common
+    elements, its first one in that order has t - 1 or more after it in both sets.
+    """
+    reach = F.lit(_reach(least))
+    over = (F.col("d") - reach * (F.col("size") + F.col("p_size"))) / (1 + reach)  # partners of all kinds
+    beside = (F.col("d") + reach * (F.col("p_size") - F.col("size"))) / 2  # only partners that the pivot isn't linked to
+    needed = F.greatest(F.lit(1), F.ceil(F.when(F.col("linked"), beside).otherwise(over) - 1e-9))
+    single = rows.withColumn("prefix", F.col("d") - needed + 1).select("p", "u", "d", "prefix", F.explode("apart").alias("e"))
+    counts = single.groupBy("p", "e").agg(F.count(F.lit(1)).alias("n")).where("n > 1")
+    # what only one node has comes first, and only its number counts
+    ordered = single.join(counts, ["p", "e"]).groupBy("p", "u", "d", "prefix").agg(F.sort_array(F.collect_list(F.struct("n", "e"))).alias("common"))
+    alone = F.col("d") - F.size("common")
+    placed = ordered.select("p", "u", alone.alias("alone"), F.posexplode(F.slice("common", F.lit(1), F.greatest(F.lit(0), (F.col("prefix") - alone).cast("int")))))
+    placed = placed.select("p", "u", (F.col("alone") + F.col("pos")).alias("place"), F.col("col.e").alias("e"))
+    listed = settle(placed.join(rows.select("p", "u", "part", "size", "d", "linked"), ["p", "u"]))
+    # pairs lie across components: every one has an end outside of the component that most of an element's nodes are in
+    held = listed.groupBy("p", "e", "part").agg(F.count(F.lit(1)).alias("n")).groupBy("p", "e").agg(F.max_by("part", F.struct("n", "part")).alias("main"), F.count(F.lit(1)).alias("parts"))
+    held = settle(held.where("parts > 1").select("p", "e", "main"))
+    minor = listed.join(held, ["p", "e"]).where("part != main").drop("main")
+    other = listed.select("p", "e", *[F.col(c).alias(f"v_{c}") for c in ("u", "part", "size", "d", "place", "linked")])
+    t = (F.col("d") + F.col("v_d") - reach * (F.col("size") + F.col("v_size"))) / 2
+    rest = F.least(F.col("d") - F.col("place"), F.col("v_d") - F.col("v_place"))
+    open_ = (F.col("part") != F.col("v_part")) & ~(F.col("linked") & F.col("v_linked")) & (rest >= t - 1e-9)
+    found = minor.join(other, ["p", "e"]).where(open_)
+    return found.groupBy(F.least("u", "v_u").alias("u"), F.greatest("u", "v_u").alias("v")).agg(F.min("p").alias("p"))
 
 
 def _links(docs: DataFrame, rows: DataFrame, nodes: DataFrame, least: float, words: int) -> DataFrame:
     """(node, root) of the ids that have a link, but for the roots."""
-    keyed = nodes.select("id", F.explode("bands").alias("key"))
-    # a bucket of two is known from its ends; only larger ones are looked up
-    shared = settle(keyed.groupBy("key").agg(F.min("id").alias("low"), F.max("id").alias("high"), F.count(F.lit(1)).alias("n")).where("n > 1"))
-    larger = keyed.join(small(shared.where("n > 2").select("key", "n")), "key").select("key", "id", "n")
-    members = shared.where("n = 2").select("key", F.explode(F.array("low", "high")).alias("id"), "n").unionByName(larger)
-    members = settle(members.join(nodes.select("id", "weight"), "id"))
+    members = _members(nodes)
     sets = _sets(docs, rows, members.select("id").distinct().join(nodes.select("id", "node"), "id"), words)
+    pivots = settle(members.groupBy("key").agg(F.max("rank").alias("top")).select("key", F.col("top.id").alias("p")))
+    compared = _differences(members, pivots, sets, least)
+    found = settle(components(compared.where("linked").select("u", F.col("p").alias("v"))))
 
-    compared = settle(rows.sparkSession.createDataFrame([], "u long, v long, similarity double"))
-    found = settle(rows.sparkSession.createDataFrame([], "node long, root long"))
-    edge = F.col("similarity") >= least - 1e-12
-    for turn in range(ROUNDS):
-        fresh = _compare(_pivot_pairs(_split(members, found), compared, least, turn), sets)
-        if fresh.isEmpty():
-            break
-        compared = compared.unionByName(fresh)
-        found = _merged(found, fresh.where(edge).select("u", "v"))
-    residual = _split(members, found).select("id", "part").distinct()
-    pairs = _prefix_pairs(settle(residual), sets, least)
-    fresh = _compare(pairs.join(small(compared.select("u", "v")), ["u", "v"], "left_anti"), sets)
-    return _merged(found, fresh.where(edge).select("u", "v"))
+    placed = members.where("n > 2").join(small(found).select(F.col("node").alias("id"), "root"), "id", "left").select("key", "id", F.coalesce("root", "id").alias("part"))
+    split = settle(placed.groupBy("key").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high").select("key"))
+    wanted = placed.join(small(split), "key").join(small(pivots), "key").select("p", F.col("id").alias("u"), "part").distinct()
+    apart = settle(compared.join(wanted, ["p", "u"]))
+    end = lambda name: apart.select("p", F.col("u").alias(name), F.col("apart").alias(f"{name}_apart"), F.col("d").alias(f"{name}_d"), F.col("size").alias(f"{name}_size"))
+    pairs = _open_pairs(apart, least).join(end("u"), ["p", "u"]).join(end("v"), ["p", "v"])
+    difference = F.col("u_d") + F.col("v_d") - 2 * F.size(F.array_intersect("u_apart", "v_apart"))
+    fresh = pairs.where(difference <= F.lit(_reach(least)) * (F.col("u_size") + F.col("v_size")) + 1e-9).select("u", "v")
+    return _merged(found, settle(fresh))
 
 
 def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS) -> DataFrame:
@@ -240,7 +220,8 @@ def classes(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS) -> D
     rows = settle(describe(docs, words))
     known = rows.where("node IS NOT NULL").select("doc_id", "tag", "node")
     nodes = rows.where("node IS NOT NULL").groupBy("node").agg(F.max("weight").alias("weight"), F.any_value("bands").alias("bands"), F.min("doc_id").alias("least_id"))
-    nodes = settle(nodes.withColumn("id", F.monotonically_increasing_id()))
+    # ids are names only; the order of pivots comes from the content
+    nodes = settle(nodes.withColumn("id", F.monotonically_increasing_id()).withColumn("draw", F.xxhash64("node")))
     found = _links(docs, known, nodes, least, words)
     placed = nodes.select("node", "id", "least_id").join(found.select(F.col("node").alias("id"), "root"), "id", "left")
     placed = placed.select("node", F.coalesce("root", "id").alias("root"), "least_id")

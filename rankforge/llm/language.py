@@ -31,7 +31,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import id_crc, table
+from rankforge.llm.common import arrow_map, id_crc, table
 
 UNKNOWN = "und"
 SPACE = 1 << 14
@@ -182,7 +182,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int16()))], names=["doc_id", "lang", "places"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = rows.where(draw < rate).mapInArrow(present, f"doc_id {kind}, lang string, places array<smallint>").collect()
+    got = arrow_map(rows.where(draw < rate), present, f"doc_id {kind}, lang string, places array<smallint>").collect()
     got = sorted(got, key=lambda r: (hash_order(r["doc_id"]), r["lang"], r["places"]))
     matrix = np.zeros((len(got), SPACE), dtype=np.uint8)
     for row, r in zip(matrix, got, strict=True):
@@ -206,7 +206,7 @@ def identify(docs: DataFrame, train: Column, model: Model | None = None) -> Data
             found, scores = known.judge(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string()), pa.array(scores, pa.float64())], names=["doc_id", "lang_pred", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(judge, f"doc_id {kind}, lang_pred string, score double")
+    return arrow_map(docs.select("doc_id", F.col("text").cast("string").alias("text")), judge, f"doc_id {kind}, lang_pred string, score double")
 
 
 def keep_known(docs: DataFrame, train: Column, least: float = COVERED, sure: float = SURE) -> DataFrame:
@@ -225,7 +225,7 @@ def keep_known(docs: DataFrame, train: Column, least: float = COVERED, sure: flo
             few = np.array([len(t or "") < FEW for t in texts], dtype=bool)
             yield batch.filter(pa.array((covered >= least) & (few | (scores >= line)), pa.bool_()))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return arrow_map(docs, keep, docs.schema)
 
 
 def is_held_out(modulus: int = HELD_OUT[0], rest: int = HELD_OUT[1]) -> Column:

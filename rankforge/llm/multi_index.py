@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import settle, table
+from rankforge.llm.common import arrow_map, settle, table
 from rankforge.llm.vectors import BLOCK, as_found, best, keep_best, matrix, search_blocks, usable
 
 K = 20
@@ -138,7 +138,7 @@ def neighbours(rows: DataFrame, asks: Column, k: int = K, codes: int = CODES, sh
             cell = nearest(own[:, :half], first) * codes + nearest(own[:, half:], second)
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(cell, pa.int32())], names=["vec_id", "vector", "cell"])
 
-    index = settle(rows.mapInArrow(assign, "vec_id long, vector array<double>, cell int"))
+    index = settle(arrow_map(rows, assign, "vec_id long, vector array<double>, cell int"))
     counts = np.zeros(len(first) * codes, np.int64)
     for cell, entries in index.groupBy("cell").agg(F.count(F.lit(1))).collect():  # a row for each cell at most
         counts[cell] = entries
@@ -155,7 +155,7 @@ def neighbours(rows: DataFrame, asks: Column, k: int = K, codes: int = CODES, sh
             yield pa.RecordBatch.from_arrays([pa.array(start[cell] + spread % number[cell], pa.int32()), *batch.columns[:3]], names=["block", "vec_id", "vector", "cell"])
 
     spread = F.pmod(F.xxhash64("vec_id", "vector"), F.lit(1 << 30)).alias("spread")
-    index = index.select("vec_id", "vector", "cell", spread).mapInArrow(deal, "block int, vec_id long, vector array<double>, cell int")
+    index = arrow_map(index.select("vec_id", "vector", "cell", spread), deal, "block int, vec_id long, vector array<double>, cell int")
     enough = max(least, int(np.ceil(share * n)))
     queries = settle(rows.where(asks).distinct().select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").alias("query_id"), "vector"))
 
@@ -189,7 +189,7 @@ def neighbours(rows: DataFrame, asks: Column, k: int = K, codes: int = CODES, sh
 
     asked = queries.count()
     queries = queries.repartition(max(1, -(-asked // 128)), "uid")
-    ready = queries.mapInArrow(visit, "uid long, query_id long, vector array<double>, most double, blocks array<int>")
+    ready = arrow_map(queries, visit, "uid long, query_id long, vector array<double>, most double, blocks array<int>")
     return best(search_blocks(index, ready, find, "double", asked), k)
 
 

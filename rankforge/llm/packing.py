@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import settle, table
+from rankforge.llm.common import arrow_map, settle, table
 from rankforge.llm.tokens import default_vocabulary, encoder
 
 CAPACITY = 2048
@@ -98,8 +98,8 @@ def cut(docs: DataFrame, payload: str = "ids", capacity: int = CAPACITY, end_id:
                 names=["doc_id", "piece", "start", "length", payload],
             )
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(
-        pieces, f"doc_id {kind}, piece int, start long, length long, {payload} {'array<int>' if whole else 'long'}"
+    return arrow_map(
+        docs.select("doc_id", F.col("text").cast("string").alias("text")), pieces, f"doc_id {kind}, piece int, start long, length long, {payload} {'array<int>' if whole else 'long'}"
     )
 
 

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import id_crc, table
+from rankforge.llm.common import arrow_map, id_crc, table
 from rankforge.llm.words import spans, word_hashes
 
 PASSAGE = 64
@@ -173,7 +173,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
-    got = joined.mapInArrow(describe, f"doc_id {kind}, bag array<float>, label int").toArrow().sort_by([("doc_id", "ascending")])
+    got = arrow_map(joined, describe, f"doc_id {kind}, bag array<float>, label int").toArrow().sort_by([("doc_id", "ascending")])
     bags = [np.asarray(b.values, dtype=np.float64).reshape(-1, WIDTH) for b in got["bag"]]
     return train(bags, got["label"].to_numpy().astype(np.float64))
 
@@ -188,7 +188,7 @@ def score(docs: DataFrame, model: Model) -> DataFrame:
         for batch in batches:
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(known.scores(batch.column(1).to_pylist()), pa.float64())], names=["doc_id", "score"])
 
-    return docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(judge, f"doc_id {kind}, score double")
+    return arrow_map(docs.select("doc_id", F.col("text").cast("string").alias("text")), judge, f"doc_id {kind}, score double")
 
 
 def keep_good(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
@@ -200,7 +200,7 @@ def keep_good(docs: DataFrame, model: Model, least: float = KEEP) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(known.scores(batch.column("text").to_pylist()) >= least))
 
-    return docs.mapInArrow(keep, docs.schema)
+    return arrow_map(docs, keep, docs.schema)
 
 
 def is_held_out(modulus: int = HELD_OUT[0], rest: int = HELD_OUT[1]) -> Column:

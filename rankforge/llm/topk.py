@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import settle, table
+from rankforge.llm.common import arrow_map, settle, table
 from rankforge.llm.vectors import BLOCK, as_found, best, keep_best, matrix, search_blocks, usable
 
 K = 5
@@ -144,7 +144,7 @@ def top_k(rows: DataFrame, asks: Column, k: int = K) -> DataFrame:
 
     asked = queries.count()
     queries = queries.repartition(max(1, -(-asked // 512)), "uid")
-    ready = queries.mapInArrow(begin, "uid long, query_id long, ints array<bigint>, bound double, blocks array<int>")
+    ready = arrow_map(queries, begin, "uid long, query_id long, ints array<bigint>, bound double, blocks array<int>")
     return best(search_blocks(blocks.select("block", "vec_id", "ints"), ready, find, "long", asked), k)
 
 

@@ -5,8 +5,10 @@ from collections import Counter
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rankforge.llm import dedup
+from rankforge.llm.common import settle
 from rankforge.llm.components import components
 from rankforge.llm.minhash import band_keys, signatures
 from rankforge.llm.words import CHUNK, shingles, words_of
@@ -68,11 +70,59 @@ def test_classes_equal_brute_force(spark, corpus):
     assert got == brute_classes(corpus)
 
 
-def test_prefix_filter_alone_finds_all_links(spark, corpus, monkeypatch):
-    monkeypatch.setattr(dedup, "ROUNDS", 0)
-    docs = spark.createDataFrame([(*r, "en", "s", "x") for r in corpus], DOC)
+def _copies(rng, n, words, changed):
+    """n texts, each the same text with `changed` words of its own."""
+    base, out = [f"w{rng.randrange(5000)}" for _ in range(words)], []
+    for i in range(n):
+        own = list(base)
+        for at in rng.sample(range(words), changed):
+            own[at] = f"v{i}x{at}"
+        out.append(" ".join(own))
+    return out
+
+
+def test_large_group_just_below_the_similarity(spark):
+    """Copies that are pairwise at 0.6 to 0.79, and the links that a few pairs have: whole, and without all pairs."""
+    rng = random.Random(5)
+    texts = _copies(rng, 700, 150, 2)
+    rows = list(enumerate(texts))
+    docs = spark.createDataFrame([(*r, None, None, None) for r in rows], DOC)
+    made = settle(dedup.describe(docs))
+    nodes = settle(made.groupBy("node").agg(F.max("weight").alias("weight"), F.any_value("bands").alias("bands")).select("*", F.monotonically_increasing_id().alias("id"), F.xxhash64("node").alias("draw")))
+    members = dedup._members(nodes)
+    sets = dedup._sets(docs, made.select("doc_id", "tag", "node"), nodes.select("id", "node"), 5)
+    pivots = members.groupBy("key").agg(F.max("rank").alias("top")).select("key", F.col("top.id").alias("p"))
+    compared = dedup._differences(members, pivots, sets, 0.8)
+    assert compared.where("NOT linked").count() > 300  # a pivot alone doesn't do it
+    left = dedup._open_pairs(compared.withColumn("part", F.col("u")), 0.8).count()
+    assert left < 0.05 * len(rows) ** 2 / 2, left
     got = {r["doc_id"]: r["class_id"] for r in dedup.classes(docs).select("doc_id", "class_id").collect()}
-    assert got == brute_classes(corpus)
+    assert got == brute_classes(rows)
+
+
+def test_open_pairs_hold_every_link(spark, corpus):
+    """With no link of a pivot used, the difference sets alone must leave all links of nodes with a common pivot."""
+    sets = {i: {(g, k) for g, n in _grams(t).items() for k in range(n)} for i, t in corpus if _grams(t)}
+    ids = sorted(sets)
+    number = {}
+    code = lambda s: sorted(number.setdefault(e, len(number) + 1) for e in s)
+    rows, wanted = [], set()
+    for p in ids[:6]:
+        group = [u for u in ids if u != p]
+        for u in group:
+            apart = code(sets[u] - sets[p]) + [-e for e in code(sets[p] - sets[u])]
+            linked = len(apart) <= (len(sets[u]) + len(sets[p])) / 9 + 1e-9
+            if apart:
+                rows.append((p, u, p if linked else u, len(sets[u]), len(sets[p]), len(apart), linked, apart))
+        for i, u in enumerate(group):
+            for v in group[:i]:
+                both, size = len(sets[u] & sets[v]), len(sets[u]) + len(sets[v])
+                links = [len(sets[x] ^ sets[p]) <= (len(sets[x]) + len(sets[p])) / 9 + 1e-9 for x in (u, v)]
+                if both and size - 2 * both <= size / 9 + 1e-9 and not all(links) and sets[u] != sets[p] != sets[v]:
+                    wanted.add((min(u, v), max(u, v)))
+    frame = spark.createDataFrame(rows, "p long, u long, part long, size int, p_size int, d int, linked boolean, apart array<long>")
+    got = {(r["u"], r["v"]) for r in dedup._open_pairs(frame, 0.8).collect()}
+    assert wanted and wanted <= got
 
 
 def test_keep_one(spark, corpus):
