@@ -10,8 +10,10 @@ prefix sums over one row per source.
 A source's epochs = target / size.  The whole part repeats every document; the
 rest is a seeded sample of whole documents: documents are ordered by a hash of
 id, source and text, and those before the word quota get one more repetition
-(the document on the boundary goes to the nearer side).  So a source's taken
-words miss its target by half of one document at most, and reruns agree.
+(the document on the boundary goes to the nearer side).  Repeated rows have one
+hash; where they lie on the boundary, as many of them are taken as come nearest.
+So a source's taken words miss its target by half of one document at most, and
+reruns agree.
 
 The quota's place is found without sorting a source in one task: sizes are
 summed by (source, slice of the hash), the sums are accumulated per source (at
@@ -86,9 +88,10 @@ def targets(sizes: DataFrame, weights: Sequence[float] = WEIGHTS, share: float =
 
 
 def plan(slim: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS) -> DataFrame:
-    """(source, size, u) -> source, source_size, target, whole, cut: one row per source.
+    """(source, size, u) -> source, source_size, target, whole, cut, edge, fit: one row per source.
 
-    A document is repeated `whole` times, and once more if u <= cut.
+    A document is repeated `whole` times, and once more if u <= cut; of repeated
+    rows with u = edge, `fit` are.
     """
     slices = settle(slim.groupBy("source", F.shiftright("u", _SLICE_BITS).alias("slice")).agg(F.sum("size").alias("words")))
     goal = targets(slices.groupBy("source").agg(F.sum("words").alias("source_size")), weights, share, max_epochs)
@@ -105,22 +108,19 @@ def plan(slim: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHA
     )
     edge = settle(edge)
     inside = Window.partitionBy("name").orderBy("u").rowsBetween(Window.unboundedPreceding, -1)
-    cuts = (
+    edges = (
         small(edge.withColumnRenamed("source", "name").withColumnRenamed("slice", "part"))
         .join(slim, F.col("source").eqNullSafe(F.col("name")) & (F.shiftright("u", _SLICE_BITS) == F.col("part")))
-        .groupBy("name", "part", "slice_before", "quota", "u")
-        .agg(F.sum("size").alias("words"))
+        .groupBy("name", "slice_before", "quota", "u")
+        .agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
         .withColumn("before", F.col("slice_before") + F.coalesce(F.sum("words").over(inside), F.lit(0)))
-        .groupBy("name")
-        .agg(
-            F.max(F.when(F.col("before") + F.col("words") / 2 <= F.col("quota"), F.col("u"))).alias("inner_cut"),
-            F.first("part").alias("part"),
-        )
-        .select("name", F.coalesce("inner_cut", F.shiftleft("part", _SLICE_BITS) - 1).alias("cut"))
+        .where((F.col("before") <= F.col("quota")) & (F.col("before") + F.col("words") > F.col("quota")))
+        .select("name", F.col("u").alias("at"), "rows", F.least("rows", F.floor((F.col("quota") - F.col("before")) * F.col("rows") / F.col("words") + 0.5)).alias("fit"))
     )
-    joined = goal.join(cuts, F.col("source").eqNullSafe(F.col("name")), "left")
-    cut = F.when(F.col("quota") <= 0, F.lit(-1)).otherwise(F.coalesce("cut", F.lit(_LAST))).cast("long")
-    return settle(joined.select("source", "source_size", "target", "whole", cut.alias("cut")))
+    joined = goal.join(edges, F.col("source").eqNullSafe(F.col("name")), "left")
+    cut = F.when(F.col("quota") <= 0, F.lit(-1)).when(F.col("at").isNull(), F.lit(_LAST)).otherwise(F.col("at") - (F.col("fit") < F.col("rows")).cast("long"))
+    split = (F.col("quota") > 0) & (F.col("fit") > 0) & (F.col("fit") < F.col("rows"))
+    return settle(joined.select("source", "source_size", "target", "whole", cut.cast("long").alias("cut"), F.when(split, F.col("at")).alias("edge"), F.when(split, F.col("fit")).alias("fit")))
 
 
 def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHARE, max_epochs: float = MAX_EPOCHS, seed: str = SEED) -> DataFrame:
@@ -130,9 +130,20 @@ def mix(docs: DataFrame, weights: Sequence[float] = WEIGHTS, share: float = SHAR
     rows = rows.withColumn("source", source).withColumn("size", n_words(F.col("doc.text"))).withColumn("u", order_hash(seed, F.col("doc.doc_id"), source, F.col("doc.text")))
     goal = plan(settle(rows.select("source", "size", "u")), weights, share, max_epochs)
     goal = small(goal.withColumnRenamed("source", "name"))
-    copies = (F.col("whole") + (F.col("u") <= F.col("cut")).cast("long")).alias("copies")
-    out = rows.join(goal, F.col("source").eqNullSafe(F.col("name"))).select("doc", "size", "source_size", "target", copies)
-    return out.withColumn("taken", F.col("size") * F.col("copies"))
+    rows = rows.join(goal, F.col("source").eqNullSafe(F.col("name")))
+    copies = F.col("whole") + (F.col("u") <= F.col("cut")).cast("long")
+    shape = ["doc", "size", "source_size", "target", copies.alias("copies"), (F.col("size") * copies).alias("taken")]
+    if goal.where("edge IS NOT NULL").isEmpty():
+        return rows.select(*shape)
+    # repeated rows on a boundary are numbered: partitions by their counts, rows inside of their partition
+    apart = F.coalesce(F.col("u") == F.col("edge"), F.lit(False))
+    equal = settle(rows.where(apart).withColumn("number", F.monotonically_increasing_id())).withColumn("part", F.shiftright("number", 33))
+    upto = Window.partitionBy("of").orderBy("of_part").rowsBetween(Window.unboundedPreceding, -1)
+    counts = equal.groupBy(F.col("edge").alias("of"), F.col("part").alias("of_part")).agg(F.count(F.lit(1)).alias("n"))
+    counts = small(settle(counts.select("of", "of_part", F.coalesce(F.sum("n").over(upto), F.lit(0)).alias("before"))))
+    place = F.col("before") + F.row_number().over(Window.partitionBy("edge", "part").orderBy("number"))
+    equal = equal.join(counts, (F.col("edge") == F.col("of")) & (F.col("part") == F.col("of_part"))).withColumn("cut", F.when(place <= F.col("fit"), F.col("u")).otherwise(F.lit(-1)))
+    return rows.where(~apart).select(*shape).unionByName(equal.select(*shape))
 
 
 def repeat(mixed: DataFrame) -> DataFrame:

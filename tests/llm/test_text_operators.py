@@ -105,6 +105,16 @@ def test_mixing_targets_and_taken(spark):
     assert kept.count() == sum(r["copies"] for r in out)
 
 
+def test_mixing_takes_some_of_many_equal_rows(spark):
+    rows = [(7, "x y z", "en", "a", 1)] * 1000 + [(8, "p q", "en", "a", 1)] * 3 + [(9, "k l m n", "en", "b", 1)] * 40
+    for parts in (1, 7):
+        out = mixing.mix(spark.createDataFrame(rows, DOC).repartition(parts)).select("doc.doc_id", "doc.source", "size", "target", "taken").collect()
+        assert len(out) == len(rows)
+        for source, goal in _fill({"a": 3006, "b": 160}).items():
+            assert abs(sum(r["taken"] for r in out if r["source"] == source) - goal) <= 2
+        assert all(r["taken"] in (r["size"], 2 * r["size"], 0) for r in out)
+
+
 def test_mixing_empty(spark):
     assert mixing.mix(spark.createDataFrame([], DOC)).count() == 0
     only = mixing.mix(spark.createDataFrame([(1, " ", "en", "a", 1)], DOC)).collect()
@@ -216,7 +226,8 @@ def test_packing_rows(spark):
         assert [x for r in mine for x in r["ids"]] == ids
         assert [r["piece"] for r in mine] == list(range(-(-len(ids) // 2048)))
         assert all(r["length"] == 2048 for r in mine[1:]) and all(r["length"] == len(r["ids"]) for r in mine)
-    assert len(pieces[5]) == 3
+    assert len(pieces[5]) == 3 and len({r["doc_row"] for r in pieces[5]}) == 3
+    assert all(len({r["doc_row"] for r in pieces[None if d == -1 else d]}) == 1 for d, _ in want)
     bins = {}
     for r in out:
         bins.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
