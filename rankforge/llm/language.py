@@ -8,9 +8,10 @@ space, in which one-versus-rest kernel ridge regression is solved in closed
 form.  Scoring is one matrix product of a batch's presence rows with the
 landmarks and one with the coefficients.
 
-The fit uses at most about `SAMPLE` documents (a documented bound), as many of
-each language as of any other where there are enough, chosen by a hash of
-doc_id; the counts behind the sampling rates are taken over all documents.
+The fit uses about `SAMPLE` documents (a documented bound), or two of each
+language where that is more, as many of each language as of any other where
+there are enough, chosen by a hash of
+doc_id and text, repeated rows once; the counts behind the sampling rates are taken over all documents.
 
 Defined cases: a null text or one without a letter is `und` with score 0; with
 nothing to learn from, everything is `und` with score 0; ties go to the language
@@ -21,7 +22,6 @@ result.  Texts are read whole, long ones slice by slice.
 
 from __future__ import annotations
 
-import re
 from collections.abc import Iterator
 from itertools import islice
 from typing import NamedTuple
@@ -51,13 +51,17 @@ _SLICE = 1 << 20
 #: Presence rows of one matrix product.
 _ROWS = 128
 
-_LETTER = re.compile(r"[^\W\d_]")
 _FOLD = np.full(256, 0x20, dtype=np.uint32)
 _FOLD[0x80:] = np.arange(0x80, 0x100)
 _FOLD[ord("a") : ord("z") + 1] = np.arange(ord("a"), ord("z") + 1)
 _FOLD[ord("A") : ord("Z") + 1] = np.arange(ord("a"), ord("z") + 1)
 
 
+def has_letter(text: str) -> bool:
+    """Whether any code point is of a letter category (L*)."""
+    return any(map(str.isalpha, text))
+
+
 def _places(codes: np.ndarray) -> Iterator[np.ndarray]:
     gram = codes
     for n in (1, 2, 3):
@@ -102,7 +106,7 @@ class Model(NamedTuple):
         found, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
         if not self.languages:
             return found, scores
-        known = [i for i, t in enumerate(texts) if t and _LETTER.search(t)]
+        known = [i for i, t in enumerate(texts) if t and has_letter(t)]
         for at in range(0, len(known), _ROWS):
             part = known[at : at + _ROWS]
             rows = np.zeros((len(part), SPACE), dtype=np.uint8)
@@ -123,7 +127,7 @@ class Model(NamedTuple):
         if not self.languages:
             return count, count
         seen = (self.landmarks > 0).any(1).astype(np.float32)
-        parts = ((i, part) for i, text in enumerate(texts) if text for part in windows(text) if _LETTER.search(part))
+        parts = ((i, part) for i, text in enumerate(texts) if text for part in windows(text) if has_letter(part))
         while held := list(islice(parts, _ROWS)):
             at = np.array([i for i, _ in held])
             rows = np.zeros((len(held), SPACE), dtype=np.float32)
@@ -146,7 +150,7 @@ def solve(rows: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ri
     rank = np.zeros(len(label), dtype=np.int64)  # landmarks: the languages take turns
     for k in range(len(names)):
         rank[label == k] = np.arange((label == k).sum())
-    chosen = np.lexsort((label, rank))[:landmarks]
+    chosen = np.lexsort((label, rank))[: max(landmarks, len(names))]  # one of each language at least
     marks = rows[chosen].astype(np.float32)
     marks /= np.sqrt(np.maximum(marks.sum(1, keepdims=True), 1.0))
     blank = Model(names, np.ascontiguousarray(marks.T), np.zeros((len(chosen), len(names))))
@@ -163,14 +167,13 @@ def solve(rows: np.ndarray, languages: list[str], landmarks: int = LANDMARKS, ri
 def fit(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
     """Learn from the rows of `docs` for which `train` holds and lang is not null."""
     rows = docs.where(train & F.col("lang").isNotNull() & F.col("text").isNotNull()).select("doc_id", F.col("lang").cast("string").alias("lang"), "text")
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(sample // 2).collect()}
-    if not counts:
+    draw = F.pmod(F.xxhash64("doc_id", "text"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    counted = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.min(draw).alias("least")).collect()  # a row for each language
+    if not counted:
         return solve(np.zeros((0, SPACE), np.uint8), [])
-    each = max(2, sample // len(counts))
-    rate = F.lit(0.0)
-    for lang, n in counts.items():
-        rate = F.when(F.col("lang") == lang, min(1.0, each / n)).otherwise(rate)
-    draw = F.pmod(F.xxhash64("doc_id"), F.lit(1 << 30)) / F.lit(float(1 << 30))
+    each = max(2, sample // len(counted))
+    rates = docs.sparkSession.createDataFrame([(r["lang"], max(r["least"], each / r["n"])) for r in counted], "lang string, rate double")
+    rows = rows.join(F.broadcast(rates), "lang").select("doc_id", "lang", "text", "rate")
 
     def present(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -182,7 +185,7 @@ def fit(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int16()))], names=["doc_id", "lang", "places"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = arrow_map(rows.where(draw < rate), present, f"doc_id {kind}, lang string, places array<smallint>").collect()
+    got = arrow_map(rows.where(draw <= F.col("rate")).drop("rate"), present, f"doc_id {kind}, lang string, places array<smallint>").distinct().collect()
     got = sorted(got, key=lambda r: (hash_order(r["doc_id"]), r["lang"], r["places"]))
     matrix = np.zeros((len(got), SPACE), dtype=np.uint8)
     for row, r in zip(matrix, got, strict=True):
