@@ -36,12 +36,49 @@ def test_language_kernel_is_the_presence_kernel():
     assert np.allclose(kernel, want, atol=1e-6)
 
 
+def test_margins_equal_a_ridge_solved_from_scratch():
+    """Presence kernels from sets, Nyström features and ridge as one least-squares problem."""
+    texts = [_prose(i, (EN, FR, DE)[i % 3], 12 + i) for i in range(45)]
+    label = ["en", "fr", "de"] * 15
+    rows = np.zeros((45, language.SPACE), np.uint8)
+    for row, text in zip(rows, texts, strict=True):
+        language.mark(text, row)
+    model = language.solve(rows, label, landmarks=12, ridge=0.05)
+    sets = [set(np.flatnonzero(r)) for r in rows]
+    kernel = lambda s, c: len(s & c) / np.sqrt(len(s) * len(c))
+    marks = [sets[i] for i in (2, 0, 1, 5, 3, 4, 8, 6, 7, 11, 9, 10)]  # de, en, fr take turns
+    value, vector = np.linalg.eigh([[kernel(a, b) for b in marks] for a in marks])
+    whiten = (vector / np.sqrt(value))[:, value > 1e-6 * value.max()]
+    features = np.array([[kernel(s, c) for c in marks] for s in sets]) @ whiten
+    weight = np.sqrt(1 / 15)
+    tall = np.vstack([features * weight, np.sqrt(0.05 * 3 / 45) * np.eye(features.shape[1])])
+    target = np.array([[1.0 if x == n else -1.0 for n in ("de", "en", "fr")] for x in label])
+    beta = np.linalg.lstsq(tall, np.vstack([target * weight, np.zeros((features.shape[1], 3))]), rcond=None)[0]
+    want = features @ beta
+    found, scores = model.judge(texts)
+    assert np.allclose(model.kernel(rows) @ model.coefficients, want, atol=1e-3)
+    assert found == [("de", "en", "fr")[k] for k in want.argmax(1)] and np.allclose(scores, np.clip((1 + want.max(1)) / 2, 0, 1), atol=1e-3)
+
+
+def test_numerals_are_no_letters():
+    model = language.solve(np.eye(2, language.SPACE, dtype=np.uint8), ["a", "b"])
+    assert model.judge(["²½①", "Ⅷ 12", "²½① é", "ʰ"])[0][:2] == ["und", "und"]
+    assert "und" not in model.judge(["²½① é", "ʰ", "漢"])[0]
+
+
+def test_every_language_is_learned(spark):
+    rows = [(10 * k + i, " ".join([chr(97 + k // 26) + chr(97 + k % 26) + "q"] * 6), f"l{k:03d}") for k in range(150) for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    assert len(language.fit(docs, F.lit(True), sample=64).languages) == 150
+    assert {r["lang_pred"] for r in language.identify(docs, F.lit(True), language.fit(docs, F.lit(True), sample=64)).collect()} == {f"l{k:03d}" for k in range(150)}
+
+
 def _prose(seed, words, n):
     rng = random.Random(seed)
     return " ".join(rng.choice(words) for _ in range(n))
 
 
-EN, FR = "the of and stone water which there think".split(), "le une être chaque où eau pierre très".split()
+EN, FR, DE = "the of and stone water which there think".split(), "le une être chaque où eau pierre très".split(), "der und nicht wasser stein über jeder".split()
 
 
 def test_language_odd_rows(spark):
@@ -102,25 +139,63 @@ def test_quality_held_out(spark):
     assert all(r["predicted"] == int(r["score"] >= 0.5) and 0 <= r["score"] <= 1 for r in out.values())
 
 
-def test_attention_gradient_is_right():
-    """One step of the training loop moves along the numerical gradient: the loss falls on what it learns."""
-    rng = np.random.default_rng(0)
-    bags = [np.vstack([rng.normal(0, 1, (rng.integers(1, 5), quality.WIDTH)), np.full((1, quality.WIDTH), 3.0 if i % 2 else -3.0)]) for i in range(60)]
-    labels = np.array([i % 2 for i in range(60)], dtype=float)
-    model = quality.train(bags, labels)
-    starts = np.cumsum([0, *(len(b) for b in bags[:-1])])
-    owner, *_, attention, _, logit = model.forward((np.concatenate(bags) - model.mean) / model.scale, starts)
-    assert ((logit > 0) == (labels == 1)).mean() >= 0.95
-    assert np.allclose(np.bincount(owner, attention), 1.0)
+def _bags(seed, n):
+    return [quality.bag_of(_prose(seed + i, EN if i % 2 else FR, 20 + 60 * (i % 5))) for i in range(n)]
+
+
+def test_forward_pass_equals_brute_force():
+    """Embedding means, layer, gated attention and scorer, passage by passage in plain Python."""
+    model, bags = quality.train(_bags(0, 20), np.arange(20) % 2.0), _bags(50, 9) + [quality.bag_of("")]
+    *_, logit = model.forward(*model.encoded(bags))
+    for bag, got in zip(bags, logit, strict=True):
+        hidden, attention, at = [], [], 0
+        for shape, n in zip(bag.shape, bag.count, strict=True):
+            mean = sum((model.table[g].astype(float) for g in bag.grams[at : at + n]), np.zeros(quality.EMBED)) / max(n, 1)
+            at += n
+            h = np.maximum(np.concatenate([(shape - model.mean) / model.scale, mean]) @ model.encode + model.encode_bias, 0)
+            hidden.append(h)
+            attention.append(float(np.tanh(h @ model.value) / (1 + np.exp(-(h @ model.gate))) @ model.attend))
+        share = np.exp(attention) / np.exp(attention).sum()
+        assert np.isclose(sum(a * h for a, h in zip(share, hidden, strict=True)) @ model.out + model.out_bias[0], got, atol=1e-4)
+
+
+def test_gradients_equal_differences():
+    model, bags = quality.train(_bags(0, 8), np.arange(8) % 2.0, epochs=1), _bags(90, 4)
+    model = model._replace(table=model.table.astype(float))
+    labels, weight = np.array([0.0, 1, 1, 0]), np.array([1.0, 2, 0.5, 1])
+
+    def loss():
+        *_, logit = model.forward(*model.encoded(bags))
+        return float((weight * (np.logaddexp(0, logit) - labels * logit)).mean())
+
+    rng = np.random.default_rng(3)
+    for p, d in zip(model[2:], quality.gradients(model, bags, labels, weight), strict=True):
+        for at in rng.choice(np.flatnonzero(d.ravel()), 6):
+            flat, step = p.reshape(-1), 1e-6
+            flat[at] += step
+            up = loss()
+            flat[at] -= 2 * step
+            down = loss()
+            flat[at] += step
+            assert np.isclose((up - down) / (2 * step), d.ravel()[at], rtol=1e-3, atol=1e-8)
+
+
+def test_words_alone_can_be_learned():
+    """Two vocabularies of equal letters and word lengths: only embeddings tell them apart."""
+    words = [["".join(p) for p in (("ab", "cd", "ef"), ("ba", "dc", "fe"))[k]] for k in (0, 1)]
+    bags = lambda seed: [quality.bag_of(_prose(seed + i, words[i % 2], 150)) for i in range(40)]
+    model = quality.train(bags(0), np.arange(40) % 2.0)
+    *_, logit = model.forward(*model.encoded(bags(1000)))
+    assert ((logit > 0) == (np.arange(40) % 2 == 1)).mean() >= 0.95
 
 
 def test_passages_describe_whole_texts():
-    assert quality.passages(None).shape == quality.passages("").shape == (1, quality.WIDTH)
+    assert quality.bag_of(None).shape.shape == quality.bag_of("").shape.shape == (1, quality.WIDTH)
     long = "word " * 640_000
-    assert len(quality.passages(long)) == 10_000
-    plain = quality.passages("one two three four")
-    assert np.isclose(plain[0, : quality._CLASSES].sum(), 1.0)
-    assert quality.passages("same same same same")[0].tolist() != plain[0].tolist()
+    assert len(quality.bag_of(long).count) == 10_000 and quality.bag_of(long).count.sum() == 2 * 640_000 - 1
+    assert len(quality.bag_of(long, 32).count) == 32 and quality.bag_of(long, 32).count.sum() == len(quality.bag_of(long, 32).grams)
+    assert np.isclose(quality.bag_of("one two three four").shape[0, : quality._CLASSES].sum(), 1.0)
+    assert quality.bag_of("same same same same").shape[0].tolist() != quality.bag_of("one two three four").shape[0].tolist()
 
 
 def test_quality_odd_rows(spark):
