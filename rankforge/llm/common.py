@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -28,18 +30,45 @@ def arrow_map(df: DataFrame, function, schema: str) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The folder that the session names in spark.checkpoint.dir.
 
-    Only where that is unset (tests, a laptop) a temporary one is taken.
+    Only where that is unset and Spark runs in one process a temporary one is taken.
     """
     context = spark.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(context.getConf().get("spark.checkpoint.dir") or tempfile.mkdtemp(prefix="checkpoint-"))
+        folder = context.getConf().get("spark.checkpoint.dir")
+        if not folder and not context.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="checkpoint-"))
     return context.getConf().get("spark.checkpoint.dir") or context._jsc.sc().getCheckpointDir().get()
 
 
+_scratch: list[list[str]] = []
+
+
 def settle(df: DataFrame) -> DataFrame:
     """Cut the lineage of `df` with a reliable checkpoint in the shared folder."""
     shared_folder(df.sparkSession)
-    return df.checkpoint(eager=True)
+    out = df.checkpoint(eager=True)
+    if _scratch:
+        _scratch[-1].append(out._jdf.queryExecution().logical().rdd().getCheckpointFile().get())
+    return out
+
+
+@contextmanager
+def scratch(spark: SparkSession) -> Iterator[None]:
+    """Checkpoints made inside are deleted at the end: what is to stay must have been written by then."""
+    _scratch.append([])
+    try:
+        yield
+    finally:
+        for path in _scratch.pop():
+            folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def is_written(spark: SparkSession, folder: str) -> bool:
+    """Whether a job has finished writing into the folder."""
+    mark = spark._jvm.org.apache.hadoop.fs.Path(folder, "_SUCCESS")
+    return mark.getFileSystem(spark._jsc.hadoopConfiguration()).exists(mark)
 
 
 def count_rows(df: DataFrame) -> int:

@@ -11,6 +11,10 @@ Pieces are dealt by hash into blocks of about `BLOCK` rows that are packed
 independently, so a task holds one block, and only the last bins of a block can
 be worse than a joint packing's.
 
+Token ids don't travel with the lengths: only the places do, and are joined to
+the pieces by the number of the document's row (`doc_row`), which also tells the
+pieces of repeated documents apart.
+
 Defined cases: a null or empty text is one piece with the end id alone; any
 text is used whole; repeated rows are separate documents; extra columns are not
 carried; an empty table gives an empty packing.
@@ -73,7 +77,7 @@ def bin_slack(lengths: list[int], capacity: int = CAPACITY) -> list[list[int]]:
 
 
 def cut(docs: DataFrame, payload: str = "ids", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None) -> DataFrame:
-    """doc_id, piece, start, length and the payload: ids (array) or ids_crc32."""
+    """doc_id, doc_row (a number of the input row), piece, start, length and the payload: ids (array) or ids_crc32."""
     vocabulary = vocabulary or default_vocabulary()
     kind = docs.schema["doc_id"].dataType.simpleString()
     whole = payload == "ids"
@@ -82,7 +86,7 @@ def cut(docs: DataFrame, payload: str = "ids", capacity: int = CAPACITY, end_id:
         encode = encoder(vocabulary)
         for batch in batches:
             rows, part, start, length, held = [], [], [], [], []
-            for row, text in enumerate(batch.column(1)):
+            for row, text in enumerate(batch.column(2)):
                 ids = np.append(encode(text.as_py() or ""), np.uint32(end_id))
                 n = -(-len(ids) // capacity)
                 for k in range(n):
@@ -92,14 +96,14 @@ def cut(docs: DataFrame, payload: str = "ids", capacity: int = CAPACITY, end_id:
                     held.append(own.astype("<u4") if whole else zlib.crc32(own.astype("<u4").tobytes()))
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column(0).take(pa.array(rows, pa.int64())), pa.array(part, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
+                    batch.column(0).take(pa.array(rows, pa.int64())), batch.column(1).take(pa.array(rows, pa.int64())), pa.array(part, pa.int32()), pa.array(start, pa.int64()), pa.array(length, pa.int64()),
                     pa.array([x.astype(np.int32) for x in held], pa.list_(pa.int32())) if whole else pa.array(held, pa.int64()),
                 ],
-                names=["doc_id", "piece", "start", "length", payload],
+                names=["doc_id", "doc_row", "piece", "start", "length", payload],
             )
 
     return arrow_map(
-        docs.select("doc_id", F.col("text").cast("string").alias("text")), pieces, f"doc_id {kind}, piece int, start long, length long, {payload} {'array<int>' if whole else 'long'}"
+        docs.select("doc_id", F.monotonically_increasing_id().alias("doc_row"), F.col("text").cast("string").alias("text")), pieces, f"doc_id {kind}, doc_row long, piece int, start long, length long, {payload} {'array<int>' if whole else 'long'}"
     )
 
 
@@ -120,9 +124,11 @@ def pack(docs: DataFrame, payload: str = "ids", capacity: int = CAPACITY, end_id
                 at += lengths[i]
         return group.drop_columns(["block"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in pieces.schema)
-    dealt = pieces.withColumn("block", F.pmod(F.xxhash64(F.monotonically_increasing_id(), "doc_id"), F.lit(blocks)))
-    return dealt.groupBy("block").applyInArrow(place, schema + ", sequence_id long, offset long")
+    light = pieces.drop("ids")  # a block of token ids would be large
+    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in light.schema)
+    dealt = light.withColumn("block", F.pmod(F.xxhash64("doc_row", "piece"), F.lit(blocks)))
+    placed = dealt.groupBy("block").applyInArrow(place, schema + ", sequence_id long, offset long")
+    return pieces.join(placed.select("doc_row", "piece", "sequence_id", "offset"), ["doc_row", "piece"]).select(*pieces.columns, "sequence_id", "offset") if "ids" in pieces.columns else placed
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:
