@@ -46,7 +46,7 @@ WORDS = 5
 SIMILARITY = 0.8
 BANDS, ROWS = 24, 6
 #: Shingles whose darts are thrown together: bounds the working memory.
-THROWN = 1 << 13
+THROWN = 1 << 15
 
 _SALTS = np.array([0x8CB92BA72F3D8DD7, 0x3C6EF372FE94F82B], dtype=np.uint64)
 
@@ -81,7 +81,7 @@ def describe(docs: DataFrame, words: int = WORDS) -> DataFrame:
             node, weight, keys = [None] * len(texts), [0] * len(texts), [[]] * len(texts)
             rows, held, size = [], [], 0
             for i in range(len(texts) + 1):
-                if held and (i == len(texts) or size > THROWN or len(held) == 128):
+                if held and (i == len(texts) or size > THROWN or len(held) == 256):
                     counted = [occurrences(x) for x in held]
                     owner = np.repeat(np.arange(len(held)), [len(v) for v, _ in counted])
                     made = signatures(owner, np.concatenate([v for v, _ in counted]), np.concatenate([c for _, c in counted]).astype(np.float64), len(held), BANDS * ROWS)

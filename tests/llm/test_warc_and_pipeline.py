@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 import corpus_pipeline
 from rankforge.llm import registry, warc
+from rankforge.llm.common import settle
+from rankforge.llm.tokens import default_vocabulary, encoder
 from tests.llm.test_dedup import brute_classes
 from tests.llm.test_text_operators import _fill
 
@@ -115,6 +117,45 @@ def test_pipeline_stages_decide(spark, tmp_path):
     packed = docs.collect()
     assert sum(r["length"] for r in packed if r["piece"] == 0) > 0
     assert {r["doc_id"] for r in packed} == {r["doc_id"] for r in frames["packing_in"].collect()}
+    # the result is the corpus: every repetition's token ids, whole and in order
+    encode, made = encoder(default_vocabulary()), {}
+    for r in sorted(packed, key=lambda r: r["piece"]):
+        made.setdefault((r["doc_id"], r["doc_row"]), []).extend(r["ids"])
+    want = sorted((r["doc_id"], [*encode(r["text"] or "").tolist(), 0]) for r in frames["packing_in"].select("doc_id", "text").collect())
+    assert sorted((i, ids) for (i, _), ids in made.items()) == want
+
+
+def test_language_stage_drops_foreign_documents(spark):
+    """Planted documents in a language that none of the rows has, a few sentences and 20,000 words long."""
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    latin = "Gallia est omnis divisa in partes tres, quarum unam incolunt Belgae, aliam Aquitani, tertiam qui ipsorum lingua Celtae, nostra Galli appellantur. "
+    planted = [(-1, latin * 3), (-2, latin * 1000), (-3, "\u0395\u03bd \u03b1\u03c1\u03c7\u03ae \u03ae\u03bd \u03bf \u03bb\u03cc\u03b3\u03bf\u03c2 " * 900), (-4, "12 34 " * 90), (-5, None)]
+    more = spark.createDataFrame(planted, "doc_id long, text string").select("doc_id", "text", *[F.lit(None).cast(docs.schema[c].dataType).alias(c) for c in docs.columns if c not in ("doc_id", "text")])
+    kept = corpus_pipeline.language_stage(spark, docs.unionByName(more), "")
+    assert kept.columns == docs.columns and kept.where("doc_id < 0").count() == 0
+    assert kept.count() >= 0.99 * docs.count()
+
+
+def test_a_run_goes_on_where_an_earlier_one_ended(spark, tmp_path, monkeypatch):
+    done = []
+
+    def stage(name):
+        def work(spark, docs, sf_dir):
+            done.append(name)
+            if name == "b" and done.count("b") == 1:
+                raise RuntimeError("lost")
+            return settle(docs.where(f"doc_id % {len(name) + 1} = 0"))
+
+        return work
+
+    monkeypatch.setattr(corpus_pipeline, "STAGES", [(n, stage(n)) for n in "abc"])
+    folder = str(tmp_path / "run")
+    try:
+        corpus_pipeline.run(spark, "/root/testdata/sf0.001", folder)
+    except RuntimeError:
+        pass
+    out = corpus_pipeline.run(spark, "/root/testdata/sf0.001", folder)
+    assert done == ["a", "b", "b", "c"] and out.count() == 100
 
 
 def test_registered_names():
