@@ -1,8 +1,12 @@
 """A training corpus from raw documents, stage by stage.
 
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
-kept; between stages the documents are written as Parquet and read again, so an
-executor or a whole stage can be lost without starting over.
+kept; between stages the documents are written as Parquet and read again.  A run
+that is given the folder of an earlier one goes on after the last stage that the
+earlier one finished.  A stage's checkpoints are deleted when it is written.
+
+The result has the token ids of every piece with its sequence and offset.
+`doc_row` tells repetitions of a document apart.
 """
 
 from __future__ import annotations
@@ -12,7 +16,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 from rankforge.llm import dedup, language, mixing, packing, quality
-from rankforge.llm.common import shared_folder, table
+from rankforge.llm.common import is_written, scratch, shared_folder, table
 
 
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -37,7 +41,7 @@ def mixing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The pieces of the documents with their places in sequences."""
-    return packing.pack(docs, payload="ids_crc32")
+    return packing.pack(docs, payload="ids")
 
 
 STAGES = [
@@ -52,10 +56,12 @@ STAGES = [
 ORACLE_SQL = None
 
 
-def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
+    folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES:
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
+        if not is_written(spark, f"{folder}/{name}"):
+            with scratch(spark):
+                stage(spark, docs, sf_dir).write.mode("overwrite").parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
     return docs
