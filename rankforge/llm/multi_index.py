@@ -5,18 +5,19 @@ centroids, which gives CODES^2 cells.  The codebooks are fitted on a bounded
 sample (`SAMPLE` vectors by a hash of vec_id); every vector is indexed.  A query
 orders the cells by the sum of its two halves' distances (the negative inner
 product with the centroid): a heap walks the pairs in that order until the
-visited cells hold `SHARE` of all entries and at least `LEAST`.  The entries of
-the visited cells are reranked with exact inner products in double precision.
+visited cells hold a share of all entries, or `LEAST` if that is more.  The
+entries of the visited cells are reranked with exact inner products in double
+precision.
+
+The share is fitted on the sample too: the least one at which `RECALL` of the true
+neighbours of `TRIALS` of its vectors are in visited cells.  It is small for data
+with structure; vectors that are close to random in 64 dimensions need 0.3 to 0.4.
 
 Neighbouring cells are put together into blocks of bounded size (a large cell is
 spread over several), and a query only goes to blocks with a cell that it visits.
 What a query must remember of its walk is one number, the largest visited sum:
 the visited cells are those with no larger one.
 
-The benchmark vectors are close to random in 64 dimensions, so a recall of 0.9
-takes a large share of the entries; SHARE is a parameter for data with
-structure.
-
 Defined cases: vectors that are null, zero or hold a null, NaN or infinite
 component and rows with a null vec_id take no part; vectors shorter than the
 longest end in zeros; rows with the query's own vec_id are its own; repeated
@@ -40,8 +41,9 @@ from rankforge.llm.vectors import BLOCK, as_found, best, keep_best, matrix, sear
 K = 20
 CODES = 128
 SAMPLE = 8192
-SHARE = 0.4
-LEAST = 2000
+LEAST = 4 * K
+RECALL = 0.94
+TRIALS = 256
 
 
 def centroids(points: np.ndarray, codes: int, rounds: int = 10, seed: int = 3) -> np.ndarray:
@@ -96,6 +98,27 @@ def blocks_of(counts: np.ndarray, size: int) -> tuple[np.ndarray, np.ndarray]:
     return start, number
 
 
+def share_for(points: np.ndarray, first: np.ndarray, second: np.ndarray, n: int, k: int = K, recall: float = RECALL, trials: int = TRIALS) -> float:
+    """The least share of entries, in order of their cells' distances, that holds `recall` of the neighbours of some sampled vectors.
+
+    The k nearest of n entries are about the k * len(points) / n nearest of the sample.
+    """
+    half, m = first.shape[1], len(points)
+    near = min(max(2, round(k * m / max(n, 1))), m - 1)
+    if near < 1:
+        return 1.0
+    asked = np.random.default_rng(5).permutation(m)[:trials]
+    own = points[asked]
+    distance = -(own[:, :half] @ first.T)[:, nearest(points[:, :half], first)] - (own[:, half:] @ second.T)[:, nearest(points[:, half:], second)]
+    score = own @ points.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    true = np.argpartition(-score, near - 1, axis=1)[:, :near]
+    limit = np.take_along_axis(distance, true, 1)
+    # a cell is visited as a whole, so an entry needs all that are as near as it is
+    rank = np.stack([np.searchsorted(np.sort(d), x, side="right") for d, x in zip(distance, limit, strict=True)])
+    return float(np.quantile(rank / m, recall))
+
+
 def rerank(ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, visits: np.ndarray, k: int):
     """(query position, vec_id, score) of each query's k best among the entries of its cells.
 
@@ -119,8 +142,8 @@ def rerank(ids: np.ndarray, vectors: np.ndarray, cells: np.ndarray, query_ids: n
     return q[kept], ids[v][kept], exact[kept]
 
 
-def neighbours(rows: DataFrame, asks: Column, k: int = K, codes: int = CODES, share: float = SHARE, least: int = LEAST, sample: int = SAMPLE) -> DataFrame:
-    """query_id, rank, vec_id, score; `rows` has vec_id and embedding."""
+def neighbours(rows: DataFrame, asks: Column, k: int = K, codes: int = CODES, share: float | None = None, least: int = LEAST, sample: int = SAMPLE) -> DataFrame:
+    """query_id, rank, vec_id, score; `rows` has vec_id and embedding, `share` stands in for the fitted one."""
     vector = F.transform("embedding", lambda x: x.cast("double"))
     rows = rows.where(F.col("vec_id").isNotNull() & usable(F.col("embedding"))).select(F.col("vec_id").cast("long").alias("vec_id"), vector.alias("vector"))
     rows = rows.where(F.exists("vector", lambda x: x != 0))
@@ -130,6 +153,7 @@ def neighbours(rows: DataFrame, asks: Column, k: int = K, codes: int = CODES, sh
     fitted = rows.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("vector").toArrow()
     points = matrix(fitted["vector"], width) if len(fitted) else np.zeros((1, width))
     first, second = centroids(points[:, :half], codes), centroids(points[:, half:], codes)
+    share = share_for(points, first, second, n, k) if share is None else share
     codes = len(second)
 
     def assign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -143,12 +167,6 @@ def neighbours(rows: DataFrame, asks: Column, k: int = K, codes: int = CODES, sh
     for cell, entries in index.groupBy("cell").agg(F.count(F.lit(1))).collect():  # a row for each cell at most
         counts[cell] = entries
     start, number = blocks_of(counts, BLOCK)
-    spans: dict[int, list[int]] = {}
-    for cell in np.flatnonzero(counts):
-        for block in range(start[cell], start[cell] + number[cell]):
-            spans.setdefault(block, []).append(cell)
-    spans = {block: np.array(cells) for block, cells in spans.items()}
-
     def deal(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             cell, spread = batch.column(2).to_numpy(), batch.column(3).to_numpy()
@@ -167,7 +185,11 @@ def neighbours(rows: DataFrame, asks: Column, k: int = K, codes: int = CODES, sh
         for batch in batches:
             a, b = distances(matrix(batch.column(2), width))
             limit = np.array([walk(x, y, grid, enough) for x, y in zip(a, b, strict=True)])
-            see = [[block for block, cells in spans.items() if (x[cells // codes] + y[cells % codes] <= most).any()] for x, y, most in zip(a, b, limit, strict=True)]
+            see = []
+            for x, y, most in zip(a, b, limit, strict=True):
+                cells = np.flatnonzero((x[:, None] + y <= most).ravel() & (counts > 0))
+                wide = cells[number[cells] > 1]
+                see.append(np.unique(np.concatenate([start[cells], *(start[c] + np.arange(number[c]) for c in wide)])).astype(np.int32))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(limit, pa.float64()), pa.array(see, pa.list_(pa.int32()))], names=["uid", "query_id", "vector", "most", "blocks"])
 
     def find(entries: pa.Table, asked: pa.Table) -> pa.Table:

@@ -9,7 +9,8 @@ least t / (|q| * longest of b), the bucket's local threshold:
 * from `COORDINATE` on, coordinate pruning: at that cosine a vector's normalised
   component f lies in an interval around q_f's, so only vectors inside the
   intervals of the query's `FOCUS` largest components are verified;
-* below, length pruning: only vectors with |v| >= t / |q|, a prefix of the bucket.
+* below, length pruning: only vectors with |v| >= t / |q|, a prefix of the bucket
+  for each query (queries go in groups of `TOGETHER` with prefixes of like length).
 
 Survivors are verified with their exact integer products.  Every query starts
 with the k-th score among the `SEEDS` longest vectors, which also tells which
@@ -41,6 +42,7 @@ BUCKET = 512
 SEEDS = 4096
 COORDINATE = 0.55
 FOCUS = 3
+TOGETHER = 64
 _EXACT = float(1 << 53)
 
 
@@ -56,10 +58,10 @@ def lengths(vectors: np.ndarray) -> np.ndarray:
     return np.sqrt((vectors.astype(np.float64) ** 2).sum(1))
 
 
-def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, bucket: int = BUCKET):
+def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries: np.ndarray, floor: np.ndarray, k: int, bucket: int = BUCKET, verified: list[int] | None = None):
     """(query position, vec_id, score) of each query's k best, given a lower bound of its k-th score.
 
-    Vectors may come in any order.
+    Vectors may come in any order.  The numbers of products made go to `verified`.
     """
     size, asked = lengths(vectors), np.maximum(lengths(queries), 1e-300)
     order = np.argsort(-size, kind="stable")
@@ -80,11 +82,18 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             continue
         got = [held]
         by_length = live[local[live] < COORDINATE]
-        if len(by_length):
-            stop = begin + int(np.searchsorted(-size[part], -np.maximum(0.0, (bound[by_length] / asked[by_length]).min()) * (1 - 1e-9), side="right"))
-            score = products(queries[by_length], vectors[begin:stop])
-            q, v = np.nonzero((score >= bound[by_length][:, None]) & (query_ids[by_length][:, None] != ids[begin:stop]))
-            got.append((by_length[q], ids[begin:stop][v], score[q, v]))
+        stops = begin + np.searchsorted(-size[part], -np.maximum(0.0, bound[by_length] / asked[by_length]) * (1 - 1e-9), side="right")
+        ranked = np.argsort(-stops, kind="stable")
+        for at in range(0, len(ranked), TOGETHER):
+            some = by_length[ranked[at : at + TOGETHER]]
+            stop = stops[ranked[at]]
+            if stop == begin:
+                break
+            score = products(queries[some], vectors[begin:stop])
+            q, v = np.nonzero((score >= bound[some][:, None]) & (query_ids[some][:, None] != ids[begin:stop]))
+            got.append((some[q], ids[begin:stop][v], score[q, v]))
+            if verified is not None:
+                verified.append(score.size)
         for q in live[local[live] >= COORDINATE]:
             t = min(1.0, local[q])
             f = focus[q]
@@ -96,6 +105,8 @@ def search(ids: np.ndarray, vectors: np.ndarray, query_ids: np.ndarray, queries:
             inside = begin + np.flatnonzero(((here >= low) & (here <= high)).all(1) & (ids[part] != query_ids[q]))
             score = products(queries[q : q + 1], vectors[inside])[0]
             good = score >= bound[q]
+            if verified is not None:
+                verified.append(len(inside))
             got.append((np.full(good.sum(), q), ids[inside[good]], score[good]))
         owner, who, score = (np.concatenate(x) for x in zip(*got, strict=True))
         kept = keep_best(owner, score, who, k)
@@ -117,7 +128,8 @@ def top_k(rows: DataFrame, asks: Column, k: int = K) -> DataFrame:
     # equal lengths are spread by the id's hash, so that they fill several blocks
     blocks = rows.repartitionByRange(max(1, -(-n // BLOCK)), F.desc("norm"), F.xxhash64("vec_id")).withColumn("block", F.spark_partition_id())
     blocks = settle(blocks.select("block", "vec_id", "ints", "norm"))
-    longest = sorted((r["block"], r["norm"]) for r in blocks.groupBy("block").agg(F.max("norm").alias("norm")).collect())
+    # one number for each block: what a query must see is a run of blocks from the first on
+    longest = np.array([most for _, most in sorted(tuple(r) for r in blocks.groupBy("block").agg(F.max("norm")).collect())] or [0.0])
     queries = settle(rows.where(asks).select("vec_id", "ints").distinct().select(F.monotonically_increasing_id().alias("uid"), F.col("vec_id").alias("query_id"), "ints"))
 
     def begin(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -130,8 +142,9 @@ def top_k(rows: DataFrame, asks: Column, k: int = K) -> DataFrame:
             full = count >= k
             bound[full] = score[(np.cumsum(count) - 1)[full]]
             norm = lengths(vectors)
-            see = [[b for b, most in longest if bound[i] <= norm[i] * most * (1 + 1e-9)] for i in range(len(vectors))]
-            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound, pa.float64()), pa.array(see, pa.list_(pa.int32()))], names=["uid", "query_id", "ints", "bound", "blocks"])
+            least = np.where(bound > 0, bound / np.maximum(norm, 1e-300) / (1 + 1e-9), -1.0)
+            see = np.searchsorted(-longest, -least, side="right")
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(bound, pa.float64()), pa.array(see, pa.int32())], names=["uid", "query_id", "ints", "bound", "see"])
 
     def find(entries: pa.Table, asked: pa.Table) -> pa.Table:
         uid, query_id = asked["uid"].to_numpy(), asked["query_id"].to_numpy()
@@ -144,7 +157,8 @@ def top_k(rows: DataFrame, asks: Column, k: int = K) -> DataFrame:
 
     asked = queries.count()
     queries = queries.repartition(max(1, -(-asked // 512)), "uid")
-    ready = arrow_map(queries, begin, "uid long, query_id long, ints array<bigint>, bound double, blocks array<int>")
+    ready = arrow_map(queries, begin, "uid long, query_id long, ints array<bigint>, bound double, see int")
+    ready = ready.where("see > 0").withColumn("blocks", F.sequence(F.lit(0), F.col("see") - 1)).drop("see")
     return best(search_blocks(blocks.select("block", "vec_id", "ints"), ready, find, "long", asked), k)
 
 

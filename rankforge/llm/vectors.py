@@ -14,8 +14,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-#: Vectors in a block, queries in a block.
-BLOCK, QUERIES = 8192, 2048
+from rankforge.llm.common import settle
+
+#: Vectors in a block, queries in a part.
+BLOCK, QUERIES = 4096, 4096
 FOUND = "uid long, query_id long, vec_id long, score {score}"
 
 
@@ -36,14 +38,15 @@ def matrix(column: pa.Array | pa.ChunkedArray, width: int, dtype=np.float64) ->
 
 
 def search_blocks(entries: DataFrame, queries: DataFrame, find: Callable, score: str, n_queries: int) -> DataFrame:
-    """uid, query_id, vec_id, score from find(entries of a block, queries of a block) as Arrow tables.
+    """uid, query_id, vec_id, score from find(entries of a block, queries of a part) as Arrow tables.
 
     `entries` has a column block, `queries` a column blocks: the blocks that a
-    query must see.
+    query must see.  A block only goes to the parts with a query that asks for it.
     """
     parts = max(1, -(-n_queries // QUERIES))
-    dealt = entries.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
-    asked = queries.withColumn("block", F.explode("blocks")).drop("blocks").withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int"))
+    asked = settle(queries.withColumn("block", F.explode("blocks")).drop("blocks").withColumn("part", F.pmod(F.xxhash64("uid"), F.lit(parts)).cast("int")))
+    pairs = asked.select(F.col("block").alias("at"), F.col("part").alias("to")).distinct()
+    dealt = entries.join(pairs, F.col("block") == F.col("at")).drop("at").withColumnRenamed("to", "part")
     return dealt.groupBy("block", "part").cogroup(asked.groupBy("block", "part")).applyInArrow(find, FOUND.format(score=score))
 
 

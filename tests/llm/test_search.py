@@ -63,6 +63,21 @@ def test_topk_rows(spark, monkeypatch):
     assert topk.top_k(frame.where("vec_id = 0"), F.lit(True)).count() == 0
 
 
+def test_each_query_is_pruned_by_its_own_bound(monkeypatch):
+    """One query without a bound doesn't make the others verify everything."""
+    monkeypatch.setattr(topk, "COORDINATE", 2.0)
+    rng = np.random.default_rng(4)
+    vectors = np.floor(rng.normal(0, 1, (4000, 16)) * np.exp(rng.uniform(0, 5, (4000, 1))) * 10).astype(np.int64)
+    ids, ask = np.arange(4000), np.arange(0, 4000, 20)
+    floor = np.sort(vectors[ask] @ vectors.T, axis=1)[:, -6].astype(float)
+    counts = []
+    for bound in (floor, np.where(ask == 0, -np.inf, floor)):
+        verified = []
+        topk.search(ids, vectors, ids[ask], vectors[ask], bound, 5, bucket=4000, verified=verified)
+        counts.append(sum(verified) / (len(ask) * len(ids)))
+    assert counts[0] < 0.3 and counts[1] < counts[0] + topk.TOGETHER / len(ask)
+
+
 def test_large_products_stay_exact():
     a = np.array([[1 << 31, 1]], dtype=np.int64)
     assert topk.products(a, np.array([[1 << 30, 3]], dtype=np.int64))[0, 0] == (1 << 61) + 3
@@ -114,7 +129,35 @@ def test_keep_best_breaks_ties_by_id():
     assert kept.tolist() == [3, 2, 0]
 
 
-def test_contract_query_recall(spark):
+def _exact(x, asked, k):
+    score = x[asked] @ x.T
+    score[np.arange(len(asked)), asked] = -np.inf
+    return [{(int(q), int(j)) for j in np.lexsort((np.arange(len(x)), -s))[:k]} for q, s in zip(asked, score, strict=True)]
+
+
+def _found(spark, x, folder):
+    frame = spark.createDataFrame([(i, [float(v) for v in r]) for i, r in enumerate(x)], "vec_id long, embedding array<double>")
+    frame.write.parquet(f"{folder}/embeddings.parquet")
+    return {(r["query_id"], r["vec_id"]) for r in multi_index.query(spark, str(folder)).collect()}
+
+
+def test_contract_query_recall(spark, tmp_path):
+    """At the registered parameters on 12,000 nearly random vectors, like the tables', and on 12,000 in clusters."""
+    rng = np.random.default_rng(8)
+    loose = rng.normal(size=(12_000, 64))
+    tight = rng.normal(size=(300, 64))[rng.integers(0, 300, 12_000)] + 0.25 * rng.normal(size=(12_000, 64))
+    for name, x, most in (("loose", loose, 0.5), ("tight", tight, 0.1)):
+        x = x / np.linalg.norm(x, axis=1, keepdims=True)
+        sample = x[:8192]
+        first, second = multi_index.centroids(sample[:, :32], multi_index.CODES), multi_index.centroids(sample[:, 32:], multi_index.CODES)
+        share = multi_index.share_for(sample, first, second, len(x))
+        assert share < most, (name, share)
+        found = _found(spark, x, tmp_path / name)
+        truth = set.union(*_exact(x, np.arange(0, 12_000, 20), 20))
+        assert len(found) == len(truth) and len(truth & found) >= 0.9 * len(truth), name
+
+
+def test_contract_query_recall_on_a_small_table(spark):
     sf = "/root/testdata/sf0.001"
     rows = [(r["vec_id"], list(r["embedding"]), 0) for r in spark.read.parquet(f"{sf}/embeddings.parquet").collect()]
     found = {(r["query_id"], r["vec_id"]) for r in multi_index.query(spark, sf).collect()}
