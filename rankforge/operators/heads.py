@@ -1,17 +1,19 @@
 """Model heads from aggregated moments.
 
-Ridge, logistic regression and PCA only need d x d sums of the rows.  Those are
-SQL aggregates (one row reaches the driver, its size set by the number of
-features, not of rows); the small systems are solved there, and predictions are
-column expressions again.
+Ridge, logistic regression and PCA only need d x d sums of the rows.  Tasks add
+them up over Arrow batches, a few tasks add the tasks' sums, and what reaches the
+driver has a size set by the number of features, not of rows.  The small systems
+are solved there, and predictions are column expressions again.  Rows with a null
+feature, label or target are not fitted.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Iterable, Iterator, Sequence
 from typing import NamedTuple
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,16 +37,56 @@ def fit_scaler(df: DataFrame, features: Sequence[str]) -> Scaler:
     return Scaler(values[: len(features)], np.where(scale > 0, scale, 1.0))
 
 
+#: Tasks that add up the sums of all others.
+ADDERS = 8
+
+
+def array_sums(df: DataFrame, parts: Callable[[pa.RecordBatch], Iterable[tuple[int, np.ndarray]]]) -> dict[int, np.ndarray]:
+    """key -> sum of the arrays that `parts` makes of every batch."""
+
+    def added(pairs: Iterable[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
+        total: dict[int, np.ndarray] = {}
+        for key, part in pairs:
+            total[key] = total[key] + part if key in total else part
+        keys = sorted(total)
+        yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array([total[k] for k in keys], pa.list_(pa.float64()))], names=["key", "sums"])
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added(pair for batch in batches for pair in parts(batch))
+
+    def sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return added((k.as_py(), v.values.to_numpy()) for batch in batches for k, v in zip(*batch.columns, strict=True))
+
+    shape = "key int, sums array<double>"
+    out: dict[int, np.ndarray] = {}
+    for row in df.mapInArrow(rows, shape).repartition(ADDERS).mapInArrow(sums, shape).collect():  # ADDERS rows for each key at most
+        out[row["key"]] = out.get(row["key"], 0.0) + np.array(row["sums"])
+    return out
+
+
+def dense(column: pa.Array, width: int) -> np.ndarray:
+    """(rows, width) of a list column without nulls."""
+    return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
+
+
+def vectors(columns: Sequence[Column | str]) -> Column:
+    return F.array(*[(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns])
+
+
+def _whole(vector: str) -> Column:
+    return F.forall(vector, lambda x: x.isNotNull())
+
+
 def moments(df: DataFrame, columns: Sequence[Column], weight: Column | None = None) -> np.ndarray:
     """Symmetric matrix of weighted sums of products of the columns."""
-    w = F.lit(1.0) if weight is None else weight
-    named = df.select(*[c.alias(f"x{i}") for i, c in enumerate(columns)], w.alias("w"))
     d = len(columns)
-    sums = [F.expr(f"sum(x{i} * x{j} * w)") for i in range(d) for j in range(i, d)]
-    row = np.array([0.0 if v is None else v for v in named.agg(*sums).first()], dtype=float)
-    out = np.zeros((d, d))
-    out[np.triu_indices(d)] = row
-    return out + np.triu(out, 1).T
+    rows = df.select(vectors([*columns, F.lit(1.0) if weight is None else weight]).alias("x")).where(_whole("x"))
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        x = dense(batch.column(0), d + 1)
+        yield 0, (x[:, :d].T @ (x[:, :d] * x[:, d:])).ravel()
+
+    return array_sums(rows, parts).get(0, np.zeros(d * d)).reshape(d, d)
 
 
 def linear(columns: Sequence[Column], coefficients: np.ndarray, intercept: float) -> Column:
@@ -95,16 +137,17 @@ def quoted(features: Sequence[str]) -> list[str]:
     return ["`" + f.replace("`", "``") + "`" for f in features]
 
 
-def grouped_moments(df: DataFrame, columns: Sequence[str], key: str) -> dict:
-    """Value of `key` -> symmetric matrix of sums of products of the columns, in one aggregation."""
+def grouped_moments(df: DataFrame, columns: Sequence[str], key: str) -> dict[int, np.ndarray]:
+    """Value of the integer `key` -> symmetric matrix of sums of products of the columns, in one pass."""
     d = len(columns)
-    sums = [F.expr(f"sum({columns[i]} * {columns[j]})") for i in range(d) for j in range(i, d)]
-    out = {}
-    for row in df.groupBy(key).agg(*sums).collect():
-        full = np.zeros((d, d))
-        full[np.triu_indices(d)] = [0.0 if v is None else v for v in row[1:]]
-        out[row[0]] = full + np.triu(full, 1).T
-    return out
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        of, x = batch.column(0).to_numpy(), dense(batch.column(1), d)
+        for k in np.unique(of):
+            yield int(k), (x[of == k].T @ x[of == k]).ravel()
+
+    rows = df.select(F.col(key).cast("int").alias("key"), vectors(columns).alias("x")).where(F.col("key").isNotNull() & _whole("x"))
+    return {k: v.reshape(d, d) for k, v in array_sums(rows, parts).items()}
 
 
 def ridge_from_sums(full: np.ndarray, center: np.ndarray, alpha: float) -> np.ndarray:
@@ -167,11 +210,11 @@ class Logistic(NamedTuple):
         return F.expr(f"1.0D / (1.0D + exp(-({dot(quoted(features), numbers([*raw, self.intercept - raw @ self.scaler.mean]))})))")
 
 
-def fit_logistics(df: DataFrame, features: Sequence[str], label: str, grid: Sequence[float], rounds: int = 25) -> list[Logistic]:
-    """Class-balanced L2 logistic regressions, one for each C of the grid.
+def fit_models(df: DataFrame, features: Sequence[str], label: str, specs: Sequence[tuple[Sequence[int], float]], rounds: int = 25) -> list[Logistic]:
+    """Class-balanced L2 logistic regressions, one for each (places of its features, C).
 
-    Newton steps on aggregated sums, those of all C in one job; the intercept is
-    penalised like the rest.
+    Newton steps on sums over the rows, those of all models in one job a step;
+    the intercept is penalised like the rest.
     """
     d = len(features)
     row = df.agg(*[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features], F.count(F.lit(1)), F.sum(label)).first()
@@ -180,33 +223,40 @@ def fit_logistics(df: DataFrame, features: Sequence[str], label: str, grid: Sequ
     n, positives = row[2 * d], row[2 * d + 1]
     if not positives or positives == n:
         raise ValueError("both classes are needed")
-    mean, scale = numbers(scaler.mean), numbers(scaler.scale)
-    inputs = [f"(cast({c} as double) - get({mean}, {i})) / get({scale}, {i}) AS x{i}" for i, c in enumerate(quoted(features))]
-    (name,) = quoted([label])
-    weight = f"get({numbers([n / (2.0 * (n - positives)), n / (2.0 * positives)])}, if({name} = 1, 1, 0)) AS w"
-    rows = df.selectExpr(*inputs, f"1.0D AS x{d}", f"cast({name} as double) AS y", weight)
-    # the Hessian's entries, then the gradient's
-    hessian = [f"sum(x{i} * x{j} * safe)" for i in range(d + 1) for j in range(i, d + 1)]
-    sums_of = [F.expr(e) for e in [*hessian, *(f"sum(x{i} * (y - p) * w)" for i in range(d + 1))]]
-    betas, todo = [np.zeros(d + 1) for _ in grid], list(range(len(grid)))
+    balance = np.array([n / (2.0 * (n - positives)), n / (2.0 * positives)])
+    places = [np.append(np.asarray(at, dtype=int), d) for at, _ in specs]  # the intercept comes last
+    betas, todo = [np.zeros(len(at)) for at in places], list(range(len(specs)))
+    rows = df.select(vectors([*features, label]).alias("x")).where(_whole("x"))
+
     for _ in range(rounds):
-        models = ", ".join(f"struct({m} AS m, {numbers(betas[m])} AS beta)" for m in todo)
-        at = rows.selectExpr("*", f"explode(array({models})) AS model")
-        at = at.selectExpr("*", f"1.0D / (1.0D + exp(-({dot([f'x{i}' for i in range(d)], 'model.beta')}))) AS p").selectExpr("*", "greatest(p * (1 - p), 1e-12D) * w AS safe")
-        left = []
-        for row in at.groupBy("model.m").agg(*sums_of).collect():  # one row for each C
-            m, sums = row[0], np.array([0.0 if v is None else v for v in row[1:]], dtype=float)
-            full = np.zeros((d + 1, d + 1))
-            full[np.triu_indices(d + 1)] = sums[: len(hessian)]
-            full = full + np.triu(full, 1).T
-            step = np.linalg.solve(grid[m] * full + np.eye(d + 1), grid[m] * sums[len(hessian) :] - betas[m])
+
+        def parts(batch: pa.RecordBatch, now: list = betas, live: list = todo) -> Iterator[tuple[int, np.ndarray]]:
+            x = dense(batch.column(0), d + 1)
+            y = x[:, d]
+            full = np.column_stack([(x[:, :d] - scaler.mean) / scaler.scale, np.ones(len(x))])
+            w = balance[(y == 1).astype(int)]
+            for m in live:
+                own = full[:, places[m]]
+                p = 1.0 / (1.0 + np.exp(-np.clip(own @ now[m], -700, 700)))
+                hessian = own.T @ (own * (np.maximum(p * (1 - p), 1e-12) * w)[:, None])
+                yield m, np.concatenate([hessian.ravel(), own.T @ ((y - p) * w)])
+
+        sums, left = array_sums(rows, parts), []
+        for m in todo:
+            k, c = len(places[m]), specs[m][1]
+            step = np.linalg.solve(c * sums[m][: k * k].reshape(k, k) + np.eye(k), c * sums[m][k * k :] - betas[m])
             betas[m] = betas[m] + step
             if np.abs(step).max() >= 1e-9:
                 left.append(m)
-        todo = sorted(left)
+        todo = left
         if not todo:
             break
-    return [Logistic(scaler, b[:-1], float(b[-1])) for b in betas]
+    return [Logistic(Scaler(scaler.mean[at[:-1]], scaler.scale[at[:-1]]), b[:-1], float(b[-1])) for at, b in zip(places, betas, strict=True)]
+
+
+def fit_logistics(df: DataFrame, features: Sequence[str], label: str, grid: Sequence[float], rounds: int = 25) -> list[Logistic]:
+    """`fit_models` for all features and each C of the grid."""
+    return fit_models(df, features, label, [(range(len(features)), c) for c in grid], rounds)
 
 
 def fit_logistic(df: DataFrame, features: Sequence[str], label: str, c: float, rounds: int = 25) -> Logistic:
@@ -274,6 +324,10 @@ class RandomMlp(NamedTuple):
         layer = lambda xs, w: [F.tanh(linear(xs, w[:-1, j], w[-1, j])) for j in range(w.shape[1])]
         return layer(layer(inputs, self.first), self.second)
 
+    def applied(self, x: np.ndarray) -> np.ndarray:
+        """The second layer of standardised rows."""
+        return np.tanh(np.tanh(x @ self.first[:-1] + self.first[-1]) @ self.second[:-1] + self.second[-1])
+
 
 #: Layer widths of the two sizes.
 MLP_SIZES = {"small": (16, 8), "large": (64, 32)}

@@ -248,3 +248,29 @@ def test_heads_read_whole_vectors(spark):
     rows, names = vectors._features(spark, "/root/testdata/sf0.001")
     assert names == [f"f{i}" for i in range(64)]
     assert rows.where(F.col("f63") != F.col("embedding")[63].cast("double")).isEmpty()
+
+
+def test_moments_of_many_features(spark):
+    rng = np.random.default_rng(2)
+    x = rng.normal(size=(300, 512))
+    df = spark.createDataFrame([(i % 3, [float(v) for v in r]) for i, r in enumerate(x)], "k int, v array<double>")
+    df, names = heads.unpack(df, "v", 512)
+    assert np.allclose(heads.moments(df, [F.col(n) for n in names]), x.T @ x)
+    grouped = heads.grouped_moments(df.withColumn("f0", F.when(F.col("k") < 2, F.col("f0"))), names[:20], "k")
+    assert sorted(grouped) == [0, 1] and np.allclose(grouped[1], x[1::3, :20].T @ x[1::3, :20])
+
+
+def test_models_on_parts_of_the_features(spark):
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(400, 5))
+    y = (x[:, 0] + x[:, 3] + rng.normal(size=400) > 0.4).astype(int)
+    names = [f"f{i}" for i in range(5)]
+    df = spark.createDataFrame([(*map(float, r), int(v)) for r, v in zip(x, y, strict=True)], ", ".join(f"{n} double" for n in names) + ", y int")
+    one, all_ = heads.fit_models(df, names, "y", [((0, 3), 0.5), (range(5), 2.0)])
+    alone = heads.fit_logistic(df, ["f0", "f3"], "y", 0.5)
+    assert np.allclose(one.coefficients, alone.coefficients) and np.isclose(one.intercept, alone.intercept)
+    # the penalised gradient vanishes
+    z = np.column_stack([(x - x.mean(0)) / x.std(0), np.ones(400)])
+    beta = np.append(all_.coefficients, all_.intercept)
+    w = np.where(y == 1, 200 / y.sum(), 200 / (400 - y.sum()))
+    assert np.allclose(2.0 * z.T @ ((y - 1 / (1 + np.exp(-z @ beta))) * w), beta, atol=1e-6)
