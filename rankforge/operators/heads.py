@@ -205,9 +205,10 @@ class Logistic(NamedTuple):
     coefficients: np.ndarray
     intercept: float
 
-    def predict(self, features: Sequence[str]) -> Column:
+    def predict(self, features: Sequence[str], quote: bool = True) -> Column:
+        """The probability from columns, or from SQL expressions without `quote`."""
         raw = self.coefficients / self.scaler.scale
-        return F.expr(f"1.0D / (1.0D + exp(-({dot(quoted(features), numbers([*raw, self.intercept - raw @ self.scaler.mean]))})))")
+        return F.expr(f"1.0D / (1.0D + exp(-({dot(quoted(features) if quote else features, numbers([*raw, self.intercept - raw @ self.scaler.mean]))})))")
 
 
 def fit_models(df: DataFrame, features: Sequence[str], label: str, specs: Sequence[tuple[Sequence[int], float]], rounds: int = 25) -> list[Logistic]:

@@ -210,10 +210,10 @@ def s21(spark: SparkSession, sf: str) -> DataFrame:
     folder, parts = _folder(spark), []
     for r in _rows(spark, sf, "region", "r_regionkey"):
         k, data = r["r_regionkey"], sinks.canonical_json(r)
-        parts.append({"name": f"part{k}", "size_bytes": len(data), "sha256sum": hashlib.sha256(data).hexdigest()})
+        parts.append({"part_name": f"part{k}", "part_size": len(data), "part_sha256": hashlib.sha256(data).hexdigest()})
         if k != 4:
             sinks.put_bytes(spark, data.swapcase() if k == 2 else data, f"{folder}/parts/part{k}" + (".bin" if k == 1 else ""))
-    return readers.check_parts(spark, f"{folder}/parts", {"parts": parts})
+    return readers.check_parts(spark, f"{folder}/parts", {"original_name": "region", "chunks": parts})
 
 
 @query(

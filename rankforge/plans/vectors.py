@@ -311,6 +311,36 @@ def m18(spark: SparkSession, sf: str) -> DataFrame:
     return run_benchmark(scored(spark, sf))
 
 
+def _candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """A synthetic candidate table with a row for each part."""
+    from rankforge.sources import readers
+
+    return settle(readers.simulate_until(spark, max(900, table(spark, sf, "part").count())))
+
+
+@query("m18_benchmark_methods")
+def m18_methods(spark: SparkSession, sf: str) -> DataFrame:
+    """All 14 methods: tuned scalars, heads, random nets of both sizes, transfers; 400 paired replicates."""
+    from rankforge.plans import benchmark
+
+    return benchmark.evaluate(benchmark.freeze(_candidates(spark, sf)))
+
+
+@query("m18_benchmark_conclusions")
+def m18_conclusions(spark: SparkSession, sf: str) -> DataFrame:
+    """Seven ablations, four registered predictions and the harness diagnostics of the benchmark."""
+    from rankforge.plans import benchmark
+
+    frame = _candidates(spark, sf)
+    frozen = benchmark.freeze(frame)
+    results = {r["method"]: r.asDict() for r in benchmark.evaluate(frozen).collect()}  # a row for each method
+    leaky = benchmark.leaky_split(frame)
+    rows = [("ablation", *r) for r in benchmark.ablations(results, leaky, frozen.parameters)]
+    rows += [("prediction", name, status, "observed", value) for name, status, value in benchmark.predictions(results, leaky)]
+    rows += [("diagnostic", name, "PASS" if ok else "FAIL", "passed", float(ok)) for name, ok in benchmark.diagnostics(frozen, results)]
+    return spark.createDataFrame(rows, "kind string, name string, status string, figure string, value double").withColumn("value", rounded("value"))
+
+
 @query("m24_calibrated_head")
 def m24(spark: SparkSession, sf: str) -> DataFrame:
     """A logistic fit on the head's own score (Platt), from the rows that the head did not see."""

@@ -11,6 +11,7 @@ import json
 import re
 from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
+from typing import NamedTuple
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,10 +55,32 @@ def wide_matrix(spark: SparkSession, path: str, sep: str = ",", cells: Sequence[
         missing = sorted(set(cells) - set(names))
         if missing:
             raise ValueError(f"cells missing from the matrix: {missing[:3]}")
-        names = list(cells)
-    entries = F.array(*[F.struct(F.lit(n).alias("cell"), F.col(f"`{n}`").cast("double").alias("value")) for n in names])
-    long = raw.select(F.col(f"`{gene}`").alias("gene"), F.explode(F.filter(entries, lambda e: e["value"] != 0)).alias("e"))
-    return long.select("gene", "e.cell", "e.value")
+        # few of many columns: the scan prunes the others
+        raw, names = raw.select(f"`{gene}`", *[f"`{c}`" for c in cells]), list(cells)
+    # one array of fields a row, whatever the number of columns: neither the plan nor generated code grows with it
+    fields = F.array(*[f"`{n}`" for n in names]) if len(names) <= NARROW else None
+    if fields is None:
+        lines = spark.read.text(path)
+        head = lines.first()["value"]
+        lines = lines.where(F.col("value") != head).select(F.split("value", _literal(sep)).alias("f"))
+        rows = lines.select(_unquoted(F.col("f")[0]).alias("gene"), F.slice("f", 2, len(names)).alias("v"))
+    else:
+        rows = raw.select(F.col(f"`{gene}`").alias("gene"), fields.alias("v"))
+    header = spark.createDataFrame([(names,)], "names array<string>")
+    cell = rows.select("gene", F.posexplode("v").alias("at", "text")).withColumn("value", F.nullif(F.col("text"), F.lit("")).cast("double")).where("value <> 0")
+    return cell.crossJoin(F.broadcast(header)).select("gene", F.get("names", F.col("at")).alias("cell"), "value")
+
+
+#: Columns up to which the CSV reader parses a wide row; beyond it lines are split, so quotes inside of fields aren't seen.
+NARROW = 500
+
+
+def _literal(sep: str) -> str:
+    return "\\Q" + sep + "\\E"
+
+
+def _unquoted(field: Column) -> Column:
+    return F.regexp_replace(field, '^"(.*)"$', "$1")
 
 
 def ragged_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -174,22 +197,53 @@ def find_unique(spark: SparkSession, root: str, name: str) -> str:
     return files[0]["path"]
 
 
-#: Spellings of the manifest's fields.
-SIZE_FIELDS, SHA_FIELDS = ("size", "bytes", "size_bytes"), ("sha256", "sha256sum", "sha_256")
+# The names of a split file's manifest fields, in order of preference.
+PART_LIST = ("parts", "chunks")
+PART_NAME = ("name", "filename", "part_name")
+PART_SIZE = ("size", "bytes", "part_size")
+PART_SHA256 = ("sha256", "part_sha256")
+WHOLE_NAME = ("original_name", "filename", "source_name")
+WHOLE_SIZE = ("original_size", "size", "source_size")
+WHOLE_SHA256 = ("original_sha256", "sha256")
+WHOLE_MD5 = ("original_md5", "md5")
+SOURCE_NAME, SOURCE_SIZE, SOURCE_SHA256, SOURCE_MD5 = ("name",), ("size",), ("sha256",), ("md5", "md5Checksum")
 
 
 def _field(entry: dict, names: Sequence[str]) -> object:
-    return next((entry[n] for n in names if n in entry), None)
+    return next((entry[n] for n in names if entry.get(n) is not None), None)
+
+
+class Manifest(NamedTuple):
+    """What a manifest says of the whole file and of its parts (name, size, sha256)."""
+
+    name: str | None
+    size: int | None
+    sha256: str | None
+    md5: str | None
+    parts: list[tuple[str, int, str | None]]
+
+
+def read_manifest(raw: dict) -> Manifest:
+    source = raw.get("source") if isinstance(raw.get("source"), dict) else {}
+    listed = _field(raw, PART_LIST)
+    if listed is None:
+        raise ValueError(f"the manifest has none of {PART_LIST}")
+    parts = []
+    for entry in listed:
+        name, size, sha = _field(entry, PART_NAME), _field(entry, PART_SIZE), _field(entry, PART_SHA256)
+        if name is None or size is None:
+            raise ValueError(f"a part without name or size: {entry}")
+        parts.append((str(name), int(size), None if not sha else str(sha).lower()))
+    whole = [_field(raw, own) if _field(raw, own) is not None else _field(source, of) for own, of in ((WHOLE_NAME, SOURCE_NAME), (WHOLE_SIZE, SOURCE_SIZE), (WHOLE_SHA256, SOURCE_SHA256), (WHOLE_MD5, SOURCE_MD5))]
+    return Manifest(whole[0], None if whole[1] is None else int(whole[1]), *(None if v is None else str(v).lower() for v in whole[2:]), parts)
 
 
 def check_parts(spark: SparkSession, root: str, manifest: dict) -> DataFrame:
-    """name, ord, ok for every part: its size and SHA-256 against the manifest; a part may have one more suffix."""
-    wanted = spark.createDataFrame(
-        [(i, p["name"], int(_field(p, SIZE_FIELDS)), str(_field(p, SHA_FIELDS)).lower()) for i, p in enumerate(manifest["parts"])], "ord int, name string, size long, sha string"
-    )
+    """name, ord, ok for every part: its size and, where given, SHA-256 against the manifest; a part may have one more suffix."""
+    wanted = spark.createDataFrame([(i, *part) for i, part in enumerate(read_manifest(manifest).parts)], "ord int, name string, size long, sha string")
     files = spark.read.format("binaryFile").load(root).select(F.element_at(F.split("path", "/"), -1).alias("file"), "length", F.sha2("content", 256).alias("digest"))
     named = F.expr("file = name OR startswith(file, name || '.')")
-    joined = wanted.join(F.broadcast(files), named, "left").groupBy("ord", "name").agg(F.count("file").alias("n"), F.coalesce(F.bool_and((F.col("length") == F.col("size")) & (F.col("digest") == F.col("sha"))), F.lit(False)).alias("ok"))
+    joined = wanted.join(F.broadcast(files), named, "left").groupBy("ord", "name").agg(F.count("file").alias("n"), F.coalesce(F.bool_and((F.col("length") == F.col("size")) & F.coalesce(F.col("digest") == F.col("sha"), F.lit(True))), F.lit(False)).alias("ok"))
     return joined.select("ord", "name", ((F.col("n") == 1) & F.col("ok")).alias("ok"))
 
 
@@ -205,13 +259,13 @@ def reassemble(spark: SparkSession, root: str, manifest: dict, target: str) -> s
     partial = f"{target}.part"
     files = spark.read.format("binaryFile").load(root).select("path", "content")
     with open(partial, "wb") as out:
-        for part in manifest["parts"]:  # one part in memory at a time
+        for part, *_ in read_manifest(manifest).parts:  # one part in memory at a time
             name = F.element_at(F.split("path", "/"), -1)
-            content = bytes(files.where((name == part["name"]) | name.startswith(part["name"] + ".")).first()["content"])
+            content = bytes(files.where((name == part) | name.startswith(part + ".")).first()["content"])
             out.write(content), sha.update(content), md5.update(content)
             size += len(content)
-    source = manifest.get("source", {})
-    wanted = {"size": _field(source, SIZE_FIELDS), "sha256": _field(source, SHA_FIELDS), "md5": source.get("md5Checksum", source.get("md5"))}
+    said = read_manifest(manifest)
+    wanted = {"size": said.size, "sha256": said.sha256, "md5": said.md5}
     seen = {"size": size, "sha256": sha.hexdigest(), "md5": md5.hexdigest()}
     wrong = [k for k, v in wanted.items() if v is not None and str(v).lower() != str(seen[k])]
     if wrong:

@@ -274,3 +274,30 @@ def test_models_on_parts_of_the_features(spark):
     beta = np.append(all_.coefficients, all_.intercept)
     w = np.where(y == 1, 200 / y.sum(), 200 / (400 - y.sum()))
     assert np.allclose(2.0 * z.T @ ((y - 1 / (1 + np.exp(-z @ beta))) * w), beta, atol=1e-6)
+
+
+def test_benchmark_of_all_methods(spark):
+    """Fourteen methods; metrics against plain Python on the frozen scores; the holdout is read once."""
+    from rankforge.plans import benchmark
+    from rankforge.sources import readers
+
+    frozen = benchmark.freeze(readers.simulate_until(spark, 900), 3)
+    got = {r["method"]: r.asDict() for r in benchmark.evaluate(frozen, replicates=20).collect()}
+    assert len(got) == 14 and {r["holdout_accesses"] for r in got.values()} == {1}
+    truth = {r["ord"]: r["label_post_cutoff"] for r in frozen.rows.collect() if not r["label_pre_cutoff"] and (r["entry_year"] is None or r["label_post_cutoff"])}
+    for method in ("popularity", "supervised_with_popularity", "random_mlp_large", "random_mlp_small_ood_transfer", "random_ranking"):
+        rows = [(r["score"], truth[r["ord"]]) for r in frozen.scores.where(F.col("method") == method).collect() if r["ord"] in truth]
+        assert len(rows) == len(truth) == got[method]["n"]
+        ap, tp, seen, positives = 0.0, 0, 0, sum(y for _, y in rows)
+        for score in sorted({s for s, _ in rows}, reverse=True):
+            tied = [y for s, y in rows if s == score]
+            tp, seen = tp + sum(tied), seen + len(tied)
+            ap += sum(tied) / positives * tp / seen
+        assert np.isclose(ap, got[method]["auprc"], atol=1e-8)
+    assert all(r["lower"] <= r["upper"] for r in got.values()) and got["popularity"]["excess"] == 0
+    assert got["supervised_unmatched_compute"]["configurations"] == 12 and frozen.parameters["random_mlp_large"] > frozen.parameters["random_mlp_small"]
+    assert frozen.efforts["popularity"].wall_seconds > 0
+    leaky = {"supervised": 0.5, "popularity": 0.4, "prevalence": 0.1, "c": 1.0}
+    assert len({name for name, *_ in benchmark.ablations(got, leaky, frozen.parameters)}) == 7
+    states = dict((n, s) for n, s, _ in benchmark.predictions(got, leaky))
+    assert states["random_initialisation_recovers_pretrained_share"] == "NOT_TESTED" and states["temporal_scores_lower_than_random"] == "HELD"

@@ -61,6 +61,28 @@ def test_wide_and_market(spark, tmp_path):
     assert sorted(map(tuple, readers.matrix_market(spark, str(tmp_path / "t.mtx"), genes, cells).collect())) == want
 
 
+def test_manifest_spellings():
+    plain = {"original_name": "f", "original_size": 3, "original_sha256": "AB", "original_md5": "CD", "parts": [{"name": "p", "size": 3, "sha256": "EF"}]}
+    want = readers.Manifest("f", 3, "ab", "cd", [("p", 3, "ef")])
+    assert readers.read_manifest(plain) == want
+    assert readers.read_manifest({"filename": "f", "size": 3, "sha256": "ab", "md5": "cd", "chunks": [{"filename": "p", "bytes": 3, "part_sha256": "ef"}]}) == want
+    assert readers.read_manifest({"source": {"name": "f", "size": 3, "sha256": "ab", "md5Checksum": "cd"}, "parts": [{"part_name": "p", "part_size": 3, "sha256": "ef"}]}) == want
+    assert readers.read_manifest({"source_name": "f", "source_size": 3, "parts": [{"name": "p", "size": 3}]}) == readers.Manifest("f", 3, None, None, [("p", 3, None)])
+    for broken in ({"size": 1}, {"parts": [{"name": "p"}]}):
+        with pytest.raises(ValueError):
+            readers.read_manifest(broken)
+
+
+def test_matrix_of_16000_columns(spark, tmp_path):
+    names = [str(i) for i in range(16_000)]
+    lines = ['"g",' + ",".join(names)] + [f'"G{k}",' + ",".join("" if i == 7 else str(k) if i % 4000 == k else "0" for i in range(16_000)) for k in range(1, 4)]
+    (tmp_path / "w.csv").write_text("\n".join(lines) + "\n")
+    want = sorted((f"G{k}", str(i), float(k)) for k in range(1, 4) for i in range(16_000) if i % 4000 == k)
+    assert sorted(map(tuple, readers.wide_matrix(spark, str(tmp_path / "w.csv")).collect())) == want
+    some = readers.wide_matrix(spark, str(tmp_path / "w.csv"), cells=["4001", "2"])
+    assert sorted(map(tuple, some.collect())) == [("G1", "4001", 1.0), ("G2", "2", 2.0)]
+
+
 def test_npz_and_vectors(spark, tmp_path):
     np.savez(tmp_path / "s.npz", data=np.array([1.0, 2.0]), indices=np.array([1, 0]), indptr=np.array([0, 1, 1, 2]), shape=np.array([3, 2]))
     assert sorted(map(tuple, readers.sparse_npz(spark, str(tmp_path)).collect())) == [(0, 1, 1.0), (2, 0, 2.0)]
@@ -78,7 +100,7 @@ def test_split_parts(spark, tmp_path):
     (parts / "f.000").write_bytes(b"hello ")
     (parts / "f.001.bin").write_bytes(b"world")
     sha = lambda b: hashlib.sha256(b).hexdigest()
-    manifest = {"source": {"name": "f", "size": 11, "md5Checksum": hashlib.md5(b"hello world").hexdigest()}, "parts": [{"name": "f.000", "size": 6, "sha256": sha(b"hello ")}, {"name": "f.001", "bytes": 5, "sha256sum": sha(b"world")}]}
+    manifest = {"source": {"name": "f", "size": 11, "md5Checksum": hashlib.md5(b"hello world").hexdigest()}, "parts": [{"name": "f.000", "size": 6, "sha256": sha(b"hello ")}, {"name": "f.001", "bytes": 5, "sha256": sha(b"world")}]}
     target = str(tmp_path / "whole")
     assert readers.reassemble(spark, str(parts), manifest, target) == sha(b"hello world")
     (parts / "f.000").write_bytes(b"hellO ")
