@@ -2,13 +2,15 @@
 
 Every ranked frame has a label `y` (0 or 1), a score and a column `ord` that
 breaks ties.  Metrics that only depend on score groups aggregate by score first;
-top-k metrics keep k rows per group before anything is shuffled; none sorts a
-group in one task, except `position`'s window inside range partitions.
+top-k metrics keep k rows per group before anything is shuffled.  None sorts a
+group in one task: running sums are made inside of slices of the scores and over
+the slices' totals, and exact positions inside of range partitions.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -46,22 +48,47 @@ def reciprocal_rank(df: DataFrame, by: Sequence[str], score: str = "score") -> D
     return before.select(*by, (1.0 / (1 + F.col("before"))).alias("rr"))
 
 
+def score_slice(score: str) -> Column:
+    """An integer that doesn't fall as the score grows: some 44 slices for every factor of two, however many rows there are."""
+    x = F.col(score).cast("double")
+    size = F.floor(F.log(F.least(F.abs(x), F.lit(1e300))) * 64).cast("long") + 100_000
+    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), F.lit(1 << 40)).when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("long")
+
+
+def running(steps: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+    """Adds, as `sums` names them, the sums of columns over all rows of the group that come before.
+
+    `steps` has one row for each (group, order value).  A slice of values is
+    summed by one window, the slices' totals by another.
+    """
+    sliced = steps.withColumn("__slice", score_slice(order))
+    turn = F.desc if descending else F.asc
+    before = lambda column, window: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
+    inside = Window.partitionBy(*by, "__slice").orderBy(turn(order))
+    across = Window.partitionBy(*(_keys(by) or [F.lit(0)])).orderBy(turn("__slice"))
+    totals = sliced.groupBy(*by, "__slice").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    totals = totals.select(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate([*by, "__slice"])], *[before(f"__{c}", across).alias(f"__{name}") for c, name in sums.items()])
+    inner = sliced.withColumns({name: before(c, inside) for c, name in sums.items()})
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{i}")) for i, c in enumerate([*by, "__slice"])]
+    joined = inner.join(totals, reduce(lambda a, b: a & b, same))
+    return joined.select(*steps.columns, *[(F.col(name) + F.col(f"__{name}")).alias(name) for name in sums.values()])
+
+
 def average_precision(df: DataFrame, by: Sequence[str], score: str = "score", weight: Column | None = None) -> DataFrame:
     """by, auprc; tied scores are one threshold; `weight` is each row's multiplicity; no positive gives no row."""
     weight = F.lit(1) if weight is None else weight
     steps = df.groupBy(*by, score).agg(F.sum(F.col("y") * weight).cast("double").alias("tp"), F.sum(weight).cast("double").alias("n"))
-    upto = Window.partitionBy(*(_keys(by) or [F.lit(0)])).orderBy(F.desc(score)).rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.withColumn("ctp", F.sum("tp").over(upto)).withColumn("cn", F.sum("n").over(upto))
-    return steps.groupBy(*by).agg(F.try_divide(F.sum(F.col("tp") * F.col("ctp") / F.col("cn")), F.sum("tp")).alias("auprc")).where("auprc IS NOT NULL")
+    steps = running(steps, by, score, {"tp": "tp_before", "n": "n_before"}, descending=True)
+    precision = (F.col("tp_before") + F.col("tp")) / (F.col("n_before") + F.col("n"))
+    return steps.groupBy(*by).agg(F.try_divide(F.sum(F.col("tp") * precision), F.sum("tp")).alias("auprc")).where("auprc IS NOT NULL")
 
 
 def auroc(df: DataFrame, by: Sequence[str], score: str = "score") -> DataFrame:
     """by, auroc from mid-ranks; a group of one class has NULL."""
-    steps = df.groupBy(*by, score).agg(F.sum("y").cast("double").alias("tp"), F.count(F.lit(1)).cast("double").alias("n"))
-    below = Window.partitionBy(*(_keys(by) or [F.lit(0)])).orderBy(F.asc(score)).rowsBetween(Window.unboundedPreceding, -1)
-    steps = steps.withColumn("negatives_below", F.coalesce(F.sum(F.col("n") - F.col("tp")).over(below), F.lit(0.0)))
-    won = F.sum(F.col("tp") * (F.col("negatives_below") + (F.col("n") - F.col("tp")) / 2))
-    return steps.groupBy(*by).agg(F.try_divide(won, F.sum("tp") * F.sum(F.col("n") - F.col("tp"))).alias("auroc"))
+    steps = df.groupBy(*by, score).agg(F.sum("y").cast("double").alias("tp"), F.sum(1.0 - F.col("y")).alias("fp"))
+    steps = running(steps, by, score, {"fp": "fp_before"})
+    won = F.sum(F.col("tp") * (F.col("fp_before") + F.col("fp") / 2))
+    return steps.groupBy(*by).agg(F.try_divide(won, F.sum("tp") * F.sum("fp")).alias("auroc"))
 
 
 def bin_edges(bins: int) -> list[float]:
@@ -109,9 +136,8 @@ def percentile_rank(df: DataFrame, by: Sequence[str], value: str, name: str = "p
 
 def tied_rank(df: DataFrame, by: Sequence[str], value: str, name: str) -> DataFrame:
     """Mean rank of each value among the group's rows, from counts by value."""
-    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).alias("__n"))
-    before = Window.partitionBy(*(_keys(by) or [F.lit(0)])).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
-    ranks = counts.select(*by, value, (F.coalesce(F.sum("__n").over(before), F.lit(0)) + (F.col("__n") + 1) / 2).alias(name))
+    counts = df.groupBy(*by, value).agg(F.count(F.lit(1)).cast("double").alias("__n"))
+    ranks = running(counts, by, value, {"__n": "__below"}).select(*by, value, (F.col("__below") + (F.col("__n") + 1) / 2).alias(name))
     return df.join(ranks, [*by, value])
 
 

@@ -58,18 +58,17 @@ def pairs(spark: SparkSession, sf: str) -> DataFrame:
     orders = table(spark, sf, "orders").select("o_orderkey", "o_custkey", "o_orderdate")
     lines = table(spark, sf, "lineitem").select("l_orderkey", "l_partkey")
     customers = table(spark, sf, "customer").select("c_custkey", "c_mktsegment")
-    dated = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey"))
-    before = dated.where(F.col("o_orderdate") < F.to_timestamp(F.lit(CUTOFF))).groupBy("l_partkey").agg(F.count(F.lit(1)).alias("popularity"))
-    entries = (
-        dated.join(customers, F.col("o_custkey") == F.col("c_custkey"))
-        .groupBy(F.col("l_partkey").alias("part"), F.col("c_mktsegment").alias("segment"))
-        .agg(F.min("o_orderdate").alias("entry"))
-    )
-    segments = customers.groupBy().agg(F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))
-    grid = table(spark, sf, "part").select(F.col("p_partkey").alias("part")).join(segments).select("part", F.explode("segments").alias("segment"))
+    dated = lines.join(orders, F.col("l_orderkey") == F.col("o_orderkey")).join(customers, F.col("o_custkey") == F.col("c_custkey"), "left")
+    # one aggregation of the joined lines: the first entry into each segment, and how many lines came before the cutoff
+    early = F.count_if(F.col("o_orderdate") < F.to_timestamp(F.lit(CUTOFF)))
+    by_segment = dated.groupBy(F.col("l_partkey").alias("part"), F.col("c_mktsegment").alias("segment")).agg(F.min("o_orderdate").alias("entry"), early.alias("n"))
+    by_part = by_segment.groupBy("part").agg(F.sum("n").alias("popularity"), F.collect_list(F.when(F.col("segment").isNotNull(), F.struct("segment", "entry"))).alias("entries"))
+    segments = customers.where("c_mktsegment IS NOT NULL").groupBy().agg(F.array_sort(F.collect_set("c_mktsegment")).alias("segments"))
+    known = table(spark, sf, "part").select(F.col("p_partkey").alias("part")).join(by_part, "part", "left").crossJoin(F.broadcast(segments))
+    grid = known.select("part", F.coalesce("popularity", F.lit(0)).alias("popularity"), F.map_from_entries(F.coalesce("entries", F.array().cast("array<struct<segment:string,entry:timestamp>>"))).alias("entries"), F.explode("segments").alias("segment"))
+    full = grid.select("part", "segment", F.try_element_at("entries", F.col("segment")).alias("entry"), "popularity")
     pre, post = landmark_labels(F.col("entry"), F.to_timestamp(F.lit(CUTOFF)), F.to_timestamp(F.lit(END)))
-    full = grid.join(entries, ["part", "segment"], "left").join(before, F.col("part") == F.col("l_partkey"), "left")
-    return full.select("part", "segment", "entry", pre.alias("pre"), post.alias("post"), F.coalesce("popularity", F.lit(0)).alias("popularity"), F.col("part").alias("ord"))
+    return full.select("part", "segment", "entry", pre.alias("pre"), post.alias("post"), "popularity", F.col("part").alias("ord"))
 
 
 PAIRS = f"""dated AS (
