@@ -349,6 +349,17 @@ class Pca(NamedTuple):
     def columns(self, features: Sequence[str]) -> list[Column]:
         return [linear(self.scaler.columns(features), v, 0.0) for v in self.components]
 
+    def project(self, rows: DataFrame, key: str, vector: str, name: str) -> DataFrame:
+        """key and the array of the axes' values for a column of vectors without nulls, in Arrow batches: code doesn't grow with the width."""
+        kind = rows.schema[key].dataType.simpleString()
+
+        def made(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                out = ((dense(batch.column(1), len(self.scaler.mean)) - self.scaler.mean) / self.scaler.scale) @ self.components.T
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(list(out), pa.list_(pa.float64()))], names=[key, name])
+
+        return rows.select(key, F.col(vector).cast("array<double>")).mapInArrow(made, f"{key} {kind}, {name} array<double>")
+
 
 def fit_pca(df: DataFrame, features: Sequence[str], k: int) -> Pca:
     """Principal axes of the standardised features, from their d x d moments; signs make the largest loading positive."""

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.functions import scalar
-from rankforge.operators import bootstrap, heads, pooling, ranking
+from rankforge.operators import bootstrap, heads, matrix, pooling, ranking
 from rankforge.plans.base import CELLS, CONTEXTS, SCORED, cells, contexts, query, scored
 from rankforge.plans.metrics import _INTERVAL
 from rankforge.plans.tables import view_sql
@@ -349,3 +349,42 @@ def m24(spark: SparkSession, sf: str) -> DataFrame:
     scored_rows = settle(rows.select("vec_id", "y", head.predict(names).alias("raw")))
     platt = heads.fit_logistic(scored_rows.where(~_train()), ["raw"], "y", 10.0)
     return scored_rows.select("vec_id", rounded("raw", 6).alias("raw"), rounded(platt.predict(["raw"]), 6).alias("calibrated"))
+
+
+# the response-transfer proxy: entities are parts with a vector, lesions suppliers, patients their nations
+
+_MANUAL = ("size", "price", "lines", "quantity", "tax", "share_a")
+
+
+def _transfer(spark: SparkSession, sf: str):
+    from rankforge.plans.transfer import transfer_proxy
+
+    lines, part = table(spark, sf, "lineitem"), table(spark, sf, "part")
+    seen = lines.groupBy(F.col("l_partkey").alias("ord")).agg(
+        (F.avg(F.when(F.col("l_returnflag") == "R", F.col("l_discount"))) - F.avg(F.when(F.col("l_returnflag") != "R", F.col("l_discount")))).alias("target"),
+        F.count(F.lit(1)).cast("double").alias("lines"), F.avg("l_quantity").alias("quantity"), F.avg("l_tax").alias("tax"), F.avg((F.col("l_returnflag") == "A").cast("double")).alias("share_a"),
+    )
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("ord"), F.slice("embedding", F.lit(1), half).alias("a"), F.slice("embedding", half + 1, half).alias("b"))
+    rows = part.select(F.col("p_partkey").alias("ord"), F.col("p_size").cast("double").alias("size"), F.col("p_retailprice").alias("price")).join(seen, "ord").join(vectors, "ord")
+    values = matrix.cpm(matrix.group_sums(cells(spark, sf), ["sample"]), log="log2").select(F.col("gene").alias("ord"), F.col("sample").alias("lesion"), F.col("log_cpm").alias("value"))
+    lesions = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("lesion"), F.col("s_nationkey").alias("patient"), (F.col("s_suppkey") % 3 == 0).alias("responder"))
+    return transfer_proxy(rows, _MANUAL, values, lesions)
+
+
+@query("m13_transfer_metrics")
+def m13_metrics(spark: SparkSession, sf: str) -> DataFrame:
+    """Eight methods: out-of-fold and transferred Spearman, 300 cluster bootstraps, overlap of the extremes."""
+    return _transfer(spark, sf).metrics
+
+
+@query("j10_transfer_comparisons")
+def j10_transfer(spark: SparkSession, sf: str) -> DataFrame:
+    """The six paired comparisons of the transfer on the same bootstraps."""
+    return _transfer(spark, sf).comparisons
+
+
+@query("j12_transfer_sensitivity")
+def j12_transfer(spark: SparkSession, sf: str) -> DataFrame:
+    """The transfer on all lesions, without mixed patients, and without each patient."""
+    return _transfer(spark, sf).sensitivity

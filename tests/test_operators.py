@@ -319,3 +319,41 @@ def test_running_sums_over_slices(spark):
             for r in sorted((r for r in got if r["g"] == g), key=order, reverse=down):
                 assert r["before"] == total
                 total += r["n"]
+
+
+def test_transfer_proxy_against_plain_python(spark):
+    """Observed contrasts, bootstraps, Spearman and overlap from the predictions, by hand; a planted signal transfers."""
+    from rankforge.plans import transfer
+
+    rng = np.random.default_rng(4)
+    n, signal = 240, rng.normal(size=(240, 3))
+    rows = [(f"g{i:03d}", float(signal[i, 0] + 0.1 * rng.normal()), float(rng.normal()) if i else None, [float(v) for v in signal[i]], [float(v) for v in rng.normal(size=4)]) for i in range(n)]
+    frame = spark.createDataFrame(rows, "ord string, target double, noise double, a array<double>, b array<double>")
+    lesions = [(k, f"p{k % 4}", k % 2 == 0 if k < 7 else k == 7) for k in range(9)]
+    cells = {(f"g{i:03d}", k): float((signal[i, 0] if lesions[k][2] else 0) + rng.normal() + 3) for i in range(n) for k in range(9) if rng.random() < 0.8}
+    values = spark.createDataFrame([(g, k, v) for (g, k), v in cells.items()], "ord string, lesion long, value double")
+    cohort = spark.createDataFrame(lesions, "lesion long, patient string, responder boolean")
+    fitted = transfer.fit(frame, ["noise"], components=2, folds=3)
+    assert set(fitted.methods) == {"direct", "manual", "a_static", "b_static", "a_random", "b_random", "manual_plus_a", "manual_plus_b"}
+    names, weights = transfer.contrast_weights(cohort, 40, 5)
+    assert names[:2] == ["all", "unmixed"] and {x for x in names if x.startswith("without")} == {f"without p{k}" for k in range(4)}
+    truth = transfer.contrasts(values, weights, frame.select("ord"), names)
+    got = {(r["ord"], r["contrast"]): r["delta"] for r in truth.collect()}
+    mean = lambda g, ks: sum(cells.get((g, k), 0.0) for k in ks) / len(ks)
+    for j, keep in ((0, range(9)), (names.index("without p1"), [k for k in range(9) if k % 4 != 1])):
+        yes, no = [k for k in keep if lesions[k][2]], [k for k in keep if not lesions[k][2]]
+        for g in ("g000", "g017", "g200"):
+            assert np.isclose(got[g, j], mean(g, yes) - mean(g, no))
+    rank = lambda x: np.array([(x < v).sum() + (x == v).sum() / 2 for v in x])
+    found = {(r["method"], r["contrast"]): r["spearman"] for r in transfer.correlations(fitted, truth).collect()}
+    for method in ("direct", "a_static", "manual_plus_b"):
+        p = {r["ord"]: r["prediction"] for r in fitted.predictions.where(F.col("method") == method).collect()}
+        order = sorted(p)
+        want = np.corrcoef(rank(np.array([p[g] for g in order])), rank(np.array([got[g, 2] for g in order])))[0, 1]
+        assert np.isclose(found[method, 2], want)
+    proxy = transfer.transfer_proxy(frame, ["noise"], values, cohort, 2, 3, 40, 5, 50)
+    metrics = {r["method"]: r for r in proxy.metrics.collect()}
+    assert len(metrics) == 8 and metrics["a_static"]["transfer_spearman"] > 0.3 > metrics["a_random"]["transfer_spearman"]
+    assert all(r["low"] <= r["median"] <= r["high"] for r in metrics.values()) and metrics["a_static"]["valid"] > 20
+    assert proxy.comparisons.count() == 6
+    assert {r["analysis"] for r in proxy.sensitivity.collect()} == {"all", "unmixed", "leave_one_patient_out"}
