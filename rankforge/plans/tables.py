@@ -614,6 +614,85 @@ def c01(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.judged(contracts.violations(labels, rules).union(contracts.repeats(labels, ["doc_id"])), ["toxic_is_zero"])
 
 
+_CANDIDATES = f"""{PAIRS}, candidates AS (
+  SELECT CASE WHEN part % 113 > 0 THEN CAST(part AS VARCHAR) ELSE '0' END AS gene_id, ['biology_signal', 'popularity_only', 'noise', 'other'][CASE WHEN part % 211 = 0 THEN 4 ELSE part % 3 + 1 END] AS planted_group,
+         CASE WHEN part % 131 > 0 THEN CAST(year(entry) AS INTEGER) END AS entry_year, pre AS label_pre_cutoff, CASE WHEN part % 89 = 0 THEN 1 ELSE post END AS label_post_cutoff,
+         popularity AS publication_count_pre_cutoff, popularity + part % 5 - 1 AS publication_count_all_time, p_retailprice AS price, p_size AS size
+  FROM pairs JOIN part ON p_partkey = part WHERE segment = 'BUILDING'
+)"""
+_CANDIDATE_RULES = {
+    "gene_is_named": ("gene_id IS NULL", "FAIL"), "numbers_are_finite": ("NOT isfinite(price)", "FAIL"), "labels_are_binary": ("label_post_cutoff NOT IN (0, 1)", "FAIL"),
+    "labels_do_not_overlap": ("label_pre_cutoff = 1 AND label_post_cutoff = 1", "FAIL"), "labels_follow_entry": ("label_pre_cutoff + label_post_cutoff = 1 AND entry_year IS NULL", "FAIL"),
+    "group_is_known": ("planted_group = 'other'", "FAIL"), "popularity_only_never_enters": ("planted_group = 'popularity_only' AND label_post_cutoff = 1", "FAIL"),
+    "class_is_binary": ("size % 7 > 1 AND size = 50", "FAIL"), "cutoff_before_end": ("FALSE", "FAIL"), "counts_are_not_negative": ("publication_count_all_time < 0", "WARNING"),
+    "counts_grow": ("publication_count_all_time < publication_count_pre_cutoff", "WARNING"), "shares_in_range": ("size > 48", "WARNING"),
+}
+
+
+@query(
+    "c01_candidate_contract",
+    f"""WITH {_CANDIDATES}, bad AS ({" UNION ALL ".join(f"SELECT '{n}' AS name, count(*) FILTER ({rule}) AS bad_rows, '{worst}' AS worst FROM candidates" for n, (rule, worst) in _CANDIDATE_RULES.items())}
+UNION ALL SELECT 'gene_is_unique', count(*) - count(DISTINCT gene_id), 'FAIL' FROM candidates) SELECT name, bad_rows, CASE WHEN bad_rows = 0 THEN 'PASS' ELSE worst END AS status FROM bad""",
+)
+def c01_candidates(spark: SparkSession, sf: str) -> DataFrame:
+    """The 17-column contract over candidates made of the parts of one segment, with faults planted by their keys."""
+    part, key = table(spark, sf, "part"), F.col("part")
+    rows = pairs(spark, sf).where("segment = 'BUILDING'").join(part, F.col("part") == F.col("p_partkey"))
+    group = F.when(key % 211 == 0, "other").otherwise(F.element_at(F.array(*map(F.lit, contracts.PLANTED)), (key % 3 + 1).cast("int")))
+    size, price, share = F.col("p_size"), F.col("p_retailprice"), F.col("p_size") / 48.0
+    made = rows.select(
+        F.when(key % 113 > 0, key.cast("string")).otherwise("0").alias("gene_id"), group.alias("planted_group"), F.when(key % 131 > 0, F.year("entry")).alias("entry_year"),
+        F.col("pre").alias("label_pre_cutoff"), F.when(key % 89 == 0, 1).otherwise(F.col("post")).alias("label_post_cutoff"),
+        F.col("popularity").alias("publication_count_pre_cutoff"), (F.col("popularity") + key % 5 - 1).alias("publication_count_all_time"),
+        price.alias("mean_expression_id"), (price * 1.1).alias("mean_expression_ood"), (size - 25.0).alias("differential_expression_id"), (size - 24.0).alias("differential_expression_ood"),
+        share.alias("cell_type_specificity_id"), (share / 2).alias("cell_type_specificity_ood"), (share / 3).alias("network_centrality"),
+        F.when(size == 50, size % 7).otherwise(size % 2).alias("druggable_class"), F.lit(1996).alias("cutoff_year"), F.lit(1997).alias("evaluation_end_year"),
+    )
+    return contracts.candidate_contract(made)
+
+
+_CONTEXT_ROWS = f"""{CONTEXTS}, idx AS (
+  SELECT vec_id AS row, 'g' || CAST(CASE WHEN vec_id % 101 = 0 THEN 1 ELSE vec_id END AS VARCHAR) AS gene_id, coalesce(disease, 'unknown') AS disease, 'c' AS cell_compartment, 't' || CAST(vec_id % 3 AS VARCHAR) AS treatment_state,
+         'r' AS response_state, vec_id % 50 AS n_cells, vec_id % 4 + 1 AS n_samples FROM contexts
+)"""
+
+
+@query(
+    "c04_context_artefact",
+    f"""WITH {_CONTEXT_ROWS}, bad AS (
+SELECT unnest(['index_exists', 'pretrained_exists', 'random_exists', 'index_hash', 'pretrained_hash', 'random_hash', 'protocol_hash', 'index_schema', 'matrix_shape_match', 'finite_embeddings', 'nondegenerate_pretrained', 'nondegenerate_random', 'context_count']) AS name,
+       unnest([0, 0, 0, 0, 0, 1, 0, 0, 1, 0, (SELECT CAST(var_pop(x) <= 0 AS INTEGER) FROM (SELECT unnest(embedding) AS x FROM embeddings)), 0,
+               (SELECT CAST(abs(count(*) - 12) AS INTEGER) FROM (SELECT DISTINCT disease, treatment_state FROM idx))]) AS bad
+UNION ALL SELECT 'positive_support_counts', count(*) FILTER (n_cells <= 0 OR n_samples <= 0) FROM idx
+UNION ALL SELECT 'multi_sample_support', count(*) FILTER (n_samples < 2) FROM idx
+UNION ALL SELECT 'unique_gene_context_rows', count(*) - (SELECT count(*) FROM (SELECT DISTINCT gene_id, disease, treatment_state FROM idx)) FROM idx
+) SELECT name, CAST(bad AS BIGINT) AS bad, CASE WHEN bad = 0 THEN 'PASS' WHEN name = 'multi_sample_support' THEN 'WARNING' ELSE 'FAIL' END AS status FROM bad""",
+)
+def c04_artefact(spark: SparkSession, sf: str) -> DataFrame:
+    """16 invariants of an artefact whose random control lost a row after it was sealed; 12 contexts are declared."""
+    from rankforge.plans.io import _folder
+    from rankforge.sources import sinks
+
+    folder, key = _folder(spark), F.col("vec_id")
+    source = contexts(spark, sf)
+    index = source.select(
+        key.alias("row"), F.concat(F.lit("g"), F.when(key % 101 == 0, F.lit(1)).otherwise(key).cast("string")).alias("gene_id"), F.coalesce("disease", F.lit("unknown")).alias("disease"), F.lit("c").alias("cell_compartment"),
+        F.concat(F.lit("t"), (key % 3).cast("string")).alias("treatment_state"), F.lit("r").alias("response_state"), (key % 50).alias("n_cells"), (key % 4 + 1).alias("n_samples"),
+    )
+    vectors = source.select(key.alias("row"), "embedding")
+    control = source.select(key.alias("row"), F.transform("embedding", lambda x: x + 100).alias("embedding"))
+    n, width = vectors.agg(F.count(F.lit(1)), F.max(F.size("embedding"))).first()
+    for name, df in (("index", index), ("pretrained", vectors), ("random", control)):
+        sinks.seal(df.select([c if t != "array<float>" else F.col(c).cast("string").alias(c) for c, t in df.dtypes]), f"{folder}/{name}", name)
+        df.write.mode("overwrite").parquet(f"{folder}/{name}/vectors")
+    least = vectors.agg(F.min("row")).first()[0]
+    lost = spark.read.parquet(f"{folder}/random/vectors").where(F.col("row") != least)
+    sinks.write_table(lost.select("row", F.col("embedding").cast("string").alias("embedding")), f"{folder}/random/data")
+    intact = {name: not sinks.verify_seal(spark, f"{folder}/{name}") for name in ("index", "pretrained", "random")}
+    manifest = {"rows": n, "width": width, "contexts": 12, "protocol_sha256": "ab"}
+    return contracts.context_artefact(index, spark.read.parquet(f"{folder}/pretrained/vectors"), lost, manifest, intact, "ab")
+
+
 @query(
     "c03_leakage_status",
     """WITH n AS (SELECT DISTINCT lower(trim(text)) AS k FROM benchmark), s AS (SELECT source, count(DISTINCT k) AS shared, count(*) AS n FROM documents LEFT JOIN n ON k = lower(trim(text)) GROUP BY 1)
