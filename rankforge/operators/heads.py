@@ -297,8 +297,8 @@ def tune_scalar(df: DataFrame, value: str, label: str, train: Column) -> str:
     best = (-1.0, "identity")
     for name in ("identity", "percentile_rank", "robust_z"):
         got = average_precision(scored, [], name).first()
-        if got is not None and got["auprc"] > best[0]:
-            best = (got["auprc"], name)
+        if got is not None and round(got["auprc"], 12) > best[0]:  # sums in another order are no better
+            best = (round(got["auprc"], 12), name)
     return best[1]
 
 

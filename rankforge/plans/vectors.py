@@ -193,7 +193,17 @@ def _train() -> Column:
     return scalar.prefix_fold(F.col("vec_id").cast("string"), 10) < 7
 
 
-@query("m06_scalar_baseline")
+@query(
+    "m06_scalar_baseline",
+    f"""WITH {SCORED}, f AS (SELECT ord, y, alt, CAST('0x' || substr(sha256(CAST(ord AS VARCHAR)), 1, 16) AS UBIGINT) % 10 < 7 AS is_train FROM scored),
+q AS (SELECT quantile_cont(alt, [0.25, 0.5, 0.75]) AS q FROM f WHERE is_train),
+c AS (SELECT ord, y, is_train, alt AS identity, (row_number() OVER (ORDER BY alt, ord) - 1) / greatest(count(*) OVER () - 1, 1)::DOUBLE AS percentile_rank, (alt - q[2]) / CASE WHEN q[3] = q[1] THEN 1 ELSE q[3] - q[1] END AS robust_z FROM f, q),
+long AS (SELECT ord, y, is_train, unnest(['identity', 'percentile_rank', 'robust_z']) AS configuration, unnest([1, 2, 3]) AS i, unnest([identity, percentile_rank, robust_z]) AS score FROM c),
+steps AS (SELECT configuration, i, score, sum(y) AS tp, count(*) AS n FROM long WHERE NOT is_train GROUP BY ALL),
+run AS (SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn FROM steps WINDOW w AS (PARTITION BY configuration ORDER BY score DESC)),
+best AS (SELECT configuration FROM run GROUP BY configuration, i ORDER BY round(sum(tp * ctp / cn::DOUBLE) / sum(tp), 12) DESC, i LIMIT 1)
+SELECT ord, configuration, round(score, 9) AS score FROM long JOIN best USING (configuration)""",
+)
 def m06(spark: SparkSession, sf: str) -> DataFrame:
     """ord, configuration, score of the tuned popularity-like scalar."""
     rows = scored(spark, sf).withColumn("fold", scalar.prefix_fold(F.col("ord").cast("string"), 10))
