@@ -102,22 +102,30 @@ def c09(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.judged(covered.unionByName(shaped).unionByName(contracts.repeats(got, ["id"], "unique_id")), warnings=["missing"])
 
 
-@query("c11_claims", "SELECT CASE m WHEN 0 THEN 'permitted' WHEN 1 THEN 'conditional' ELSE 'unsupported' END AS kind, CASE m WHEN 2 THEN 2::BIGINT ELSE 1::BIGINT END AS n FROM unnest([0, 1, 2]) t(m)")
+@query(
+    "c11_claims",
+    """WITH s AS (SELECT source, count(*) % 3 AS m FROM documents WHERE source IS NOT NULL GROUP BY 1)
+SELECT 'permitted' AS kind, count(*) FILTER (m = 0) AS n FROM s UNION ALL SELECT 'conditional', count(*) FILTER (m = 1) FROM s UNION ALL SELECT 'unsupported', count(*) FILTER (m = 2) + 1 FROM s""",
+)
 def c11(spark: SparkSession, sf: str) -> DataFrame:
-    """What three fixed comparison states permit to be said."""
-    states = [("a", "DETECTABLE_GAIN"), ("b", "NO_DETECTABLE_DIFFERENCE"), ("c", "NOT_COMPUTED"), (benchmark.REFERENCE, "NO_DETECTABLE_DIFFERENCE")]
-    said = benchmark.claims(spark.createDataFrame(states, "method string, state string"))
+    """What the comparison states of the sources, here by their numbers of documents, permit to be said."""
+    m = F.count(F.lit(1)) % 3
+    state = F.when(m == 0, "DETECTABLE_GAIN").when(m == 1, "NO_DETECTABLE_DIFFERENCE").otherwise("NOT_COMPUTED")
+    states = table(spark, sf, "documents").where("source IS NOT NULL").groupBy(F.col("source").alias("method")).agg(state.alias("state"))
+    said = benchmark.claims(states.unionByName(spark.createDataFrame([(benchmark.REFERENCE, "NO_DETECTABLE_DIFFERENCE")], "method string, state string")))
     return spark.createDataFrame([(kind, len(items)) for kind, items in said.items()], "kind string, n long")
 
 
-@query("c12_single_holdout_access", "SELECT unnest([1, 2]) AS accesses, unnest(['PASS', 'FAIL']) AS status")
+@query("c12_single_holdout_access", "SELECT lang, CAST(count(*) % 3 + 1 AS INTEGER) AS accesses, CASE WHEN count(*) % 3 = 0 THEN 'PASS' ELSE 'FAIL' END AS status FROM documents WHERE lang IS NOT NULL GROUP BY 1")
 def c12(spark: SparkSession, sf: str) -> DataFrame:
-    """The holdout's counter after one look and after a second."""
-    holdout, seen = benchmark.Holdout(scored(spark, sf)), []
-    for _ in range(2):
-        holdout.read()
-        seen.append((holdout.accesses, "PASS" if holdout.accesses == 1 else "FAIL"))
-    return spark.createDataFrame(seen, "accesses int, status string")
+    """A holdout for each language, looked at once or more often, as its number of documents says."""
+    docs, seen = table(spark, sf, "documents"), []
+    for r in docs.where("lang IS NOT NULL").groupBy("lang").agg((F.count(F.lit(1)) % 3 + 1).alias("looks")).collect():  # a row for each language
+        holdout = benchmark.Holdout(docs.where(F.col("lang") == r["lang"]))
+        for _ in range(r["looks"]):
+            holdout.read()
+        seen.append((r["lang"], holdout.accesses, "PASS" if holdout.accesses == 1 else "FAIL"))
+    return spark.createDataFrame(seen, "lang string, accesses int, status string")
 
 
 @query("k02_byte_stable_gzip", "SELECT sha256(string_agg(line, '' ORDER BY k)) AS digest, TRUE AS stable FROM (SELECT -1 AS k, 'n_nationkey,n_name' || chr(10) AS line UNION ALL SELECT n_nationkey, n_nationkey || ',' || n_name || chr(10) FROM nation)")

@@ -52,12 +52,13 @@ def a02(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "lineitem").groupBy("l_suppkey", "l_returnflag").agg(rounded(F.sum(F.col("l_quantity") * (1 - F.col("l_discount"))), 6).alias("weight"))
 
 
-@query("u04_set_equality", "SELECT TRUE AS same, FALSE AS other")
+@query("u04_set_equality", "SELECT c_nationkey, count(DISTINCT c_mktsegment) = (SELECT count(DISTINCT c_mktsegment) FROM customer) AS same FROM customer GROUP BY 1")
 def u04(spark: SparkSession, sf: str) -> DataFrame:
-    keys = table(spark, sf, "nation").select("n_regionkey").distinct()
-    regions = table(spark, sf, "region").select("r_regionkey")
-    equal = lambda a, b: a.exceptAll(b).union(b.exceptAll(a)).agg((F.count(F.lit(1)) == 0).alias("same"))
-    return equal(keys, regions).join(equal(keys, regions.where("r_regionkey > 0")).select(F.col("same").alias("other")))
+    """Which nations' customers have the same set of segments as all customers."""
+    customers = table(spark, sf, "customer")
+    every = customers.agg(F.array_sort(F.collect_set("c_mktsegment")).alias("every"))
+    own = customers.groupBy("c_nationkey").agg(F.array_sort(F.collect_set("c_mktsegment")).alias("own"))
+    return own.crossJoin(F.broadcast(every)).select("c_nationkey", (F.col("own") == F.col("every")).alias("same"))
 
 
 @query(
@@ -69,7 +70,7 @@ def u05(spark: SparkSession, sf: str) -> DataFrame:
     return contexts(spark, sf).select("vec_id", F.size(both).alias("width"), rounded(both[4].cast("double"), 6).alias("fifth"))
 
 
-@query("s04_header_alignment", "SELECT unnest(['c_custkey', 'c_name', 'c_nationkey', 'c_acctbal', 'c_mktsegment']) AS name")
+@query("s04_header_alignment", "SELECT column_name AS name FROM (DESCRIBE SELECT * FROM customer)")
 def s04(spark: SparkSession, sf: str) -> DataFrame:
     names = spark.read.parquet(f"{sf}/customer.parquet").columns
     readers.check_alignment(names, ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"])
@@ -92,7 +93,10 @@ def c06(spark: SparkSession, sf: str) -> DataFrame:
     return contracts.judged(named.union(contracts.repeats(pairs, ["l_partkey", "l_suppkey"], "unique_pair")))
 
 
-@query("c07_frozen_pairs_alignment", "SELECT TRUE AS aligned FROM (SELECT 1)")
+@query("c07_frozen_pairs_alignment", "SELECT TRUE AS aligned, count(*) FILTER (s_acctbal < 0) = 0 AS after_change FROM supplier")
 def c07(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("id"))
-    return matching.same_order(rows, rows.repartition(3))
+    """Frozen pairs against the same rows in another layout, and after the ids of suppliers in debt have changed."""
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("ord"), F.col("s_name").alias("id"), "s_acctbal")
+    changed = rows.withColumn("id", F.when(F.col("s_acctbal") < 0, F.upper("id")).otherwise(F.col("id"))).select("ord", "id")
+    rows = rows.select("ord", "id")
+    return matching.same_order(rows, rows.repartition(3)).join(matching.same_order(rows, changed).select(F.col("aligned").alias("after_change")))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import scalar
 from rankforge.operators import contracts, matching, matrix, sampling
+from rankforge.operators.ranking import position
 from rankforge.plans.base import (
     CELLS, CONTEXTS, CUTOFF, END, PAIRS, RAW_LABELS, SAMPLES, SCORED, UNIVERSE,
     cells, contexts, pairs, query, raw_label, raw_label_sql, samples, scored, universe,
@@ -482,11 +483,17 @@ def j07(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "part").select("p_partkey").join(lines, "p_partkey", "left_anti")
 
 
-@query("j08_ordered_alignment", "SELECT TRUE AS aligned, FALSE AS shifted")
+@query(
+    "j08_ordered_alignment",
+    """SELECT bool_and(k = r) AS by_balance, bool_and(k = n) AS by_name
+FROM (SELECT row_number() OVER (ORDER BY s_suppkey) AS k, row_number() OVER (ORDER BY s_acctbal, s_suppkey) AS r, row_number() OVER (ORDER BY s_name, s_suppkey) AS n FROM supplier)""",
+)
 def j08(spark: SparkSession, sf: str) -> DataFrame:
-    a = table(spark, sf, "part").select(F.col("p_partkey").alias("ord"), F.col("p_partkey").alias("id"))
-    same = matching.same_order(a, a)
-    return same.join(matching.same_order(a, a.select((F.col("ord") + 1).alias("ord"), "id")).select(F.col("aligned").alias("shifted")))
+    """Whether suppliers in the order of their balances, and of their names, are in the order of their keys."""
+    rows = table(spark, sf, "supplier").select(F.col("s_suppkey").alias("id"), "s_acctbal", "s_name")
+    listed = lambda *order: position(rows, [], order).select(F.col("position").alias("ord"), "id")
+    got = [matching.same_order(listed("id"), listed(c, "id")).select(F.col("aligned").alias(name)) for c, name in (("s_acctbal", "by_balance"), ("s_name", "by_name"))]
+    return got[0].join(got[1])
 
 
 _WANTED = """wanted AS (SELECT s_suppkey AS wanted_id, s_nationkey AS patient, CASE WHEN s_suppkey % 4 = 0 THEN 'lost' || s_suppkey ELSE 'S' || s_suppkey END AS normal_id FROM supplier),
