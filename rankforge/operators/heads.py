@@ -137,19 +137,6 @@ def quoted(features: Sequence[str]) -> list[str]:
     return ["`" + f.replace("`", "``") + "`" for f in features]
 
 
-def grouped_moments(df: DataFrame, columns: Sequence[str], key: str) -> dict[int, np.ndarray]:
-    """Value of the integer `key` -> symmetric matrix of sums of products of the columns, in one pass."""
-    d = len(columns)
-
-    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
-        of, x = batch.column(0).to_numpy(), dense(batch.column(1), d)
-        for k in np.unique(of):
-            yield int(k), (x[of == k].T @ x[of == k]).ravel()
-
-    rows = df.select(F.col(key).cast("int").alias("key"), vectors(columns).alias("x")).where(F.col("key").isNotNull() & _whole("x"))
-    return {k: v.reshape(d, d) for k, v in array_sums(rows, parts).items()}
-
-
 def ridge_from_sums(full: np.ndarray, center: np.ndarray, alpha: float) -> np.ndarray:
     """Coefficients and intercept on raw features of the ridge that `fit_ridge` makes.
 
@@ -172,32 +159,52 @@ def ridge_from_sums(full: np.ndarray, center: np.ndarray, alpha: float) -> np.nd
 def ridge_by_folds(df: DataFrame, features: Sequence[str], target: str, key: str, alphas: Sequence[float], folds: int) -> tuple[float, DataFrame]:
     """(best alpha, ord, prediction, target): out-of-fold Spearman picks alpha, ties the smaller one.
 
-    The sums of every fold come from one aggregation; a fit is the total less its
-    own fold.  All alphas are judged in one job.  Rows with a null feature or
-    target are not fitted.
+    The sums of every fold come from one pass; a fit is the total less its own
+    fold.  All alphas are judged in one job.  Rows with a null feature or target
+    are not fitted; without a feature a row's prediction is null.
     """
     alphas, d = sorted(alphas), len(features)
-    assigned = df.withColumn("fold", prefix_fold(F.col(key), folds)).cache()
+    inputs = [F.col(c) for c in quoted([*features, target])]
+    rows = df.select("ord", prefix_fold(F.col(key), folds).alias("fold"), vectors(inputs).alias("x")).cache()
     try:
-        means = assigned.agg(*[F.avg(F.col(f).cast("double")) for f in features]).first()
-        center = np.array([0.0 if v is None else v for v in means], dtype=float)
-        names = quoted(features)
-        shifted = [F.expr(f"cast({c} as double) - {_number(m)} AS x{i}") for i, (c, m) in enumerate(zip(names, center, strict=True))]
-        rows = assigned.select("fold", *shifted, F.lit(1.0).alias(f"x{d}"), F.col(target).cast("double").alias(f"x{d + 1}")).na.drop()
-        sums = grouped_moments(rows, [f"x{i}" for i in range(d + 2)], "fold")
+        whole = rows.where(_whole("x"))
+
+        def total(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            x = dense(batch.column(2), d + 1)
+            yield 0, np.append(x[:, :d].sum(0), len(x))
+
+        of_all = array_sums(whole, total).get(0, np.zeros(d + 1))
+        center = of_all[:d] / max(of_all[d], 1.0)
+
+        def products(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+            fold, x = batch.column(1).to_numpy(), dense(batch.column(2), d + 1)
+            full = np.column_stack([x[:, :d] - center, np.ones(len(x)), x[:, d]])
+            for k in np.unique(fold):
+                yield int(k), (full[fold == k].T @ full[fold == k]).ravel()
+
+        sums = {k: v.reshape(d + 2, d + 2) for k, v in array_sums(whole, products).items()}
         every = sum(sums.values(), np.zeros((d + 2, d + 2)))
-        made = {alpha: [ridge_from_sums(every - sums.get(fold, 0.0), center, alpha) for fold in range(folds)] for alpha in alphas}
+        made = np.array([[ridge_from_sums(every - sums.get(fold, 0.0), center, alpha) for fold in range(folds)] for alpha in alphas])
+
+        def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, beta = dense(batch.column(2), d + 1), made[:, batch.column(1).to_numpy()]
+                out = np.einsum("and,nd->an", beta[:, :, :d], x[:, :d]) + beta[:, :, d]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(alphas)), len(x)), pa.int32()), pa.array(out.ravel()), pa.array(np.tile(x[:, d], len(alphas)))], names=["i", "prediction", "target"])
 
-        def predicted(alpha: float) -> Column:
-            return F.expr(dot(names, "get(array(" + ", ".join(map(numbers, made[alpha])) + "), cast(fold as int))"))
+        score = {r["i"]: r["spearman"] for r in spearman(whole.mapInArrow(judged, "i int, prediction double, target double"), ["i"], "prediction", "target").collect() if r["spearman"] is not None}
+        best = max(range(len(alphas)), key=lambda i: (score.get(i, -np.inf), -alphas[i]))
 
-        each = F.explode(F.array(*[F.struct(F.lit(float(a)).alias("alpha"), predicted(a).alias("prediction")) for a in alphas])).alias("m")
-        judged = spearman(assigned.select(F.col(target).cast("double").alias("target"), each).select("target", "m.*"), ["alpha"], "prediction", "target")
-        score = {r["alpha"]: r["spearman"] for r in judged.collect() if r["spearman"] is not None}
-        best = max(alphas, key=lambda a: (score.get(float(a), -np.inf), -a))
-        return best, assigned.select("ord", predicted(best).alias("prediction"), F.col(target).cast("double").alias("target"))
+        def predicted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                x, beta = dense(batch.column(2), d + 1), made[best][batch.column(1).to_numpy()]  # a null is NaN here
+                out = (x[:, :d] * beta[:, :d]).sum(1) + beta[:, d]
+                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(out, from_pandas=True), pa.array(x[:, d], from_pandas=True)], names=["ord", "prediction", "target"])
+
+        kind = rows.schema["ord"].dataType.simpleString()
+        return alphas[best], rows.mapInArrow(predicted, f"ord {kind}, prediction double, target double")
     finally:
-        assigned.unpersist()
+        rows.unpersist()
 
 
 class Logistic(NamedTuple):
