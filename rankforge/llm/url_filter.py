@@ -54,12 +54,14 @@ def split_url(url: str | None) -> tuple[str, str]:
 
 
 class _Node:
-    __slots__ = ("next", "ends", "paths")
+    __slots__ = ("next", "ends", "lengths", "paths")
 
     def __init__(self) -> None:
         self.next: dict[str, _Node] = {}
         #: On a path node: unfinished last segment -> (rule, verdict).
         self.ends: dict[str, tuple[str, str]] = {}
+        #: The lengths of these last segments, longest first.
+        self.lengths: list[int] = []
         #: On a host node: the root of its path trie.
         self.paths: _Node | None = None
 
@@ -87,15 +89,17 @@ class UrlTrie:
         *whole, last = path.split("/")
         for segment in whole:
             node = node.next.setdefault(segment, _Node())
+        if len(last) not in node.lengths:
+            node.lengths = sorted([*node.lengths, len(last)], reverse=True)
         if node.ends.get(last, ("", ""))[1] != "block":
             node.ends[last] = (host + path, verdict)
 
     def _longest_path(self, node: _Node, segments: list[str]) -> tuple[str, str] | None:
         best = None
         for depth, segment in enumerate(segments):
-            fits = [end for end in node.ends if segment.startswith(end)]
-            if fits:
-                best = node.ends[max(fits, key=len)]
+            # one probe for each length, however many rules there are
+            ends = (node.ends.get(segment[:n]) for n in node.lengths if n <= len(segment))
+            best = next((end for end in ends if end), best)
             if depth == len(segments) - 1 or segment not in node.next:
                 break
             node = node.next[segment]

@@ -10,6 +10,7 @@ import pytest
 
 from rankforge.llm import chat, mixing, packing, url_filter
 from rankforge.llm.tokens import default_vocabulary, encoder
+from rankforge.llm.url_filter import UrlTrie
 
 DOC = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -64,6 +65,21 @@ def test_url_filter_rows(spark):
 # mixing
 
 
+def test_many_rules_on_one_parent_and_long_urls():
+    rng = random.Random(9)
+    rules = [("big.org", "/d/" + "".join(rng.choice("ab") for _ in range(rng.randint(0, 9))), rng.choice(["allow", "block"])) for _ in range(3000)]
+    trie = UrlTrie(rules)
+    verdict = {}
+    for host, path, what in rules:
+        verdict[host + path] = "block" if "block" in (what, verdict.get(host + path)) else "allow"
+    for _ in range(500):
+        path = "/d/" + "".join(rng.choice("ab") for _ in range(rng.randint(0, 12))) + rng.choice(["", "/x/y", "/" * 50_000])
+        want = max((r for r in verdict if ("big.org" + path).startswith(r)), key=len)
+        assert trie.match("a.big.org", path) == (want, verdict[want])
+    assert trie.match("big.org", "/e") is None
+    assert trie.match(".".join(["x"] * 20_000) + ".big.org", "/d/ab" + "z" * 100_000) is not None
+
+
 def _fill(sizes, share=1.5, epochs=2.0):
     """Water-filling round by round, as the contract words it."""
     names = sorted((s for s in sizes if s is not None), key=lambda s: s.encode()) + [None] * (None in sizes)
