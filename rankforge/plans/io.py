@@ -47,31 +47,6 @@ def s03(spark: SparkSession, sf: str) -> DataFrame:
     return readers.read_table(spark, path)
 
 
-_SMALL = "small AS (SELECT gene, sample, sum(value) AS value FROM cells WHERE gene < 60 AND sample < 10 GROUP BY 1, 2)"
-
-
-def _small(spark: SparkSession, sf: str) -> DataFrame:
-    return cells(spark, sf).where("gene < 60 AND sample < 10").groupBy("gene", "sample").agg(F.sum("value").alias("value"))
-
-
-@query("s05_wide_matrix", f"WITH {CELLS}, {_SMALL} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM small WHERE value <> 0")
-def s05(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{_folder(spark)}/wide.csv"
-    wide = _small(spark, sf).groupBy("gene").pivot("sample", list(range(10))).agg(F.sum("value")).na.fill(0.0)
-    wide.coalesce(1).write.option("header", "true").csv(path)
-    return readers.wide_matrix(spark, path)
-
-
-@query("s06_ragged_matrix", f"WITH {CELLS}, {_SMALL} SELECT CAST(gene AS VARCHAR) AS gene, 'c' || sample AS cell, value FROM small WHERE value <> 0")
-def s06(spark: SparkSession, sf: str) -> DataFrame:
-    wide = _small(spark, sf).groupBy("gene").pivot("sample", list(range(10))).agg(F.sum("value")).na.fill(0.0)
-    body = wide.select((F.col("gene") + 2).alias("o"), F.concat(F.concat_ws("\t", F.col("gene").cast("string"), *[F.col(str(i)).cast("string") for i in range(10)]), F.lit("\t")).alias("value"))
-    head = spark.createDataFrame([(0, "\t" + "\t".join(f"c{i}" for i in range(10))), (1, "\tannotation")], "o long, value string")
-    return readers.ragged_matrix(spark, _text(head.unionByName(body), f"{_folder(spark)}/ragged.txt", "o") + "/*.txt")
-
-
-# the matrix of all genes and all samples; the three queries above are of its corner
-
 _WHOLE = "whole AS (SELECT gene, sample, sum(value) AS value FROM cells GROUP BY 1, 2)"
 #: Columns of one wide file, genes of one ragged file.
 _COLUMNS, _GENES = 200, 1000
@@ -98,13 +73,13 @@ def _union(spark: SparkSession, frames: list[DataFrame]) -> DataFrame:
     return reduce(DataFrame.unionByName, frames, spark.createDataFrame([], "gene string, cell string, value double"))
 
 
-@query("s05_wide_matrix_whole", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM whole WHERE value <> 0")
-def s05_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query("s05_wide_matrix", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM whole WHERE value <> 0")
+def s05(spark: SparkSession, sf: str) -> DataFrame:
     return _union(spark, [readers.wide_matrix(spark, path) for path in _wide(spark, sf)])
 
 
-@query("s06_ragged_matrix_whole", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, 'c' || sample AS cell, value FROM whole WHERE value <> 0")
-def s06_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query("s06_ragged_matrix", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, 'c' || sample AS cell, value FROM whole WHERE value <> 0")
+def s06(spark: SparkSession, sf: str) -> DataFrame:
     """Ragged files of so many genes each, as one file is one task's work."""
     matrix, names = _whole(spark, sf)
     held = F.map_from_entries(F.collect_list(F.struct("sample", "value")))
@@ -119,8 +94,8 @@ def s06_whole(spark: SparkSession, sf: str) -> DataFrame:
     return readers.ragged_matrix(spark, f"{path}/*/*.txt")
 
 
-@query("s09_selected_columns_whole", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM whole WHERE value <> 0 AND sample IN (2, 5)")
-def s09_whole(spark: SparkSession, sf: str) -> DataFrame:
+@query("s09_selected_columns", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM whole WHERE value <> 0 AND sample IN (2, 5)")
+def s09(spark: SparkSession, sf: str) -> DataFrame:
     chosen = {path: [c for c in ("2", "5") if c in names] for path, names in _wide(spark, sf).items()}
     return _union(spark, [readers.wide_matrix(spark, path, cells=names) for path, names in chosen.items() if names])
 
@@ -139,14 +114,6 @@ def s08(spark: SparkSession, sf: str) -> DataFrame:
     return readers.annotated_cells(joined, {"s_suppkey": "cell_id", "n_name": "cohort", "s_name": "sample"}, "cohort", "sample")
 
 
-@query("s09_selected_columns", f"WITH {CELLS}, {_SMALL} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM small WHERE value <> 0 AND sample IN (2, 5)")
-def s09(spark: SparkSession, sf: str) -> DataFrame:
-    path = f"{_folder(spark)}/wide.csv"
-    wide = _small(spark, sf).groupBy("gene").pivot("sample", list(range(10))).agg(F.sum("value")).na.fill(0.0)
-    wide.coalesce(1).write.option("header", "true").csv(path)
-    return readers.wide_matrix(spark, path, cells=["2", "5"])
-
-
 @query("s12_matrix_market", "SELECT n_name AS gene, r_name AS cell, CAST(n_nationkey + 1 AS DOUBLE) AS value FROM nation JOIN region ON n_regionkey = r_regionkey")
 def s12(spark: SparkSession, sf: str) -> DataFrame:
     nation, region = table(spark, sf, "nation"), table(spark, sf, "region")

@@ -24,7 +24,7 @@ def test_ragged_text(spark, tmp_path):
     assert got == [("GENE1", "c1", 4.0), ("GENE2", "c1", 1.5), ("GENE2", "c2", 7.0)]
 
 
-@pytest.mark.parametrize("name", ["s05_wide_matrix_whole", "s06_ragged_matrix_whole", "s09_selected_columns_whole"])
+@pytest.mark.parametrize("name", ["s05_wide_matrix", "s06_ragged_matrix", "s09_selected_columns"])
 def test_whole_matrix_over_several_files(spark, monkeypatch, name):
     """Every gene and sample comes back, however the matrix is cut into files."""
     sf = "/root/testdata/sf0.001"
