@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -12,15 +13,9 @@ from rankforge.plans.metrics import _INTERVAL
 from rankforge.plans.tables import view_sql
 from rankforge.session import rounded, settle, table
 
-WIDTH = 8
-_SHORT = CONTEXTS + f", short AS (SELECT * REPLACE (CAST(embedding[1:{WIDTH}] AS DOUBLE[]) AS embedding) FROM contexts)"
 _ROUND = "list_transform({0}, lambda x: round(x, 6))"
 
 
-def _short(spark: SparkSession, sf: str) -> DataFrame:
-    return contexts(spark, sf).withColumn("embedding", F.transform(F.slice("embedding", 1, WIDTH), lambda x: x.cast("double")))
-
-
 def _vector(name: str = "vector"):
     return F.transform(name, lambda x: F.round(x, 6)).alias("vector")
 
@@ -30,25 +25,26 @@ _VIEWS = ", ".join(f"CASE WHEN {sql} THEN '{name}' END" for name, sql in view_sq
 
 @query(
     "a19_view_means",
-    f"""WITH {_SHORT}, hit AS (SELECT gene_id, unnest([{_VIEWS}]) AS view, embedding FROM short),
-e AS (SELECT gene_id, view, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM hit WHERE view IS NOT NULL),
+    f"""WITH {CONTEXTS}, hit AS (SELECT gene_id, unnest([{_VIEWS}]) AS view, embedding FROM contexts),
+e AS (SELECT gene_id, view, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM hit WHERE view IS NOT NULL),
 m AS (SELECT gene_id, view, list(x ORDER BY i) AS v FROM (SELECT gene_id, view, i, avg(x) AS x FROM e GROUP BY 1, 2, 3) GROUP BY 1, 2),
-grid AS (SELECT gene_id, unnest([{', '.join(f"'{n}'" for n in view_sql())}]) AS view FROM (SELECT DISTINCT gene_id FROM short))
-SELECT gene_id, view, {_ROUND.format(f"coalesce(v, list_transform(range({WIDTH}), lambda x: 0.0::DOUBLE))")} AS vector, (v IS NOT NULL)::INTEGER AS available FROM grid LEFT JOIN m USING (gene_id, view)""",
+grid AS (SELECT gene_id, unnest([{', '.join(f"'{n}'" for n in view_sql())}]) AS view FROM (SELECT DISTINCT gene_id FROM contexts))
+SELECT gene_id, view, {_ROUND.format("coalesce(v, list_transform(range((SELECT max(len(embedding)) FROM contexts)), lambda x: 0.0::DOUBLE))")} AS vector, (v IS NOT NULL)::INTEGER AS available FROM grid LEFT JOIN m USING (gene_id, view)""",
 )
 def a19(spark: SparkSession, sf: str) -> DataFrame:
-    return pooling.pool_by_view(_short(spark, sf), "gene_id", scalar.views(), "embedding", WIDTH).select("gene_id", "view", _vector(), "available")
+    rows = contexts(spark, sf)
+    return pooling.pool_by_view(rows, "gene_id", scalar.views(), "embedding", _width(rows)).select("gene_id", "view", _vector(), "available")
 
 
 @query(
     "a20_balanced_pooling",
-    f"""WITH {_SHORT}, e AS (SELECT gene_id, disease, sample, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding) AS x FROM short WHERE disease IS NOT NULL),
+    f"""WITH {CONTEXTS}, e AS (SELECT gene_id, disease, sample, vec_id, generate_subscripts(embedding, 1) AS i, unnest(embedding)::DOUBLE AS x FROM contexts WHERE disease IS NOT NULL),
 one AS (SELECT gene_id, disease, sample, i, avg(x) AS x FROM e GROUP BY ALL), two AS (SELECT gene_id, disease, i, avg(x) AS x FROM one GROUP BY ALL),
 c AS (SELECT gene_id, disease, CAST(sum(n) AS BIGINT) AS n_cells, count(*) AS n_samples FROM (SELECT gene_id, disease, sample, count(DISTINCT vec_id) AS n FROM e GROUP BY ALL) GROUP BY ALL)
 SELECT gene_id, disease, {_ROUND.format("list(x ORDER BY i)")} AS vector, any_value(n_cells) AS n_cells, any_value(n_samples) AS n_samples FROM two JOIN c USING (gene_id, disease) GROUP BY 1, 2""",
 )
 def a20(spark: SparkSession, sf: str) -> DataFrame:
-    tokens = _short(spark, sf).where("disease IS NOT NULL")
+    tokens = contexts(spark, sf).where("disease IS NOT NULL")
     return pooling.balanced_pool(tokens, "gene_id", "sample", ["disease"], "vec_id").select("gene_id", "disease", _vector(), "n_cells", "n_samples")
 
 
@@ -72,18 +68,21 @@ def a23(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "a24_gram_matrix",
-    f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM (SELECT vec_id, embedding[1:4] AS embedding FROM embeddings))
+    f"""WITH e AS (SELECT vec_id, generate_subscripts(embedding, 1) - 1 AS i, unnest(embedding)::DOUBLE AS x FROM embeddings)
 SELECT a.i AS i, b.i AS j, round(sum(a.x * b.x), 6) AS g FROM e a JOIN e b USING (vec_id) GROUP BY 1, 2""",
 )
 def a24(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").select(*[F.col("embedding")[i].cast("double").alias(f"x{i}") for i in range(4)])
-    sums = rows.agg(*[F.sum(F.col(f"x{i}") * F.col(f"x{j}")).alias(f"{i}_{j}") for i in range(4) for j in range(4)])
-    long = sums.unpivot([], sums.columns, "ij", "g")
-    return long.select(F.split_part("ij", F.lit("_"), F.lit(1)).cast("long").alias("i"), F.split_part("ij", F.lit("_"), F.lit(2)).cast("long").alias("j"), rounded("g", 6).alias("g"))
+    """All components against all; the tasks add up matrices, and one row for each pair of components is left."""
+    rows, names = _features(spark, sf)
+    gram = heads.moments(rows, [F.col(n) for n in names])
+    return spark.createDataFrame([(i, j, float(g)) for (i, j), g in np.ndenumerate(gram)], "i long, j long, g double").withColumn("g", rounded("g", 6))
 
 
 # tokenisers: a cell is an order, a gene a part
 
+#: Tokens of a sequence at most: far above the genes of an ordinary cell.
+LENGTH = 2048
+
 _COUNTS = f"""{CELLS}, counts AS (SELECT cell, gene, gene AS ord, sum(value) AS value FROM cells GROUP BY 1, 2)"""
 
 
@@ -95,11 +94,11 @@ def _counts(spark: SparkSession, sf: str) -> DataFrame:
     "m19_rank_tokens",
     f"""WITH {_COUNTS}, t AS (SELECT cell, sum(value) AS total FROM counts GROUP BY 1), d AS (SELECT p_partkey AS gene, p_partkey + 1000 AS token, p_size::DOUBLE AS median FROM part WHERE p_partkey % 4 > 0),
 r AS (SELECT cell, token, ord, row_number() OVER (PARTITION BY cell ORDER BY value / total * 10000.0::DOUBLE / greatest(median, 1e-12) DESC, ord) AS rn FROM counts JOIN d USING (gene) JOIN t USING (cell) WHERE value > 0 AND total > 0)
-SELECT cell, list(token ORDER BY rn) AS tokens, list(ord ORDER BY rn) AS genes FROM r WHERE rn <= 4 GROUP BY 1""",
+SELECT cell, list(token ORDER BY rn) AS tokens, list(ord ORDER BY rn) AS genes FROM r WHERE rn <= {LENGTH} GROUP BY 1""",
 )
 def m19(spark: SparkSession, sf: str) -> DataFrame:
     dictionary = table(spark, sf, "part").where("p_partkey % 4 > 0").select(F.col("p_partkey").alias("gene"), (F.col("p_partkey") + 1000).alias("token"), F.col("p_size").cast("double").alias("median"))
-    return pooling.rank_tokens(_counts(spark, sf), dictionary, 4)
+    return pooling.rank_tokens(_counts(spark, sf), dictionary, LENGTH)
 
 
 @query(
@@ -108,12 +107,12 @@ def m19(spark: SparkSession, sf: str) -> DataFrame:
 t AS (SELECT cell, sum(value) AS total FROM m GROUP BY 1), s AS (SELECT cell, token, ord, ln(1 + value / total * 10000.0::DOUBLE) AS x FROM m JOIN t USING (cell) WHERE value > 0),
 e AS (SELECT cell, quantile_cont(x, [0.0, 0.25, 0.5, 0.75, 1.0]) AS edges FROM s GROUP BY 1),
 r AS (SELECT cell, token, row_number() OVER (PARTITION BY cell ORDER BY x DESC, ord) AS rn, (len(list_filter(edges, lambda q: q < x)) + 1)::DOUBLE AS bin FROM s JOIN e USING (cell)),
-p AS (SELECT cell, list(token ORDER BY rn) AS tk, list(bin ORDER BY rn) AS vl FROM r WHERE rn <= 4 GROUP BY 1)
+p AS (SELECT cell, list(token ORDER BY rn) AS tk, list(bin ORDER BY rn) AS vl FROM r WHERE rn < {LENGTH} GROUP BY 1)
 SELECT cell, list_concat([7::BIGINT], coalesce(tk, [])) AS tokens, list_concat([0.0::DOUBLE], coalesce(vl, [])) AS values FROM (SELECT DISTINCT cell FROM counts) LEFT JOIN p USING (cell)""",
 )
 def m20(spark: SparkSession, sf: str) -> DataFrame:
     vocabulary = table(spark, sf, "part").where("p_partkey % 4 > 0").select(F.col("p_partkey").alias("gene"), (F.col("p_partkey") + 1000).alias("token"))
-    return pooling.binned_tokens(_counts(spark, sf), vocabulary, 5, 6, 7)
+    return pooling.binned_tokens(_counts(spark, sf), vocabulary, LENGTH, 6, 7)
 
 
 @query(
@@ -128,29 +127,18 @@ def m22(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "r16_geometry_correlation",
-    """WITH v AS (SELECT vec_id, embedding[1:32]::DOUBLE[] AS f, embedding[33:64]::DOUBLE[] AS s FROM embeddings WHERE label = 3),
-p AS (SELECT list_cosine_similarity(a.f, b.f) AS x, list_cosine_similarity(a.s, b.s) AS y FROM v a JOIN v b ON a.vec_id < b.vec_id)
-SELECT count(*) AS pairs, round(corr(x, y), 6) AS correlation FROM p""",
-)
-def r16(spark: SparkSession, sf: str) -> DataFrame:
-    rows = table(spark, sf, "embeddings").where("label = 3").select("vec_id", F.slice("embedding", 1, 32).alias("f"), F.slice("embedding", 33, 32).alias("s"))
-    return pooling.geometry_correlation(rows, "vec_id", "f", "s").withColumn("correlation", rounded("correlation", 6))
-
-
-@query(
-    "r16_geometry_correlation_all",
     """WITH v AS (SELECT vec_id, embedding[1:len(embedding) // 2]::DOUBLE[] AS f, embedding[len(embedding) // 2 + 1:len(embedding)]::DOUBLE[] AS s FROM embeddings),
 p AS (SELECT list_cosine_similarity(a.f, b.f) AS x, list_cosine_similarity(a.s, b.s) AS y FROM v a JOIN v b ON a.vec_id < b.vec_id)
 SELECT count(*) AS pairs, round(corr(x, y), 6) AS correlation FROM p""",
 )
-def r16_all(spark: SparkSession, sf: str) -> DataFrame:
-    """All embeddings at their full width, first half against second; r16 takes those of one label."""
+def r16(spark: SparkSession, sf: str) -> DataFrame:
+    """All embeddings at their full width, first half against second."""
     half = F.floor(F.size("embedding") / 2).cast("int")
     rows = table(spark, sf, "embeddings").select("vec_id", F.slice("embedding", F.lit(1), half).alias("f"), F.slice("embedding", half + 1, F.size("embedding") - half).alias("s"))
     return pooling.geometry_correlation(rows, "vec_id", "f", "s").withColumn("correlation", rounded("correlation", 6))
 
 
-_CLUSTERS, _SEED = 30, 12
+_CLUSTERS, _SEED = 300, 12
 _CLUSTER_VALUES = "v AS (SELECT user_id % 20 AS cluster, event_type AS entity, user_id % 3 = 0 AS responder, value FROM events)"
 _CLUSTER_SQL = f"""WITH {_CLUSTER_VALUES}, n AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS position FROM (SELECT DISTINCT cluster FROM v)),
 draws AS (SELECT replicate, CAST('0x' || substr(sha256('{_SEED}|' || replicate || '|' || i), 1, 15) AS BIGINT) % (SELECT count(*) FROM n) AS position FROM range({_CLUSTERS}) r(replicate), range((SELECT count(*) FROM n)) i(i)),
@@ -315,7 +303,7 @@ def m17(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("m18_benchmark")
 def m18(spark: SparkSession, sf: str) -> DataFrame:
-    """All methods on the documents' labels: metrics, intervals against popularity, state."""
+    """Seven raw scores on the documents' labels, 400 replicates; `m18_benchmark_methods` has the fitted methods."""
     from rankforge.plans.benchmark import run_benchmark
 
     return run_benchmark(scored(spark, sf))
