@@ -52,7 +52,7 @@ def default_methods() -> dict[str, Column]:
     return {REFERENCE: F.col("score"), "length": F.col("alt"), "inverse_length": -F.col("alt"), "probability": F.col("p")} | {f"random_{s}": uniform(key, s) for s in (1, 2, 3)}
 
 
-def run_benchmark(rows: DataFrame, methods: Mapping[str, Column] | None = None, k: int = 20, replicates: int = 30, seed: int = 5) -> DataFrame:
+def run_benchmark(rows: DataFrame, methods: Mapping[str, Column] | None = None, k: int = 20, replicates: int = 400, seed: int = 5) -> DataFrame:
     """method, precision, recall, rr, auprc, lower and upper of the paired difference to popularity, state.
 
     One long frame (method, row) carries all methods through each metric, and

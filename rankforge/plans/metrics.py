@@ -79,7 +79,7 @@ def r06(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("context", *[rounded(c).alias(c) for c in ("precision", "recall", "rr", "auprc")])
 
 
-REPLICATES, SEED = 40, 11
+REPLICATES, SEED = 400, 11
 _DRAWN = f"""numbered AS (
   SELECT *, row_number() OVER (ORDER BY ord) - 1 AS position FROM scored
 ), draws AS (
