@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import chat, dedup, language, mixing, multi_index, packing, quality, topk, url_filter, warc
+from rankforge.llm import chat, codes, dedup, language, mixing, multi_index, packing, quality, runs, topk, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -21,6 +21,8 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_chat_format": chat.query,
         "op9_url_filter": url_filter.query,
         "op10_warc_revisit": warc.query,
+        "op11_periodic_runs": runs.query,
+        "op12_vector_codes": codes.query,
     }
 
 
@@ -31,4 +33,5 @@ def oracle_sql() -> dict[str, str]:
         "op8_chat_format": chat.ORACLE_SQL,
         "op9_url_filter": url_filter.ORACLE_SQL,
         "op10_warc_revisit": warc.ORACLE_SQL,
+        "op12_vector_codes": codes.ORACLE_SQL,
     }
