@@ -237,16 +237,18 @@ def keep_one(docs: DataFrame, least: float = SIMILARITY, words: int = WORDS) ->
     first = found.groupBy("root").agg(F.min(order).alias("first")).select("root", F.col("first.doc_id").alias("kept_id"), F.col("first.tag").alias("kept_tag"))
     counted = found.groupBy("root", "doc_id", "tag").agg(F.count(F.lit(1)).alias("n")).join(first, "root")
     is_first = F.col("doc_id").eqNullSafe(F.col("kept_id")) & (F.col("tag") == F.col("kept_tag"))
-    counted = counted.select(F.col("doc_id").alias("__row_id"), F.col("tag").alias("__row_tag"), "n", is_first.alias("is_first"))
-    counted = settle(counted.where(~F.col("is_first") | (F.col("n") > 1)))
-    same = docs["doc_id"].eqNullSafe(F.col("__row_id")) & (text_tag(docs["text"].cast("string")) == F.col("__row_tag"))
-    kept = docs.join(small(counted.select("__row_id", "__row_tag")), same, "left_anti")
+    counted = settle(counted.where(~is_first | (F.col("n") > 1)).select("doc_id", "tag", is_first.alias("is_first")))
+    # the input row is a struct, so that no column of it clashes with these
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row"))
+    rows = rows.withColumn("id", F.col("row.doc_id")).withColumn("of", text_tag(F.col("row.text").cast("string")))
+    same = F.col("id").eqNullSafe(F.col("doc_id")) & (F.col("of") == F.col("tag"))
+    kept = rows.join(small(counted.select("doc_id", "tag")), same, "left_anti")
     repeated = counted.where("is_first")
-    if repeated.isEmpty():
-        return kept
-    # a row to keep that is there several times: one of them
-    again = docs.join(small(repeated.select("__row_id", "__row_tag")), same, "left_semi").withColumn("__tag", text_tag(F.col("text").cast("string")))
-    return kept.unionByName(again.dropDuplicates(["doc_id", "__tag"]).drop("__tag"))
+    if not repeated.isEmpty():
+        # a row to keep that is there several times: one of them
+        again = rows.join(small(repeated.select("doc_id", "tag")), same, "left_semi")
+        kept = kept.unionByName(again.dropDuplicates(["id", "of"]))
+    return kept.select("row.*")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

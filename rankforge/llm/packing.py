@@ -108,7 +108,7 @@ def cut(docs: DataFrame, payload: str = "ids", capacity: int = CAPACITY, end_id:
 
 
 def pack(docs: DataFrame, payload: str = "ids", capacity: int = CAPACITY, end_id: int = END_ID, vocabulary: str | None = None, block: int = BLOCK) -> DataFrame:
-    """The pieces of `cut` with sequence_id and offset."""
+    """The pieces of `cut` with sequence_id and offset; doc_row comes last."""
     pieces = settle(cut(docs, payload, capacity, end_id, vocabulary))
     blocks = max(1, math.ceil(pieces.count() / block))
 
@@ -124,11 +124,14 @@ def pack(docs: DataFrame, payload: str = "ids", capacity: int = CAPACITY, end_id
                 at += lengths[i]
         return group.drop_columns(["block"]).append_column("sequence_id", pa.array(sequence)).append_column("offset", pa.array(offset))
 
+    whole = payload == "ids"
     light = pieces.drop("ids")  # a block of token ids would be large
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in light.schema)
     dealt = light.withColumn("block", F.pmod(F.xxhash64("doc_row", "piece"), F.lit(blocks)))
     placed = dealt.groupBy("block").applyInArrow(place, schema + ", sequence_id long, offset long")
-    return pieces.join(placed.select("doc_row", "piece", "sequence_id", "offset"), ["doc_row", "piece"]).select(*pieces.columns, "sequence_id", "offset") if "ids" in pieces.columns else placed
+    if whole:
+        placed = pieces.join(placed.select("doc_row", "piece", "sequence_id", "offset"), ["doc_row", "piece"])
+    return placed.select("doc_id", "piece", "start", "length", payload, "sequence_id", "offset", "doc_row")
 
 
 def query(spark: SparkSession, sf_dir: str) -> DataFrame:

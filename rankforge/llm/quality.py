@@ -8,9 +8,10 @@ Gated attention turns the encodings into weights that sum to 1 over the document
 and the weighted passage representation is scored.  Embeddings, layer, attention
 and scorer are learned together from document labels alone.
 
-The fit uses at most `SAMPLE` labelled documents, chosen by a hash of doc_id, and
-of each at most `FIT_PASSAGES` passages, spread evenly over the text (documented
-bounds).  Scoring reads whole texts, in one pass without a shuffle.
+The fit uses labelled documents in the order of a hash of doc_id: at most `SAMPLE`
+of them, and no more than have `FIT_CHARS` characters together (documented bounds;
+the first one always).  It learns from all passages of each.  Scoring reads whole
+texts, in one pass without a shuffle.
 
 Defined cases: null and empty texts are one passage without words; documents
 with several labels count with the largest; null labels are left out; repeated
@@ -35,7 +36,7 @@ from rankforge.llm.words import mix, spans, word_hashes
 
 PASSAGE = 64
 SAMPLE = 4096
-FIT_PASSAGES = 32
+FIT_CHARS = 1 << 25
 #: Rows of the embedding table, and their width.
 SLOTS, EMBED = 1 << 12, 8
 HELD_OUT = (3, 1)
@@ -65,20 +66,15 @@ class Bag(NamedTuple):
     count: np.ndarray
 
 
-def bag_of(text: str | None, most: int | None = None) -> Bag:
-    """The passages of a text, one at least; only `most` of them, evenly spread, if there are more."""
+def bag_of(text: str | None) -> Bag:
+    """The passages of a text, one at least."""
     raw = np.frombuffer((text or "").encode(), dtype=np.uint8)
     begin, end = spans(raw)
     word = word_hashes(raw, begin, end)
-    shape = passages(raw, begin, end, word)
     pair = mix(word[1:] + word[:-1] * np.uint64(0x9E3779B97F4A7C15)) >> np.uint64(64 - 12)
     grams = np.empty(max(0, 2 * len(word) - 1), np.int16)  # word, pair, word, pair, ..
     grams[::2], grams[1::2] = word >> np.uint64(64 - 12), pair
-    count = np.diff(np.append(np.arange(0, 2 * max(1, len(word)), 2 * PASSAGE), len(grams)))
-    if most is None or len(shape) <= most:
-        return Bag(shape, grams, count)
-    part = np.arange(most) * len(shape) // most
-    return Bag(shape[part], np.concatenate([grams[2 * PASSAGE * k : 2 * PASSAGE * (k + 1)] for k in part]), count[part])
+    return Bag(passages(raw, begin, end, word), grams, np.diff(np.append(np.arange(0, 2 * max(1, len(word)), 2 * PASSAGE), len(grams))))
 
 
 def passages(raw: np.ndarray, begin: np.ndarray, end: np.ndarray, word: np.ndarray) -> np.ndarray:
@@ -217,7 +213,7 @@ def train(bags: list[Bag], labels: np.ndarray, epochs: int = EPOCHS, hidden: int
     return model._replace(table=model.table.astype(np.float32))
 
 
-def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, chars: int = FIT_CHARS) -> Model:
     """Learn from `labels` (doc_id, label) on the texts of `docs`."""
     known = labels.where("doc_id IS NOT NULL AND label IS NOT NULL").groupBy("doc_id").agg(F.max("label").alias("label"))
     chosen = known.orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
@@ -225,7 +221,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
 
     def describe(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            held = [bag_of(t.as_py(), FIT_PASSAGES) for t in batch.column(1)]
+            held = [bag_of(t.as_py()) for t in batch.column(1)]
             parts = [[b.shape.astype(np.float32).ravel() for b in held], [b.grams for b in held], [b.count.astype(np.int32) for b in held]]
             kinds = [pa.float32(), pa.int16(), pa.int32()]
             yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(x, pa.list_(k)) for x, k in zip(parts, kinds, strict=True)), batch.column(2)], names=["doc_id", "shape", "grams", "count", "label"])
@@ -233,7 +229,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     kind = docs.schema["doc_id"].dataType.simpleString()
     joined = rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", F.col("label").cast("int").alias("label"))
     # repeated documents can be more rows than labels: the least by hash
-    joined = joined.orderBy(F.xxhash64("doc_id", "text"), "doc_id").limit(sample)
+    joined = joined.withColumn("turn", F.xxhash64("doc_id", "text"))
+    sizes = joined.select("turn", F.coalesce(F.length("text"), F.lit(0)).alias("size")).orderBy("turn").limit(sample).toArrow()  # two numbers a row
+    taken = int((np.cumsum(sizes["size"].to_numpy()) <= chars).sum())
+    if len(sizes):
+        joined = joined.where(F.col("turn") <= F.lit(sizes["turn"][max(0, taken - 1)].as_py()))
+    joined = joined.orderBy("turn", "doc_id").limit(sample).drop("turn")
     got = arrow_map(joined, describe, f"doc_id {kind}, shape array<float>, grams array<smallint>, count array<int>, label int").toArrow().sort_by([("doc_id", "ascending")])
     bags = [Bag(s.values.to_numpy().astype(np.float64).reshape(-1, WIDTH), g.values.to_numpy(), c.values.to_numpy()) for s, g, c in zip(got["shape"], got["grams"], got["count"], strict=True)]
     return train(bags, got["label"].to_numpy().astype(np.float64))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from rankforge.llm import chat, codes, dedup, language, mixing, multi_index, packing, quality, runs, topk, url_filter, warc
+from rankforge.llm import chat, codes, dedup, language, mixing, multi_index, packing, quality, runs, secrets, topk, url_filter, warc
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -23,6 +23,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op10_warc_revisit": warc.query,
         "op11_periodic_runs": runs.query,
         "op12_vector_codes": codes.query,
+        "op13_secret_scan": secrets.query,
     }
 
 
@@ -34,4 +35,5 @@ def oracle_sql() -> dict[str, str]:
         "op9_url_filter": url_filter.ORACLE_SQL,
         "op10_warc_revisit": warc.ORACLE_SQL,
         "op12_vector_codes": codes.ORACLE_SQL,
+        "op13_secret_scan": secrets.ORACLE_SQL,
     }

@@ -137,6 +137,16 @@ def test_keep_one(spark, corpus):
     assert got == sorted(want, key=str)
 
 
+def test_keep_one_with_columns_of_its_own_names(spark):
+    text = "one two three four five six seven"
+    names = ["__row_id", "__row_tag", "__tag", "id", "of", "tag", "row", "n", "is_first", "root", "kept_id"]
+    rows = [(1, text), (1, text), (2, text), (3, "quite another text of seven words here")]
+    docs = spark.createDataFrame([(*r, *range(len(names))) for r in rows], "doc_id long, text string, " + ", ".join(f"{n} int" for n in names))
+    kept = dedup.keep_one(docs)
+    assert kept.schema == docs.schema
+    assert sorted(r["doc_id"] for r in kept.collect()) == [1, 3]
+
+
 def test_empty_table(spark):
     empty = spark.createDataFrame([], DOC)
     assert dedup.classes(empty).count() == 0 and dedup.keep_one(empty).count() == 0
