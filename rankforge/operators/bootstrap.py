@@ -1,10 +1,9 @@
-"""Bootstrap intervals with the replicate as a partition key.
+"""Bootstrap intervals: exact replicates of rows and of clusters.
 
-A replicate's draws are hashes of (seed, replicate, position), so they can be
-repeated anywhere; a row's multiplicity in a replicate is a weight, and one job
-computes all replicates of all methods.  `poisson_weights` is the variant for
-large tables: independent Poisson(1) weights per (replicate, row), an
-approximation of the multinomial draw that needs no table-wide numbering.
+Draws are hashes of (seed, replicate, position), so they can be repeated anywhere.
+`replicates` makes them and computes metrics over them; here are intervals, paired
+differences and whole clusters.  `poisson_weights` is an approximation that needs
+no numbering of the table.
 """
 
 from __future__ import annotations
@@ -14,22 +13,13 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankforge.functions.scalar import draw_index, uniform
-from rankforge.operators.ranking import average_precision, position
+from rankforge.functions.scalar import uniform
+from rankforge.operators import replicates as exact
+from rankforge.operators.ranking import position
 from rankforge.session import settle
 
-
-def multiplicities(n: int, replicates: int, seed: int, spark) -> DataFrame:
-    """replicate, position, times: n draws with replacement from 0..n-1 in each replicate."""
-    cells = spark.range(replicates * n).select((F.col("id") / n).cast("long").alias("replicate"), (F.col("id") % n).alias("i"))
-    drawn = cells.select("replicate", draw_index(F.col("replicate"), F.col("i"), F.lit(n), seed).alias("position"))
-    return drawn.groupBy("replicate", "position").agg(F.count(F.lit(1)).alias("times"))
-
-
-def resample(df: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """The rows of `df` (numbered by `ord`) with replicate and times."""
-    numbered = settle(position(df, [], ["ord"]))
-    return multiplicities(numbered.count(), replicates, seed, df.sparkSession).join(numbered, "position")
+#: A one-class draw of clusters is drawn anew so many times at most, all but the first in these rounds.
+ATTEMPTS = (1, 7, 42)
 
 
 def poisson_weights(df: DataFrame, replicates: int, seed: int) -> DataFrame:
@@ -52,36 +42,52 @@ def interval(values: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 def auprc_interval(df: DataFrame, scores: Sequence[str], replicates: int, seed: int) -> DataFrame:
     """method, lower, upper, valid of the average precision; replicates without a positive have none."""
-    drawn = resample(df, replicates, seed)
-    parts = [average_precision(drawn.withColumn("score", F.col(s)), ["replicate"], "score", F.col("times")).withColumn("method", F.lit(s)) for s in scores]
-    every = parts[0]
-    for part in parts[1:]:
-        every = every.unionByName(part)
-    return interval(every, ["method"], "auprc")
+    return interval(exact.replicate_metrics(df, {s: s for s in scores}, [exact.AVERAGE_PRECISION], replicates, seed), ["method"], "value")
 
 
-def paired_difference(df: DataFrame, score: str, reference: str, replicates: int, seed: int) -> DataFrame:
-    """replicate, difference of average precision on the same draws."""
-    drawn = resample(df, replicates, seed)
-    a = average_precision(drawn, ["replicate"], score, F.col("times")).withColumnRenamed("auprc", "a")
-    b = average_precision(drawn, ["replicate"], reference, F.col("times")).withColumnRenamed("auprc", "b")
-    return a.join(b, "replicate").select("replicate", (F.col("a") - F.col("b")).alias("difference"))
+def paired_difference(df: DataFrame, score: str, reference: str, replicates: int, seed: int, metric: exact.Metric = exact.AVERAGE_PRECISION) -> DataFrame:
+    """replicate, difference of a metric on the same draws."""
+    both = exact.replicate_metrics(df, {"a": score, "b": reference}, [metric], replicates, seed)
+    side = lambda m: F.max(F.when(F.col("method") == m, F.col("value")))
+    return both.groupBy("replicate").agg((side("a") - side("b")).alias("difference")).where("difference IS NOT NULL")
 
 
 def cluster_draws(clusters: DataFrame, replicates: int, seed: int) -> DataFrame:
-    """replicate, cluster, times: whole clusters drawn with replacement.
+    """replicate, cluster, times: whole clusters drawn with replacement, both classes in every replicate.
 
-    `clusters` has one column, cluster, without repeats.
+    `clusters` has cluster, without repeats, and the booleans yes and no: whether it
+    has rows of each class.  A draw of one class is drawn anew; its first valid
+    attempt counts, and a replicate without one among all attempts is an error.
     """
-    numbered = settle(position(clusters.select("cluster"), [], ["cluster"]))
-    return multiplicities(numbered.count(), replicates, seed, clusters.sparkSession).join(numbered, "position").drop("position")
+    spark = clusters.sparkSession
+    numbered = settle(position(clusters.select("cluster", "yes", "no"), [], ["cluster"]))
+    n, left, first, found = numbered.count(), list(range(replicates)), 0, []
+    for attempts in ATTEMPTS:
+        ids = [(r, a) for r in left for a in range(first, first + attempts)]
+        draws = exact.draw(spark, n, [a * replicates + r for r, a in ids], seed)
+        names = F.broadcast(spark.createDataFrame([(k, *i) for k, i in enumerate(ids)], "replicate long, of long, attempt long"))
+        drawn = exact.counts(numbered, draws).groupBy("replicate", "position").agg(F.sum("times").alias("times"))
+        drawn = settle(drawn.join(numbered, "position").join(names, "replicate").select(F.col("of").alias("replicate"), "attempt", "cluster", "times", "yes", "no"))
+        valid = drawn.groupBy("replicate", "attempt").agg(F.max("yes").alias("y"), F.max("no").alias("n")).where("y AND n")
+        valid = settle(valid.groupBy("replicate").agg(F.min("attempt").alias("attempt")))
+        found.append(drawn.join(valid, ["replicate", "attempt"]).select("replicate", "cluster", "times"))
+        left = sorted(set(left) - {r["replicate"] for r in valid.select("replicate").collect()})  # a row for each replicate
+        first += attempts
+        if not left:
+            break
+    else:
+        raise ValueError(f"{len(left)} of {replicates} replicates have one class only after {first} attempts")
+    out = found[0]
+    for more in found[1:]:
+        out = out.unionByName(more)
+    return out
 
 
 def cluster_contrast(values: DataFrame, draws: DataFrame) -> DataFrame:
     """replicate, entity, delta: weighted mean of `value` over responders minus non-responders.
 
-    `values` has cluster, entity, responder (boolean), value; draws with one
-    class only give no row.
+    `values` has cluster, entity, responder (boolean), value; an entity that a draw
+    sees in one class only gets no row there.
     """
     weighted = values.join(draws, "cluster").groupBy("replicate", "entity")
     side = lambda yes: F.try_divide(

@@ -2,9 +2,9 @@
 
 Every ranked frame has a label `y` (0 or 1), a score and a column `ord` that
 breaks ties.  Metrics that only depend on score groups aggregate by score first;
-top-k metrics keep k rows per group before anything is shuffled.  None sorts a
-group in one task: running sums are made inside of slices of the scores and over
-the slices' totals, and exact positions inside of range partitions.
+top-k metrics keep k rows per group before anything is shuffled.  None sorts an
+unbounded group in one task: running sums of groups with many distinct scores and
+exact positions are made inside of range partitions and over their totals.
 """
 
 from __future__ import annotations
@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 
 from rankforge.session import settle
 
+#: Distinct values of a group that one window may sum.
+WINDOW_ROWS = 1 << 20
+
 
 def _keys(by: Sequence[str]) -> list[Column]:
     return [F.col(c) for c in by]
@@ -48,28 +51,29 @@ def reciprocal_rank(df: DataFrame, by: Sequence[str], score: str = "score") -> D
     return before.select(*by, (1.0 / (1 + F.col("before"))).alias("rr"))
 
 
-def score_slice(score: str) -> Column:
-    """An integer that doesn't fall as the score grows: some 44 slices for every factor of two, however many rows there are."""
-    x = F.col(score).cast("double")
-    size = F.floor(F.log(F.least(F.abs(x), F.lit(1e300))) * 64).cast("long") + 100_000
-    return F.when(x.isNull(), F.lit(None)).when(F.isnan(x), F.lit(1 << 40)).when(x == 0, F.lit(0)).when(x > 0, size).otherwise(-size).cast("long")
-
-
-def running(steps: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], descending: bool = False) -> DataFrame:
+def running(steps: DataFrame, by: Sequence[str], order: str, sums: dict[str, str], descending: bool = False, most: int = WINDOW_ROWS) -> DataFrame:
     """Adds, as `sums` names them, the sums of columns over all rows of the group that come before.
 
-    `steps` has one row for each (group, order value).  A slice of values is
-    summed by one window, the slices' totals by another.
+    `steps` has one row for each (group, order value).  Groups of at most `most`
+    rows are summed by one window each.  Where any has more, the rows lie in range
+    partitions of the group and the value; a window sums inside of a partition, and
+    another one over the partitions' totals.  Both give the same.
     """
-    sliced = steps.withColumn("__slice", score_slice(order))
+    held = settle(steps)
     turn = F.desc if descending else F.asc
     before = lambda column, window: F.coalesce(F.sum(column).over(window.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
-    inside = Window.partitionBy(*by, "__slice").orderBy(turn(order))
-    across = Window.partitionBy(*(_keys(by) or [F.lit(0)])).orderBy(turn("__slice"))
-    totals = sliced.groupBy(*by, "__slice").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
-    totals = totals.select(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate([*by, "__slice"])], *[before(f"__{c}", across).alias(f"__{name}") for c, name in sums.items()])
-    inner = sliced.withColumns({name: before(c, inside) for c, name in sums.items()})
-    same = [F.col(c).eqNullSafe(F.col(f"__of_{i}")) for i, c in enumerate([*by, "__slice"])]
+    keys = _keys(by) or [F.lit(0)]
+    largest = held.groupBy(*by).agg(F.count(F.lit(1)).alias("n")).agg(F.max("n"), F.sum("n")).first()
+    if (largest[0] or 0) <= most:
+        return held.withColumns({name: before(c, Window.partitionBy(*keys).orderBy(turn(order))) for c, name in sums.items()})
+    parts = max(2, -(-largest[1] // most))
+    placed = settle(held.repartitionByRange(parts, *by, turn(order)).withColumn("__part", F.spark_partition_id()))
+    totals = placed.groupBy(*by, "__part").agg(*[F.sum(c).alias(f"__{c}") for c in sums])
+    across = Window.partitionBy(*keys).orderBy("__part")
+    totals = totals.select(*[F.col(c).alias(f"__of_{i}") for i, c in enumerate([*by, "__part"])], *[before(f"__{c}", across).alias(f"__{name}") for c, name in sums.items()])
+    inside = Window.partitionBy(*by, "__part").orderBy(turn(order))
+    inner = placed.withColumns({name: before(c, inside) for c, name in sums.items()})
+    same = [F.col(c).eqNullSafe(F.col(f"__of_{i}")) for i, c in enumerate([*by, "__part"])]
     joined = inner.join(totals, reduce(lambda a, b: a & b, same))
     return joined.select(*steps.columns, *[(F.col(name) + F.col(f"__{name}")).alias(name) for name in sums.values()])
 

@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions.scalar import robust_z, uniform
 from rankforge.operators import bootstrap, heads, ranking, sampling
+from rankforge.operators import replicates as exact
 from rankforge.session import rounded, settle
 
 REFERENCE = "popularity"
@@ -52,6 +53,13 @@ def default_methods() -> dict[str, Column]:
     return {REFERENCE: F.col("score"), "length": F.col("alt"), "inverse_length": -F.col("alt"), "probability": F.col("p")} | {f"random_{s}": uniform(key, s) for s in (1, 2, 3)}
 
 
+def paired_spread(wide: DataFrame, scores: Mapping[str, str], replicates: int, seed: int) -> DataFrame:
+    """method, lower, upper, valid of the difference to the reference's average precision, all methods on the same draws."""
+    per = settle(exact.replicate_metrics(wide, scores, [exact.AVERAGE_PRECISION], replicates, seed))
+    base = per.where(F.col("method") == REFERENCE).select("replicate", F.col("value").alias("base"))
+    return bootstrap.interval(per.join(base, "replicate").withColumn("difference", F.col("value") - F.col("base")), ["method"], "difference")
+
+
 def run_benchmark(rows: DataFrame, methods: Mapping[str, Column] | None = None, k: int = 20, replicates: int = 400, seed: int = 5) -> DataFrame:
     """method, precision, recall, rr, auprc, lower and upper of the paired difference to popularity, state.
 
@@ -64,10 +72,7 @@ def run_benchmark(rows: DataFrame, methods: Mapping[str, Column] | None = None,
     pairs = F.array(*[F.struct(F.lit(n).alias("method"), c.cast("double").alias("value")) for n, c in methods.items()])
     long = settle(held.select("ord", "y", F.explode(pairs).alias("m")).select("ord", "y", "m.*"))
     bundle = ranking.metric_bundle(long, ["method"], k, "value")
-    drawn = bootstrap.resample(held.select("ord", "y"), replicates, seed).select("replicate", "ord", "times")
-    per = ranking.average_precision(long.join(drawn, "ord"), ["method", "replicate"], "value", F.col("times"))
-    base = per.where(F.col("method") == REFERENCE).select("replicate", F.col("auprc").alias("base"))
-    spread = bootstrap.interval(per.join(base, "replicate").withColumn("difference", F.col("auprc") - F.col("base")), ["method"], "difference")
+    spread = paired_spread(held.select("ord", "y", *[c.cast("double").alias(f"m{k}") for k, c in enumerate(methods.values())]), {m: f"m{k}" for k, m in enumerate(methods)}, replicates, seed)
     out = bundle.join(spread, "method").withColumn("state", ranking.interval_state(F.col("lower"), F.col("upper")))
     numbers = [rounded(c).alias(c) for c in ("precision", "recall", "rr", "auprc", "lower", "upper")]
     return out.select("method", *numbers, "valid", "state", F.lit(holdout.accesses).alias("holdout_accesses"))
@@ -195,10 +200,8 @@ def evaluate(frozen: Frozen, k: int = 20, replicates: int = 400, seed: int = 202
         raise ValueError("no positive among the rows at risk")
     long = settle(frozen.scores.join(held, "ord"))
     bundle = ranking.metric_bundle(long, ["method"], k).join(ranking.calibration_error(long.where("p IS NOT NULL"), ["method"]), "method", "left")
-    drawn = bootstrap.resample(held.select("ord"), replicates, seed).select("replicate", "ord", "times")
-    per = settle(ranking.average_precision(long.join(drawn, "ord"), ["method", "replicate"], "score", F.col("times")))
-    base = per.where(F.col("method") == REFERENCE).select("replicate", F.col("auprc").alias("base"))
-    spread = bootstrap.interval(per.join(base, "replicate").withColumn("difference", F.col("auprc") - F.col("base")), ["method"], "difference")
+    wide = long.groupBy("ord", "y").agg(*[F.max(F.when(F.col("method") == m, F.col("score"))).alias(f"m{k}") for k, m in enumerate(frozen.efforts)])
+    spread = paired_spread(wide, {m: f"m{k}" for k, m in enumerate(frozen.efforts)}, replicates, seed)
     tried = frozen.rows.sparkSession.createDataFrame([(m, e.configurations, frozen.chosen[m]) for m, e in frozen.efforts.items()], "method string, configurations int, chosen string")
     popular = bundle.where(F.col("method") == REFERENCE).select(F.col("auprc").alias("base"))
     out = bundle.join(spread, "method").join(F.broadcast(tried), "method").crossJoin(F.broadcast(popular)).withColumn("excess", F.col("auprc") - F.col("base"))

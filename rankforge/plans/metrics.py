@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+import numpy as np
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankforge.operators import bootstrap, ranking
+from rankforge.operators import bootstrap, ranking, replicates
 from rankforge.plans.base import SCORED, UNIVERSE, query, scored, universe
 from rankforge.session import rounded
 
@@ -80,14 +81,7 @@ def r06(spark: SparkSession, sf: str) -> DataFrame:
 
 
 REPLICATES, SEED = 400, 11
-_DRAWN = f"""numbered AS (
-  SELECT *, row_number() OVER (ORDER BY ord) - 1 AS position FROM scored
-), draws AS (
-  SELECT replicate, CAST('0x' || substr(sha256('{SEED}|' || replicate || '|' || i), 1, 15) AS BIGINT) % (SELECT count(*) FROM scored) AS position
-  FROM range({REPLICATES}) r(replicate), range((SELECT count(*) FROM scored)) i(i)
-), drawn AS (
-  SELECT replicate, times, n.* FROM (SELECT replicate, position, count(*) AS times FROM draws GROUP BY 1, 2) d JOIN numbered n USING (position)
-)"""
+_DRAWN = replicates.draws_sql("scored", REPLICATES, SEED)
 _INTERVAL = "round(quantile_cont({0}, 0.025), 9) AS lower, round(quantile_cont({0}, 0.975), 9) AS upper, count(*) AS valid"
 
 
@@ -100,6 +94,52 @@ def r07(spark: SparkSession, sf: str) -> DataFrame:
     return out.select("method", rounded("lower").alias("lower"), rounded("upper").alias("upper"), "valid")
 
 
+def _best_f1(t: replicates.Thresholds) -> np.ndarray:
+    """The best F1 over the thresholds of a part."""
+    return (2 * t.upto_positives / np.maximum(t.upto_rows + t.all_positives, 1)).max(1)
+
+
+#: A metric of the caller's own, merged by the maximum.
+BEST_F1 = replicates.Metric("best_f1", _best_f1, lambda m, p, n: np.where(p > 0, m, np.nan), "max")
+
+_SUMMED = """steps AS (
+  SELECT replicate, p AS s, CAST(sum(y * times) AS DOUBLE) AS tp, CAST(sum(times) AS DOUBLE) AS n FROM drawn GROUP BY 1, 2
+), summed AS (
+  SELECT *, sum(tp) OVER w AS ctp, sum(n) OVER w AS cn, sum(tp) OVER (PARTITION BY replicate) AS tpos, sum(n) OVER (PARTITION BY replicate) AS rows
+  FROM steps WINDOW w AS (PARTITION BY replicate ORDER BY s DESC)
+)"""
+_OWN = {
+    "auroc": "CASE WHEN any_value(tpos) > 0 AND any_value(tpos) < any_value(rows) THEN sum((n - tp) * (ctp - tp / 2)) / (any_value(tpos) * (any_value(rows) - any_value(tpos))) END",
+    "brier": "sum(tp * (1 - s) * (1 - s) + (n - tp) * s * s) / any_value(rows)",
+    "best_f1": "CASE WHEN any_value(tpos) > 0 THEN max(2 * ctp / (cn + tpos)) END",
+}
+
+
+def _own_interval(spark: SparkSession, sf: str, metric: replicates.Metric) -> DataFrame:
+    values = replicates.replicate_metrics(scored(spark, sf), {"p": "p"}, [metric], REPLICATES, SEED)
+    return bootstrap.interval(values, ["metric"], "value").select("metric", rounded("lower").alias("lower"), rounded("upper").alias("upper"), "valid")
+
+
+def _own_sql(name: str) -> str:
+    return f"WITH {SCORED}, {_DRAWN}, {_SUMMED}, each AS (SELECT replicate, {_OWN[name]} AS value FROM summed GROUP BY 1) SELECT '{name}' AS metric, {_INTERVAL.format('value')} FROM each WHERE value IS NOT NULL"
+
+
+@query("r07_bootstrap_auroc", _own_sql("auroc"))
+def r07_auroc(spark: SparkSession, sf: str) -> DataFrame:
+    return _own_interval(spark, sf, replicates.AUROC)
+
+
+@query("r07_bootstrap_brier", _own_sql("brier"))
+def r07_brier(spark: SparkSession, sf: str) -> DataFrame:
+    return _own_interval(spark, sf, replicates.BRIER)
+
+
+@query("r07_bootstrap_own_metric", _own_sql("best_f1"))
+def r07_own(spark: SparkSession, sf: str) -> DataFrame:
+    """A metric that the caller brings along."""
+    return _own_interval(spark, sf, BEST_F1)
+
+
 _PAIRED = f"""WITH {SCORED}, {_DRAWN}, {ap_sql('drawn', 'replicate', 'alt', 'times').replace('steps', 'steps_a').replace('summed', 'summed_a').replace('ap AS', 'ap_a AS')},
 {ap_sql('drawn', 'replicate', 'score', 'times').replace('steps', 'steps_b').replace('summed', 'summed_b').replace('ap AS', 'ap_b AS')},
 diff AS (SELECT replicate, a.auprc - b.auprc AS difference FROM ap_a a JOIN ap_b b USING (replicate))"""

@@ -126,7 +126,8 @@ def contrast_weights(lesions: DataFrame, iterations: int, seed: int) -> tuple[li
     mixed = [p for p in people if len(set(yes[patient == p])) > 1]
     times["unmixed"] = (~np.isin(patient, mixed)).astype(float)
     times |= {f"without {p}": (patient != p).astype(float) for p in people}
-    draws = bootstrap.cluster_draws(lesions.where("responder IS NOT NULL").select(F.col("patient").alias("cluster")).distinct(), iterations, seed)
+    classes = [F.max(F.col("responder").cast("boolean")).alias("yes"), F.max(~F.col("responder").cast("boolean")).alias("no")]
+    draws = bootstrap.cluster_draws(lesions.where("responder IS NOT NULL").groupBy(F.col("patient").alias("cluster")).agg(*classes), iterations, seed)
     for r in draws.collect():  # a row for each patient and draw
         times.setdefault(f"draw {r['replicate']}", np.zeros(len(known)))[patient == r["cluster"]] = r["times"]
     names, columns = [], []

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from rankforge.functions import scalar
 from rankforge.operators import bootstrap, heads, matrix, pooling, ranking
+from rankforge.operators.replicates import draws_sql
 from rankforge.plans.base import CELLS, CONTEXTS, SCORED, cells, contexts, query, scored
 from rankforge.plans.metrics import _INTERVAL
 from rankforge.plans.tables import view_sql
@@ -140,9 +141,11 @@ def r16(spark: SparkSession, sf: str) -> DataFrame:
 
 _CLUSTERS, _SEED = 300, 12
 _CLUSTER_VALUES = "v AS (SELECT user_id % 20 AS cluster, event_type AS entity, user_id % 3 = 0 AS responder, value FROM events)"
-_CLUSTER_SQL = f"""WITH {_CLUSTER_VALUES}, n AS (SELECT cluster, row_number() OVER (ORDER BY cluster) - 1 AS position FROM (SELECT DISTINCT cluster FROM v)),
-draws AS (SELECT replicate, CAST('0x' || substr(sha256('{_SEED}|' || replicate || '|' || i), 1, 15) AS BIGINT) % (SELECT count(*) FROM n) AS position FROM range({_CLUSTERS}) r(replicate), range((SELECT count(*) FROM n)) i(i)),
-t AS (SELECT replicate, cluster, count(*) AS times FROM draws JOIN n USING (position) GROUP BY 1, 2),
+_CLUSTER_SQL = f"""WITH {_CLUSTER_VALUES}, known AS (SELECT cluster AS ord, max(responder) AS yes, max(NOT responder) AS no FROM v GROUP BY 1),
+{draws_sql("known", _CLUSTERS * sum(bootstrap.ATTEMPTS), _SEED)},
+attempts AS (SELECT replicate % {_CLUSTERS} AS of, replicate // {_CLUSTERS} AS attempt, ord AS cluster, yes, no, times FROM drawn),
+first AS (SELECT of, min(attempt) AS attempt FROM (SELECT of, attempt FROM attempts GROUP BY 1, 2 HAVING max(yes) AND max(no)) GROUP BY 1),
+t AS (SELECT of AS replicate, cluster, times FROM attempts JOIN first USING (of, attempt)),
 d AS (SELECT replicate, entity, sum(value * times) FILTER (responder) / sum(times) FILTER (responder) - sum(value * times) FILTER (NOT responder) / sum(times) FILTER (NOT responder) AS delta FROM v JOIN t USING (cluster) GROUP BY 1, 2)
 SELECT entity, {_INTERVAL.format('delta')} FROM d WHERE delta IS NOT NULL GROUP BY 1"""
 
@@ -150,7 +153,8 @@ SELECT entity, {_INTERVAL.format('delta')} FROM d WHERE delta IS NOT NULL GROUP
 @query("r15_cluster_bootstrap", _CLUSTER_SQL)
 def r15(spark: SparkSession, sf: str) -> DataFrame:
     values = table(spark, sf, "events").select((F.col("user_id") % 20).alias("cluster"), F.col("event_type").alias("entity"), (F.col("user_id") % 3 == 0).alias("responder"), "value")
-    draws = bootstrap.cluster_draws(values.select("cluster").distinct(), _CLUSTERS, _SEED)
+    clusters = values.groupBy("cluster").agg(F.max("responder").alias("yes"), F.max(~F.col("responder")).alias("no"))
+    draws = bootstrap.cluster_draws(clusters, _CLUSTERS, _SEED)
     out = bootstrap.interval(bootstrap.cluster_contrast(values, draws), ["entity"], "delta")
     return out.select("entity", rounded("lower").alias("lower"), rounded("upper").alias("upper"), "valid")
 
