@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankforge.session import settle
+
 
 def require_unique(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     if not df.groupBy(*keys).count().where("count > 1").isEmpty():
@@ -46,27 +48,53 @@ def conflicts(df: DataFrame, by: Sequence[str], value: str) -> DataFrame:
 
 
 def resolve_entities(wanted: DataFrame, available: DataFrame) -> DataFrame:
-    """wanted_id, sample, status for (wanted_id, normal_id, patient) against (sample, patient).
-
-    First every exact normalised id; then a row left over takes the only sample
-    of its patient that is left over.  Unlike a loop that consumes samples in
-    row order, exact matches always come first; rows without a unique candidate
-    get status UNRESOLVED and a NULL sample.
+    """wanted_id, sample, status for (wanted_id, ord, normal_id, patient) against (sample, patient).
+
+    The result of a loop over the rows by `ord`: a row takes the sample of its
+    normalised id if that is there and not used; otherwise the only unused sample of
+    its patient, if there is exactly one; otherwise it is UNRESOLVED.
+
+    Without the loop: a patient's unused samples are down to one from the time its
+    last but one sample is asked for by name until the last one is.  The first row
+    of the patient in that time whose own sample is gone takes the last sample, so
+    at most one row of a patient does.  A sample's first asker loses it only to such
+    a row; where it is of another patient, it may then take that one's last sample.
+    Such chains are followed in rounds, until no patient's row comes earlier; all
+    else are joins and aggregates, so no patient is one task's work.
     """
-    exact = wanted.join(available.select(F.col("sample").alias("normal_id")), "normal_id")
-    taken = exact.groupBy("normal_id").agg(F.min("wanted_id").alias("wanted_id"))
-    first = taken.select("wanted_id", F.col("normal_id").alias("sample"), F.lit("EXACT_NORMALISED_ID").alias("status"))
-    left = wanted.join(taken.select("wanted_id"), "wanted_id", "left_anti")
-    free = available.join(taken.select(F.col("normal_id").alias("sample")), "sample", "left_anti")
-    unique = free.groupBy("patient").agg(F.min("sample").alias("sample"), F.count(F.lit(1)).alias("n"))
-    rivals = left.groupBy("patient").agg(F.count(F.lit(1)).alias("rivals"))
-    second = left.join(unique, "patient", "left").join(rivals, "patient", "left")
-    sure = (F.col("n") == 1) & (F.col("rivals") == 1)
-    second = second.select(
-        "wanted_id", F.when(sure, F.col("sample")).alias("sample"),
-        F.when(sure, "FALLBACK_UNIQUE_UNMATCHED_PATIENT_TIMEPOINT").otherwise("UNRESOLVED").alias("status"),
+    wanted = settle(wanted.select("wanted_id", "ord", "normal_id", "patient"))
+    asked = wanted.join(available.select(F.col("sample").alias("normal_id"), F.col("patient").alias("owner")), "normal_id", "left")
+    first = settle(asked.where("owner IS NOT NULL").groupBy("normal_id").agg(F.min("ord").alias("first")))
+    asked = settle(asked.join(first, "normal_id", "left"))
+    # the last two samples of each patient to be asked for; never asked for is last
+    order = Window.partitionBy("patient").orderBy(F.col("first").desc_nulls_first(), "sample")
+    timed = available.join(first.withColumnRenamed("normal_id", "sample"), "sample", "left").withColumn("place", F.row_number().over(order)).where("place <= 2")
+    one = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    pools = timed.groupBy("patient").agg(one(1, "sample").alias("last"), one(1, "first").alias("until"), one(2, "first").alias("since"), F.max("place").alias("n"))
+    # two that are never asked for: there is no such time
+    pools = settle(pools.where("n = 1 OR since IS NOT NULL").drop("n"))
+    in_time = (F.col("since").isNull() | (F.col("ord") > F.col("since"))) & (F.col("until").isNull() | (F.col("ord") < F.col("until")))
+    gone = asked.where(F.col("owner").isNull() | (F.col("ord") > F.col("first"))).select("patient", "ord")
+    rivals = asked.where((F.col("ord") == F.col("first")) & ~F.col("owner").eqNullSafe(F.col("patient"))).join(pools.select(F.col("last").alias("normal_id")), "normal_id").select("patient", "ord", "owner")
+    rivals = settle(rivals)
+    taker = lambda rows: rows.join(pools, "patient").where(in_time).groupBy("patient").agg(F.min("ord").alias("by"))
+    takers = settle(taker(gone))
+    while not rivals.isEmpty():
+        lost = rivals.join(takers.select(F.col("patient").alias("owner"), "by"), "owner").where(F.col("by") < F.col("ord")).select("patient", "ord")
+        after = settle(takers.unionByName(taker(lost)).groupBy("patient").agg(F.min("by").alias("by")))
+        if after.exceptAll(takers).isEmpty():
+            break
+        takers = after
+    taken = takers.join(pools.select("patient", "last"), "patient")
+    own = taken.select(F.col("last").alias("normal_id"), F.col("by").alias("lost_at"))
+    fallback = taken.select("patient", F.col("by").alias("ord"), "last")
+    rows = asked.join(own, "normal_id", "left").join(fallback, ["patient", "ord"], "left")
+    exact = (F.col("ord") == F.col("first")) & (F.col("lost_at").isNull() | (F.col("lost_at") > F.col("ord")))
+    exact = F.coalesce(exact, F.lit(False))
+    return rows.select(
+        "wanted_id", F.when(exact, F.col("normal_id")).otherwise(F.col("last")).alias("sample"),
+        F.when(exact, "EXACT_NORMALISED_ID").when(F.col("last").isNotNull(), "FALLBACK_UNIQUE_UNMATCHED_PATIENT_TIMEPOINT").otherwise("UNRESOLVED").alias("status"),
     )
-    return first.unionByName(second)
 
 
 def normal_overlap(left: DataFrame, right: DataFrame, column: str = "id") -> DataFrame:

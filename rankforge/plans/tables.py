@@ -496,24 +496,37 @@ def j08(spark: SparkSession, sf: str) -> DataFrame:
     return got[0].join(got[1])
 
 
-_WANTED = """wanted AS (SELECT s_suppkey AS wanted_id, s_nationkey AS patient, CASE WHEN s_suppkey % 4 = 0 THEN 'lost' || s_suppkey ELSE 'S' || s_suppkey END AS normal_id FROM supplier),
+_WANTED = """wanted AS (SELECT s_suppkey AS wanted_id, s_nationkey AS patient, row_number() OVER (ORDER BY s_suppkey) AS i,
+  'S' || CASE WHEN s_suppkey % 4 = 0 THEN -s_suppkey WHEN s_suppkey % 7 = 0 THEN s_suppkey - 7 WHEN s_suppkey % 11 = 0 THEN s_suppkey + 1 ELSE s_suppkey END AS normal_id FROM supplier),
 available AS (SELECT 'S' || s_suppkey AS sample, s_nationkey AS patient FROM supplier WHERE s_suppkey % 8 <> 4)"""
 
 
 @query(
     "j09_entity_resolution",
-    f"""WITH {_WANTED}, exact AS (SELECT wanted_id, sample FROM wanted JOIN available ON normal_id = sample),
-rest AS (SELECT * FROM wanted WHERE wanted_id NOT IN (SELECT wanted_id FROM exact)), free AS (SELECT * FROM available WHERE sample NOT IN (SELECT sample FROM exact)),
-f AS (SELECT patient, min(sample) AS sample, count(*) AS n FROM free GROUP BY 1), r AS (SELECT patient, count(*) AS rivals FROM rest GROUP BY 1)
-SELECT wanted_id, sample, 'EXACT_NORMALISED_ID' AS status FROM exact UNION ALL
-SELECT wanted_id, CASE WHEN n = 1 AND rivals = 1 THEN sample END, CASE WHEN n = 1 AND rivals = 1 THEN 'FALLBACK_UNIQUE_UNMATCHED_PATIENT_TIMEPOINT' ELSE 'UNRESOLVED' END FROM rest LEFT JOIN f USING (patient) LEFT JOIN r USING (patient)""",
+    f"""WITH RECURSIVE {_WANTED}, pool AS (SELECT patient, list(sample) AS samples FROM available GROUP BY 1),
+rows AS MATERIALIZED (SELECT w.*, coalesce(samples, []) AS samples, normal_id IN (SELECT sample FROM available) AS there FROM wanted w LEFT JOIN pool USING (patient)),
+loop AS (
+  SELECT 0::BIGINT AS i, NULL::BIGINT AS wanted_id, NULL::VARCHAR AS sample, '' AS status, []::VARCHAR[] AS used
+  UNION ALL
+  SELECT i, wanted_id, sample, status, CASE WHEN sample IS NULL THEN used ELSE list_append(used, sample) END FROM (
+    SELECT r.i, r.wanted_id, l.used,
+           CASE WHEN r.there AND NOT list_contains(l.used, r.normal_id) THEN r.normal_id
+                WHEN len(list_filter(r.samples, lambda s: NOT list_contains(l.used, s))) = 1 THEN list_filter(r.samples, lambda s: NOT list_contains(l.used, s))[1] END AS sample,
+           CASE WHEN r.there AND NOT list_contains(l.used, r.normal_id) THEN 'EXACT_NORMALISED_ID'
+                WHEN len(list_filter(r.samples, lambda s: NOT list_contains(l.used, s))) = 1 THEN 'FALLBACK_UNIQUE_UNMATCHED_PATIENT_TIMEPOINT' ELSE 'UNRESOLVED' END AS status
+    FROM loop l JOIN rows r ON r.i = l.i + 1
+  )
+)
+SELECT wanted_id, sample, status FROM loop WHERE i > 0""",
 )
 def j09(spark: SparkSession, sf: str) -> DataFrame:
+    """Suppliers that ask for their own sample, a lost one, an earlier supplier's or a later one's."""
     key = F.col("s_suppkey")
-    own = F.concat(F.lit("S"), key.cast("string"))
     rows = table(spark, sf, "supplier")
-    wanted = rows.select(key.alias("wanted_id"), F.col("s_nationkey").alias("patient"), F.when(key % 4 == 0, F.concat(F.lit("lost"), key.cast("string"))).otherwise(own).alias("normal_id"))
-    return matching.resolve_entities(wanted, rows.where(key % 8 != 4).select(own.alias("sample"), F.col("s_nationkey").alias("patient")))
+    asked = F.when(key % 4 == 0, -key).when(key % 7 == 0, key - 7).when(key % 11 == 0, key + 1).otherwise(key)
+    sample = lambda k: F.concat(F.lit("S"), k.cast("string"))
+    wanted = rows.select(key.alias("wanted_id"), key.alias("ord"), F.col("s_nationkey").alias("patient"), sample(asked).alias("normal_id"))
+    return matching.resolve_entities(wanted, rows.where(key % 8 != 4).select(sample(key).alias("sample"), F.col("s_nationkey").alias("patient")))
 
 
 _METHODS = "m AS (SELECT l_suppkey AS replicate, l_returnflag AS method, avg(l_quantity) AS value FROM lineitem GROUP BY 1, 2)"

@@ -7,13 +7,17 @@ that any store Spark reads will do.
 
 from __future__ import annotations
 
+import io
 import json
 import re
 from collections.abc import Iterator, Sequence
 from pathlib import PurePosixPath
 from typing import NamedTuple
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -48,39 +52,51 @@ def check_alignment(columns: Sequence[str], ids: Sequence[str]) -> None:
 
 
 def wide_matrix(spark: SparkSession, path: str, sep: str = ",", cells: Sequence[str] | None = None) -> DataFrame:
-    """gene, cell, value of a gene x cell table with gene names first: non-zeros only, optionally of some cells."""
-    raw = spark.read.option("header", "true").option("sep", sep).csv(path)
-    gene, *names = raw.columns
-    if cells is not None:
-        missing = sorted(set(cells) - set(names))
-        if missing:
-            raise ValueError(f"cells missing from the matrix: {missing[:3]}")
-        # few of many columns: the scan prunes the others
-        raw, names = raw.select(f"`{gene}`", *[f"`{c}`" for c in cells]), list(cells)
-    # one array of fields a row, whatever the number of columns: neither the plan nor generated code grows with it
-    fields = F.array(*[f"`{n}`" for n in names]) if len(names) <= NARROW else None
-    if fields is None:
-        lines = spark.read.text(path)
-        head = lines.first()["value"]
-        lines = lines.where(F.col("value") != head).select(F.split("value", _literal(sep)).alias("f"))
-        rows = lines.select(_unquoted(F.col("f")[0]).alias("gene"), F.slice("f", 2, len(names)).alias("v"))
-    else:
-        rows = raw.select(F.col(f"`{gene}`").alias("gene"), fields.alias("v"))
-    header = spark.createDataFrame([(names,)], "names array<string>")
-    cell = rows.select("gene", F.posexplode("v").alias("at", "text")).withColumn("value", F.nullif(F.col("text"), F.lit("")).cast("double")).where("value <> 0")
-    return cell.crossJoin(F.broadcast(header)).select("gene", F.get("names", F.col("at")).alias("cell"), "value")
-
-
-#: Columns up to which the CSV reader parses a wide row; beyond it lines are split, so quotes inside of fields aren't seen.
-NARROW = 500
+    """gene, cell, value of a gene x cell table with gene names first: non-zeros only, optionally of some cells.
 
+    One parser for any number of columns: lines reach tasks as text, with the place
+    of their block, whose first line is the header where it begins a file; quoted
+    fields may hold separators.  Neither the plan nor generated code grows with the
+    columns, and of a selection only its columns are converted.  A row with another
+    number of fields than the header, or a field that isn't a number, fails.
+    """
+    gene, *names = spark.read.option("header", "true").option("sep", sep).csv(path).columns
+    if cells is not None and (missing := sorted(set(cells) - set(names))):
+        raise ValueError(f"cells missing from the matrix: {missing[:3]}")
+    chosen = names if cells is None else list(cells)
+
+    def table(lines: list[str]) -> pa.RecordBatch:
+        positions = {n: f"f{k}" for k, n in enumerate(names)}
+        read = pyarrow.csv.ReadOptions(column_names=["gene", *positions.values()])
+        kinds = {"gene": pa.string()} | {positions[c]: pa.float64() for c in chosen}
+        convert = pyarrow.csv.ConvertOptions(column_types=kinds, include_columns=list(kinds), null_values=[""], strings_can_be_null=False)
+        held = pyarrow.csv.read_csv(io.BytesIO("\n".join(lines).encode()), read, pyarrow.csv.ParseOptions(delimiter=sep), convert)
+        values = np.stack([c.to_numpy() for c in held.columns[1:]], axis=1) if chosen else np.zeros((len(held), 0))
+        row, at = np.nonzero(np.nan_to_num(values, nan=0.0, posinf=1.0, neginf=1.0))
+        return pa.RecordBatch.from_arrays([held["gene"].combine_chunks().take(pa.array(row)), pa.array(chosen, pa.string()).take(pa.array(at)), pa.array(values[row, at])], names=["gene", "cell", "value"])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = None
+        for batch in batches:
+            lines, size = [], 0
+            for line, file, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                fresh, block = (file, start) != block, (file, start)
+                if (fresh and start == 0) or not line:
+                    continue
+                lines.append(line)
+                size += len(line)
+                if size > TEXT_BYTES:
+                    yield table(lines)
+                    lines, size = [], 0
+            if lines:
+                yield table(lines)
 
-def _literal(sep: str) -> str:
-    return "\\Q" + sep + "\\E"
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+    return text.mapInArrow(parse, "gene string, cell string, value double")
 
 
-def _unquoted(field: Column) -> Column:
-    return F.regexp_replace(field, '^"(.*)"$', "$1")
+#: Characters of lines that are parsed at once, one line at least.
+TEXT_BYTES = 1 << 22
 
 
 def ragged_matrix(spark: SparkSession, path: str) -> DataFrame:
@@ -92,7 +108,6 @@ def ragged_matrix(spark: SparkSession, path: str) -> DataFrame:
 
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         import gzip
-        import io
 
         for batch in batches:
             for name, content in zip(batch["path"], batch["content"], strict=True):

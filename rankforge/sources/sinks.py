@@ -127,6 +127,10 @@ def freeze_scores(scores: DataFrame, pairs: DataFrame, keys: Sequence[str], path
     return seal(scores.select(*keys, *[v.alias(c) for c, v in number.items()]), path, "frozen_scores", extra={"methods": methods})
 
 
+#: Rows of a report.
+REPORT_ROWS = 1000
+
+
 def markdown_table(rows: Sequence[Mapping[str, object]]) -> str:
     if not rows:
         return "_no rows_\n"
@@ -138,6 +142,8 @@ def markdown_table(rows: Sequence[Mapping[str, object]]) -> str:
 
 def report(results: DataFrame, claims: Mapping[str, Sequence[str]], title: str) -> str:
     """Markdown from a result table of one row per method."""
-    rows = [r.asDict() for r in results.orderBy("method").limit(1000).collect()]
+    rows = [r.asDict() for r in results.orderBy("method").limit(REPORT_ROWS + 1).collect()]
+    if len(rows) > REPORT_ROWS:
+        raise ValueError(f"a report has at most {REPORT_ROWS} rows; write a table instead")
     said = "".join(f"\n## {kind.capitalize()}\n\n" + "".join(f"- {c}\n" for c in items) for kind, items in claims.items())
     return f"# {title}\n\n{markdown_table(rows)}{said}"

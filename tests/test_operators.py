@@ -121,13 +121,39 @@ def test_centrality_literals(spark):
     assert matrix.degree_centrality(spark.createDataFrame([("a", "a")], "src string, dst string")).first()["centrality"] == 1.0
 
 
+_WANT, _HAVE = "wanted_id long, ord long, normal_id string, patient string", "sample string, patient string"
+
+
 def test_entity_resolution(spark):
-    wanted = spark.createDataFrame([(1, "P13.post.3", "P13"), (2, "P1.post.1", "P1"), (3, "P2.post.1", "P2"), (4, "P2.post.2", "P2")], "wanted_id long, normal_id string, patient string")
-    available = spark.createDataFrame([("P13.post.2", "P13"), ("P1.post.1", "P1"), ("P2.post.8", "P2"), ("P2.post.9", "P2")], "sample string, patient string")
+    wanted = spark.createDataFrame([(1, 1, "P13.post.3", "P13"), (2, 2, "P1.post.1", "P1"), (3, 3, "P2.post.1", "P2"), (4, 4, "P2.post.2", "P2")], _WANT)
+    available = spark.createDataFrame([("P13.post.2", "P13"), ("P1.post.1", "P1"), ("P2.post.8", "P2"), ("P2.post.9", "P2")], _HAVE)
     got = {r["wanted_id"]: (r["sample"], r["status"][:5]) for r in matching.resolve_entities(wanted, available).collect()}
     assert got == {1: ("P13.post.2", "FALLB"), 2: ("P1.post.1", "EXACT"), 3: (None, "UNRES"), 4: (None, "UNRES")}
 
 
+def test_entity_resolution_equals_the_consuming_loop(spark):
+    """300 small cohorts whose rows compete, also for other patients' samples; each is a block of patients of its own."""
+    rng = np.random.default_rng(8)
+    wanted, available, want = [], [], {}
+    for block in range(300):
+        samples = [(f"{block}.{p}.{k}", f"{block}.{p}") for p in range(3) for k in range(rng.integers(0, 4))]
+        names = [s for s, _ in samples] + [f"{block}.lost"]
+        used = set()
+        for i in range(rng.integers(1, 9)):
+            row = (block * 10 + i, int(block * 10 + i), str(rng.choice(names)), f"{block}.{rng.integers(0, 3)}")
+            wanted.append(row)
+            free = [s for s, p in samples if p == row[3] and s not in used]
+            if row[2] in names[:-1] and row[2] not in used:
+                want[row[0]] = (row[2], "EXACT")
+            else:
+                want[row[0]] = (free[0], "FALLB") if len(free) == 1 else (None, "UNRES")
+            used.add(want[row[0]][0])
+        available += samples
+    got = matching.resolve_entities(spark.createDataFrame(wanted[::-1], _WANT), spark.createDataFrame(available, _HAVE)).collect()
+    assert {r["wanted_id"]: (r["sample"], r["status"][:5]) for r in got} == want and len(got) == len(want)
+    assert len({v for v in want.values() if v[1] == "FALLB"}) > 100
+
+
 def test_join_contracts(spark):
     one, two = spark.createDataFrame([(1, "a")], "k long, v string"), spark.createDataFrame([(1, "b"), (1, "c")], "k long, v string")
     with pytest.raises(ValueError):

@@ -83,6 +83,57 @@ def test_matrix_of_16000_columns(spark, tmp_path):
     assert sorted(map(tuple, some.collect())) == [("G1", "4001", 1.0), ("G2", "2", 2.0)]
 
 
+@pytest.mark.parametrize("width", [2, 499, 501])
+def test_wide_matrix_has_one_parser(spark, tmp_path, width):
+    """Quoted separators, a row like the header, empty fields and blank lines, at any width and over several blocks of a file."""
+    names = ["c,0", *(f"c{i}" for i in range(1, width))]
+    rest = ",0" * (width - 2)
+    lines = ['g,"c,0",' + ",".join(names[1:]), f'"A,x",1{rest},"7"', "", f'"say ""B""",,{rest[1:] + "," if rest else ""}2.5', f"C,0{rest},1e3"]
+    for k in (1, 2):
+        (tmp_path / f"w{k}.csv").write_text("\n".join(lines) + "\n" + "".join(f"D{i},0{rest},{k}\n" for i in range(50)))
+    want = [("A,x", "c,0", 1.0), ("A,x", names[-1], 7.0), ('say "B"', names[-1], 2.5), ("C", names[-1], 1000.0)] * 2 + [(f"D{i}", names[-1], float(k)) for k in (1, 2) for i in range(50)]
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "400b")
+    try:
+        got = readers.wide_matrix(spark, f"{tmp_path}/*.csv").collect()
+        assert sorted(map(tuple, got)) == sorted(want)
+        assert sorted(map(tuple, readers.wide_matrix(spark, f"{tmp_path}/*.csv", cells=["c,0"]).collect())) == [("A,x", "c,0", 1.0)] * 2
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+
+
+def test_wide_matrix_refuses_what_is_no_number(spark, tmp_path):
+    (tmp_path / "w.csv").write_text("g,c1,c2\nA,x,2\n")
+    with pytest.raises(Exception, match="ArrowInvalid"):
+        readers.wide_matrix(spark, str(tmp_path / "w.csv")).collect()
+
+
+def test_report_raises_beyond_its_rows(spark):
+    rows = spark.range(sinks.REPORT_ROWS + 1).select(F.format_string("m%05d", "id").alias("method"), F.col("id").alias("n"))
+    with pytest.raises(ValueError, match="at most"):
+        sinks.report(rows, {}, "t")
+    assert sinks.report(rows.limit(sinks.REPORT_ROWS), {}, "t").count("\n| m0") == sinks.REPORT_ROWS
+
+
+def test_checkpoints_on_a_cluster_need_a_shared_folder(monkeypatch):
+    from rankforge import session
+
+    class Context:
+        master = "spark://host:7077"
+
+        def __getattr__(self, name):
+            return lambda *a: self
+
+        def isEmpty(self):
+            return True
+
+        def get(self, key):
+            return None
+
+    frame = type("Frame", (), {"sparkSession": type("Session", (), {"sparkContext": type("C", (Context,), {"_jsc": Context()})()})()})()
+    with pytest.raises(ValueError, match="executors share"):
+        session.settle(frame)
+
+
 def test_npz_and_vectors(spark, tmp_path):
     np.savez(tmp_path / "s.npz", data=np.array([1.0, 2.0]), indices=np.array([1, 0]), indptr=np.array([0, 1, 1, 2]), shape=np.array([3, 2]))
     assert sorted(map(tuple, readers.sparse_npz(spark, str(tmp_path)).collect())) == [(0, 1, 1.0), (2, 0, 2.0)]
