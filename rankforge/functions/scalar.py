@@ -42,6 +42,27 @@ def geometric_mean(a: Column, b: Column) -> Column:
     return F.sqrt(F.abs(a * b))
 
 
+# case
+
+#: Characters that fold otherwise than they turn to lower case, from Unicode's own rule.
+_FOLDS = {c: f for c in map(chr, range(0x110000)) if not "\ud800" <= c <= "\udfff" and (f := c.casefold()) != c.lower()}
+_FOLDS = {c.lower(): f for c, f in _FOLDS.items()}
+
+
+def casefold(x: Column) -> Column:
+    """Full case folding: lower case, then what that leaves apart (sharp s and ss, both small sigmas, ligatures)."""
+    one = {c: f for c, f in _FOLDS.items() if len(c) == len(f) == 1}
+    low = F.translate(F.lower(x), "".join(one), "".join(one.values()))
+    several = {c: f for c, f in _FOLDS.items() if c not in one}
+    spelt = reduce(lambda t, cf: F.replace(t, F.lit(cf[0]), F.lit(cf[1])), several.items(), low)
+    return F.when(low.rlike("[" + "".join(c for c in several if len(c) == 1) + "]"), spelt).otherwise(low)
+
+
+def stripped(x: Column) -> Column:
+    """Without white space at both ends, of any kind."""
+    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+
+
 # hashing
 
 

@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
+from typing import NamedTuple
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from rankforge.functions.scalar import casefold, stripped
 from rankforge.session import settle
 
 
@@ -97,12 +101,89 @@ def resolve_entities(wanted: DataFrame, available: DataFrame) -> DataFrame:
     )
 
 
+def normal_key(column: str) -> Column:
+    """128 bits that stand for the stripped, case-folded identifier or text; null for one that is null or blank."""
+    plain = stripped(F.col(column))
+    return F.when(F.length(plain) > 0, F.unhex(F.md5(casefold(plain).cast("binary"))))
+
+
 def normal_overlap(left: DataFrame, right: DataFrame, column: str = "id") -> DataFrame:
-    """left, right, shared: distinct trimmed lower-case identifiers of both sides."""
-    a = left.select(F.lower(F.trim(column)).alias("k")).where("k IS NOT NULL").distinct()
-    b = right.select(F.lower(F.trim(column)).alias("k")).where("k IS NOT NULL").distinct()
-    both = a.withColumn("l", F.lit(1)).join(b.withColumn("r", F.lit(1)), "k", "full")
-    return both.agg(F.count("l").alias("left"), F.count("r").alias("right"), F.count_if(F.col("l").isNotNull() & F.col("r").isNotNull()).alias("shared"))
+    """left, right, shared: distinct stripped, case-folded identifiers of both sides; only their 128-bit keys are shuffled."""
+    side = lambda df, in_left: df.select(normal_key(column).alias("k"), F.lit(in_left).alias("l")).where("k IS NOT NULL")
+    both = side(left, True).unionByName(side(right, False)).groupBy("k").agg(F.max("l").alias("l"), F.max(~F.col("l")).alias("r"))
+    return both.agg(F.count_if("l").alias("left"), F.count_if("r").alias("right"), F.count_if(F.col("l") & F.col("r")).alias("shared"))
+
+
+#: Bits of a filter at most (8 MB), bits a key, and hashes a key.
+BLOOM_BITS, KEY_BITS, HASHES = 1 << 26, 12, 6
+
+
+class Bloom(NamedTuple):
+    """Which 128-bit keys may be among those put in; never denies one that is."""
+
+    bits: np.ndarray
+
+    @staticmethod
+    def places(keys: np.ndarray, size: int) -> np.ndarray:
+        """(keys, HASHES) places for rows of two 64-bit numbers."""
+        step = keys[:, 1] | np.uint64(1)
+        return (keys[:, :1] + np.arange(HASHES, dtype=np.uint64) * step[:, None]) & np.uint64(size - 1)
+
+    def may_hold(self, keys: np.ndarray) -> np.ndarray:
+        at = self.places(keys, 8 * len(self.bits))
+        return ((self.bits[at >> np.uint64(3)] >> (at & np.uint64(7)).astype(np.uint8)) & 1).all(1)
+
+
+def _halves(keys: pa.Array) -> np.ndarray:
+    """Binary keys of 16 bytes as rows of two numbers."""
+    return np.frombuffer(b"".join(keys.to_pylist()), dtype="<u8").reshape(-1, 2)
+
+
+def bloom_filter(keys: DataFrame) -> Bloom | None:
+    """Of a column k of 128-bit keys: tasks set bits, their bytes are joined by OR; none where it would be larger than BLOOM_BITS.
+
+    The driver sees bytes that hold a bit, BLOOM_BITS / 8 of them at most.
+    """
+    size = 1 << max(10, (KEY_BITS * max(1, keys.count()) - 1).bit_length())
+    if size > BLOOM_BITS:
+        return None
+
+    def mark(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bits = np.zeros(size // 8, np.uint8)
+        for batch in batches:
+            at = Bloom.places(_halves(batch.column(0)), size).ravel()
+            np.bitwise_or.at(bits, at >> np.uint64(3), np.left_shift(np.uint8(1), (at & np.uint64(7)).astype(np.uint8)))
+        held = np.flatnonzero(bits)
+        yield pa.RecordBatch.from_arrays([pa.array(held), pa.array(bits[held].astype(np.int32))], names=["at", "byte"])
+
+    found = keys.select("k").mapInArrow(mark, "at long, byte int").groupBy("at").agg(F.bit_or("byte").alias("byte")).toArrow()
+    bits = np.zeros(size // 8, np.uint8)
+    bits[found["at"].to_numpy()] = found["byte"].to_numpy().astype(np.uint8)
+    return Bloom(bits)
+
+
+def overlap_by_group(df: DataFrame, reference: DataFrame, by: str, column: str = "text") -> DataFrame:
+    """by, shared: how many distinct normalised texts of `reference` each group holds.
+
+    No text is shuffled: texts become 128-bit keys where they are, keys that the
+    reference's Bloom filter denies stay there too, and the others are joined exactly.
+    """
+    known = settle(reference.select(normal_key(column).alias("k")).where("k IS NOT NULL").distinct())
+    rows = df.select(F.col(by).alias("g"), normal_key(column).alias("k"))
+    wanted, bloom = rows.where("k IS NOT NULL"), bloom_filter(known)
+    if bloom is not None:
+        shared = df.sparkSession.sparkContext.broadcast(bloom.bits)
+
+        def may(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            held = Bloom(shared.value)
+            for batch in batches:
+                yield batch.filter(pa.array(held.may_hold(_halves(batch.column(1)))))
+
+        wanted = wanted.mapInArrow(may, wanted.schema)
+    hits = wanted.groupBy("g", "k").agg(F.lit(1).alias("one")).join(known, "k", "left_semi")
+    hits = hits.groupBy("g").agg(F.count(F.lit(1)).alias("n"))
+    every = rows.groupBy("g").agg(F.lit(1).alias("one")).withColumnRenamed("g", "h")
+    return every.join(hits, F.col("h").eqNullSafe(F.col("g")), "left").select(F.col("h").alias(by), F.coalesce("n", F.lit(0)).cast("long").alias("shared"))
 
 
 def leave_one_out(df: DataFrame, group: str, value: str) -> DataFrame:

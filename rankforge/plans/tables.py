@@ -719,9 +719,7 @@ def c04_artefact(spark: SparkSession, sf: str) -> DataFrame:
 SELECT source, shared, CASE WHEN source = 'src0' THEN 'UNRESOLVED' WHEN shared > 0 THEN 'OVERLAP' ELSE 'CLEAN' END AS status FROM s""",
 )
 def c03(spark: SparkSession, sf: str) -> DataFrame:
-    k = lambda: F.lower(F.trim("text")).alias("k")
-    known = table(spark, sf, "benchmark").select(k()).distinct().withColumn("hit", F.col("k"))
-    rows = table(spark, sf, "documents").select("source", k()).join(known, "k", "left").groupBy("source").agg(F.count_distinct("hit").alias("shared"))
+    rows = matching.overlap_by_group(table(spark, sf, "documents").select("source", "text"), table(spark, sf, "benchmark").select("text"), "source")
     return rows.withColumn("status", contracts.leakage_status(F.col("shared"), F.col("source") != "src0"))
 
 

@@ -154,6 +154,38 @@ def test_entity_resolution_equals_the_consuming_loop(spark):
     assert len({v for v in want.values() if v[1] == "FALLB"}) > 100
 
 
+def test_case_folding_equals_python(spark):
+    every = [chr(c) for c in range(1, 0x110000) if not 0xD800 <= c < 0xE000 and chr(c).isprintable()]
+    texts = ["".join(every[i : i + 7]) for i in range(0, len(every), 7)] + ["ΟΔΟΣ ΟΔΟΣ", "STRASSE Straße ẞ", "ﬁn İ ı"]
+    texts = [t for t in texts if any(c.casefold() != c for c in t)]
+    rows = spark.createDataFrame([(t,) for t in texts], "x string").select("x", scalar.casefold(F.col("x")).alias("y")).collect()
+    assert [r["x"] for r in rows if r["y"] != r["x"].casefold()] == []
+
+
+def test_overlap_by_group(spark):
+    reference = spark.createDataFrame([("Straße",), (" two\t",), ("two",), ("three",), (None,)], "text string")
+    rows = [("a", "STRASSE"), ("a", "strasse "), ("a", "TWO"), ("b", "four"), (None, "Three"), ("c", None), ("c", "")]
+    df = spark.createDataFrame(rows + [("d", f"x{i}") for i in range(3000)], "g string, text string").repartition(5)
+    assert {r["g"]: r["shared"] for r in matching.overlap_by_group(df, reference, "g").collect()} == {"a": 2, "b": 0, None: 1, "c": 0, "d": 0}
+    both = matching.normal_overlap(df.withColumnRenamed("text", "id"), reference.withColumnRenamed("text", "id")).first()
+    assert tuple(both) == (4 + 3000, 3, 3)  # blank ones don't count
+    plan = matching.overlap_by_group(df, reference, "g")._jdf.queryExecution().executedPlan().toString()
+    assert "hashpartitioning(text" not in plan
+    assert matching.overlap_by_group(df.limit(0), reference, "g").count() == 0
+
+
+def test_bloom_filter(spark, monkeypatch):
+    keys = lambda lo, hi: spark.range(lo, hi).select(F.unhex(F.md5(F.col("id").cast("string").cast("binary"))).alias("k"))
+    held = matching.bloom_filter(keys(0, 5000).repartition(3))
+    numbers = lambda df: matching._halves(df.toArrow()["k"])
+    assert held.may_hold(numbers(keys(0, 5000))).all() and held.may_hold(numbers(keys(5000, 25_000))).mean() < 0.02
+    monkeypatch.setattr(matching, "BLOOM_BITS", 1 << 12)
+    assert matching.bloom_filter(keys(0, 5000)) is None
+    reference = spark.range(2000).select(F.col("id").cast("string").alias("text"))  # too many for a filter: the join alone
+    df = spark.range(1990, 2010).select(F.lit("g").alias("g"), F.col("id").cast("string").alias("text"))
+    assert matching.overlap_by_group(df, reference, "g").first()["shared"] == 10
+
+
 def test_join_contracts(spark):
     one, two = spark.createDataFrame([(1, "a")], "k long, v string"), spark.createDataFrame([(1, "b"), (1, "c")], "k long, v string")
     with pytest.raises(ValueError):
