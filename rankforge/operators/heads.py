@@ -381,6 +381,71 @@ def fit_pca(df: DataFrame, features: Sequence[str], k: int) -> Pca:
     return Pca(scaler, axes, value[order] / max(value.sum(), 1e-300))
 
 
+#: Columns that a random range has beyond the axes asked for, factors that one task joins.
+SPARE, TOGETHER = 64, 32
+
+
+def fit_wide_pca(df: DataFrame, vector: str, k: int, seed: int = 3, spare: int = SPARE) -> Pca:
+    """The first axes of standardised vectors of any width, without a matrix of width x width anywhere.
+
+    A randomised range finder in two passes: the vectors times some random columns,
+    orthogonalised by factors R of tasks' rows that are joined in a tree; then that
+    basis times the vectors, as sums of tasks.  What the driver sees is (k + spare)
+    x width.  Exact where that many columns span the vectors, as up to a width of
+    k + spare; beyond, as good as the spectrum falls behind them.
+    """
+    rows = df.select(F.col(vector).cast("array<double>").alias("x")).where(F.col("x").isNotNull() & _whole("x"))
+    width = rows.agg(F.max(F.size("x"))).first()[0] or 1
+
+    def first(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        x = dense(batch.column(0), width)
+        yield 0, np.concatenate([[len(x)], x.sum(0)])
+
+    def second(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        yield 0, ((dense(batch.column(0), width) - mean) ** 2).sum(0)
+
+    n, *total = array_sums(rows, first).get(0, np.zeros(width + 1))
+    mean = np.array(total) / max(n, 1.0)
+    scale = np.sqrt(array_sums(rows, second).get(0, np.zeros(width)) / max(n, 1.0))
+    scaler = Scaler(mean, np.where(scale > 0, scale, 1.0))
+    size = int(max(1, min(k + spare, width, n)))
+    directions = np.random.default_rng(seed).normal(size=(width, size)) if size < width else np.eye(width)
+
+    def triangles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, size))
+        for batch in batches:
+            made = (dense(batch.column(0), width) - scaler.mean) / scaler.scale @ directions
+            held = np.linalg.qr(np.concatenate([held, made]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array([held.ravel()], pa.list_(pa.float64()))], names=["r"])
+
+    def joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = np.zeros((0, size))
+        for batch in batches:
+            held = np.linalg.qr(np.concatenate([held, dense(batch.column(0), 1).reshape(-1, size)]), mode="r")
+        yield pa.RecordBatch.from_arrays([pa.array([held.ravel()], pa.list_(pa.float64()))], names=["r"])
+
+    factors, tasks = rows.mapInArrow(triangles, "r array<double>"), rows.rdd.getNumPartitions()
+    while tasks > TOGETHER:
+        tasks = -(-tasks // TOGETHER)
+        factors = factors.repartition(tasks).mapInArrow(joined, "r array<double>")
+    held = np.concatenate([np.zeros((0, size)), *(np.array(r["r"]).reshape(-1, size) for r in factors.collect())])  # TOGETHER rows at most
+    triangle = np.linalg.qr(held, mode="r")
+    # directions that the vectors don't have give columns of zeros
+    u, s, vt = np.linalg.svd(triangle, full_matrices=False)
+    kept = s > 1e-10 * max(s.max(initial=0.0), 1e-300)
+    basis = directions @ (vt[kept].T / s[kept])  # the vectors times this are orthonormal columns
+
+    def projected(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        x = (dense(batch.column(0), width) - scaler.mean) / scaler.scale
+        yield 0, ((x @ basis).T @ x).ravel()
+
+    small = array_sums(rows, projected).get(0, np.zeros(kept.sum() * width)).reshape(-1, width)
+    _, value, axes = np.linalg.svd(small, full_matrices=False)
+    axes = axes[: max(1, min(k, width, int(n) - 1))]
+    axes = axes * np.sign(axes[np.arange(len(axes)), np.abs(axes).argmax(1)])[:, None]
+    return Pca(scaler, axes, value[: len(axes)] ** 2 / max(n * float((scale > 0).sum()), 1e-300))
+
+
 def unpack(df: DataFrame, vector: str, width: int, prefix: str = "f") -> tuple[DataFrame, list[str]]:
     names = [f"{prefix}{i}" for i in range(width)]
     return df.withColumns({name: F.col(vector)[i].cast("double") for i, name in enumerate(names)}), names

@@ -166,7 +166,7 @@ def s17(spark: SparkSession, sf: str) -> DataFrame:
     """A sealed pair of matrices, the vector and its control in the row instead of by position."""
     path = f"{_folder(spark)}/pair"
     rows = table(spark, sf, "embeddings")
-    sinks.seal(rows.select("vec_id", "embedding", F.transform("embedding", lambda x: x.cast("double") + 100).alias("control")), path, "vector_pair", columns=["vec_id"])
+    sinks.seal(rows.select("vec_id", "embedding", F.transform("embedding", lambda x: x.cast("double") + 100).alias("control")), path, "vector_pair")
     if sinks.verify_seal(spark, path):
         raise ValueError("the pair differs from its seal")
     pair = spark.read.parquet(f"{path}/data")

@@ -190,6 +190,23 @@ def k10(spark: SparkSession, sf: str) -> DataFrame:
     return spark.range(1).select(F.lit(manifest["n_rows"]).alias("n_rows"), F.lit(not sinks.verify_seal(spark, path)).alias("intact"))
 
 
+@query(
+    "k10_altered_ranges",
+    """WITH a AS (SELECT p_partkey, p_name, p_brand, p_size FROM part),
+b AS (SELECT p_partkey, p_name, p_brand, CAST(CASE WHEN p_partkey % 97 = 0 THEN p_size + 1 ELSE p_size END AS INTEGER) AS p_size FROM part WHERE p_partkey % 331 <> 5 UNION ALL SELECT p_partkey, p_name, p_brand, p_size FROM part WHERE p_partkey = 70),
+d AS (SELECT DISTINCT p_partkey // 32 AS range FROM ((SELECT * FROM a EXCEPT ALL SELECT * FROM b) UNION ALL (SELECT * FROM b EXCEPT ALL SELECT * FROM a)))
+SELECT range, (SELECT count(*) FROM a WHERE p_partkey // 32 = range) AS n_before, (SELECT count(*) FROM b WHERE p_partkey // 32 = range) AS n_after FROM d""",
+)
+def k10_altered(spark: SparkSession, sf: str) -> DataFrame:
+    """Sealed parts of which some sizes are then changed, some rows lost and one is there twice: the ranges of keys it happened in."""
+    path, columns = f"{_folder(spark)}/sealed", ["p_partkey", "p_name", "p_brand", "p_size"]
+    rows = table(spark, sf, "part").select(*columns)
+    sinks.seal(rows, path, "parts", ranges="p_partkey div 32")
+    size = F.when(F.col("p_partkey") % 97 == 0, F.col("p_size") + 1).otherwise(F.col("p_size"))
+    rows.where(F.col("p_partkey") % 331 != 5).withColumn("p_size", size).unionByName(rows.where("p_partkey = 70")).write.mode("overwrite").parquet(f"{path}/data")
+    return sinks.altered_ranges(spark, path)
+
+
 @query(
     "x02_streaming_gate",
     """WITH d AS (SELECT date_trunc('day', ts) AS start, count(*) AS n FROM events WHERE event_type = 'purchase' GROUP BY 1),

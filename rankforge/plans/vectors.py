@@ -7,7 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.functions import scalar
-from rankforge.operators import bootstrap, heads, matrix, pooling, ranking
+from rankforge.operators import bootstrap, crossfit, heads, matrix, pooling, ranking
 from rankforge.operators.replicates import draws_sql
 from rankforge.plans.base import CELLS, CONTEXTS, SCORED, cells, contexts, query, scored
 from rankforge.plans.metrics import _INTERVAL
@@ -353,6 +353,23 @@ def m24(spark: SparkSession, sf: str) -> DataFrame:
     return scored_rows.select("vec_id", rounded("raw", 6).alias("raw"), rounded(platt.predict(["raw"]), 6).alias("calibrated"))
 
 
+@query("m24_cross_fitted_head")
+def m24_cross(spark: SparkSession, sf: str) -> DataFrame:
+    """Scores and calibrations by models that saw neither the row nor its fold."""
+    rows, names = _binary(spark, sf)
+    made = crossfit.cross_fit(rows, names, "y", "vec_id").rows
+    return made.select(F.col("key").alias("vec_id"), "fold", rounded("raw", 6).alias("raw"), rounded("calibrated", 6).alias("calibrated"))
+
+
+@query("m14_wide_pca")
+def m14_wide(spark: SparkSession, sf: str) -> DataFrame:
+    """Axes by a randomised range, whose share of the variance is the exact one at this width."""
+    rows = table(spark, sf, "embeddings").select("vec_id", "embedding")
+    pca = heads.fit_wide_pca(rows, "embedding", 3)
+    out = pca.project(rows, "vec_id", "embedding", "axes")
+    return out.select("vec_id", *[rounded(F.get("axes", F.lit(i)), 6).alias(f"pc{i}") for i in range(3)], rounded(F.lit(float(pca.explained.sum()))).alias("explained"))
+
+
 # the response-transfer proxy: entities are parts with a vector, lesions suppliers, patients their nations
 
 _MANUAL = ("size", "price", "lines", "quantity", "tax", "share_a")

@@ -12,7 +12,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from rankforge.operators.contracts import content_seal
+from rankforge.operators import merkle
 
 #: Rows up to which a result may become one driver-side file.
 DRIVER_ROWS = 1_000_000
@@ -86,28 +86,44 @@ def write_json(document: object, path: str) -> str:
     return write_bytes((json.dumps(document, sort_keys=True, indent=2, ensure_ascii=False) + "\n").encode(), path)
 
 
-def seal(df: DataFrame, path: str, kind: str, columns: Sequence[str] | None = None, extra: Mapping[str, object] | None = None) -> dict:
-    """Write `df` as Parquet with a manifest beside it that pins rows, schema and content."""
+def seal(df: DataFrame, path: str, kind: str, extra: Mapping[str, object] | None = None, ranges: str = merkle.BY_DIGEST) -> dict:
+    """Write `df` as Parquet with a manifest beside it that pins rows, schema and content, and the tree that says where content changed.
+
+    `ranges` is an SQL expression of the columns, a long, for the ranges that a change is found in.
+    """
     df.write.mode("overwrite").parquet(f"{path}/data")
     written = df.sparkSession.read.parquet(f"{path}/data")
-    names = list(columns or written.columns)
-    manifest = {"kind": kind, "columns": names, "schema": written.schema.simpleString(), **content_seal(written, names).first().asDict(), **(extra or {})}
+    merkle.ranges(written, written.columns, ranges).write.mode("overwrite").parquet(f"{path}/tree")
+    top = merkle.root(written.sparkSession.read.parquet(f"{path}/tree")).first().asDict()
+    manifest = {"kind": kind, "columns": written.columns, "schema": written.schema.simpleString(), "ranges": ranges, **top, **(extra or {})}
     manifest["manifest_sha256"] = hashlib.sha256(canonical_json(manifest)).hexdigest()
     text = written.sparkSession.createDataFrame([(canonical_json(manifest).decode(),)], "value string")
     text.coalesce(1).write.mode("overwrite").text(f"{path}/manifest")
     return manifest
 
 
+def _manifest(spark: SparkSession, path: str) -> dict:
+    return json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+
+
 def verify_seal(spark: SparkSession, path: str) -> list[str]:
     """What differs from the manifest; empty for an intact artefact."""
-    manifest = json.loads(spark.read.text(f"{path}/manifest").first()["value"])
+    manifest = _manifest(spark, path)
     digest = manifest.pop("manifest_sha256", None)
     wrong = [] if hashlib.sha256(canonical_json(manifest)).hexdigest() == digest else ["manifest_sha256"]
     data = spark.read.parquet(f"{path}/data")
     if data.schema.simpleString() != manifest["schema"]:
         return [*wrong, "schema"]
-    now = content_seal(data, manifest["columns"]).first().asDict()
-    return wrong + [k for k, v in now.items() if manifest.get(k) != v]
+    now = merkle.root(merkle.ranges(data, manifest["columns"], manifest["ranges"])).first().asDict()
+    tree = merkle.root(spark.read.parquet(f"{path}/tree")).first()
+    return wrong + [k for k, v in now.items() if manifest.get(k) != v] + (["tree"] if tree["root"] != manifest.get("root") else [])
+
+
+def altered_ranges(spark: SparkSession, path: str) -> DataFrame:
+    """range, n_before, n_after of the ranges whose rows aren't the sealed ones."""
+    manifest = _manifest(spark, path)
+    data = spark.read.parquet(f"{path}/data")
+    return merkle.altered(spark.read.parquet(f"{path}/tree"), merkle.ranges(data, manifest["columns"], manifest["ranges"]))
 
 
 def freeze_scores(scores: DataFrame, pairs: DataFrame, keys: Sequence[str], path: str) -> dict:
