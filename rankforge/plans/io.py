@@ -136,42 +136,6 @@ def s16(spark: SparkSession, sf: str) -> DataFrame:
     return readers.aligned_vectors(rows.select("vec_id", "label"), rows, "vec_id", width).select("vec_id", "label", F.size("embedding").alias("width"))
 
 
-def _u(seed: int) -> str:
-    return f"CAST('0x' || substr(sha256('{seed}|' || id), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
-
-
-def _z(seed: int) -> str:
-    return f"sqrt(-2.0 * ln(1.0 - {_u(seed)})) * cos(2 * 3.141592653589793::DOUBLE * {_u(seed + 7919)})"
-
-
-_SIMULATED = f"""u AS (
-  SELECT id, {_u(11)} AS u0, {_u(12)} AS u_entry, {_u(13)} AS u_year, {_u(14)} AS u_class,
-         {", ".join(f"{_z(11 + 100 * i)} AS z_{name}" for i, name in enumerate(("expr", "diff", "spec", "net", "pop", "ood")))} FROM range(900) r(id)
-), g AS (
-  SELECT *, CASE WHEN u0 < 0.2 THEN 'biology_signal' WHEN u0 < 0.5 THEN 'popularity_only' ELSE 'noise' END AS planted_group, (u0 < 0.2)::INTEGER AS bio, (u0 >= 0.2 AND u0 < 0.5)::INTEGER AS pop FROM u
-), y AS (
-  SELECT *, CAST(floor(exp(1.5 + 0.8 * z_pop + 1.2 * pop)) AS BIGINT) AS before,
-         CASE WHEN u_entry < 1 / (1 + exp(-(-2.6 + 1.4 * bio * (1 + z_diff) + 0.9 * pop))) THEN CAST(2006 + floor(u_year * 18) AS INTEGER) END AS entry_year FROM g
-)"""
-_SHIFTED = lambda base, shift, noise: f"z_{base} + {shift} * bio + 0.3 * z_{noise}"
-_SIGMOID = lambda x: f"1 / (1 + exp(-({x})))"
-
-
-@query(
-    "s22_simulated_candidates",
-    f"""WITH {_SIMULATED} SELECT printf('GENE%06d', id) AS gene_id, planted_group, entry_year, coalesce((entry_year <= 2018)::INTEGER, 0) AS label_pre_cutoff,
-coalesce((entry_year > 2018 AND entry_year <= 2023)::INTEGER, 0) AS label_post_cutoff, before AS publication_count_pre_cutoff, before + CAST(floor(exp(1 + z_ood)) AS BIGINT) AS publication_count_all_time,
-round({_SHIFTED("expr", 0.4, "net")}, 6) AS mean_expression_id, round({_SHIFTED("expr", 0.3, "ood")}, 6) AS mean_expression_ood,
-round({_SHIFTED("diff", 0.9, "net")}, 6) AS differential_expression_id, round({_SHIFTED("diff", 0.6, "ood")}, 6) AS differential_expression_ood,
-round({_SIGMOID(_SHIFTED("spec", 0.6, "net"))}, 6) AS cell_type_specificity_id, round({_SIGMOID(_SHIFTED("spec", 0.4, "ood"))}, 6) AS cell_type_specificity_ood,
-round({_SIGMOID("z_net + 0.3 * bio")}, 6) AS network_centrality, (u_class < 0.25)::INTEGER AS druggable_class, 2018 AS cutoff_year, 2023 AS evaluation_end_year FROM y""",
-)
-def s22(spark: SparkSession, sf: str) -> DataFrame:
-    """The synthetic table of 900 candidates; the first seed has enough positives."""
-    rows = readers.simulate_until(spark, 900)
-    return rows.select([F.round(c, 6).alias(c) if t == "double" else c for c, t in rows.dtypes])
-
-
 @query("k08_resumable_partitions", "SELECT n_nationkey, n_regionkey FROM nation")
 def k08(spark: SparkSession, sf: str) -> DataFrame:
     """Half of the partitions are written, the missing ones found and added, the old ones kept."""
