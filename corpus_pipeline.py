@@ -3,7 +3,15 @@
 Each stage takes (spark, docs, sf_dir) and works on all that its predecessor
 kept; between stages the documents are written as Parquet and read again.  A run
 that is given the folder of an earlier one goes on after the last stage that the
-earlier one finished.  A stage's checkpoints are deleted when it is written.
+earlier one finished, if the stages and the table's path, columns and number of
+rows are the same, and else refuses.  A stage's checkpoints are deleted when it is
+written; its output stays, as that of a run without a folder does in a new one.
+
+Defined cases: a null text or one without a letter goes in the first stage; a
+document without labels of its kind is judged like any other; null sources are a
+source, null doc_ids are kept, repeated rows are copies of which one stays; texts are
+used whole; extra columns pass through to the mix and end at packing; an empty table
+gives an empty result.
 
 The result has the token ids of every piece with its sequence and offset.
 `doc_row` tells repetitions of a document apart.
@@ -11,6 +19,7 @@ The result has the token ids of every piece with its sequence and offset.
 
 from __future__ import annotations
 
+import json
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -59,6 +68,11 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str, folder: str | None = None) -> DataFrame:
     folder = folder or f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
+    own = json.dumps([[name for name, _ in STAGES], sf_dir, docs.schema.json(), docs.count()])
+    if not is_written(spark, f"{folder}/run"):
+        spark.createDataFrame([(own,)], "run string").coalesce(1).write.mode("overwrite").parquet(f"{folder}/run")
+    elif spark.read.parquet(f"{folder}/run").first()["run"] != own:
+        raise ValueError(f"{folder} holds a run over other stages or another table")
     for name, stage in STAGES:
         if not is_written(spark, f"{folder}/{name}"):
             with scratch(spark):
