@@ -19,8 +19,9 @@ streamed, so a task holds one conversation and one batch at a time.
 
 Defined cases: null text and null role count as empty; null turns come first;
 rows with equal turn are ordered by role and text, and repeated rows are turns
-of their own; rows with a null conv_id form one conversation; extra columns are
-not carried; an empty table gives no conversation.
+of their own; rows with a null conv_id form one conversation; texts of any length
+are rendered whole, and a conversation is one task's work; extra columns are not
+carried; an empty table gives no conversation.
 """
 
 from __future__ import annotations

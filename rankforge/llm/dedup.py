@@ -23,7 +23,8 @@ and a class is a connected component of links.
 All pairs of nodes that share a bucket are decided so, whatever a bucket's size.
 
 Defined cases: a null text and one without words is in no group: its class is
-its own doc_id; repeated rows are copies of each other; class_id is the least
+its own doc_id; repeated rows are copies of each other; a text of any length is signed and compared
+whole, its darts thrown in blocks of `THROWN`; class_id is the least
 doc_id of the class, null only if all are null; extra columns are not carried
 (`keep_one` keeps all); an empty table gives an empty result.
 """

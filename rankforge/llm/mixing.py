@@ -20,7 +20,8 @@ summed by (source, slice of the hash), the sums are accumulated per source (at
 most SLICES rows each), and only the slice that holds the quota is looked into.
 The result is one threshold per source; documents meet it in a map-side join.
 
-Defined cases: null and white-space-only texts have size 0 and take nothing; a
+Defined cases: null and white-space-only texts have size 0 and take nothing; texts
+of any length are counted and hashed whole; a
 null source is a source of its own, last in order; sources without words get
 target 0; repeated rows are separate documents with equal decisions; extra
 columns never clash, because `mix` keeps the rows of its input in a struct; an

@@ -7,7 +7,7 @@ and path resolve to block.  Urls that no rule fits get the default verdict.
 
 Defined cases: a null url or one without "://" has an empty host and path, and
 so fits no rule but one with an empty host; an empty path does not start with
-"/".  Rows are never dropped or merged, repeated rows each get a verdict, extra
+"/".  A url of any length is judged whole.  Rows are never dropped or merged, repeated rows each get a verdict, extra
 columns are not carried, and an empty table gives an empty result.
 """
 

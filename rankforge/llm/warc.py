@@ -19,8 +19,9 @@ Defined cases: "earlier" is by (date, record_id), a null date before all
 others, so ties in date go by record_id; a null url has no response; a response
 that repeats exactly is one of several equal candidates; header names compare
 without case, a repeated name keeps the last value, null headers are none; a
-revisit of another profile is returned as it is, as `not_applicable`; extra
-columns are not carried; an empty table gives an empty result.
+revisit of another profile is returned as it is, as `not_applicable`; urls and
+headers of any length are used whole, bodies are not read; extra columns are not
+carried; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -33,7 +34,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from rankforge.llm.common import settle, table
+from rankforge.llm.common import settle, small, table
 
 NOT_MODIFIED = "http://netpreserve.org/warc/1.1/revisit/server-not-modified"
 #: Header fields of a 304 that do not replace stored ones.
@@ -83,8 +84,12 @@ def resolve_revisits(records: DataFrame, rows_per_part: int = ROWS) -> DataFrame
     crossing = placed.where("canon IS NOT NULL").groupBy("canon").agg(F.min("part").alias("low"), F.max("part").alias("high")).where("low < high")
     spread = placed.select("part", "canon").distinct().join(crossing.select("canon"), "canon").join(last, ["part", "canon"], "left")
     over = Window.partitionBy("canon").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
-    carried = spread.select("part", "canon", F.last("m", ignorenulls=True).over(over).alias("m")).where("m IS NOT NULL")
-    stored = placed.where("full").select(F.col("canon").alias("c"), F.col("date").alias("d"), F.col("id").alias("i"), "headers").dropDuplicates(["c", "d", "i"])
+    carried = settle(spread.select("part", "canon", F.last("m", ignorenulls=True).over(over).alias("m")).where("m IS NOT NULL"))
+    # headers of the few responses that are carried into a later partition, before repetitions are dropped
+    keys = settle(carried.select(F.col("canon").alias("kc"), F.col("m.date").alias("kd"), F.col("m.id").alias("ki")).distinct())
+    asked = (F.col("canon") == F.col("kc")) & F.col("date").eqNullSafe(F.col("kd")) & F.col("id").eqNullSafe(F.col("ki"))
+    stored = placed.where("full").join(small(keys), asked, "left_semi")
+    stored = stored.select(F.col("canon").alias("c"), F.col("date").alias("d"), F.col("id").alias("i"), "headers").dropDuplicates(["c", "d", "i"])
     on = (F.col("canon") == F.col("c")) & F.col("m.date").eqNullSafe(F.col("d")) & F.col("m.id").eqNullSafe(F.col("i"))
     carried = carried.join(stored, on).select("part", "canon", F.struct(F.col("m.id").alias("id"), F.col("m.date").alias("date"), "headers").alias("before"))
 

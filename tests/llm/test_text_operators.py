@@ -255,3 +255,19 @@ def test_packing_rows(spark):
         assert at <= 2048
     assert sorted(zlib.crc32(np.array(r["ids"], "<u4").tobytes()) for r in out) == sorted(r["ids_crc32"] for r in digest)
     assert packing.pack(docs.limit(0)).count() == 0
+
+
+def test_a_document_of_over_a_thousand_pieces_is_packed_whole(spark):
+    """Two million tokens through Spark: pieces without a gap, every one in a sequence."""
+    text = "".join(f"w{i} " for i in range(700_000))
+    docs = spark.createDataFrame([(1, text), (2, "short"), (3, None)], "doc_id long, text string")
+    rows = packing.pack(docs, payload="ids_crc32").collect()
+    long = sorted((r for r in rows if r["doc_id"] == 1), key=lambda r: r["piece"])
+    assert len(long) > 1000 and [r["piece"] for r in long] == list(range(len(long)))
+    assert all(a["start"] + a["length"] == b["start"] for a, b in zip(long, long[1:])) and {r["length"] for r in long[1:]} == {2048}
+    ids = np.append(encoder(default_vocabulary())(text), np.uint32(0)).astype("<u4")
+    assert long[-1]["start"] + 2048 == len(ids) and all(zlib.crc32(ids[r["start"] : r["start"] + r["length"]].tobytes()) == r["ids_crc32"] for r in long)
+    places = {}
+    for r in rows:
+        places.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert all(sum(n for _, n in p) <= 2048 and [o for o, _ in sorted(p)] == [sum(n for _, n in sorted(p)[:k]) for k in range(len(p))] for p in places.values())

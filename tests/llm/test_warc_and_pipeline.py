@@ -5,6 +5,7 @@ import gzip
 import random
 from pathlib import Path
 
+import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
@@ -156,11 +157,27 @@ def test_a_run_goes_on_where_an_earlier_one_ended(spark, tmp_path, monkeypatch):
         pass
     out = corpus_pipeline.run(spark, "/root/testdata/sf0.001", folder)
     assert done == ["a", "b", "b", "c"] and out.count() == 100
+    with pytest.raises(ValueError, match="another table"):
+        corpus_pipeline.run(spark, "/root/testdata/sf0.01", folder)
+
+
+def test_pipeline_of_odd_tables(spark, tmp_path):
+    """An empty table, and one of nulls, repeated rows and a document of some thousand pieces."""
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    for name, rows in (("none", docs.limit(0)), ("odd", docs.unionByName(docs.limit(5)).unionByName(spark.createDataFrame([(None, None, None, None, None), (900_001, None, "en", None, 0), (900_002, "", "en", "s", 0), (900_003, "12 34", "fr", "s", 5)], docs.schema)))):
+        folder = f"{tmp_path}/{name}"
+        rows.write.parquet(f"{folder}/documents.parquet")
+        labels.write.parquet(f"{folder}/labels.parquet")
+        out = corpus_pipeline.run(spark, folder)
+        assert set(out.columns) >= {"doc_id", "piece", "start", "length", "ids", "sequence_id", "offset"}
+        got = {r["doc_id"] for r in out.select("doc_id").distinct().collect()}
+        assert bool(got) == (name == "odd") and not got & {None, 900_001, 900_002, 900_003}
 
 
 def test_registered_names():
     numbers = sorted(int(n[2:].split("_")[0]) for n in registry.queries())
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(registry.oracle_sql()) <= set(registry.queries())
 
 
