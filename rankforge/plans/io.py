@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from rankforge.plans.base import CELLS, cells, query
 from rankforge.session import settle, table
-from rankforge.sources import readers, sinks
+from rankforge.sources import readers, sinks, sliced
 from rankforge.streaming import gate
 
 
@@ -124,6 +124,15 @@ def s12(spark: SparkSession, sf: str) -> DataFrame:
     return readers.matrix_market(spark, path, genes, region.select((F.col("r_regionkey") + 1).cast("long").alias("ord"), F.col("r_name").alias("id")))
 
 
+@query("s14_sliced_container", f"WITH {CELLS} SELECT gene AS row, cell AS col, CAST(sum(value) AS DOUBLE) AS value FROM cells WHERE gene BETWEEN 40 AND 90 GROUP BY 1, 2")
+def s14(spark: SparkSession, sf: str) -> DataFrame:
+    """All cells as a row-sliced container, of which only the slices are read that the filter leaves."""
+    path = f"{_folder(spark)}/sliced"
+    made = cells(spark, sf).groupBy(F.col("gene").cast("long").alias("row"), F.col("cell").cast("long").alias("col")).agg(F.sum("value").cast("double").alias("value"))
+    sliced.write_sliced(made, path, slice_rows=64)
+    return spark.read.format("sliced_csr").load(path).where("row BETWEEN 40 AND 90")
+
+
 @query("s15_filtered_extract", "SELECT event_id, user_id, value FROM events WHERE event_type = 'purchase' AND user_id = 8")
 def s15(spark: SparkSession, sf: str) -> DataFrame:
     return readers.cells_of(table(spark, sf, "events"), event_type="purchase", user_id=8).select("event_id", "user_id", "value")
