@@ -84,8 +84,9 @@ def s06(spark: SparkSession, sf: str) -> DataFrame:
     matrix, names = _whole(spark, sf)
     held = F.map_from_entries(F.collect_list(F.struct("sample", "value")))
     file = F.floor(F.col("gene") / _GENES).alias("file")
-    values = F.transform(F.array(*map(F.lit, names)), lambda s: F.coalesce(F.try_element_at("held", s), F.lit(0.0)).cast("string"))
-    body = matrix.groupBy("gene").agg(held.alias("held")).select(file, (F.col("gene") + 2).alias("o"), F.concat(F.concat_ws("\t", F.col("gene").cast("string"), values), F.lit("\t")).alias("value"))
+    values = F.transform("names", lambda s: F.coalesce(F.try_element_at("held", s), F.lit(0.0)).cast("string"))
+    columns = spark.createDataFrame([(names,)], "names array<long>")  # one row
+    body = matrix.groupBy("gene").agg(held.alias("held")).crossJoin(F.broadcast(columns)).select(file, (F.col("gene") + 2).alias("o"), F.concat(F.concat_ws("\t", F.col("gene").cast("string"), values), F.lit("\t")).alias("value"))
     head = spark.createDataFrame([(-2, "\t" + "\t".join(f"c{i}" for i in names)), (-1, "\tannotation")], "o long, value string")
     files = matrix.select(file).distinct()
     lines = body.unionByName(files.crossJoin(head))

@@ -17,6 +17,7 @@ from typing import NamedTuple
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute
 import pyarrow.csv
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -103,25 +104,37 @@ def ragged_matrix(spark: SparkSession, path: str) -> DataFrame:
     """gene, cell, value of a tab text: line 1 cells, line 2 skipped, then rows that end in an empty field.
 
     Lines are told by their place in the file, so a file is one task's work, as
-    gzip demands; rows are streamed.
+    gzip demands; rows are streamed, many lines to an Arrow batch.
     """
 
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def block(genes: list[str], fields: list[str], cells: pa.Array) -> pa.RecordBatch:
+        text = pa.array(fields, pa.string())
+        values = pa.compute.if_else(pa.compute.equal(text, ""), pa.scalar(None, pa.string()), text).cast(pa.float64())
+        values = values.fill_null(0.0).to_numpy().reshape(len(genes), len(cells))
+        row, at = values.nonzero()
+        return pa.RecordBatch.from_arrays([pa.array(genes, pa.string()).take(pa.array(row)), cells.take(pa.array(at)), pa.array(values[row, at])], names=["gene", "cell", "value"])
+
+    def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
 
         for batch in batches:
-            for name, content in zip(batch["path"], batch["content"], strict=True):
+            for name, content in zip(*(c.to_pylist() for c in batch.columns), strict=True):
                 data = gzip.GzipFile(fileobj=io.BytesIO(content)) if name.endswith(".gz") else io.BytesIO(content)
                 lines = io.TextIOWrapper(io.BufferedReader(data), encoding="utf-8")
-                cells = [c for c in next(lines, "").rstrip("\n").split("\t") if c]
+                cells = pa.array([c for c in next(lines, "").rstrip("\n").split("\t") if c], pa.string())
                 next(lines, None)
+                genes, fields, size = [], [], 0
                 for line in lines:
                     gene, *values = line.rstrip("\n").split("\t")
-                    numbers = pd.to_numeric(pd.Series(values[: len(cells)]))
-                    hit = numbers.to_numpy().nonzero()[0]
-                    yield pd.DataFrame({"gene": gene, "cell": [cells[i] for i in hit], "value": numbers.iloc[hit].astype(float).to_numpy()})
-
-    return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(parse, "gene string, cell string, value double")
+                    genes.append(gene), fields.extend((values + [""] * len(cells))[: len(cells)])
+                    size += len(line)
+                    if size > TEXT_BYTES:
+                        yield block(genes, fields, cells)
+                        genes, fields, size = [], [], 0
+                if genes:
+                    yield block(genes, fields, cells)
+
+    return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "gene string, cell string, value double")
 
 
 def template_metadata(spark: SparkSession, path: str, first: str = "Sample name", keep: str = r"^Sample\s+\d+$") -> DataFrame:
