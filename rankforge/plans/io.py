@@ -3,11 +3,11 @@
 from __future__ import annotations
 
 import uuid
-from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankforge.operators.ranking import position
 from rankforge.plans.base import CELLS, cells, query
 from rankforge.session import settle, table
 from rankforge.sources import readers, sinks, sliced
@@ -58,24 +58,24 @@ def _whole(spark: SparkSession, sf: str) -> tuple[DataFrame, list[int]]:
     return matrix, sorted(r["sample"] for r in matrix.select("sample").distinct().collect())
 
 
-def _wide(spark: SparkSession, sf: str) -> dict[str, list[str]]:
-    """Wide tables that make up the matrix, by their paths, each with its columns."""
-    folder = _folder(spark)
-    matrix, names = _whole(spark, sf)
-    parts = {f"{folder}/wide-{at}.csv": names[at : at + _COLUMNS] for at in range(0, len(names), _COLUMNS)}
-    for path, part in parts.items():
-        held = matrix.where(F.col("sample").between(part[0], part[-1]))
-        held.groupBy("gene").pivot("sample", part).agg(F.sum("value")).na.fill(0.0).write.option("header", "true").csv(path)
-    return {path: list(map(str, part)) for path, part in parts.items()}
-
-
-def _union(spark: SparkSession, frames: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, frames, spark.createDataFrame([], "gene string, cell string, value double"))
+def _wide(spark: SparkSession, sf: str) -> str:
+    """The matrix as files of so many columns each, written by one job; a gene has a line where it has a value."""
+    matrix = settle(cells(spark, sf).groupBy("gene", "sample").agg(F.sum("value").alias("value")))
+    placed = position(matrix.select("sample").distinct(), [], ["sample"])
+    columns = settle(placed.select("sample", F.floor(F.col("position") / _COLUMNS).alias("file"), (F.col("position") % _COLUMNS).alias("at")))
+    heads = columns.groupBy("file").agg(F.array_sort(F.collect_list("sample")).alias("names"))
+    held = matrix.join(columns, "sample").groupBy("gene", "file").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("held")).join(heads, "file")
+    fields = F.transform("names", lambda _, i: F.coalesce(F.try_element_at("held", i.cast("long")), F.lit(0.0)).cast("string"))
+    body = held.select("file", F.lit(1).alias("o"), F.concat_ws(",", F.col("gene").cast("string"), fields).alias("value"))
+    lines = body.unionByName(heads.select("file", F.lit(0).alias("o"), F.concat_ws(",", F.lit("gene"), F.transform("names", lambda n: n.cast("string"))).alias("value")))
+    path = f"{_folder(spark)}/wide"
+    lines.repartition(max(1, heads.count()), "file").sortWithinPartitions("file", "o").drop("o").write.partitionBy("file").text(path)
+    return f"{path}/*/*.txt"
 
 
 @query("s05_wide_matrix", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM whole WHERE value <> 0")
 def s05(spark: SparkSession, sf: str) -> DataFrame:
-    return _union(spark, [readers.wide_matrix(spark, path) for path in _wide(spark, sf)])
+    return readers.wide_matrix(spark, _wide(spark, sf))
 
 
 @query("s06_ragged_matrix", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, 'c' || sample AS cell, value FROM whole WHERE value <> 0")
@@ -97,8 +97,7 @@ def s06(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s09_selected_columns", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM whole WHERE value <> 0 AND sample IN (2, 5)")
 def s09(spark: SparkSession, sf: str) -> DataFrame:
-    chosen = {path: [c for c in ("2", "5") if c in names] for path, names in _wide(spark, sf).items()}
-    return _union(spark, [readers.wide_matrix(spark, path, cells=names) for path, names in chosen.items() if names])
+    return readers.wide_matrix(spark, _wide(spark, sf), cells=["2", "5"])
 
 
 @query("s07_template_metadata", "SELECT 'Sample ' || s_suppkey AS sample_name, s_name AS title, CASE WHEN s_suppkey % 3 > 0 THEN CAST(s_nationkey AS VARCHAR) END AS nation FROM supplier")

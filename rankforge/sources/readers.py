@@ -7,6 +7,7 @@ that any store Spark reads will do.
 
 from __future__ import annotations
 
+import csv
 import io
 import json
 import re
@@ -53,46 +54,57 @@ def check_alignment(columns: Sequence[str], ids: Sequence[str]) -> None:
 
 
 def wide_matrix(spark: SparkSession, path: str, sep: str = ",", cells: Sequence[str] | None = None) -> DataFrame:
-    """gene, cell, value of a gene x cell table with gene names first: non-zeros only, optionally of some cells.
+    """gene, cell, value of gene x cell tables with gene names first: non-zeros only, optionally of some cells.
 
     One parser for any number of columns: lines reach tasks as text, with the place
     of their block, whose first line is the header where it begins a file; quoted
-    fields may hold separators.  Neither the plan nor generated code grows with the
-    columns, and of a selection only its columns are converted.  A row with another
-    number of fields than the header, or a field that isn't a number, fails.
+    fields may hold separators.  Every file has its own header, so one scan reads the
+    column blocks that a very wide table is cut into; the headers, a name for each
+    column, pass through the driver.  Neither the plan nor generated code grows with
+    the columns, and of a selection only its columns are converted.  A row with
+    another number of fields than its header, or a field that isn't a number, fails.
     """
-    gene, *names = spark.read.option("header", "true").option("sep", sep).csv(path).columns
-    if cells is not None and (missing := sorted(set(cells) - set(names))):
+    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
+
+    def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[str] = set()
+        for batch in batches:
+            fresh = [i for i, (f, s) in enumerate(zip(batch["file"].to_pylist(), batch["start"].to_pylist(), strict=True)) if s == 0 and f not in seen and not seen.add(f)]
+            yield pa.RecordBatch.from_arrays([batch["file"].take(pa.array(fresh, pa.int64())), batch["value"].take(pa.array(fresh, pa.int64()))], names=["file", "line"])
+
+    heads = {r["file"]: next(csv.reader([r["line"]], delimiter=sep))[1:] for r in text.where("start = 0").mapInArrow(first_lines, "file string, line string").collect()}  # a row for each file
+    if cells is not None and (missing := sorted(set(cells).difference(*heads.values()))):
         raise ValueError(f"cells missing from the matrix: {missing[:3]}")
-    chosen = names if cells is None else list(cells)
+    wanted = None if cells is None else set(cells)
 
-    def table(lines: list[str]) -> pa.RecordBatch:
-        positions = {n: f"f{k}" for k, n in enumerate(names)}
-        read = pyarrow.csv.ReadOptions(column_names=["gene", *positions.values()])
-        kinds = {"gene": pa.string()} | {positions[c]: pa.float64() for c in chosen}
+    def table(lines: list[str], names: list[str]) -> pa.RecordBatch:
+        chosen = [k for k, n in enumerate(names) if wanted is None or n in wanted]
+        read = pyarrow.csv.ReadOptions(column_names=["gene", *(f"f{k}" for k in range(len(names)))])
+        kinds = {"gene": pa.string()} | {f"f{k}": pa.float64() for k in chosen}
         convert = pyarrow.csv.ConvertOptions(column_types=kinds, include_columns=list(kinds), null_values=[""], strings_can_be_null=False)
         held = pyarrow.csv.read_csv(io.BytesIO("\n".join(lines).encode()), read, pyarrow.csv.ParseOptions(delimiter=sep), convert)
         values = np.stack([c.to_numpy() for c in held.columns[1:]], axis=1) if chosen else np.zeros((len(held), 0))
         row, at = np.nonzero(np.nan_to_num(values, nan=0.0, posinf=1.0, neginf=1.0))
-        return pa.RecordBatch.from_arrays([held["gene"].combine_chunks().take(pa.array(row)), pa.array(chosen, pa.string()).take(pa.array(at)), pa.array(values[row, at])], names=["gene", "cell", "value"])
+        cell = pa.array([names[k] for k in chosen], pa.string()).take(pa.array(at))
+        return pa.RecordBatch.from_arrays([held["gene"].combine_chunks().take(pa.array(row)), cell, pa.array(values[row, at])], names=["gene", "cell", "value"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = None
         for batch in batches:
             lines, size = [], 0
             for line, file, start in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                fresh, block = (file, start) != block, (file, start)
+                fresh = (file, start) != block
+                if lines and (size > TEXT_BYTES or (fresh and file != block[0])):
+                    yield table(lines, heads[block[0]])
+                    lines, size = [], 0
+                block = (file, start)
                 if (fresh and start == 0) or not line:
                     continue
                 lines.append(line)
                 size += len(line)
-                if size > TEXT_BYTES:
-                    yield table(lines)
-                    lines, size = [], 0
             if lines:
-                yield table(lines)
+                yield table(lines, heads[block[0]])
 
-    text = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("start"))
     return text.mapInArrow(parse, "gene string, cell string, value double")
 
 
