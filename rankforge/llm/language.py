@@ -293,12 +293,26 @@ def _sampled(docs: DataFrame, train: Column, sample: int, lengths: Sequence[int]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(held, pa.list_(pa.int16())), pa.array(parts, pa.list_(pa.list_(pa.int16())))], names=["doc_id", "lang", "places", "parts"])
 
     kind = docs.schema["doc_id"].dataType.simpleString()
-    got = arrow_map(rows.where(draw <= F.col("rate")).drop("rate"), present, f"doc_id {kind}, lang string, places array<smallint>, parts array<array<smallint>>").distinct().collect()
-    got = sorted(got, key=lambda r: (hash_order(r["doc_id"]), r["lang"], r["places"]))
+    got = arrow_map(rows.where(draw <= F.col("rate")).drop("rate"), present, f"doc_id {kind}, lang string, places array<smallint>, parts array<array<smallint>>").distinct().toArrow().combine_chunks()
+    # whole columns of numbers: as Python lists they would take the driver many times the room
+    own, ids, languages = _slices(got["places"]), got["doc_id"].to_pylist(), got["lang"].to_pylist()
+    order = sorted(range(len(got)), key=lambda i: (hash_order(ids[i]), languages[i], own[i].tobytes()))
     matrix = np.zeros((len(got), SPACE), dtype=np.uint8)
-    for row, r in zip(matrix, got, strict=True):
-        row[r["places"]] = 1
-    return matrix, [r["lang"] for r in got], [[None if x is None else np.array(x, np.int64) for x in r["parts"]] for r in got]
+    for row, i in zip(matrix, order, strict=True):
+        row[own[i]] = 1
+    parts = _slices(got["parts"].chunk(0).flatten()) if lengths and len(got) else []
+    n = len(lengths)
+    return matrix, [languages[i] for i in order], [parts[n * i : n * (i + 1)] for i in order]
+
+
+def _slices(column: pa.Array | pa.ChunkedArray) -> list[np.ndarray | None]:
+    """The lists of a column as views on its numbers."""
+    if isinstance(column, pa.ChunkedArray):
+        column = column.combine_chunks()
+    if isinstance(column, pa.ChunkedArray):
+        column = column.chunk(0) if column.num_chunks else pa.array([], column.type)
+    ends, numbers = column.offsets.to_numpy(), column.values.to_numpy()
+    return [numbers[ends[i] : ends[i + 1]] if known else None for i, known in enumerate(column.is_valid().to_pylist())]
 
 
 def fit(docs: DataFrame, train: Column, sample: int = SAMPLE) -> Model:
