@@ -88,7 +88,7 @@ def c08(spark: SparkSession, sf: str) -> DataFrame:
     "c09_external_vectors",
     """WITH wanted AS (SELECT DISTINCT l_partkey AS id FROM lineitem), got AS (SELECT vec_id AS id, embedding FROM embeddings)
 SELECT 'missing' AS name, count(*) FILTER (got.id IS NULL) AS bad_rows, CASE WHEN count(*) FILTER (got.id IS NULL) = 0 THEN 'PASS' ELSE 'WARNING' END AS status FROM wanted LEFT JOIN got USING (id)
-UNION ALL SELECT 'width', count(*) FILTER (len(embedding) <> 64), CASE WHEN count(*) FILTER (len(embedding) <> 64) = 0 THEN 'PASS' ELSE 'FAIL' END FROM got
+UNION ALL SELECT 'width', count(*) FILTER (len(embedding) <> w), CASE WHEN count(*) FILTER (len(embedding) <> w) = 0 THEN 'PASS' ELSE 'FAIL' END FROM got, (SELECT mode(len(embedding)) AS w FROM got)
 UNION ALL SELECT 'finite', count(*) FILTER (len(list_filter(embedding, lambda x: NOT isfinite(x))) > 0), 'PASS' FROM got
 UNION ALL SELECT 'unique_id', count(*) - count(DISTINCT id), 'PASS' FROM got""",
 )
@@ -98,7 +98,8 @@ def c09(spark: SparkSession, sf: str) -> DataFrame:
     got = table(spark, sf, "embeddings").select(F.col("vec_id").alias("id"), "embedding")
     covered = contracts.violations(wanted.join(got.select("id", F.lit(True).alias("has")), "id", "left"), {"missing": F.col("has").isNull()})
     infinite = F.exists("embedding", lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
-    shaped = contracts.violations(got, {"width": F.size("embedding") != 64, "finite": infinite})
+    width = got.agg(F.mode(F.size("embedding"))).first()[0]
+    shaped = contracts.violations(got, {"width": F.size("embedding") != F.lit(width), "finite": infinite})
     return contracts.judged(covered.unionByName(shaped).unionByName(contracts.repeats(got, ["id"], "unique_id")), warnings=["missing"])
 
 

@@ -63,11 +63,14 @@ def u04(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "u05_column_blocks",
-    f"WITH {CONTEXTS} SELECT vec_id, len(list_concat(embedding[1:4], embedding[9:10])) AS width, round(embedding[9]::DOUBLE, 6) AS fifth FROM contexts",
+    f"""WITH {CONTEXTS}, b AS (SELECT vec_id, list_concat(embedding[len(embedding) // 2 + 1:len(embedding)], embedding[1:len(embedding) // 2]) AS v FROM contexts)
+SELECT vec_id, len(v) AS width, list_transform(v, lambda x: round(x::DOUBLE, 6)) AS vector FROM b""",
 )
 def u05(spark: SparkSession, sf: str) -> DataFrame:
-    both = F.concat(F.slice("embedding", 1, 4), F.slice("embedding", 9, 2))
-    return contexts(spark, sf).select("vec_id", F.size(both).alias("width"), rounded(both[4].cast("double"), 6).alias("fifth"))
+    """Both halves of every vector, the second one first."""
+    half = F.floor(F.size("embedding") / 2).cast("int")
+    both = F.concat(F.slice("embedding", half + 1, F.size("embedding") - half), F.slice("embedding", F.lit(1), half))
+    return contexts(spark, sf).select("vec_id", F.size(both).alias("width"), F.transform(both, lambda x: rounded(x.cast("double"), 6)).alias("vector"))
 
 
 @query("s04_header_alignment", "SELECT column_name AS name FROM (DESCRIBE SELECT * FROM customer)")

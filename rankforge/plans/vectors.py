@@ -116,14 +116,27 @@ def m20(spark: SparkSession, sf: str) -> DataFrame:
     return pooling.binned_tokens(_counts(spark, sf), vocabulary, LENGTH, 6, 7)
 
 
+_CONTROL_SEED = 1729
+_CONTROL = "CAST('0x' || substr(sha256('{0}|' || p_partkey || '|' || i), 1, 12) AS BIGINT) / 281474976710656.0::DOUBLE"
+
+
 @query(
     "m22_static_embedding_lookup",
-    """SELECT p_partkey, embedding IS NOT NULL AS covered, coalesce(round(embedding[1]::DOUBLE, 6), 0) AS first FROM part LEFT JOIN embeddings ON vec_id = p_partkey""",
+    f"""WITH w AS (SELECT max(len(embedding)) AS w FROM embeddings)
+SELECT p_partkey, embedding IS NOT NULL AS covered, list_transform(coalesce(embedding, list_transform(range(w), lambda i: 0)), lambda x: round(x::DOUBLE, 6)) AS vector,
+       list_transform(range(w), lambda i: round(sqrt(-2.0 * ln(1.0 - {_CONTROL.format(_CONTROL_SEED)})) * cos(2 * 3.141592653589793::DOUBLE * {_CONTROL.format(_CONTROL_SEED + 7919)}), 6)) AS control
+FROM part LEFT JOIN embeddings ON vec_id = p_partkey, w""",
 )
 def m22(spark: SparkSession, sf: str) -> DataFrame:
+    """Every part's vector, zeros where it isn't covered, beside a random control of the same shape."""
+    from rankforge.plans.transfer import random_control
+
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding")
+    width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
     joined = table(spark, sf, "part").select("p_partkey").join(vectors, "p_partkey", "left")
-    return joined.select("p_partkey", F.col("embedding").isNotNull().alias("covered"), F.coalesce(rounded(F.col("embedding")[0].cast("double"), 6), F.lit(0.0)).alias("first"))
+    six = lambda v: F.transform(v, lambda x: F.round(x.cast("double"), 6))
+    control = random_control(F.col("p_partkey").cast("string"), width, _CONTROL_SEED)
+    return joined.select("p_partkey", F.col("embedding").isNotNull().alias("covered"), six(F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), width))).alias("vector"), six(control).alias("control"))
 
 
 @query(
