@@ -36,6 +36,8 @@ from rankforge.session import settle
 
 #: Rows in a part, replicates that a part works on together.
 ROWS, TOGETHER = 1 << 15, 32
+#: Rows of a part at least while there are idle cores, added draws of a batch about.
+FEW, ADDED = 512, 1 << 16
 #: Rates are 1 - 2^-level; a level is used from LEAST * 4^level rows on, 6 standard deviations below n draws.
 LEVELS, LEAST = 20, 36
 _GOLDEN, _MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values of the SplitMix64 generator
@@ -76,11 +78,17 @@ def poisson(keys: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
     u = mix64(keys[:, None] ^ at.astype(np.uint64)[None, :]) >> np.uint64(12)
     out = np.zeros(u.shape, np.int64)
     for step in steps(level):
-        if step < 1 << 52:
-            out += u >= np.uint64(step)
+        reached = u >= np.uint64(step) if step < 1 << 52 else np.zeros(1, bool)
+        if not reached.any():  # steps rise
+            break
+        out += reached
     return out
 
 
+def _joined(held: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(np.concatenate(c)) for c in zip(*held, strict=True)], names=["replicate", "position", "times"])
+
+
 class Draws(NamedTuple):
     """What tells all counts: the keys of the Poisson draws, their level, and the added draws (replicate, position, times); replicates count from 0."""
 
@@ -113,10 +121,17 @@ def draw(spark, n: int, ids: Sequence[int], seed: int) -> Draws:
     more = _keys(seed, ids, 1)
 
     def extra(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             for r, lacking in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 at, times = np.unique(mix64(more[r] ^ np.arange(lacking, dtype=np.uint64)) % np.uint64(max(1, n)), return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at), r)), pa.array(at.astype(np.int64)), pa.array(times)], names=["replicate", "position", "times"])
+                held.append((np.full(len(at), r), at.astype(np.int64), times))
+                size += len(at)
+                if size > ADDED:
+                    yield _joined(held)
+                    held, size = [], 0
+        if held:
+            yield _joined(held)
 
     lacking = spark.createDataFrame([(r, int(n - t)) for r, t in enumerate(total)], "replicate long, lacking long")
     return Draws(keys, level, lacking.mapInArrow(extra, "replicate long, position long, times long"))
@@ -210,7 +225,8 @@ def replicate_metrics(df: DataFrame, scores: Mapping[str, str], metrics: Sequenc
     long = numbered.select("position", "y", F.explode("values").alias("v")).select("position", "y", "v.*")
     n = df.count()
     draws = draw(spark, n, range(replicates), seed)
-    parts = max(1, -(-n * len(scores) // rows_per_part))
+    rows = n * len(scores)
+    parts = max(1, -(-rows // rows_per_part), min(spark.sparkContext.defaultParallelism, rows // FEW))
     placed = settle(long.repartitionByRange(parts, "method", F.desc("score"), "position").withColumn("part", F.spark_partition_id()))
     none = [F.lit(None).cast("double").alias(c) for c in _STATE]
     added = draws.added.join(placed.select("position", "method", "part"), "position").select("method", "part", "position", "replicate", "times", *none)
