@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankforge.operators.ranking import position
@@ -48,29 +48,47 @@ def s03(spark: SparkSession, sf: str) -> DataFrame:
 
 
 _WHOLE = "whole AS (SELECT gene, sample, sum(value) AS value FROM cells GROUP BY 1, 2)"
-#: Columns of one wide file, genes of one ragged file.
-_COLUMNS, _GENES = 200, 1000
-
-
-def _whole(spark: SparkSession, sf: str) -> tuple[DataFrame, list[int]]:
-    """gene, sample, value, and the samples, which are a matrix's columns."""
-    matrix = settle(cells(spark, sf).groupBy("gene", "sample").agg(F.sum("value").alias("value")))
-    return matrix, sorted(r["sample"] for r in matrix.select("sample").distinct().collect())
+#: Columns of one file, genes of one file about, placed columns that are broadcast.
+_COLUMNS, _GENES, _PLACED = 200, 1 << 18, 1 << 20
+
+
+def _blocks(spark: SparkSession, sf: str, prefix: str = "") -> DataFrame:
+    """The matrix as lines of files of so many columns each, sorted by file.
+
+    file, o (0 for the header, whose fields are the names, 1 for a gene), gene,
+    fields (at, text by place) and width.  A gene has a line only where it has a
+    value, and a file about so many of them, so what is written grows with the
+    non-zeros, not with genes x samples.  Only entries move, never lines.
+    """
+    matrix = cells(spark, sf).groupBy("gene", "sample").agg(F.sum("value").alias("value"))
+    known = table(spark, sf, "lineitem").groupBy(F.col("l_suppkey").alias("sample")).agg(F.count(F.lit(1)).alias("n"))  # entries of a sample at most
+    placed = settle(position(known, [], ["sample"]).select("sample", "n", F.floor(F.col("position") / _COLUMNS).alias("block"), (F.col("position") % _COLUMNS).alias("at")))
+    parts = placed.groupBy("block").agg(F.ceil(F.sum("n") / _GENES).alias("parts"), F.count(F.lit(1)).alias("width"))
+    columns = settle(placed.join(parts, "block").select("sample", "block", "at", "parts", "width"))
+    beside = F.broadcast(columns) if columns.count() <= _PLACED else columns
+    file = lambda part: F.concat_ws("-", F.col("block").cast("string"), part.cast("string")).alias("file")
+    entries = matrix.join(beside, "sample").select(file(F.pmod(F.xxhash64("gene"), F.col("parts"))), F.lit(1).alias("o"), "gene", "at", "width", F.col("value").cast("string").alias("text"))
+    names = columns.select("*", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    names = names.select(file(F.col("part")), F.lit(0).alias("o"), F.lit(None).cast(matrix.schema["gene"].dataType).alias("gene"), "at", "width", F.concat(F.lit(prefix), F.col("sample").cast("string")).alias("text"))
+    files = parts.agg(F.sum("parts")).first()[0] or 1
+    held = entries.unionByName(names).repartition(files, "file").groupBy("file", "o", "gene").agg(F.array_sort(F.collect_list(F.struct("at", "text"))).alias("fields"), F.max("width").alias("width"))
+    return held.sortWithinPartitions("file", "o")
+
+
+def _spread(fields: str, sep: str) -> Column:
+    """The texts at their places, each behind as many separators as it is places from the one before; zeros are empty fields."""
+    gap = lambda e, i: e["at"] - F.coalesce(F.get(fields, i - 1)["at"], F.lit(-1).cast("long"))
+    return F.array_join(F.transform(fields, lambda e, i: F.concat(F.repeat(F.lit(sep), gap(e, i).cast("int")), e["text"])), "")
 
 
 def _wide(spark: SparkSession, sf: str) -> str:
-    """The matrix as files of so many columns each, written by one job; a gene has a line where it has a value."""
-    matrix = settle(cells(spark, sf).groupBy("gene", "sample").agg(F.sum("value").alias("value")))
-    placed = position(matrix.select("sample").distinct(), [], ["sample"])
-    columns = settle(placed.select("sample", F.floor(F.col("position") / _COLUMNS).alias("file"), (F.col("position") % _COLUMNS).alias("at")))
-    heads = columns.groupBy("file").agg(F.array_sort(F.collect_list("sample")).alias("names"))
-    held = matrix.join(columns, "sample").groupBy("gene", "file").agg(F.map_from_entries(F.collect_list(F.struct("at", "value"))).alias("held")).join(heads, "file")
-    fields = F.transform("names", lambda _, i: F.coalesce(F.try_element_at("held", i.cast("long")), F.lit(0.0)).cast("string"))
-    body = held.select("file", F.lit(1).alias("o"), F.concat_ws(",", F.col("gene").cast("string"), fields).alias("value"))
-    lines = body.unionByName(heads.select("file", F.lit(0).alias("o"), F.concat_ws(",", F.lit("gene"), F.transform("names", lambda n: n.cast("string"))).alias("value")))
+    """The matrix as compressed files of so many columns each, written by one job."""
+    held = _blocks(spark, sf)
+    rest = F.repeat(F.lit(","), (F.col("width") - 1 - F.element_at("fields", -1)["at"]).cast("int"))
+    first = F.when(F.col("o") == 0, "gene").otherwise(F.col("gene").cast("string"))
     path = f"{_folder(spark)}/wide"
-    lines.repartition(max(1, heads.count()), "file").sortWithinPartitions("file", "o").drop("o").write.partitionBy("file").text(path)
-    return f"{path}/*/*.txt"
+    held.select("file", F.concat(first, _spread("fields", ","), rest).alias("value")).write.partitionBy("file").option("compression", "gzip").text(path)
+    return f"{path}/*/*.txt.gz"
 
 
 @query("s05_wide_matrix", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM whole WHERE value <> 0")
@@ -80,19 +98,12 @@ def s05(spark: SparkSession, sf: str) -> DataFrame:
 
 @query("s06_ragged_matrix", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, 'c' || sample AS cell, value FROM whole WHERE value <> 0")
 def s06(spark: SparkSession, sf: str) -> DataFrame:
-    """Ragged files of so many genes each, as one file is one task's work."""
-    matrix, names = _whole(spark, sf)
-    held = F.map_from_entries(F.collect_list(F.struct("sample", "value")))
-    file = F.floor(F.col("gene") / _GENES).alias("file")
-    values = F.transform("names", lambda s: F.coalesce(F.try_element_at("held", s), F.lit(0.0)).cast("string"))
-    columns = spark.createDataFrame([(names,)], "names array<long>")  # one row
-    body = matrix.groupBy("gene").agg(held.alias("held")).crossJoin(F.broadcast(columns)).select(file, (F.col("gene") + 2).alias("o"), F.concat(F.concat_ws("\t", F.col("gene").cast("string"), values), F.lit("\t")).alias("value"))
-    head = spark.createDataFrame([(-2, "\t" + "\t".join(f"c{i}" for i in names)), (-1, "\tannotation")], "o long, value string")
-    files = matrix.select(file).distinct()
-    lines = body.unionByName(files.crossJoin(head))
+    """Compressed ragged files of so many columns and genes each, as one file is one task's work; a row ends behind its last value."""
+    lines = F.when(F.col("o") == 0, F.array(_spread("fields", "\t"), F.lit("\tannotation")))
+    lines = lines.otherwise(F.array(F.concat(F.col("gene").cast("string"), _spread("fields", "\t"), F.lit("\t"))))
     path = f"{_folder(spark)}/ragged"
-    lines.repartition(max(1, files.count()), "file").sortWithinPartitions("file", "o").drop("o").write.partitionBy("file").text(path)
-    return readers.ragged_matrix(spark, f"{path}/*/*.txt")
+    _blocks(spark, sf, "c").select("file", F.explode(lines).alias("value")).write.partitionBy("file").option("compression", "gzip").text(path)
+    return readers.ragged_matrix(spark, f"{path}/*/*.txt.gz")
 
 
 @query("s09_selected_columns", f"WITH {CELLS}, {_WHOLE} SELECT CAST(gene AS VARCHAR) AS gene, CAST(sample AS VARCHAR) AS cell, value FROM whole WHERE value <> 0 AND sample IN (2, 5)")

@@ -36,6 +36,26 @@ def test_whole_matrix_over_several_files(spark, monkeypatch, name):
     assert len({g for g, _, _ in want}) > 60
 
 
+@pytest.mark.parametrize("name", ["s05_wide_matrix", "s06_ragged_matrix", "s09_selected_columns"])
+def test_matrix_files_grow_with_the_values(spark, monkeypatch, tmp_path, name):
+    """6,000 values among 2,000 genes x 1,000 samples: neither a field of every pair nor a line of zeros takes its bytes."""
+    lines = spark.range(6000).selectExpr("id % 2000 AS l_partkey", "id AS l_orderkey", "(id * 7919) % 1000 AS l_suppkey", "1.0D + id % 9 AS l_quantity")
+    lines.write.parquet(str(tmp_path / "sf" / "lineitem.parquet"))
+    monkeypatch.setattr(scans, "_folder", lambda _: str(tmp_path / "io"))
+    got = registry.queries()[name](spark, str(tmp_path / "sf"))
+    assert sum(f.stat().st_size for f in (tmp_path / "io").rglob("part-*")) < 60 * 6000
+    want = lines.groupBy("l_partkey", "l_suppkey").agg(F.sum("l_quantity")).collect()
+    want = [(str(g), ("c" if "ragged" in name else "") + str(s), v) for g, s, v in want if "selected" not in name or s in (2, 5)]
+    assert sorted(map(tuple, got.select("gene", "cell", "value").collect())) == sorted(want)
+
+
+def test_ragged_rows_of_any_length(spark, tmp_path):
+    (tmp_path / "m.tsv").write_bytes("\tc1\tc2\tc3\nnote\nA\t1\t\nB\r\n\t5\t\nÄ\t\t0\t2.5\t9\t9\t\nC\t\tnan\nD\t0\t-3".encode())
+    got = sorted(map(tuple, readers.ragged_matrix(spark, str(tmp_path)).collect()), key=lambda r: r[:2])
+    assert [r[:2] for r in got] == [("", "c1"), ("A", "c1"), ("C", "c2"), ("D", "c2"), ("Ä", "c3")]
+    assert [r[2] for r in got if r[0] != "C"] == [5.0, 1.0, -3.0, 2.5] and np.isnan(got[2][2])
+
+
 def test_template_rows(spark, tmp_path):
     (tmp_path / "t.tsv").write_text("junk\n\nSample name\ttitle\ttitle\tresponse x\nSample 1\ta\tb\tR\nother\tz\nSample 2\tc\n")
     out = readers.template_metadata(spark, str(tmp_path / "t.tsv"))
