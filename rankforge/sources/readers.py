@@ -69,13 +69,18 @@ def wide_matrix(spark: SparkSession, path: str, sep: str = ",", cells: Sequence[
     def first_lines(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[str] = set()
         for batch in batches:
-            fresh = [i for i, (f, s) in enumerate(zip(batch["file"].to_pylist(), batch["start"].to_pylist(), strict=True)) if s == 0 and f not in seen and not seen.add(f)]
-            yield pa.RecordBatch.from_arrays([batch["file"].take(pa.array(fresh, pa.int64())), batch["value"].take(pa.array(fresh, pa.int64()))], names=["file", "line"])
+            held = batch["file"].dictionary_encode()
+            fresh = [(held.indices.index(i).as_py(), f) for i, f in enumerate(held.dictionary.to_pylist()) if f not in seen]
+            seen.update(f for _, f in fresh)
+            at = pa.array([i for i, _ in fresh], pa.int64())
+            yield pa.RecordBatch.from_arrays([batch["file"].take(at), batch["value"].take(at)], names=["file", "line"])
 
     heads = {r["file"]: next(csv.reader([r["line"]], delimiter=sep))[1:] for r in text.where("start = 0").mapInArrow(first_lines, "file string, line string").collect()}  # a row for each file
     if cells is not None and (missing := sorted(set(cells).difference(*heads.values()))):
         raise ValueError(f"cells missing from the matrix: {missing[:3]}")
     wanted = None if cells is None else set(cells)
+    if wanted is not None:  # files without any of the columns aren't read again
+        text = text.where(F.col("file").isin([f for f, names in heads.items() if not wanted.isdisjoint(names)]))
 
     def table(lines: list[str], names: list[str]) -> pa.RecordBatch:
         chosen = [k for k, n in enumerate(names) if wanted is None or n in wanted]
