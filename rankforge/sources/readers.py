@@ -124,12 +124,21 @@ def ragged_matrix(spark: SparkSession, path: str) -> DataFrame:
     gzip demands; rows are streamed, many lines to an Arrow batch.
     """
 
-    def block(genes: list[str], fields: list[str], cells: pa.Array) -> pa.RecordBatch:
-        text = pa.array(fields, pa.string())
-        values = pa.compute.if_else(pa.compute.equal(text, ""), pa.scalar(None, pa.string()), text).cast(pa.float64())
-        values = values.fill_null(0.0).to_numpy().reshape(len(genes), len(cells))
-        row, at = values.nonzero()
-        return pa.RecordBatch.from_arrays([pa.array(genes, pa.string()).take(pa.array(row)), cells.take(pa.array(at)), pa.array(values[row, at])], names=["gene", "cell", "value"])
+    def block(text: str, cells: pa.Array) -> pa.RecordBatch:
+        """Whole lines: only fields that hold something become strings, the text's own bytes."""
+        raw = np.frombuffer(text.encode(), np.uint8)
+        end = np.flatnonzero((raw == 9) | (raw == 10))
+        start = np.append(0, end[:-1] + 1)
+        last = raw[end] == 10
+        row = np.cumsum(last) - last
+        first = np.append(0, np.flatnonzero(last)[:-1] + 1)  # of each line
+        place = np.arange(len(end)) - first[row]
+        kept = np.flatnonzero((start < end) & (place > 0) & (place <= len(cells)))
+        spans = np.column_stack([start, end]).ravel().astype(np.int32)  # fields at even places, what parts them at odd ones
+        fields = pa.StringArray.from_buffers(len(spans) - 1, pa.py_buffer(spans), pa.py_buffer(raw))
+        values = fields.take(pa.array(2 * kept)).cast(pa.float64()).to_numpy()
+        kept, values = kept[values != 0], values[values != 0]
+        return pa.RecordBatch.from_arrays([fields.take(pa.array(2 * first[row[kept]])), cells.take(pa.array(place[kept] - 1)), pa.array(values)], names=["gene", "cell", "value"])
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import gzip
@@ -140,16 +149,8 @@ def ragged_matrix(spark: SparkSession, path: str) -> DataFrame:
                 lines = io.TextIOWrapper(io.BufferedReader(data), encoding="utf-8")
                 cells = pa.array([c for c in next(lines, "").rstrip("\n").split("\t") if c], pa.string())
                 next(lines, None)
-                genes, fields, size = [], [], 0
-                for line in lines:
-                    gene, *values = line.rstrip("\n").split("\t")
-                    genes.append(gene), fields.extend((values + [""] * len(cells))[: len(cells)])
-                    size += len(line)
-                    if size > TEXT_BYTES:
-                        yield block(genes, fields, cells)
-                        genes, fields, size = [], [], 0
-                if genes:
-                    yield block(genes, fields, cells)
+                while text := "".join(lines.readlines(TEXT_BYTES)):
+                    yield block(text if text.endswith("\n") else text + "\n", cells)
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInArrow(parse, "gene string, cell string, value double")
 
