@@ -13,7 +13,7 @@ from rankforge.operators import contracts, documents
 from rankforge.plans import benchmark
 from rankforge.plans.base import query, scored
 from rankforge.plans.io import _folder
-from rankforge.session import table
+from rankforge.session import rounded, table
 from rankforge.sources import readers, sinks
 
 
@@ -171,7 +171,7 @@ def s17(spark: SparkSession, sf: str) -> DataFrame:
     if sinks.verify_seal(spark, path):
         raise ValueError("the pair differs from its seal")
     pair = spark.read.parquet(f"{path}/data")
-    return pair.select("vec_id", F.size("embedding").alias("width"), F.round(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), F.round(F.get("control", F.lit(0)), 6).alias("control"))
+    return pair.select("vec_id", F.size("embedding").alias("width"), rounded(F.get("embedding", F.lit(0)).cast("double"), 6).alias("first"), rounded(F.get("control", F.lit(0)), 6).alias("control"))
 
 
 @query("s18_dictionaries", "SELECT n_nationkey, r_name AS region, CASE WHEN n_regionkey % 2 = 0 THEN 'even' END AS parity FROM nation JOIN region ON n_regionkey = r_regionkey")
