@@ -18,7 +18,7 @@ _ROUND = "list_transform({0}, lambda x: round(x, 6))"
 
 
 def _vector(name: str = "vector"):
-    return F.transform(name, lambda x: F.round(x, 6)).alias("vector")
+    return F.transform(name, lambda x: rounded(x, 6)).alias("vector")
 
 
 _VIEWS = ", ".join(f"CASE WHEN {sql} THEN '{name}' END" for name, sql in view_sql().items())
