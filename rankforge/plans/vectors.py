@@ -134,7 +134,7 @@ def m22(spark: SparkSession, sf: str) -> DataFrame:
     vectors = table(spark, sf, "embeddings").select(F.col("vec_id").alias("p_partkey"), "embedding")
     width = vectors.agg(F.max(F.size("embedding"))).first()[0] or 0
     joined = table(spark, sf, "part").select("p_partkey").join(vectors, "p_partkey", "left")
-    six = lambda v: F.transform(v, lambda x: F.round(x.cast("double"), 6))
+    six = lambda v: F.transform(v, lambda x: rounded(x.cast("double"), 6))
     control = random_control(F.col("p_partkey").cast("string"), width, _CONTROL_SEED)
     return joined.select("p_partkey", F.col("embedding").isNotNull().alias("covered"), six(F.coalesce("embedding", F.array_repeat(F.lit(0.0).cast("float"), width))).alias("vector"), six(control).alias("control"))
 

@@ -273,6 +273,28 @@ def test_gate_literal(spark):
         contracts.power_gate(df.withColumn("my_Score", F.lit(1)), "g", "i", "f", "l", 9, limits)
 
 
+@pytest.mark.parametrize("name", ["a19_view_means", "u05_column_blocks", "m22_static_embedding_lookup", "a20_balanced_pooling"])
+def test_what_rounds_to_zero_keeps_its_sign(spark, tmp_path, name):
+    """Against SQL as text, which tells -0.0 from 0.0."""
+    import duckdb
+
+    from rankforge.plans import registry
+
+    rows = [(i, [float(x) for x in ((-1e-7, 1e-7, -0.0, 0.0) if i % 2 else (-2e-7, 3e-7, -0.25, 0.5))], i % 10) for i in range(46)]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>, label int").coalesce(1).write.parquet(str(tmp_path / "embeddings.parquet"))
+    # control 33 of part 74,993 is -3.5e-07 where vectors are that wide
+    spark.createDataFrame([(3,), (74_993,)], "p_partkey long").coalesce(1).write.parquet(str(tmp_path / "part.parquet"))
+    con = duckdb.connect()
+    for table in ("embeddings", "part"):
+        con.execute(f"CREATE VIEW {table} AS SELECT * FROM '{tmp_path}/{table}.parquet/*.parquet'")
+    registry.queries()[name](spark, str(tmp_path)).write.parquet(str(tmp_path / "got"))
+    cursor = con.execute(registry.oracle_sql()[name])
+    columns = ", ".join(f"{d[0]}::VARCHAR" for d in cursor.description)
+    want = con.execute(f"SELECT {columns} FROM ({registry.oracle_sql()[name]}) ORDER BY ALL").fetchall()
+    assert con.execute(f"SELECT {columns} FROM '{tmp_path}/got/*.parquet' ORDER BY ALL").fetchall() == want
+    assert any("-0.0" in v for row in want for v in row if v)
+
+
 def test_encoder_interface(spark):
     with pytest.raises(encoding.UnavailableModel):
         encoding.unavailable("a model")
