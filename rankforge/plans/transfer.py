@@ -4,8 +4,9 @@ Every method is a set of columns of one frame of entities.  One pass adds up all
 columns' moments by hash fold, from which all ridges of all methods, penalties and
 folds are solved; another judges them.  The other cohort's contrasts, as observed,
 without mixed clusters, without each cluster and in every cluster bootstrap, are
-one matrix product: lesions by weights, which holds a number for each lesion and
-contrast and so grows with the cohort, not with the entities.
+one matrix product.  A lesion's weight depends on its patient and response alone,
+so its factors are sums by patient and response, made by a join, and a matrix with
+a row for each of those; neither holds a lesion.
 """
 
 from __future__ import annotations
@@ -15,6 +16,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -89,7 +91,9 @@ def fit(rows: DataFrame, manual: Sequence[str], components: int = 32, folds: int
     def out_of_fold(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fold, x = batch.column(1).to_numpy(), heads.dense(batch.column(2), d + 2)
-            made = np.einsum("tnd,nd->tn", held_out[:, fold], x[:, : d + 1])
+            made = np.empty((len(tries), len(x)))
+            for k in np.unique(fold):
+                made[:, fold == k] = held_out[:, k] @ x[fold == k, : d + 1].T
             yield pa.RecordBatch.from_arrays([pa.array(np.repeat(np.arange(len(tries)), len(x)), pa.int32()), pa.array(made.ravel()), pa.array(np.tile(x[:, d + 1], len(tries)))], names=["i", "prediction", "target"])
 
     judged = ranking.spearman(inputs.mapInArrow(out_of_fold, "i int, prediction double, target double"), ["i"], "prediction", "target")
@@ -111,43 +115,66 @@ def fit(rows: DataFrame, manual: Sequence[str], components: int = 32, folds: int
     return Fitted(settle(inputs.mapInArrow(predict, f"ord {kind}, method string, prediction double")), records)
 
 
-def contrast_weights(lesions: DataFrame, iterations: int, seed: int) -> tuple[list[str], dict[str, np.ndarray]]:
-    """Names of the contrasts, and for each lesion its weight in them.
+@dataclass
+class Weights:
+    """group (a number for each patient and response), lesion; and of each group its weight in all contrasts."""
+
+    groups: DataFrame
+    table: np.ndarray
+
+
+def contrast_weights(lesions: DataFrame, iterations: int, seed: int) -> tuple[list[str], Weights]:
+    """Names of the contrasts, and the weights of the lesions in them.
 
     `lesions` has lesion, patient and responder, a row for each lesion of the
     cohort.  `all`, `unmixed` (without patients of both responses), `without X`
     for each patient X, and `draw K` for bootstraps of whole patients.  A contrast
-    that lacks one response is left out.
+    that lacks one response is left out.  The driver sees a row for each patient
+    and draw, no lesions.
     """
-    known = [(r["lesion"], r["patient"], bool(r["responder"])) for r in lesions.where("responder IS NOT NULL").orderBy("lesion").collect()]
-    patient, yes = np.array([p for _, p, _ in known]), np.array([y for *_, y in known])
-    people = sorted(set(patient.tolist()))
-    times = {"all": np.ones(len(known))}
-    mixed = [p for p in people if len(set(yes[patient == p])) > 1]
-    times["unmixed"] = (~np.isin(patient, mixed)).astype(float)
-    times |= {f"without {p}": (patient != p).astype(float) for p in people}
-    classes = [F.max(F.col("responder").cast("boolean")).alias("yes"), F.max(~F.col("responder").cast("boolean")).alias("no")]
-    draws = bootstrap.cluster_draws(lesions.where("responder IS NOT NULL").groupBy(F.col("patient").alias("cluster")).agg(*classes), iterations, seed)
-    for r in draws.collect():  # a row for each patient and draw
-        times.setdefault(f"draw {r['replicate']}", np.zeros(len(known)))[patient == r["cluster"]] = r["times"]
+    known = settle(lesions.where("responder IS NOT NULL").select("lesion", "patient", F.col("responder").cast("boolean").alias("yes")))
+    sizes = known.groupBy("patient").agg(F.count_if("yes").alias("yes"), F.count_if(~F.col("yes")).alias("no"))
+    sizes = sorted((tuple(r) for r in sizes.collect()), key=lambda r: r[0])  # a row for each patient
+    people = {p: k for k, (p, *_) in enumerate(sizes)}
+    yes, no = (np.array([r[k] for r in sizes], dtype=float) for k in (1, 2))
+    times = {"all": np.ones(len(people))}
+    times["unmixed"] = ((yes == 0) | (no == 0)).astype(float)
+    times |= {f"without {p}": (np.arange(len(people)) != k).astype(float) for p, k in people.items()}
+    draws = bootstrap.cluster_draws(known.groupBy(F.col("patient").alias("cluster")).agg(F.max("yes").alias("yes"), F.max(~F.col("yes")).alias("no")), iterations, seed)
+    for r in sorted(draws.collect()):  # a row for each patient and draw
+        times.setdefault(f"draw {r['replicate']}", np.zeros(len(people)))[people[r["cluster"]]] = r["times"]
     names, columns = [], []
     for name, t in times.items():
-        if t[yes].sum() > 0 and t[~yes].sum() > 0:
+        if t @ yes > 0 and t @ no > 0:
             names.append(name)
-            columns.append(np.where(yes, t / t[yes].sum(), -t / t[~yes].sum()))
-    table = np.array(columns).T.reshape(len(known), len(names))
-    return names, {known[i][0]: table[i] for i in range(len(known))}
+            columns.append(np.column_stack([-t / (t @ no), t / (t @ yes)]).ravel())  # a patient's groups: no, yes
+    numbered = known.sparkSession.createDataFrame([(p, 2 * k) for p, k in people.items()], known.select("patient", F.lit(0).alias("group")).schema)
+    groups = known.join(F.broadcast(numbered), "patient").select((F.col("group") + F.col("yes").cast("int")).alias("group"), "lesion")
+    return names, Weights(groups, np.array(columns).T.reshape(2 * len(people), len(names)))
 
 
-def contrasts(values: DataFrame, weights: dict[str, np.ndarray], entities: DataFrame, names: Sequence[str]) -> DataFrame:
+#: Numbers that are multiplied at once.
+TOGETHER = 1 << 20
+
+
+def contrasts(values: DataFrame, weights: Weights, entities: DataFrame, names: Sequence[str]) -> DataFrame:
     """ord, contrast (its place in `names`), delta for all entities; what `values` (ord, lesion, value) doesn't have is 0."""
+    table = weights.table
 
     def weigh(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        some = max(1, TOGETHER // max(1, *table.shape))
         for batch in batches:
-            made = [sum((weights[e["lesion"]] * e["value"] for e in cell.as_py() or () if e["lesion"] in weights), np.zeros(len(names))) for cell in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(made, pa.list_(pa.float64()))], names=["ord", "deltas"])
-
-    held = values.groupBy("ord").agg(F.collect_list(F.struct("lesion", "value")).alias("cells"))
+            for at in range(0, len(batch), some):
+                part = batch.slice(at, some)
+                cells, sizes = part.column(1).flatten(), pa.compute.fill_null(pa.compute.list_value_length(part.column(1)), 0).to_numpy()
+                sums = np.zeros((len(part), len(table)))
+                sums[np.repeat(np.arange(len(part)), sizes), cells.field("group").to_numpy()] = cells.field("total").to_numpy()
+                made = sums @ table
+                ends = pa.array(np.arange(len(part) + 1) * len(names), pa.int32())
+                yield pa.RecordBatch.from_arrays([part.column(0), pa.ListArray.from_arrays(ends, pa.array(made.ravel()))], names=["ord", "deltas"])
+
+    own = values.join(weights.groups, "lesion").groupBy("ord", "group").agg(F.coalesce(F.sum("value"), F.lit(0.0)).alias("total"))
+    held = own.groupBy("ord").agg(F.collect_list(F.struct("group", "total")).alias("cells"))
     kind = entities.schema["ord"].dataType.simpleString()
     made = entities.select("ord").join(held, "ord", "left").mapInArrow(weigh, f"ord {kind}, deltas array<double>")
     return made.select("ord", F.posexplode("deltas").alias("contrast", "delta"))

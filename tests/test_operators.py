@@ -295,6 +295,20 @@ def test_what_rounds_to_zero_keeps_its_sign(spark, tmp_path, name):
     assert any("-0.0" in v for row in want for v in row if v)
 
 
+def test_contrast_weights_hold_no_lesion(spark):
+    """3,000 lesions of 3 patients: what goes to the tasks has a row for each patient and response, and deltas are those of all lesions."""
+    from rankforge.plans import transfer
+
+    cohort = spark.range(3000).selectExpr("id AS lesion", "concat('p', id % 3) AS patient", "id % 2 = 0 AS responder")
+    values = spark.range(0, 3000, 5).selectExpr("'g' AS ord", "id AS lesion", "1.0D + id % 7 AS value")
+    names, weights = transfer.contrast_weights(cohort, 5, 5)
+    assert weights.table.shape == (6, len(names))
+    got = {r["contrast"]: r["delta"] for r in transfer.contrasts(values, weights, spark.createDataFrame([("g",), ("none",)], "ord string"), names).where("ord = 'g'").collect()}
+    for j, keep in ((0, range(3000)), (names.index("without p1"), [k for k in range(3000) if k % 3 != 1])):
+        mean = lambda side: sum(1 + k % 7 for k in keep if k % 5 == 0 and k % 2 == side) / sum(k % 2 == side for k in keep)  # noqa: B023, E731
+        assert np.isclose(got[j], mean(0) - mean(1))
+
+
 def test_encoder_interface(spark):
     with pytest.raises(encoding.UnavailableModel):
         encoding.unavailable("a model")
