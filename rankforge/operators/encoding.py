@@ -1,7 +1,7 @@
 """The place where an encoder plugs in.
 
 An encoder is a function from a batch of token lists to vectors.  It runs in
-mapInPandas, so hidden states stay inside a batch.  A model that isn't there
+mapInArrow, so hidden states stay inside a batch.  A model that isn't there
 raises; nothing is computed in its stead unless the caller passes a stand-in.
 """
 
@@ -10,8 +10,9 @@ from __future__ import annotations
 import hashlib
 from collections.abc import Callable, Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 Encoder = Callable[[list[list[int]]], list[list[float]]]
 
@@ -38,12 +39,17 @@ def stand_in(width: int) -> Encoder:
 
 
 def encode(sequences: DataFrame, encoder: Encoder, batch: int = 256) -> DataFrame:
-    """cell and embedding for (cell, tokens); `encoder` is called with at most `batch` sequences."""
+    """cell and embedding for (cell, tokens); `encoder` is called with at most `batch` sequences.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            for at in range(0, len(frame), batch):
-                part = frame.iloc[at : at + batch]
-                yield pd.DataFrame({"cell": part["cell"], "embedding": encoder([list(map(int, t)) for t in part["tokens"]])})
+    Sequences are dealt over the session's shuffle partitions, as encoding costs
+    far more than their few bytes let Spark expect.
+    """
+    parts = int(sequences.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
-    return sequences.select("cell", "tokens").mapInPandas(run, "cell long, embedding array<double>")
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for held in batches:
+            tokens = [held.column(1).slice(at, batch).to_pylist() for at in range(0, len(held), batch)]
+            made = pa.array([v for part in tokens for v in encoder(part)], pa.list_(pa.float64()))
+            yield pa.RecordBatch.from_arrays([held.column(0), made], names=["cell", "embedding"])
+
+    return sequences.select(F.col("cell").cast("long"), "tokens").repartition(parts, "cell").mapInArrow(run, "cell long, embedding array<double>")

@@ -95,10 +95,13 @@ def rank_tokens(counts: DataFrame, dictionary: DataFrame, length: int) -> DataFr
     """cell, tokens, genes: the `length` genes of largest count / total * 1e4 / median, best first.
 
     counts: cell, gene, ord, value over all genes; dictionary: gene, token,
-    median.  The total is over all genes of the cell; ties keep gene order.
+    median.  The total is over all genes of the cell; ties keep gene order.  The
+    counts are read once and move twice, by gene and by cell: totals, ranks and
+    lists are all made where a cell lies.
     """
-    total = counts.groupBy("cell").agg(F.sum("value").cast("double").alias("total"))
-    mapped = counts.where("value > 0").join(dictionary, "gene").join(total, "cell").where("total > 0")
+    known = dictionary.groupBy("gene").agg(F.collect_list(F.struct("token", "median")).alias("known"))  # a row for each gene, so that the join keeps the counts' rows
+    total = F.sum("value").over(Window.partitionBy("cell")).cast("double")
+    mapped = counts.join(known, "gene", "left").withColumn("total", total).where("value > 0 AND total > 0").select("cell", "ord", "value", "total", F.inline("known"))
     score = F.col("value") / F.col("total") * 10_000.0 / F.greatest(F.col("median"), F.lit(1e-12))
     order = Window.partitionBy("cell").orderBy(F.desc("score"), F.asc("ord"))
     ranked = mapped.withColumn("score", score).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= length)

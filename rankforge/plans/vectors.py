@@ -88,7 +88,8 @@ _COUNTS = f"""{CELLS}, counts AS (SELECT cell, gene, gene AS ord, sum(value) AS
 
 
 def _counts(spark: SparkSession, sf: str) -> DataFrame:
-    return cells(spark, sf).groupBy("cell", "gene").agg(F.sum("value").alias("value")).withColumn("ord", F.col("gene"))
+    lines = table(spark, sf, "lineitem").select(F.col("l_orderkey").alias("cell"), F.col("l_partkey").alias("gene"), F.col("l_quantity").alias("value"))
+    return lines.groupBy("cell", "gene").agg(F.sum("value").alias("value")).withColumn("ord", F.col("gene"))
 
 
 @query(

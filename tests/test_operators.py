@@ -317,6 +317,23 @@ def test_encoder_interface(spark):
     assert sorted(r["cell"] for r in out) == [1, 2] and all(len(r["embedding"]) == 3 for r in out)
 
 
+def test_encoding_is_dealt_over_tasks(spark):
+    """Short sequences that a shuffle would leave in one task; no call has more than a batch."""
+    made = spark.range(400).groupBy(F.col("id").alias("cell")).agg(F.collect_list("id").alias("tokens"))  # few bytes behind a shuffle
+    out = encoding.encode(made, lambda part: [[float(len(part)), float(t[0])] for t in part], batch=7).withColumn("task", F.spark_partition_id()).collect()
+    assert len({r["task"] for r in out}) == 4
+    assert sorted(r["embedding"][1] for r in out) == [float(i) for i in range(400)] and max(r["embedding"][0] for r in out) <= 7
+
+
+def test_rank_tokens_reads_counts_once(spark):
+    """A gene of two tokens counts once in its cell's total, and the counts are scanned once."""
+    counts = spark.createDataFrame([(1, 5, 5, 2.0), (1, 6, 6, 1.0), (1, 7, 7, 1.0), (2, 7, 7, 3.0)], "cell long, gene long, ord long, value double")
+    known = spark.createDataFrame([(5, 50, 1.0), (5, 51, 8.0), (6, 60, 1.0)], "gene long, token long, median double")
+    out = pooling.rank_tokens(counts.where("gene > 0"), known, 10)
+    assert [tuple(r) for r in out.collect()] == [(1, [50, 60, 51], [5, 6, 5])]
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("LogicalRDD") == 2  # counts and dictionary
+
+
 def test_geometry_correlation_of_all_pairs(spark):
     """Many entities, wide vectors and odd rows against the cosines of all pairs."""
     rng = np.random.default_rng(3)
