@@ -16,13 +16,14 @@ from rankforge.operators.contracts import CANDIDATE_NUMBERS, CANDIDATE_OTHERS
 DOMAINS = ("id", "ood")
 
 
-def candidate_table(entities: DataFrame, records: DataFrame, cutoff: int, end: int) -> DataFrame:
+def candidate_table(entities: DataFrame, records: DataFrame, cutoff: int, end: int, places: DataFrame | None = None) -> DataFrame:
     """`entities` has gene_id and druggable_class; `records` has gene_id, year, ood, grp, place, is_case, is_entry, value and level.
 
     An entry is the first year with an entry record; a mean or a contrast that a
     domain lacks is 0, as is the share of an entity without values there.  Centrality
-    is the share of all places that an entity was seen at.  Nothing is planted in
-    records, so every planted_group is noise.
+    is the share of all places that an entity was seen at; `places` has them in
+    place, with repeats, where that is less work than to take them from the records.
+    Nothing is planted in records, so every planted_group is noise.
     """
     known = F.col("year") <= cutoff
     where = {"id": known & ~F.col("ood"), "ood": known & F.col("ood")}
@@ -37,8 +38,8 @@ def candidate_table(entities: DataFrame, records: DataFrame, cutoff: int, end: i
     plain = records.groupBy("gene_id").agg(*[c.alias(n) for n, c in sums.items()])
     grouped = records.where(known).groupBy("gene_id", "grp").agg(*[F.sum(F.when(rows, F.col("value"))).alias(d) for d, rows in where.items()])
     shares = grouped.groupBy("gene_id").agg(*[F.try_divide(F.max(d), F.sum(d)).alias(f"cell_type_specificity_{d}") for d in DOMAINS])
-    places = records.agg(F.count_distinct("place").alias("places"))
-    made = entities.join(plain, "gene_id", "left").join(shares, "gene_id", "left").crossJoin(F.broadcast(places))  # one row
+    every = (records if places is None else places).agg(F.count_distinct("place").alias("places"))
+    made = entities.join(plain, "gene_id", "left").join(shares, "gene_id", "left").crossJoin(F.broadcast(every))  # one row
     year = F.col("entry_year")
     made = made.withColumns({
         "planted_group": F.lit("noise"), "entry_year": year.cast("int"), "label_pre_cutoff": F.coalesce((year <= cutoff).cast("int"), F.lit(0)),

@@ -69,6 +69,12 @@ def dense(column: pa.Array, width: int) -> np.ndarray:
     return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, width)
 
 
+def lists(rows: np.ndarray) -> pa.Array:
+    """A list column of the rows of a matrix."""
+    n, width = rows.shape
+    return pa.ListArray.from_arrays(np.arange(0, n * width + 1, width, dtype=np.int32), rows.ravel())
+
+
 def vectors(columns: Sequence[Column | str]) -> Column:
     return F.array(*[(F.col(c) if isinstance(c, str) else c).cast("double") for c in columns])
 
@@ -77,6 +83,34 @@ def _whole(vector: str) -> Column:
     return F.forall(vector, lambda x: x.isNotNull())
 
 
+def spreads(df: DataFrame, columns: Sequence[str]) -> tuple[Scaler, int, np.ndarray]:
+    """What `fit_scaler` gives, the number of rows and the columns' sums, in one pass of tasks' sums; nulls don't count.
+
+    Values are taken less those of one whole row: a constant column's are exactly 0,
+    and as the row is one of those summed, a square of its distance from the mean is
+    never above n variances.
+    """
+    d = len(columns)
+    rows = df.select(vectors(columns).alias("x"))
+    first = rows.where(_whole("x")).first()
+    origin = np.zeros(d) if first is None else np.array(first["x"])
+
+    def parts(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray]]:
+        flat = batch.column(0).flatten()
+        x = flat.to_numpy(zero_copy_only=False).reshape(-1, d) - origin
+        n = np.full(d, float(len(x)))
+        if flat.null_count:
+            null = flat.is_null().to_numpy(zero_copy_only=False).reshape(-1, d)
+            x, n = np.where(null, 0.0, x), n - null.sum(0)
+        yield 0, np.concatenate([[len(x)], n, x.sum(0), np.einsum("nd,nd->d", x, x)])
+
+    count, *sums = array_sums(rows, parts).get(0, np.zeros(3 * d + 1))
+    n, total, squares = np.array(sums).reshape(3, d)
+    mean = np.divide(total, n, out=np.zeros(d), where=n > 0)
+    scale = np.sqrt(np.maximum(np.divide(squares, n, out=np.zeros(d), where=n > 0) - mean**2, 0.0))
+    return Scaler(np.where(n > 0, origin + mean, 0.0), np.where(scale > 0, scale, 1.0)), int(count), total + n * origin
+
+
 def moments(df: DataFrame, columns: Sequence[Column], weight: Column | None = None) -> np.ndarray:
     """Symmetric matrix of weighted sums of products of the columns."""
     d = len(columns)
@@ -225,10 +259,8 @@ def fit_models(df: DataFrame, features: Sequence[str], label: str, specs: Sequen
     the intercept is penalised like the rest.
     """
     d = len(features)
-    row = df.agg(*[F.avg(f) for f in features], *[F.stddev_pop(f) for f in features], F.count(F.lit(1)), F.sum(label)).first()
-    values = np.array([0.0 if v is None else v for v in row[: 2 * d]], dtype=float)
-    scaler = Scaler(values[:d], np.where(values[d:] > 0, values[d:], 1.0))
-    n, positives = row[2 * d], row[2 * d + 1]
+    of_all, n, sums = spreads(df, [*features, label])
+    scaler, positives = Scaler(of_all.mean[:d], of_all.scale[:d]), sums[d]
     if not positives or positives == n:
         raise ValueError("both classes are needed")
     balance = np.array([n / (2.0 * (n - positives)), n / (2.0 * positives)])

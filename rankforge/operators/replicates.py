@@ -36,10 +36,14 @@ from rankforge.session import settle
 
 #: Rows in a part, replicates that a part works on together.
 ROWS, TOGETHER = 1 << 15, 32
+#: Hashes made at a time, numbers of (replicate, row) that a part works on at a time.
+CACHED, CELLS = 1 << 15, 1 << 17
 #: Rows of a part at least while there are idle cores, added draws of a batch about.
 FEW, ADDED = 512, 1 << 16
 #: Rates are 1 - 2^-level; a level is used from LEAST * 4^level rows on, 6 standard deviations below n draws.
 LEVELS, LEAST = 20, 36
+#: Tasks for each core in which parts give their shares, at most.
+TASKS = 16
 _GOLDEN, _MIX = 0x9E3779B97F4A7C15, (0xBF58476D1CE4E5B9, 0x94D049BB133111EB)  # fixed values of the SplitMix64 generator
 
 
@@ -74,14 +78,28 @@ def _keys(seed: int, ids: np.ndarray, stream: int, attempt: int = 0) -> np.ndarr
 
 
 def poisson(keys: np.ndarray, at: np.ndarray, level: int) -> np.ndarray:
-    """(replicates, rows) counts of the rows at the positions `at`."""
-    u = mix64(keys[:, None] ^ at.astype(np.uint64)[None, :]) >> np.uint64(12)
-    out = np.zeros(u.shape, np.int64)
-    for step in steps(level):
-        reached = u >= np.uint64(step) if step < 1 << 52 else np.zeros(1, bool)
-        if not reached.any():  # steps rise
-            break
-        out += reached
+    """(replicates, rows) counts, in bytes, of the rows at the positions `at`; some replicates at a time, so that their hashes stay in the processor's cache."""
+    own, limits = at.astype(np.uint64), [np.uint64(s) for s in steps(level) if s < 1 << 52]
+    out = np.zeros((len(keys), len(own)), np.uint8)
+    some = max(1, CACHED // max(1, len(own)))
+    hashes, spare, found = (np.empty((min(some, len(keys)), len(own)), t) for t in (np.uint64, np.uint64, bool))
+    for k in range(0, len(keys), some):
+        made = out[k : k + some]
+        z, other, reached = hashes[: len(made)], spare[: len(made)], found[: len(made)]
+        np.bitwise_xor(keys[k : k + some, None], own, out=z)
+        np.add(z, np.uint64(_GOLDEN), out=z)  # mix64, in place
+        for shift, factor in zip((30, 27), _MIX, strict=True):
+            np.right_shift(z, np.uint64(shift), out=other)
+            np.bitwise_xor(z, other, out=z)
+            np.multiply(z, np.uint64(factor), out=z)
+        np.right_shift(z, np.uint64(31), out=other)
+        np.bitwise_xor(z, other, out=z)
+        np.right_shift(z, np.uint64(12), out=z)
+        for limit in limits:
+            np.greater_equal(z, limit, out=reached)
+            if not reached.any():  # steps rise
+                break
+            np.add(made, reached.view(np.uint8), out=made)
     return out
 
 
@@ -110,7 +128,7 @@ def draw(spark, n: int, ids: Sequence[int], seed: int) -> Draws:
             sums = np.zeros(len(own), np.int64)
             for batch in batches:
                 for k in range(0, len(own), TOGETHER):
-                    sums[k : k + TOGETHER] += poisson(own[k : k + TOGETHER], batch.column(0).to_numpy(), level).sum(1)
+                    sums[k : k + TOGETHER] += poisson(own[k : k + TOGETHER], batch.column(0).to_numpy(), level).sum(1, dtype=np.int64)
             yield pa.RecordBatch.from_arrays([pa.array(np.arange(len(own))), pa.array(sums)], names=["i", "total"])
 
         rows = spark.range(0, n, 1, max(1, -(-n // 250_000))).mapInArrow(add, "i long, total long").groupBy("i").agg(F.sum("total").alias("total"))
@@ -146,7 +164,7 @@ def counts(numbered: DataFrame, draws: Draws) -> DataFrame:
             at = batch.column(0).to_numpy()
             for k in range(0, len(keys), TOGETHER):
                 r, i = np.nonzero(made := poisson(keys[k : k + TOGETHER], at, level))
-                yield pa.RecordBatch.from_arrays([pa.array(r + k), pa.array(at[i]), pa.array(made[r, i])], names=["replicate", "position", "times"])
+                yield pa.RecordBatch.from_arrays([pa.array(r + k), pa.array(at[i]), pa.array(made[r, i].astype(np.int64))], names=["replicate", "position", "times"])
 
     schema = "replicate long, position long, times long"
     return numbered.select("position").mapInArrow(drawn, schema).unionByName(draws.added) if level else draws.added
@@ -184,31 +202,51 @@ class Metric:
     merge: str = "sum"
 
 
-def _over(a: np.ndarray, b: np.ndarray) -> np.ndarray:
-    return np.divide(a, b, out=np.full(np.broadcast(a, b).shape, np.nan), where=b > 0)
+def _over(a: np.ndarray, b: np.ndarray, none: float = np.nan) -> np.ndarray:
+    return np.divide(a, b, out=np.full(np.broadcast(a, b).shape, none), where=b > 0)
 
 
-AVERAGE_PRECISION = Metric("auprc", lambda t: np.nansum(t.positives * _over(t.upto_positives, t.upto_rows), axis=1), lambda m, p, n: _over(m, p))
+AVERAGE_PRECISION = Metric("auprc", lambda t: (t.positives * _over(t.upto_positives, t.upto_rows, 0.0)).sum(1), lambda m, p, n: _over(m, p))
 AUROC = Metric("auroc", lambda t: ((t.rows - t.positives) * (t.upto_positives - t.tied_positives / 2)).sum(1), lambda m, p, n: _over(m, p * (n - p)))
 BRIER = Metric("brier", lambda t: (t.positives * (1 - t.score) ** 2 + (t.rows - t.positives) * t.score**2).sum(1), lambda m, p, n: _over(m, n))
 
 
-def _thresholds(rows: pa.Table, added: pa.Table, draws: tuple[np.ndarray, int]) -> Iterator[tuple[slice, np.ndarray, np.ndarray, np.ndarray]]:
-    """(replicates, scores, positives, rows) some replicates at a time."""
+class Part(NamedTuple):
+    """A part's rows by falling score, the places where scores start, and the added draws by replicate."""
+
+    at: np.ndarray
+    y: np.ndarray
+    score: np.ndarray
+    start: np.ndarray
+    added_replicate: np.ndarray
+    added_place: np.ndarray
+
+    def drawn(self, keys: np.ndarray, level: int) -> Iterator[tuple[slice, np.ndarray]]:
+        """(replicates, counts of the rows in them) some replicates at a time."""
+        some = max(1, min(TOGETHER, CELLS // len(self.at)))
+        for k in range(0, len(keys), some):
+            made = poisson(keys[k : k + some], self.at, level).astype(np.float64)
+            mine = slice(*np.searchsorted(self.added_replicate, (k, k + some)))
+            np.add.at(made.ravel(), (self.added_replicate[mine] - k) * len(self.at) + self.added_place[mine], 1.0)
+            yield slice(k, k + len(made)), made
+
+    def by_score(self, drawn: np.ndarray) -> np.ndarray:
+        return drawn if len(self.start) == len(self.at) else np.add.reduceat(drawn, self.start, axis=1)
+
+
+def _part(rows: pa.Table) -> Part:
     at, y = rows["position"].to_numpy(), rows["y"].to_numpy().astype(np.float64)
     score = np.nan_to_num(rows["score"].to_numpy(), nan=-np.inf)
     order = np.lexsort((at, -score))
-    at, y, score = at[order], y[order], score[order]
+    place = np.empty(len(order), np.int64)
+    place[order] = np.arange(len(order))
+    added = rows["added"].combine_chunks()
+    lengths = pa.compute.fill_null(pa.compute.list_value_length(added), 0).to_numpy(zero_copy_only=False)
+    replicate, place = added.flatten().to_numpy(zero_copy_only=False).astype(np.int64), np.repeat(place, lengths)
+    turn = np.argsort(replicate, kind="stable")
+    score = score[order]
     start = np.flatnonzero(np.concatenate(([True], score[1:] != score[:-1])))
-    keys, level = draws
-    by_place = np.argsort(at)
-    where = by_place[np.searchsorted(at[by_place], added["position"].to_numpy())] if len(added) else np.empty(0, np.int64)
-    of, times = added["replicate"].to_numpy(), added["times"].to_numpy()
-    for k in range(0, len(keys), TOGETHER):
-        drawn = poisson(keys[k : k + TOGETHER], at, level).astype(np.float64)
-        mine = (of >= k) & (of < k + TOGETHER)
-        np.add.at(drawn, (of[mine] - k, where[mine]), times[mine])
-        yield slice(k, k + len(drawn)), score[start], np.add.reduceat(drawn * y, start, axis=1), np.add.reduceat(drawn, start, axis=1)
+    return Part(at[order], y[order], score, start, replicate[turn], place[turn])
 
 
 _STATE = ("before_p", "before_n", "earlier_p", "earlier_n", "later_p", "later_n", "all_p", "all_n")
@@ -222,27 +260,30 @@ def replicate_metrics(df: DataFrame, scores: Mapping[str, str], metrics: Sequenc
     spark = df.sparkSession
     values = F.array(*[F.struct(F.lit(m).alias("method"), F.col(c).cast("double").alias("score")) for m, c in scores.items()])
     numbered = position(df.select("ord", F.coalesce("y", F.lit(0)).cast("double").alias("y"), values.alias("values")), [], ["ord"])
-    long = numbered.select("position", "y", F.explode("values").alias("v")).select("position", "y", "v.*")
-    n = df.count()
+    n = numbered.count()
     draws = draw(spark, n, range(replicates), seed)
+    # the added draws lie beside their row, a number of its replicate for each
+    added = draws.added.groupBy("position").agg(F.flatten(F.collect_list(F.expr("array_repeat(cast(replicate as int), cast(times as int))"))).alias("added"))
+    long = numbered.join(added, "position", "left").select("position", "y", "added", F.explode("values").alias("v")).select("position", "y", "added", "v.*")
     rows = n * len(scores)
     parts = max(1, -(-rows // rows_per_part), min(spark.sparkContext.defaultParallelism, rows // FEW))
     placed = settle(long.repartitionByRange(parts, "method", F.desc("score"), "position").withColumn("part", F.spark_partition_id()))
-    none = [F.lit(None).cast("double").alias(c) for c in _STATE]
-    added = draws.added.join(placed.select("position", "method", "part"), "position").select("method", "part", "position", "replicate", "times", *none)
-    added = settle(added)
-    known = (draws.keys, draws.level)
-
-    def count(rows: pa.Table, extra: pa.Table) -> pa.Table:
-        if not len(rows):
-            return pa.table({c: pa.array([], t) for c, t in zip(("method", "part", "first", "last", "sums"), (pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.float64())), strict=True)})
-        sums = np.zeros((len(known[0]), 6))
-        for own, score, p, m in _thresholds(rows, extra, known):
-            sums[own] = np.stack([p.sum(1), m.sum(1), p[:, 0], m[:, 0], p[:, -1], m[:, -1]], axis=1)
-        return pa.table({"method": rows["method"][:1], "part": rows["part"][:1], "first": [score[0]], "last": [score[-1]], "sums": pa.array([sums.ravel()], pa.list_(pa.float64()))})
-
-    grouped = placed.groupBy("method", "part")
-    counted = grouped.cogroup(added.groupBy("method", "part")).applyInArrow(count, "method string, part int, first double, last double, sums array<double>")
+    keys, level = draws.keys, draws.level
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """A partition's methods; a method has no other rows of this part elsewhere."""
+        held = list(batches)
+        whole = pa.Table.from_batches(held) if held else pa.table({"method": pa.array([], pa.string())})
+        for method in pa.compute.unique(whole["method"]):
+            rows = whole.filter(pa.compute.equal(whole["method"], method))
+            own, sums = _part(rows), np.zeros((replicates, 6))
+            head, tail = slice(0, own.start[1] if len(own.start) > 1 else None), slice(own.start[-1], None)
+            for some, m in own.drawn(keys, level):
+                sums[some] = np.stack([x[:, at].sum(1) if at != slice(None) else x.sum(1) for at in (slice(None), head, tail) for x in (m * own.y, m)], axis=1)
+            first, last = (pa.array([x], pa.float64()) for x in (own.score[0], own.score[-1]))
+            yield pa.RecordBatch.from_arrays([pa.array([method.as_py()]), rows["part"].combine_chunks()[:1], first, last, pa.array([sums.ravel()], pa.list_(pa.float64()))], names=["method", "part", "first", "last", "sums"])
+
+    counted = placed.mapInArrow(count, "method string, part int, first double, last double, sums array<double>")
     counted = counted.select("method", "part", "first", "last", F.posexplode(F.transform(F.sequence(F.lit(0), F.lit(replicates - 1)), lambda r: F.slice("sums", r * 6 + 1, F.lit(6)))).alias("replicate", "s"))
     counted = settle(counted.select("method", "part", "first", "last", F.col("replicate").cast("long").alias("replicate"), *[F.col("s")[k].alias(c) for k, c in enumerate(("p", "n", "first_p", "first_n", "last_p", "last_n"))]))
 
@@ -256,33 +297,37 @@ def replicate_metrics(df: DataFrame, scores: Mapping[str, str], metrics: Sequenc
     made |= {f"later_{c}": F.when(F.lead("first").over(line) == F.col("last"), F.lead(f"tail_{c}").over(line)).otherwise(0.0) for c in "pn"}
     made |= {f"earlier_{c}": F.when(F.lag("last").over(line) == F.col("first"), F.lag(f"head_{c}").over(line)).otherwise(0.0) for c in "pn"}
     made |= {f"all_{c}": F.sum(c).over(Window.partitionBy("method", "replicate")) for c in "pn"}
-    state = state.withColumns(made).select("method", "part", F.lit(None).cast("long").alias("position"), "replicate", F.lit(None).cast("long").alias("times"), *_STATE)
+    state = state.withColumns(made).select("method", "part", "replicate", *_STATE)
 
     def share(rows: pa.Table, beside: pa.Table) -> pa.Table:
         out = {"method": [], "metric": [], "replicate": [], "share": [], "positives": [], "rows": []}
         if len(rows):
-            is_state = beside["times"].is_null()
-            held = beside.filter(is_state).sort_by("replicate")
+            own = _part(rows)
+            held = beside.sort_by("replicate")
             held = {c: held[c].to_numpy()[:, None] for c in _STATE}
-            for own, score, p, m in _thresholds(rows, beside.filter(pa.compute.invert(is_state)), known):
-                s = {c: v[own] for c, v in held.items()}
+            for some, drawn in own.drawn(keys, level):
+                p, m = own.by_score(drawn * own.y), own.by_score(drawn)
+                s = {c: v[some] for c, v in held.items()}
                 tied, upto = [p.copy(), m.copy()], []
                 for k, c in enumerate("pn"):
-                    upto.append(s[f"before_{c}"] + np.cumsum((p, m)[k], axis=1))
+                    upto.append(np.cumsum((p, m)[k], axis=1))
+                    upto[k] += s[f"before_{c}"]
                     upto[k][:, -1:] += s[f"later_{c}"]
                     tied[k][:, :1] += s[f"earlier_{c}"]
                     tied[k][:, -1:] += s[f"later_{c}"]
-                t = Thresholds(score, p, m, tied[0], tied[1], upto[0], upto[1], s["all_p"], s["all_n"])
+                t = Thresholds(own.score[own.start], p, m, tied[0], tied[1], upto[0], upto[1], s["all_p"], s["all_n"])
                 for metric in metrics:
                     out["share"].append(metric.share(t))
                     out["metric"] += [metric.name] * len(p)
-                    out["replicate"].append(np.arange(own.start, own.stop))
+                    out["replicate"].append(np.arange(some.start, some.stop))
                     out["positives"].append(s["all_p"][:, 0]), out["rows"].append(s["all_n"][:, 0])
             out["method"] = [rows["method"][0].as_py()] * len(out["metric"])
         flat = lambda c, t: pa.array(np.concatenate([np.empty(0), *out[c]]).astype(t))
         return pa.table({"method": pa.array(out["method"], pa.string()), "metric": pa.array(out["metric"], pa.string()), "replicate": flat("replicate", np.int64), **{c: flat(c, np.float64) for c in ("share", "positives", "rows")}})
 
-    shares = grouped.cogroup(added.unionByName(state).groupBy("method", "part")).applyInArrow(share, "method string, metric string, replicate long, share double, positives double, rows double")
+    tasks = min(parts, TASKS * spark.sparkContext.defaultParallelism)  # many small ones, because work goes by rows x replicates and not by bytes
+    by_part = lambda rows: rows.repartition(tasks, "method", "part").groupBy("method", "part")
+    shares = by_part(placed).cogroup(by_part(state)).applyInArrow(share, "method string, metric string, replicate long, share double, positives double, rows double")
     merged = shares.groupBy("metric", "method", "replicate").agg(F.sum("share").alias("sum"), F.max("share").alias("max"), F.max("positives").alias("positives"), F.max("rows").alias("rows"))
     by_name = {m.name: m for m in metrics}
 

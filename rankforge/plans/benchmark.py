@@ -125,7 +125,7 @@ def freeze(frame: DataFrame, seed: int = 20260729) -> Frozen:
     rows = sampling.stratified_split(frame.withColumn("ord", F.col("gene_id")), "ord", "label_pre_cutoff", seed)
     efforts: dict[str, Effort] = {}
     with Effort(3) as effort:
-        rows = settle(rows)
+        rows = settle(rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, "ord"))  # all that follows works in its parts, wide rows and models
         scalars, chosen = _tuned_scalars(rows, "id")
     efforts |= {m: effort for m in SCALARS}
 
@@ -134,15 +134,16 @@ def freeze(frame: DataFrame, seed: int = 20260729) -> Frozen:
 
     def embed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            made = [(heads.dense(x, len(id_columns)) - scaler.mean) / scaler.scale for x in batch.columns[1:]]
-            hidden = [np.concatenate([net.applied(x) for _, net, _ in nets], axis=1) for x in made]
-            yield pa.RecordBatch.from_arrays([batch.column(0), *(pa.array(list(h), pa.list_(pa.float64())) for h in hidden)], names=["ord", "hidden", "shifted"])
+            made = [(heads.dense(x, len(id_columns)) - scaler.mean) / scaler.scale for x in batch.columns[-2:]]
+            hidden = [heads.lists(np.concatenate([net.applied(x) for _, net, _ in nets], axis=1)) for x in made]
+            yield pa.RecordBatch.from_arrays([*batch.columns[:-2], *hidden], names=[*batch.schema.names[:-2], "hidden", "shifted"])
 
     with Effort() as effort:
-        inputs = rows.select("ord", heads.vectors(id_columns).alias("a"), heads.vectors(ood_columns).alias("b"))
-        embedded = inputs.mapInArrow(embed, "ord string, hidden array<double>, shifted array<double>")
+        kept = rows.select("ord", "is_train", "label_pre_cutoff", *dict.fromkeys([*id_columns, *ood_columns]))
+        shape = ", ".join([*(f"`{c}` {t}" for c, t in kept.dtypes), "hidden array<double>, shifted array<double>"])
+        embedded = kept.select("*", heads.vectors(id_columns).alias("a"), heads.vectors(ood_columns).alias("b")).mapInArrow(embed, shape)
         width = sum(net.second.shape[1] for _, net, _ in nets)
-        wide, hidden = heads.unpack(rows.join(embedded, "ord"), "hidden", width, "h")
+        wide, hidden = heads.unpack(embedded, "hidden", width, "h")
         wide = settle(wide.drop("hidden"))
         names = [*id_columns, *hidden]
         first, at = {}, len(id_columns)

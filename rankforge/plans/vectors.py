@@ -358,13 +358,14 @@ def m18_candidates(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def _candidates(spark: SparkSession, sf: str) -> DataFrame:
-    lines = table(spark, sf, "lineitem").join(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
+    every = table(spark, sf, "lineitem")
+    lines = every.join(table(spark, sf, "orders").select("o_orderkey", "o_orderdate"), F.col("l_orderkey") == F.col("o_orderkey"))
     records = lines.select(
         F.col("l_partkey").cast("string").alias("gene_id"), F.year("o_orderdate").alias("year"), (F.col("l_suppkey") % 2 == 1).alias("ood"), (F.col("l_suppkey") % 7).alias("grp"), F.col("l_suppkey").alias("place"),
         (F.col("l_returnflag") == "R").alias("is_case"), (F.col("l_quantity") >= 49).alias("is_entry"), F.col("l_quantity").cast("double").alias("value"), F.col("l_discount").cast("double").alias("level"),
     )
     entities = table(spark, sf, "part").select(F.col("p_partkey").cast("string").alias("gene_id"), (F.col("p_size") < 10).cast("int").alias("druggable_class"))
-    return candidates.candidate_table(entities, records, _CUTOFF_YEAR, _END_YEAR)
+    return candidates.candidate_table(entities, records, _CUTOFF_YEAR, _END_YEAR, every.select(F.col("l_suppkey").alias("place")))
 
 
 @query("m18_benchmark_methods")

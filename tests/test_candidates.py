@@ -38,3 +38,29 @@ def test_no_look_ahead(spark):
     assert all(before[g][c] == after[g][c] for g in before for c in before[g] if c not in free)
     assert candidates.candidate_table(entities.limit(0), records, 2002, 2005).count() == 0
     assert candidates.candidate_table(entities, records.limit(0), 2002, 2005).count() == 4
+
+
+def test_places_may_come_from_elsewhere(spark):
+    entities, records = _rows(spark)
+    places = spark.createDataFrame([(k % 8,) for k in range(20)], "place int")
+    got = {r["gene_id"]: r["network_centrality"] for r in candidates.candidate_table(entities, records, 2002, 2005, places).collect()}
+    assert got == {"a": 2 / 8, "b": 1 / 8, "c": 0.0, "d": 0.0}
+
+
+def test_lines_without_an_order_count_as_places_as_in_sql(spark, tmp_path):
+    import duckdb
+
+    from rankforge.plans import registry
+
+    con, tables = duckdb.connect(), {
+        "part": "SELECT range AS p_partkey, CAST(5 * range AS INTEGER) AS p_size FROM range(4)",
+        "orders": "SELECT range AS o_orderkey, TIMESTAMP '1995-03-01' + to_years(CAST(range AS INTEGER)) AS o_orderdate FROM range(6)",
+        "lineitem": "SELECT range % 9 AS l_orderkey, range % 3 AS l_partkey, range AS l_suppkey, CAST(30 + range AS DOUBLE) AS l_quantity, range / 100.0::DOUBLE AS l_discount, CASE WHEN range % 2 = 0 THEN 'R' ELSE 'N' END AS l_returnflag FROM range(27)",
+    }
+    for name, sql in tables.items():
+        con.execute(f"COPY ({sql}) TO '{tmp_path}/{name}.parquet' (FORMAT parquet)")
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM '{tmp_path}/{name}.parquet'")
+    got = registry.queries()["m18_candidate_table"](spark, str(tmp_path))
+    columns = ", ".join(got.columns)
+    want = con.execute(f"SELECT {columns} FROM ({registry.oracle_sql()['m18_candidate_table']}) ORDER BY gene_id").fetchall()
+    assert [tuple(r) for r in got.orderBy("gene_id").collect()] == want

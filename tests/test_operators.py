@@ -388,6 +388,29 @@ def test_models_on_parts_of_the_features(spark):
     assert np.allclose(2.0 * z.T @ ((y - 1 / (1 + np.exp(-z @ beta))) * w), beta, atol=1e-6)
 
 
+def test_spreads_are_the_scaler_of_all_rows(spark):
+    """Mean and deviation of far, constant and partly null columns, the rows and the sums, in one pass."""
+    rng = np.random.default_rng(4)
+    x = rng.normal(size=(700, 2))
+    rows = [(None if k % 5 == 0 else 1e6 + float(a), 0.1, float(b), k % 2, None) for k, (a, b) in enumerate(x)]
+    df = spark.createDataFrame(rows, "far double, same double, plain double, y int, none double").repartition(5)
+    names = ["far", "same", "plain", "y"]
+    made, n, sums = heads.spreads(df, names)
+    want = heads.fit_scaler(df, names)
+    assert np.allclose(made.mean, want.mean, rtol=1e-14) and np.allclose(made.scale, want.scale, rtol=1e-9) and made.scale[1] == 1.0
+    assert n == 700 and sums[3] == 350 and heads.spreads(df, ["none"])[0].mean.tolist() == heads.fit_scaler(df, ["none"]).mean.tolist()
+    assert heads.spreads(df.where("false"), names)[1] == 0
+
+
+def test_frozen_rows_lie_in_a_part_for_each_core(spark):
+    from rankforge.plans import benchmark
+    from rankforge.sources import readers
+
+    frozen = benchmark.freeze(readers.simulate_until(spark, 300).coalesce(1), 3)
+    assert frozen.rows.rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    assert frozen.scores.groupBy("method").count().where("count = 300").count() == 14
+
+
 def test_benchmark_of_all_methods(spark):
     """Fourteen methods; metrics against plain Python on the frozen scores; the holdout is read once."""
     from rankforge.plans import benchmark
