@@ -214,10 +214,12 @@ def evaluate(frozen: Frozen, k: int = 20, replicates: int = 400, seed: int = 202
 def leaky_split(frame: DataFrame, seed: int = 20260729) -> dict[str, float]:
     """The intentionally leaky ablation: a random split of final labels, with all-time publication counts."""
     label = F.greatest("label_pre_cutoff", "label_post_cutoff")
-    rows = settle(sampling.stratified_split(frame.withColumn("ord", F.col("gene_id")).withColumn("y", label), "ord", "y", seed))
     names = [*feature_columns("id", popularity=False), "publication_count_all_time"]
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    rows = sampling.stratified_split(frame.select(F.col("gene_id").alias("ord"), label.alias("y"), *names), "ord", "y", seed)
+    rows = settle(rows.repartition(cores, "ord"))
     inner = sampling.stratified_split(rows.where("is_train").drop("is_train"), "ord", "y", seed + 1)
-    c, model = heads.supervised(settle(inner), names, "y", F.col("is_train"), GRID)
+    c, model = heads.supervised(settle(inner.repartition(cores, "ord")), names, "y", F.col("is_train"), GRID)
     tested = rows.where("NOT is_train").withColumn("score", model.predict(names))
     value = lambda column: ranking.average_precision(tested, [], column).first()["auprc"]
     return {"supervised": value("score"), "popularity": value("publication_count_all_time"), "prevalence": tested.agg(F.avg("y")).first()[0], "c": c}

@@ -411,6 +411,20 @@ def test_frozen_rows_lie_in_a_part_for_each_core(spark):
     assert frozen.scores.groupBy("method").count().where("count = 300").count() == 14
 
 
+def test_leaky_split_moves_only_its_columns(spark):
+    """The other columns aren't even computed; ranks by all-time counts against plain Python."""
+    from rankforge.plans import benchmark
+    from rankforge.sources import readers
+
+    frame = readers.simulate_until(spark, 400)
+    got = benchmark.leaky_split(frame.withColumn("planted_group", F.raise_error(F.lit("not needed")).cast("string")))
+    assert got == pytest.approx(benchmark.leaky_split(frame.coalesce(1))) and 0 < got["prevalence"] < 1 and got["c"] in benchmark.GRID
+    y = {r["gene_id"]: max(r["label_pre_cutoff"], r["label_post_cutoff"]) for r in frame.collect()}
+    split = sampling.stratified_split(spark.createDataFrame([(k, int(v)) for k, v in y.items()], "ord string, y int"), "ord", "y", 20260729)
+    held = [r["y"] for r in split.where("NOT is_train").collect()]
+    assert got["prevalence"] == pytest.approx(sum(held) / len(held))
+
+
 def test_benchmark_of_all_methods(spark):
     """Fourteen methods; metrics against plain Python on the frozen scores; the holdout is read once."""
     from rankforge.plans import benchmark
